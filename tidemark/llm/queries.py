@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, url_rules
+from tidemark.llm import decontam, minhash, packing, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 #: The rules that the query states, and globs for what they leave open.
 URL_RULES = [
     url_rules.host_rule("block", "net/"),
@@ -49,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_url_filters, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op6_url_filters, op8_packing)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
@@ -68,6 +73,18 @@ ORACLE_SQL = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM doc LEFT JOIN covered USING (k) LEFT JOIN named USING (k)""",
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE doc AS (SELECT row_number() OVER () AS k, doc_id, text, {_WORDS} AS ws FROM documents),
+        sh AS (SELECT DISTINCT k, array_to_string(list_slice(ws, s0, s0 + least(5, len(ws)) - 1), ' ') AS g
+          FROM doc, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS r(s0) WHERE len(ws) > 0),
+        n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+        pair AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+          UNION SELECT x.k, y.k FROM doc x JOIN doc y ON x.text = y.text AND x.k < y.k AND len(x.ws) = 0),
+        way AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT k, k AS r FROM doc UNION SELECT reach.k, way.b FROM reach JOIN way ON way.a = reach.r),
+        root AS (SELECT k, min(r) AS root FROM reach GROUP BY k)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM root JOIN doc USING (k)""",
     "op6_url_filters": r"""
         WITH u AS (
           SELECT page_id,
