@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, minhash, packing, url_rules
+from tidemark.llm import decontam, minhash, packing, syncmers, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op6_url_filters, op8_packing)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited form."""
+    found = syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.fingerprint_string("fp").alias("fingerprint"),
+        syncmers.fingerprint_string("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op6_url_filters, op8_packing, op9_fingerprints)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
