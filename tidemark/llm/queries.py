@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lang_crf, minhash, packing, syncmers, url_rules, warc_zip
+from tidemark.llm import decontam, lang_crf, line_dedup, minhash, packing, syncmers, token_counts, url_rules, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines: how many went, and the digest of what stays."""
+    found = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose id's remainder is not 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -56,6 +62,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(stated, F.col("rule")).alias("rule"), "verdict", F.when(~stated, F.col("rule")).alias("glob"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    pieces = token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 tokens."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -81,7 +93,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op5_language_id, op6_url_filters, op8_packing, op9_fingerprints, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
