@@ -10,6 +10,7 @@ similarity of the distinct shingles decides.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import _ODD, bitmap, drop_stored, in_bitmap, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
+from tidemark.llm.shared import _ODD, bitmap, in_bitmap, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
 
 #: 28 bands of 4 registers: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
-#: Buckets with more members whose classes differ are split by a further band before pairs are formed.
-SMALL_BUCKET = 32
+#: Registers (of all) that must agree, by their low bytes, before two texts of a bucket are compared: 4.6
+#: standard deviations below what a similarity of 0.8 gives.
+AGREE = 70
+#: Shingles of a bucket that a task compares at a time with as many others.
+BLOCK_SHINGLES = 400_000
 #: Shingles that are hashed together in a task.
 _BLOCK = 200_000
 
@@ -72,16 +76,17 @@ def _node(text: bytes | None, ws: list[bytes], key: str) -> bytes:
 
 
 def _scan(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Per row: key, doc_id, node, number of distinct shingles, band hashes."""
+    """Per row: key, doc_id, node, number of distinct shingles, band hashes, a byte of each register."""
 
     def sign(batch: pa.RecordBatch) -> dict:
-        nodes, counts, bands, pending, held = [], [], [], [], 0
+        nodes, counts, bands, sketches, pending, held = [], [], [], [], [], 0
 
         def flush():
             if pending:
-                got = band_hashes(signatures([p[1] for p in pending], [p[2] for p in pending], BANDS * ROWS), BANDS, ROWS)
-                for (i, *_), row in zip(pending, got.view(np.int64), strict=True):
-                    bands[i] = row
+                sig = signatures([p[1] for p in pending], [p[2] for p in pending], BANDS * ROWS)
+                low = (mixed(sig) & np.uint64(255)).astype(np.uint8)
+                for (i, *_), row, sketch in zip(pending, band_hashes(sig, BANDS, ROWS).view(np.int64), low, strict=True):
+                    bands[i], sketches[i] = row, sketch.tobytes()
                 pending.clear()
 
         for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
@@ -90,16 +95,17 @@ def _scan(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             found, times = np.unique(shingles(ws, size), return_counts=True)
             counts.append(len(found))
             bands.append([])
+            sketches.append(b"")
             if len(found):
                 pending.append((len(bands) - 1, found, times))
                 if (held := held + len(found)) > _BLOCK:
                     flush()
                     held = 0
         flush()
-        return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "node": nodes, "n": counts, "bands": bands}
+        return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "node": nodes, "n": counts, "bands": bands, "sketch": sketches}
 
     docs = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(docs, sign, f"key string, doc_id {type_of(documents, id_col)}, node binary, n int, bands array<bigint>")
+    return map_arrow(docs, sign, f"key string, doc_id {type_of(documents, id_col)}, node binary, n int, bands array<bigint>, sketch binary")
 
 
 def _shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int, keys: DataFrame) -> DataFrame:
@@ -131,6 +137,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return joined.where(least).select("a", "b")
 
 
+def _across(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between the members of a block that belong to different classes so far.
+
+    rows: block, minor (of two sides, which are compared), node, root, band (of the bucket), bands, sketch,
+    sh. A pair that shares several buckets is compared in that of its first shared band only. Members that
+    links found here already join are not compared again, so alike members cost few comparisons.
+    """
+
+    def compare(members: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        left, right = [m for m in members if not m[1]], [m for m in members if m[1]]
+        if not left or not right:
+            return
+        above: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (y := above.get(x, x)) != x:
+                x = y
+            return x
+
+        band = members[0][4]
+        sketch = np.frombuffer(b"".join(m[6] for m in left), np.uint8).reshape(len(left), -1)
+        bands = np.array([m[5] for m in left], np.int64)
+        sizes = np.array([len(m[7]) for m in left])
+        for _, _, node, root, _, own, mark, sh in right:
+            near = (sizes * share[1] >= len(sh) * share[0]) & (len(sh) * share[1] >= sizes * share[0])
+            near &= ~(bands[:, :band] == np.array(own[:band], np.int64)).any(1)
+            near[near] = (sketch[near] == np.frombuffer(mark, np.uint8)).sum(1) >= AGREE
+            for i in np.flatnonzero(near).tolist():
+                other = left[i]
+                a, b = top(root), top(other[3])
+                if a == b:
+                    continue
+                both = np.isin(sh, other[7], assume_unique=True).sum()
+                if share[1] * both >= share[0] * (len(sh) + len(other[7]) - both):
+                    above[max(a, b)] = min(a, b)
+                    yield node, other[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("block", "minor", "node", "root", "band", "bands", "sketch")
+        now, held = None, []
+        for batch in batches:
+            sets = batch.column("sh")
+            found = []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if row[0] != now:
+                    found += compare(held)
+                    now, held = row[0], []
+                held.append((*row, sets[i].values.to_numpy().copy()))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=schema)
+        if found := list(compare(held)):
+            yield pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=schema)
+
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    dealt = rows.repartition("block").sortWithinPartitions("block")
+    return dealt.select("block", "minor", "node", "root", "band", "bands", "sketch", "sh").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicate_classes(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (4, 5)
 ) -> DataFrame:
@@ -139,58 +203,49 @@ def near_duplicate_classes(
 
     Rows are in a class if a chain of links joins them; a link is a Jaccard similarity of at least
     share[0] / share[1] of the distinct shingles of `size` words, lower-cased. Texts of equal words are
-    one node from the start. In a bucket, all members are first compared with its lowest one; whatever
-    then still belongs to several classes is compared across them, large buckets after a split by a
-    further band, so no bucket makes all pairs of a group.
+    one node from the start. All members of a bucket are first compared with its lowest one. Where the others
+    still belong to several classes, those outside the most frequent class are compared with the rest, in
+    blocks of bounded size, so no task holds a large bucket and no list of all its pairs is made.
 
     Defined cases: a null text is a class of its own; texts without words are alike if equal; texts with
     fewer than `size` words are one shingle; repeated rows are copies; an empty table gives no rows;
     other columns are ignored.
     """
-    spark = documents.sparkSession
     scan = stored(_scan(documents, id_col, text_col, size), "signatures")
-    nodes = scan.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = nodes.select("node", "n", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1").drop("size")
-    members = stored(rows.join(shared, "b"), "buckets")
-    needed = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    sets = stored(_shingle_sets(documents, id_col, text_col, size, needed).dropDuplicates(["node"]), "sets")
-
-    alike = F.least("n", "n_low") * share[1] >= F.greatest("n", "n_low") * share[0]
-    links, roots, level = None, None, 0
-    while True:
-        low_n = nodes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
-        star = members.where("node <> low").select("low", "node", "n").distinct().join(low_n, "low").where(alike)
-        links, roots = _grown(links, _verified(star.select(F.col("low").alias("a"), F.col("node").alias("b")), sets, share))
-        rooted = members.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
-        mixed_b = rooted.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("r").alias("r0"), F.max("r").alias("r1"))
-        open_b = stored(rooted.join(mixed_b.where("r0 <> r1").select("b", "size"), "b").select("b", "node", "n", "r", "size"), "open")
-        level += 1
-        last = level >= BANDS
-        small = open_b if last else open_b.where(F.col("size") <= SMALL_BUCKET)
-        left = small.select("b", F.col("node").alias("a"), F.col("r").alias("ra"), F.col("n").alias("n_low"))
-        across = left.join(small.select("b", "node", "n", "r"), "b").where("a < node and ra <> r").where(alike)
-        pairs = across.select("a", F.col("node").alias("b")).distinct()
-        links, roots = _grown(links, _verified(pairs, sets, share))
-        hot = open_b.where(F.col("size") > SMALL_BUCKET)
-        if last or hot.isEmpty():
-            break
-        finer = hot.select("b", "node", "n").join(nodes.select("node", F.explode("bands").alias("other")), "node")
-        finer = finer.where("b <> other").select("node", "n", F.xxhash64("b", "other").alias("b"))
-        again = finer.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1").drop("size")
-        drop_stored(spark, members)
-        members = stored(finer.join(again, "b"), "buckets")
+    nodes = scan.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")), F.min("key").alias("key"))
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "b"))
+    low = F.min(F.struct("node", "n")).alias("low")
+    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size"), low).where("size > 1")
+    members = stored(rows.join(shared, "b").select("b", "band", "size", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "buckets")
+    alike = F.least("n", "low_n") * share[1] >= F.greatest("n", "low_n") * share[0]
+    star = stored(members.where(F.col("node") != F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    needed = members.where("size > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
+    keys = needed.join(nodes.select("node", "key"), "node")
+    sets = stored(_shingle_sets(documents, id_col, text_col, size, keys).dropDuplicates(["node"]), "sets")
+    links = stored(_verified(star, sets, share), "links")
+
+    rooted = members.where("size > 2").where(F.col("node") != F.col("low"))
+    rooted = rooted.join(components(links, "a", "b").withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
+    of_root = rooted.groupBy("b", "r").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("all_n"))
+    largest = of_root.groupBy("b").agg(F.max_by("r", F.struct("of", "r")).alias("r0"), F.sum("all_n").alias("all_n"), F.max("of").alias("of"), F.sum("of").alias("size"))
+    several = largest.where("size > of").select("b", "r0", F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    minor = F.col("r") != F.col("r0")
+    parts = rooted.drop("size").join(several, "b")
+    side = lambda by: F.pmod(F.xxhash64("node", F.lit(by)), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # block (i, j) of a bucket: part i of all members against part j of those outside its largest class
+    left = parts.withColumn("j", F.explode(every)).select("b", side("left").alias("i"), "j", F.lit(False).alias("minor"), "node", "r", "band")
+    right = parts.where(minor).withColumn("i", F.explode(every)).select("b", "i", side("right").alias("j"), F.lit(True).alias("minor"), "node", "r", "band")
+    dealt = left.union(right).select(F.concat_ws("/", "b", "i", "j").alias("block"), "minor", "node", F.col("r").alias("root"), "band")
+    full = dealt.join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
+    more = stored(_across(full, share), "links")
+    roots = components(links.union(more), "a", "b")
+
     member = scan.select("key", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min("key").alias("first_key"))
+    classes = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(classes, "root").select("key", "doc_id", "root", "class_id", "class_size")
 
 
-def _grown(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and the roots of their nodes."""
-    links = stored(more if links is None else links.union(more), "links")
-    return links, components(links, "a", "b")
-
-
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """documents with one row of each near-duplicate class: that of the smallest id, of equal ids that of
     the smallest key. Cases as in near_duplicate_classes; all columns stay as they are."""
