@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import row_key, stored
+from tidemark.llm.shared import stored
 
 #: Tokens of long texts: runs of 1 to 12 characters that are not space. k = S + W - 1 tokens.
 WORD_S, WORD_W = 2, 8
@@ -33,8 +33,9 @@ def _with_anchors(df: DataFrame, tokens: Column, s: int, w: int, out: str) -> Da
         df = df.withColumn("__s", F.transform(at, lambda i: F.xxhash64(F.slice("__h", i, s))))
     places = F.when(F.size("__h") >= k, F.sequence(F.lit(1), F.size("__h") - (k - 1)))
     edge = lambda i: F.least(F.element_at("__s", i), F.element_at("__s", i + (w - 1))) == F.array_min(F.slice("__s", i, w))
-    chosen = F.transform(F.filter(places, edge), lambda i: F.xxhash64(F.slice("__h", i, k)))
-    return df.withColumn(out, F.coalesce(chosen, "__h")).drop("__h", "__s")
+    low = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    chosen = F.transform(F.filter(places, edge), lambda i: low(F.xxhash64(F.slice("__h", i, k))))
+    return df.withColumn(out, F.coalesce(chosen, F.transform("__h", low))).drop("__h", "__s")
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -48,8 +49,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def fingerprint_string(print_: str) -> Column:
-    """The anchors as hexadecimal numbers of 32 bits, words before a "/" and code points after it."""
-    low = lambda c: F.array_join(F.transform(F.col(c), lambda a: F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF)))), " ")
+    """The anchors as hexadecimal numbers of 31 bits, words before a "/" and code points after it."""
+    low = lambda c: F.array_join(F.transform(F.col(c), F.hex), " ")
     return F.concat(low(f"{print_}.words"), F.lit("/"), low(f"{print_}.chars"))
 
 
@@ -64,23 +65,16 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(jaccard("words"), jaccard("chars"))).cast("double")
 
 
-def _order(rows: DataFrame) -> DataFrame:
-    """rows (key, doc_id, n_chars, one a key) with prev_key and prev_chars: of the row before by doc_id, then
-    key; for the first, of the last. Ranges of ids are ordered in parallel; only one row for each range
-    meets in one task."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(rows.repartitionByRange(parts, "doc_id", "key").withColumn("part", F.spark_partition_id()), "ranges")
-    here = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "key")
-    at = F.struct(F.col("key"), F.col("n_chars"))
-    order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("key"))
-    ends = ranged.groupBy("part").agg(F.max_by(at, order).alias("end"))
-    across = Window.orderBy("part")
-    every = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lag("end").over(across), F.last("end").over(every)).alias("before"))
-    lagged = ranged.withColumn("prev", F.lag(at).over(here)).join(F.broadcast(ends), "part")  # a row for each range
-    prev = F.coalesce("prev", "before")
-    return lagged.select("key", prev["key"].alias("prev_key"), prev["n_chars"].alias("prev_chars"))
+def _ranges(docs: DataFrame) -> DataFrame:
+    """part, low, next_low, head: ranges of `at` that hold about as many rows each, as many as there are shuffle
+    partitions; head is the first place of the next range, after the last that of the first."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.select("at").repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
+    lows = stored(ranged.groupBy("part").agg(F.min("at").alias("low")), "ranges")
+    order = Window.orderBy("part")  # a row for each range
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bounds = lows.withColumn("next_low", F.lead("low").over(order))
+    return bounds.withColumn("head", F.coalesce("next_low", F.first("low").over(every)))
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,21 +84,29 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     next document, by id; after the last comes the first. Returns doc_id, n_chars, edited (text), fp and
     edited_fp (structs, see with_fingerprint), near_edited, near_next.
 
+    Texts are shuffled once, into ranges of ids; only the ranges' bounds are broadcast, a row for each.
     Defined cases: a null text is empty and has no anchors; equal fingerprints have likeness 1, also
-    empty ones; a null id comes first; equal ids go by text hash; a row that is repeated stands once in
-    the order and is returned as often as it comes; a lone document is its own next; other columns are ignored.
+    empty ones; a null id comes first; equal ids go by text hash; a row that is repeated is a document of
+    its own, next to its copy; a lone document is its own next; other columns are ignored.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", row_key("doc_id", "text"))
-    rows = docs.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first(F.char_length("text")).cast("long").alias("n_chars"))
-    order = _order(rows)
-    printed = with_fingerprint(docs.select("key", "doc_id", "text"), "text", "fp")
-    placed = printed.join(order, "key")
-    taken = F.floor(F.col("prev_chars") / 4).cast("int")
-    after = placed.select(F.col("prev_key").alias("key"), F.substring("text", F.lit(1), taken).alias("tail"), F.col("fp").alias("next_fp"))
-    after = after.dropDuplicates(["key"])
+    docs = docs.withColumn("at", F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id"), F.xxhash64("text").alias("tie")))
+    ranges = stored(_ranges(docs), "ranges")
+    bounds = F.broadcast(ranges.select("part", "low", "next_low"))
+    inside = (F.col("at") >= F.col("low")) & (F.col("next_low").isNull() | (F.col("at") < F.col("next_low")))
+    placed = with_fingerprint(docs, "text", "fp").join(bounds, inside).drop("low", "next_low")
+    firsts = docs.join(F.broadcast(ranges.select(F.col("head").alias("at")).distinct()), "at").dropDuplicates(["at"])
+    heads = with_fingerprint(firsts, "text", "fp").select(F.col("at").alias("head"), F.struct("text", "fp").alias("head_doc"))
+    heads = ranges.select("part", "head").join(heads, "head").select("part", "head_doc")
+
+    order = Window.partitionBy("part").orderBy("at")
+    # two leads of plain columns: a struct of them would be shuffled beside them
+    both = placed.withColumns({"after_text": F.lead("text").over(order), "after_fp": F.lead("fp").over(order)}).join(heads, "part")
+    after = F.coalesce("after_text", F.col("head_doc.text"))
+    both = both.select("doc_id", "text", "fp", after.alias("after"), F.coalesce("after_fp", F.col("head_doc.fp")).alias("next_fp"))
     n = F.char_length("text")
-    both = placed.drop("prev_key", "prev_chars").join(after, "key")
-    both = both.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "tail"))
-    both = with_fingerprint(both.drop("text", "tail"), "edited", "edited_fp")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("after", F.lit(1), cut))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    both = with_fingerprint(both, "edited", "edited_fp")
     return both.select("doc_id", "n_chars", "edited", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
