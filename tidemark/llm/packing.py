@@ -9,8 +9,11 @@ closes a sequence.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,47 +26,95 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.llm.shared import type_of
 
 #: Words whose ids a task keeps at a time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 #: Sequences' worth of examples that wait before sequences are filled.
-WAITING = 64
+WAITING = 16
+
+
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that never joins across spaces and newlines, word by word.
+    """Ids of whole texts for a tokenizer that lower-cases and drops spaces and newlines, word by word.
 
-    Words are cut at those two characters only, which such a tokenizer drops; so the ids of a text are
-    those of its words in order, and each distinct word is encoded once.
+    Words are cut at those two characters only, so the ids of a text are those of its words in order, and
+    each distinct word is encoded once. A-Z are lower-cased first to have fewer distinct words, except beside combining marks,
+    which might compose with one case only, and in texts that may hold the names of special tokens.
     """
 
+    _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    _MARKS = re.compile("[\u0300-\u036f]")
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.index = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index.clear()
-        self.flat, self.begin = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.numbers, self.flat, self.begin = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text:
+            if text.isascii() or not self._MARKS.search(text):
+                text = text.encode().translate(self._LOWER).decode()
+        return text.replace("\n", " ").split(" ")
+
+    def _ids(self, new: list[str]) -> list[np.ndarray]:
+        """The ids of each word. Words of letters alone, or of letters and a full stop or comma, are one or
+        two parts for the tokenizer, each ending in a piece that ends a word: many of them are encoded as one
+        text and told apart by those pieces. All others are encoded each."""
+        out: list = [None] * len(new)
+        plain, parts, other = [], [], []
+        for i, w in enumerate(new):
+            if w.isalpha() and "\u0130" not in w:  # its lower case is two characters
+                plain.append(i)
+                parts.append(1)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha() and "\u0130" not in w:
+                plain.append(i)
+                parts.append(2)
+            else:
+                other.append(i)
+        texts = [" ".join([new[i] for i in plain[low : low + 256]]) for low in range(0, len(plain), 256)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.is_end[flat]) + 1
+        if len(ends) != sum(parts):
+            plain, other = [], list(range(len(new)))
+        else:
+            cut = ends[np.cumsum(parts, dtype=np.int64) - 1] if parts else ends
+            for i, ids in zip(plain, np.split(flat, cut[:-1]), strict=False):
+                out[i] = ids
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
+        if len(self.numbers) > CACHED_WORDS:
             self._reset()
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if new := list(dict.fromkeys(w for ws in split for w in ws if w not in self.index)):
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            end = self.begin[-1][-1]
-            self.flat += ids
-            self.begin.append(end + np.cumsum([len(x) for x in ids]))
-            self.flat, self.begin = [np.concatenate(self.flat)], [np.concatenate(self.begin)]
-        flat, begin = self.flat[0], self.begin[0]
+        known = len(self.numbers)
+        places = []
+        for t in texts:
+            ws = self._split(t) if t else []
+            places.append(np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)))
+        if new := list(islice(self.numbers, known, None)):
+            ids = self._ids(new)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate((self.flat, *ids))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
         out = []
-        for ws in split:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            low, size = begin[at], begin[at + 1] - begin[at]
+        for at in places:
+            low, size = self.begin[at], self.begin[at + 1] - self.begin[at]
             ends = np.cumsum(size)
-            out.append(flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ws) else 0)])
+            out.append(self.flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(at) else 0)])
         return out
 
 
@@ -82,6 +133,7 @@ class _Packer:
     def __init__(self, limits: Limits, cut: bool, first_sequence: int):
         self.limits, self.cut, self.sequence = limits, cut, first_sequence
         self.wait: list[list] = []  # [row, ids, sums of loss marks, begin]
+        self.left = 0  # tokens that wait
         self.out: list[tuple] = []
         self.size = np.array([limits.tokens, limits.segments, limits.loss], float)
 
@@ -102,20 +154,21 @@ class _Packer:
             raise ValueError(f"an example of {len(ids)} tokens exceeds a sequence and may not be cut")
         if len(ids) > item[3] or not len(ids):
             self.wait.append(item)
-        if sum(len(x[1]) - x[3] for x in self.wait) >= 2 * WAITING * most:
+            self.left += len(ids) - item[3]
+        if self.left >= 2 * WAITING * most:
             self.fill(WAITING * most)
 
     def fill(self, keep: int) -> None:
         """Fill sequences until at most `keep` tokens wait."""
-        while (left := sum(len(x[1]) - x[3] for x in self.wait)) > keep or (self.wait and not keep):
+        while self.left > keep or (self.wait and not keep):
             target = self.limits.tokens
-            if self.cut and left < target:  # the task's last tokens: lengths that need no padding
-                target = 1 << max(0, left.bit_length() - 1)
+            if self.cut and self.left < target:  # the task's last tokens: lengths that need no padding
+                target = 1 << max(0, self.left.bit_length() - 1)
             self._fill_one(target)
 
     def _fill_one(self, target: int) -> None:
         room = np.array([target, self.limits.segments, self.limits.loss])
-        demand = np.array([[len(x[1]) - x[3], 1, x[2][-1] - x[2][x[3]]] for x in self.wait])
+        demand = np.array([(len(x[1]) - x[3], 1, x[2][-1] - x[2][x[3]]) for x in self.wait])
         free, offset = np.ones(len(self.wait), bool), 0
         while free.any() and room[1] > 0 and room[0] > 0:
             fits = free & (demand <= room).all(1)
@@ -140,6 +193,7 @@ class _Packer:
             offset += n
             room = room - (n, 1, loss)
         self.sequence += 1
+        self.left -= offset
         self.wait = [x for i, x in enumerate(self.wait) if free[i]]
 
 
