@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import score_of_z
 from tidemark.operators import features, nowcast, positioning, rules
 from tidemark.plans import dims, opportunity
-from tidemark.sources import readers
+from tidemark.sources import readers, sinks
 
 
 def panel(spark, values, asset="a", start=(2000, 1)):
@@ -129,6 +129,23 @@ def test_missing_position_column_is_an_error(spark):
         readers.positioning_rows(spark.createDataFrame([("a",)], "market_and_exchange_names string"), "financial", "2000-01-01")
 
 
+@pytest.mark.parametrize(("as_of", "since"), [("2026-10-31", "2023-10-01"), ("2026-03-31", "2023-03-03"), ("2026-01-15", "2022-12-15")])
+def test_look_back(as_of, since):
+    assert readers.look_back(as_of) == since
+
+
+def test_snapshot_is_written_only_if_changed(spark, tmp_path):
+    before = dims.nowcast_blocks(spark)
+    after = before.withColumn("latest_yoy", F.when(F.col("block") == "us", F.lit(9.0)).otherwise(F.col("latest_yoy")))
+    assert not sinks.write_snapshot(before, before, "block", str(tmp_path / "same"))
+    assert sinks.write_snapshot(before, after, "block", str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).where("latest_yoy = 9").count() == 1
+    sinks.write_documents(after, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 4
+    (tmp_path / "contract.json").write_text('{\n"horizons": [1, 3],\n"paths": ["a"]}')
+    assert sinks.read_settings(spark, str(tmp_path / "contract.json")).first().horizons == [1, 3]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "CPI.csv").write_text("DATE,CPI\n2020-01-01,1.5\n2020-01-31,2.5\n")
     got = readers.parse_macro_csv(readers.read_lines(spark, str(tmp_path / "CPI.csv"))).collect()

@@ -100,3 +100,9 @@ def latest_month(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct("month", "value")).alias("x")).select(key, "x.month", "x.value")
 
 
+
+
+def last_verified(blocks: DataFrame) -> DataFrame:
+    """blocks as they are served when no refresh ran: each with the status FALLBACK_LAST_VERIFIED, and live_attempted
+    false."""
+    return blocks.withColumn("status", F.lit("FALLBACK_LAST_VERIFIED")).withColumn("live_attempted", F.lit(False))

@@ -63,3 +63,8 @@ def for_universe(assets: DataFrame, direct: DataFrame, baskets: DataFrame) -> Da
     have = direct.select("asset", F.lit(True).alias("available"), *names).unionByName(baskets.select("asset", "available", *names))
     out = assets.select("asset").join(have, "asset", "left")
     return out.select("asset", *(yes(F.col(c)).alias(c) for c in ("available", "pass", "crowded")), "as_of", "percentile_3y")
+
+
+def latest_report(positions: DataFrame) -> DataFrame:
+    """One row: the last report date of any asset; null without one."""
+    return positions.agg(F.max("as_of").alias("latest_report_date"))

@@ -15,7 +15,7 @@ from tidemark.functions.exprs import any_date, finite_or, month_key, month_of, n
 from tidemark.operators import audit, econ, features, nowcast, positioning, rules
 from tidemark.plans import dims
 from tidemark.plans import opportunity as plans
-from tidemark.sources import readers
+from tidemark.sources import readers, sinks
 
 AS_OF = "2001-08-15"
 NAMES = [a[0] for a in dims.ASSETS]
@@ -381,6 +381,12 @@ def r27_positioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(spark, sf_dir).select("asset", "available", "pass", "crowded")
 
 
+@query(f"WITH {M}, {BK}, {U} SELECT max(as_of) AS latest_report_date FROM (SELECT as_of FROM summ UNION ALL SELECT as_of FROM basket)")
+def a11_latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last report date of the universe."""
+    return positioning.latest_report(positions(spark, sf_dir))
+
+
 # ---- money
 
 MO = """money AS (SELECT r_name AS series, strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey
@@ -429,6 +435,12 @@ def n03_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nowcast.freshness(dims.nowcast_blocks(spark))
 
 
+@query("SELECT * FROM (VALUES ('us', 5.5258::DOUBLE), ('euro_area', 3.2931::DOUBLE), ('japan', 2.2::DOUBLE), ('china', 7.7::DOUBLE)) t(block, latest_yoy), (SELECT 'FALLBACK_LAST_VERIFIED' AS status, false AS live_attempted)")
+def n04_last_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks as served without a refresh."""
+    return nowcast.last_verified(dims.nowcast_blocks(spark)).select("block", "latest_yoy", "status", "live_attempted")
+
+
 UPDATES = [("us", "2026-07", 5.60001), ("euro_area", "2026-05", 3.0), ("japan", "2026-07", 7.3), ("china", "2026-13", 8.0)]
 _OLD = ", ".join(f"({i}, '{b}', '{d}', {y}::DOUBLE, {r}::DOUBLE)" for i, b, _, d, y, r in dims.NOWCAST)
 _NEW = ", ".join(f"('{b}', '{d}', {y}::DOUBLE)" for b, d, y in UPDATES)
@@ -810,6 +822,14 @@ def k01_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("asset", back["s_label"].alias("label"), back["action"].alias("action"))
 
 
+@query("SELECT * FROM (VALUES ('us', '2026-07', 5.6::DOUBLE)) t(block, latest_date, latest_yoy)")
+def k03_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh changes in the snapshot; a snapshot without such rows is not written again."""
+    before = dims.nowcast_blocks(spark)
+    after = nowcast.refresh(before, spark.createDataFrame(UPDATES, "block string, new_date string, new_yoy double")).select(*before.columns)
+    return sinks.changed(before, after, "block").select("block", "latest_date", "latest_yoy")
+
+
 # ---- audits
 
 

@@ -6,6 +6,8 @@ that cannot be parsed are dropped, never guessed.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,13 @@ def positioning_rows(raw: DataFrame, kind: str, since: str) -> DataFrame:
     return rows.where((F.col("date") >= since) & (F.col("oi") > 0) & F.col("long").isNotNull() & F.col("short").isNotNull())
 
 
+def look_back(as_of: str, years: int = 3, months: int = 1) -> str:
+    """The ISO date `years` years and `months` months before; a day that the month lacks runs over into the next."""
+    y, m, d = map(int, as_of[:10].split("-"))
+    index = (y - years) * 12 + m - 1 - months
+    return (date(index // 12, index % 12 + 1, 1) + timedelta(days=d - 1)).isoformat()
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files as (file, line_no, text), each file whole, so lines keep their order."""
     whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
