@@ -44,6 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---- roles
+# A panel is an aggregate of a few rows for each asset and month that several features read: it is cached, so the
+# tables are scanned once a query. A lost executor's part is computed again.
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,18 +54,18 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     rows = orders.join(who, F.col("o_custkey") == F.col("c_custkey"))
     monthly = features.month_last(rows, "n", "o_orderdate", "o_totalprice", "o_orderkey", AS_OF)
-    return monthly.select(F.get(F.array(*map(F.lit, NAMES)), F.col("asset")).alias("asset"), "month", "value")
+    return monthly.select(F.get(F.array(*map(F.lit, NAMES)), F.col("asset")).alias("asset"), "month", "value").cache()
 
 
 def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(month_of(F.col("l_shipdate")).alias("month")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("value"))
+    return lines.groupBy(month_of(F.col("l_shipdate")).alias("month")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("value")).cache()
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
     series = F.get(F.array(*map(F.lit, plans.LEVELS.values())), F.col("l_linenumber") - 1)
-    return lines.groupBy(series.alias("series"), month_of(F.col("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("value"))
+    return lines.groupBy(series.alias("series"), month_of(F.col("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("value")).cache()
 
 
 def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioning.series(positioning.matched(market_rows(spark, sf_dir), dims.terms(spark, MARKET_TERMS)))
+    return positioning.series(positioning.matched(market_rows(spark, sf_dir), dims.terms(spark, MARKET_TERMS))).cache()
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ def money(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("series"))
     who = t("customer").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "series")  # nations are few
     rows = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("series", month_of(F.col("o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("value"))
+    return rows.groupBy("series", month_of(F.col("o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("value")).cache()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
