@@ -146,10 +146,10 @@ def _occurrences(docs: DataFrame, windows: DataFrame, window: int, shingle: int)
     return found.select("key", "win", (F.col("doc_pos") - F.col("off")).alias("at"), "n").distinct()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.05, **kw) -> DataFrame:
-    """documents without the rows of which at least `least_share` of the words (and one) are hit.
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (1, 20), **kw) -> DataFrame:
+    """documents without the rows of which at least share[0] / share[1] of the words (and one) are hit.
 
     Null and empty texts stay. All columns stay as they are."""
     marks = contaminated_words(documents, benchmark, id_col, text_col, **kw)
-    bad = marks.where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words"))).select(F.col("key").alias("__key")).distinct()
+    bad = marks.where((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).select(F.col("key").alias("__key")).distinct()
     return documents.join(bad, row_key(id_col, text_col) == F.col("__key"), "left_anti")
