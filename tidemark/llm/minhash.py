@@ -26,7 +26,7 @@ BANDS, ROWS = 28, 4
 #: standard deviations below what a similarity of 0.8 gives.
 AGREE = 70
 #: Shingles of a bucket that a task compares at a time with as many others.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 #: Shingles that are hashed together in a task.
 _BLOCK = 200_000
 
@@ -227,15 +227,16 @@ def near_duplicate_classes(
     rooted = members.where("size > 2").where(F.col("node") != F.col("low"))
     rooted = rooted.join(components(links, "a", "b").withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     of_root = rooted.groupBy("b", "r").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("all_n"))
-    largest = of_root.groupBy("b").agg(F.max_by("r", F.struct("of", "r")).alias("r0"), F.sum("all_n").alias("all_n"), F.max("of").alias("of"), F.sum("of").alias("size"))
-    several = largest.where("size > of").select("b", "r0", F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    largest = of_root.groupBy("b").agg(F.max_by("r", F.struct("of", "r")).alias("r0"), F.sum("all_n").alias("all_n"), F.max_by("all_n", F.struct("of", "r")).alias("n0"), F.max("of").alias("of"), F.sum("of").alias("size"))
+    count = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+    several = largest.where("size > of").select("b", "r0", count(F.col("all_n")).alias("parts"), count(F.col("all_n") - F.col("n0")).alias("minor_parts"))
     minor = F.col("r") != F.col("r0")
     parts = rooted.drop("size").join(several, "b")
-    side = lambda by: F.pmod(F.xxhash64("node", F.lit(by)), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    side = lambda by, n: F.pmod(F.xxhash64("node", F.lit(by)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # block (i, j) of a bucket: part i of all members against part j of those outside its largest class
-    left = parts.withColumn("j", F.explode(every)).select("b", side("left").alias("i"), "j", F.lit(False).alias("minor"), "node", "r", "band")
-    right = parts.where(minor).withColumn("i", F.explode(every)).select("b", "i", side("right").alias("j"), F.lit(True).alias("minor"), "node", "r", "band")
+    left = parts.withColumn("j", every("minor_parts")).select("b", side("left", "parts").alias("i"), "j", F.lit(False).alias("minor"), "node", "r", "band")
+    right = parts.where(minor).withColumn("i", every("parts")).select("b", "i", side("right", "minor_parts").alias("j"), F.lit(True).alias("minor"), "node", "r", "band")
     dealt = left.union(right).select(F.concat_ws("/", "b", "i", "j").alias("block"), "minor", "node", F.col("r").alias("root"), "band")
     full = dealt.join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
     more = stored(_across(full, share), "links")

@@ -18,6 +18,8 @@ CHAR_S, CHAR_W = 3, 3
 #: Texts below CHARS_BELOW code points have anchors of code points, texts from WORDS_FROM on anchors of
 #: words. Between them they have both, so a text and its edited form always share a kind.
 CHARS_BELOW, WORDS_FROM = 512, 256
+#: Ranges of ids for each shuffle partition.
+RANGES = 8
 
 
 def _with_anchors(df: DataFrame, tokens: Column, s: int, w: int, out: str) -> DataFrame:
@@ -66,9 +68,10 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """part, low, next_low, head: ranges of `at` that hold about as many rows each, as many as there are shuffle
-    partitions; head is the first place of the next range, after the last that of the first."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """part, low, next_low, head: ranges of `at` that hold about as many rows each, RANGES for each shuffle
+    partition, so that tasks get even shares; head is the first place of the next range, after the last that
+    of the first."""
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("at").repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
     lows = stored(ranged.groupBy("part").agg(F.min("at").alias("low")), "ranges")
     order = Window.orderBy("part")  # a row for each range
