@@ -220,8 +220,9 @@ def near_duplicate_classes(
     alike = F.least("n", "low_n") * share[1] >= F.greatest("n", "low_n") * share[0]
     star = stored(members.where(F.col("node") != F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "star")
     needed = members.where("size > 2").select("node").union(star.select("a")).union(star.select("b")).distinct()
-    keys = needed.join(nodes.select("node", "key"), "node")
-    sets = stored(_shingle_sets(documents, id_col, text_col, size, keys).dropDuplicates(["node"]), "sets")
+    picked = stored(needed.join(nodes.select("node", "key", "bands", "sketch"), "node"), "picked")
+    found = _shingle_sets(documents, id_col, text_col, size, picked).dropDuplicates(["node"])
+    sets = stored(picked.select("node", "bands", "sketch").join(found, "node"), "sets")
     links = stored(_verified(star, sets, share), "links")
 
     rooted = members.where("size > 2").where(F.col("node") != F.col("low"))
@@ -238,12 +239,12 @@ def near_duplicate_classes(
     left = parts.withColumn("j", every("minor_parts")).select("b", side("left", "parts").alias("i"), "j", F.lit(False).alias("minor"), "node", "r", "band")
     right = parts.where(minor).withColumn("i", every("parts")).select("b", "i", side("right", "minor_parts").alias("j"), F.lit(True).alias("minor"), "node", "r", "band")
     dealt = left.union(right).select(F.concat_ws("/", "b", "i", "j").alias("block"), "minor", "node", F.col("r").alias("root"), "band")
-    full = dealt.join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node")
-    more = stored(_across(full, share), "links")
+    more = stored(_across(dealt.join(sets, "node"), share), "links")
     roots = components(links.union(more), "a", "b")
 
     member = scan.select("key", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # stored, so that the join has exchanges of its own, which adaptive execution splits where a class is hot
+    classes = stored(member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return member.join(classes, "root").select("key", "doc_id", "root", "class_id", "class_size")
 
 
