@@ -195,6 +195,32 @@ def test_scores_prefer_the_order_of_the_corpus(spark):
     assert lm_score.score_documents(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("table", [1 << 16, 1000])
+def test_scores_are_those_of_the_words_themselves(spark, monkeypatch, table):
+    """Two words of one shared unit differ by the logarithm of their counts, held by the tasks or joined."""
+    monkeypatch.setattr(lm_score, "TABLE", table)
+    common = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)] * 50  # more than the units
+    by = {}
+    for w in ("".join(x) for x in itertools.product("pqrst", repeat=5)):
+        by.setdefault(zlib.crc32(w.encode()) % (lm_score.TOKENS // lm_score.SHARING), []).append(w)
+    often, once, *others = by[7]
+    rows = [(1, f"aaa bbb {often} ccc ddd"), (2, f"aaa bbb {once} ccc ddd"), (3, " ".join(common)), (4, f"{often} " * 39)]
+    rows += [(5, " ".join(others)), (6, " ".join(w for x in by.values() for w in x if x is not by[7]))]
+    got = {r.doc_id: r for r in lm_score.score_documents(docs(spark, rows)).collect()}
+    assert [got[i].n_words for i in range(1, 7)] == [len(t.split()) for _, t in rows]
+    assert got[1].pseudo_ll - got[2].pseudo_ll == pytest.approx(np.log(40), rel=1e-3)
+
+
+def test_network_grows_with_the_vocabulary():
+    sizes = [lm_score.classes_for(n) for n in (1000, 10**6, 10**8)]
+    assert sizes[0] == lm_score.CLASSES and sizes[2] > 5 * sizes[1] > 10 * sizes[0]
+    net = lm_score.Network.begun(sizes[1])
+    assert [x.shape for x in lm_score.Network.of(net.flat()).arrays()] == [x.shape for x in net.arrays()]
+    around, _ = lm_score.places([np.arange(9, dtype=np.int32)], sizes[1] * lm_score.IN_CLASS)
+    tokens = np.arange(sizes[1] * lm_score.IN_CLASS)
+    assert np.exp(net.log_probs(around[:1].repeat(len(tokens), 0), tokens)[0]).sum() == pytest.approx(1, rel=1e-3)
+
+
 # 4
 
 

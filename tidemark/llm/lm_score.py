@@ -1,12 +1,15 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in numpy.
 
-The network sees the words on both sides of a place and predicts the word there: its class, then the word
-in the class. The sum of the log-probabilities of all words of a text, each given its neighbours, is the
-text's pseudo-log-likelihood.
+The network sees the words on both sides of a place and predicts the unit there: its class, then the unit in
+the class. A frequent word is a unit of its own; the other words are dealt out over shared units, and such a
+word's probability is that of its unit times its share of the unit's places in the corpus. The probabilities
+of all words of the corpus sum to 1 at any place. The sum of the log-probabilities of all words of a text, each
+given its neighbours, is the text's pseudo-log-likelihood. The number of units grows with the vocabulary.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_arrow, type_of, words
+from tidemark.llm.shared import map_arrow, stored, type_of, words
 
-#: Classes, words in each, places looked at on both sides, width of the network.
+#: Least number of classes, units in each, places looked at on both sides, width of the network.
 CLASSES, IN_CLASS, SIDES, WIDTH = 16, 32, (-2, -1, 1, 2), 16
-#: Known words; the ids after them stand for all others, by a hash.
+#: Units of the smallest network.
 TOKENS = CLASSES * IN_CLASS
-KNOWN = TOKENS - 64
+#: One unit of so many is shared by words, chosen by a hash; the others are the most frequent words.
+SHARING = 8
+#: Units for the square root of the number of distinct words.
+PER_ROOT = 2
+#: Most frequent words that tasks hold with their shares of units; the shares of all others come by a join.
+TABLE = 1 << 16
 #: Places of a training step, and of a scoring pass.
 STEP, PASS = 4096, 65536
 RATE = 0.1
@@ -33,8 +41,8 @@ ROW = 64
 
 @dataclass
 class Network:
-    """into: (sides, TOKENS + 1, WIDTH), the last id is the edge of a text; bias; classes and their bias; word
-    vectors (CLASSES, IN_CLASS, WIDTH) and their bias."""
+    """into: (sides, units + 1, WIDTH), the last id is the edge of a text; bias; classes and their bias; unit
+    vectors (classes, IN_CLASS, WIDTH) and their bias."""
 
     into: np.ndarray
     bias: np.ndarray
@@ -51,7 +59,9 @@ class Network:
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
-        shapes = ((len(SIDES), TOKENS + 1, WIDTH), (WIDTH,), (CLASSES, WIDTH), (CLASSES,), (CLASSES, IN_CLASS, WIDTH), (CLASSES, IN_CLASS))
+        fixed, of_class = (len(SIDES) + 1) * WIDTH, len(SIDES) * IN_CLASS * WIDTH + (1 + IN_CLASS) * (WIDTH + 1)
+        classes = (len(flat) - fixed) // of_class
+        shapes = ((len(SIDES), classes * IN_CLASS + 1, WIDTH), (WIDTH,), (classes, WIDTH), (classes,), (classes, IN_CLASS, WIDTH), (classes, IN_CLASS))
         parts, at = [], 0
         for s in shapes:
             parts.append(flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32))
@@ -59,8 +69,9 @@ class Network:
         return cls(*parts)
 
     @classmethod
-    def begun(cls) -> Network:
-        rng, n = np.random.default_rng(5), len(SIDES) * (TOKENS + 1) * WIDTH + WIDTH + CLASSES * (WIDTH + 1) + TOKENS * (WIDTH + 1)
+    def begun(cls, classes: int = CLASSES) -> Network:
+        tokens = classes * IN_CLASS
+        rng, n = np.random.default_rng(5), len(SIDES) * (tokens + 1) * WIDTH + WIDTH + classes * (WIDTH + 1) + tokens * (WIDTH + 1)
         return cls.of(rng.normal(0, 0.1, n))
 
     def log_probs(self, around: np.ndarray, target: np.ndarray, grads: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -82,8 +93,8 @@ class Network:
             d[places, c] += 1
             g_cls, g_cb, dh = d.T @ h, d.sum(0), d @ self.cls
             g_out, g_ob = np.zeros_like(self.out), np.zeros_like(self.out_bias)
-        edge = np.searchsorted(c, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        edge = np.searchsorted(c, np.arange(len(self.cls) + 1))
+        for k in range(len(self.cls)):
             a, b = edge[k], edge[k + 1]
             if a == b:
                 continue
@@ -104,43 +115,67 @@ class Network:
         g_into = np.zeros_like(self.into)
         for s in range(len(SIDES)):
             for j in range(WIDTH):
-                g_into[s, :, j] = np.bincount(around[:, s], dx[:, j], TOKENS + 1)
+                g_into[s, :, j] = np.bincount(around[:, s], dx[:, j], self.into.shape[1])
         return score, [g_into, dx.sum(0), g_cls, g_cb, g_out, g_ob]
 
 
-def places(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The neighbours (places, sides) and the targets of texts of word ids."""
+def places(ids: list[np.ndarray], tokens: int = TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours (places, sides) and the targets of texts of unit ids."""
     far = max(map(abs, SIDES))
-    edge = np.full(far, TOKENS, np.int32)
+    edge = np.full(far, tokens, np.int32)
     line = np.concatenate([edge, *(part for x in ids for part in (x, edge))])
-    at = np.flatnonzero(line < TOKENS)
+    at = np.flatnonzero(line < tokens)
     return np.stack([line[at + s] for s in SIDES], 1), line[at]
 
 
-class Vocabulary(dict):
-    """Word to id: known words by their rank, all others by a hash. Frequent words are dealt out over classes."""
+def classes_for(distinct: int) -> int:
+    """The classes of a network for so many distinct words."""
+    return max(CLASSES, math.ceil(PER_ROOT * math.sqrt(distinct) / IN_CLASS))
+
+
+@dataclass
+class Words:
+    """The most frequent words, the logarithm of each one's share of its unit, and the number of classes."""
+
+    top: list[bytes]
+    share: np.ndarray
+    classes: int
+
+    @property
+    def tokens(self) -> int:
+        return self.classes * IN_CLASS
 
-    def __init__(self, known: list[bytes]):
-        super().__init__((w, self.dealt(r)) for r, w in enumerate(known))
-        self.fixed = len(self)
+    @property
+    def known(self) -> int:
+        """How many words are units of their own."""
+        return self.tokens - self.tokens // SHARING
 
-    @staticmethod
-    def dealt(rank: int) -> int:
-        return rank % CLASSES * IN_CLASS + rank // CLASSES
+
+class Vocabulary(dict):
+    """Word to code: top words by their rank, then the shared units of all others. units and shares are by code.
+    Frequent words are dealt out over classes."""
+
+    def __init__(self, held: Words):
+        super().__init__((w, r) for r, w in enumerate(held.top))
+        self.fixed, self.sharing, self.known = len(self), held.tokens - held.known, held.known
+        rank = [r if r < held.known else held.known + zlib.crc32(w) % self.sharing for r, w in enumerate(held.top)]
+        rank = np.array([*rank, *range(held.known, held.tokens)])
+        self.units = (rank % held.classes * IN_CLASS + rank // held.classes).astype(np.int32)
+        self.shares = np.concatenate((held.share, np.zeros(self.sharing)))
 
     def __missing__(self, word: bytes) -> int:
-        found = self.dealt(KNOWN + zlib.crc32(word) % (TOKENS - KNOWN))
+        found = self.fixed + zlib.crc32(word) % self.sharing
         if len(self) < self.fixed + 1_000_000:
             self[word] = found
         return found
 
-    def ids(self, text: bytes | None) -> np.ndarray:
-        ws = words(text)
+    def codes(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
 
 
-def frequent_words(documents: DataFrame, text_col: str, n: int) -> list[bytes]:
-    """The n most frequent words by counts over all texts; ties by bytes."""
+def word_shares(documents: DataFrame, text_col: str) -> tuple[Words, DataFrame]:
+    """The most frequent words by counts over all texts (ties by bytes), and (word, share) of all other words of
+    the corpus, whatever their number."""
 
     def tally(batch: pa.RecordBatch) -> dict:
         found: Counter = Counter()
@@ -149,8 +184,26 @@ def frequent_words(documents: DataFrame, text_col: str, n: int) -> list[bytes]:
         return {"word": list(found), "n": list(found.values())}
 
     counted = map_arrow(documents.select(F.col(text_col).cast("binary").alias("text")), tally, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)  # a vocabulary's size
-    return [bytes(r.word) for r in top.collect()]
+    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = counted.orderBy(F.desc("n"), "word").limit(TABLE).collect()
+    held = Words([bytes(r.word) for r in top], np.zeros(len(top)), classes_for(counted.count()))
+    sharing = held.tokens - held.known
+    unit = F.crc32("word") % sharing
+    if len(top) == TABLE:
+        last_n, last = top[-1].n, top[-1].word
+        rest = counted.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("word") > F.lit(last))))
+    else:
+        rest = counted.limit(0)
+    rest = rest.select("word", "n", unit.alias("unit"))
+    totals = np.zeros(sharing)
+    for r in rest.groupBy("unit").agg(F.sum("n").alias("n")).collect():  # a row for each shared unit
+        totals[r.unit] += r.n
+    units = np.array([zlib.crc32(w) % sharing for w in held.top[held.known :]], np.int64)
+    times = np.array([r.n for r in top[held.known :]], float)
+    np.add.at(totals, units, times)
+    held.share[held.known :] = np.log(times / totals[units])
+    log_total = F.element_at(F.array(*(F.lit(math.log(max(t, 1.0))) for t in totals.tolist())), F.col("unit").cast("int") + 1)
+    return held, rest.select("word", (F.log("n") - log_total).alias("share"))
 
 
 def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | None]) -> tuple[Network, int]:
@@ -159,7 +212,7 @@ def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | N
     held, size, total = [], 0, 0
 
     def learn() -> None:
-        around, target = places(held)
+        around, target = places(held, network.into.shape[1] - 1)
         for low in range(0, len(target), STEP):
             order = low + np.argsort(target[low : low + STEP], kind="stable")
             _, grads = network.log_probs(around[order], target[order], True)
@@ -169,7 +222,7 @@ def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | N
                 x += RATE * g / np.sqrt(s)
 
     for text in texts:
-        ids = vocabulary.ids(text)
+        ids = vocabulary.units[vocabulary.codes(words(text))]
         if len(ids):
             held.append(ids)
             size += len(ids)
@@ -182,15 +235,14 @@ def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | N
     return network, total
 
 
-def train(documents: DataFrame, text_col: str = "text") -> tuple[list[bytes], np.ndarray | None]:
-    """Known words and parameters, from all texts. Every task trains a copy of one starting network on its whole
-    share; the copies' mean, weighted by words, is the network. Its size is fixed, whatever the input's."""
-    known = frequent_words(documents, text_col, KNOWN)
-    shared = documents.sparkSession.sparkContext.broadcast(known)
+def train(documents: DataFrame, held: Words, text_col: str = "text") -> np.ndarray | None:
+    """Parameters from all texts. Every task trains a copy of one starting network on its whole share; the copies'
+    mean, weighted by words, is the network."""
+    shared = documents.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t for b in batches for t in b.column("text").to_pylist())
-        network, total = _trained(Network.begun(), Vocabulary(shared.value), texts)
+        network, total = _trained(Network.begun(shared.value.classes), Vocabulary(shared.value), texts)
         if total:
             flat = network.flat().astype(float) * total
             rows = np.concatenate((flat, np.zeros(-len(flat) % ROW))).reshape(-1, ROW)
@@ -201,9 +253,9 @@ def train(documents: DataFrame, text_col: str = "text") -> tuple[list[bytes], np
     texts = documents.select(F.col(text_col).cast("binary").alias("text"))
     summed = texts.mapInArrow(run, schema).groupBy("row").agg(*(F.sum(c).alias(c) for c in names[1:])).toPandas()
     if summed.empty:
-        return known, None
+        return None
     summed = summed.sort_values("row")
-    return known, (summed[names[2:]].to_numpy() / summed[["total"]].to_numpy()).ravel()
+    return (summed[names[2:]].to_numpy() / summed[["total"]].to_numpy()).ravel()
 
 
 def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,41 +265,54 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Defined cases: a null text, or one without words, has n_words 0, pseudo_ll 0 and a null mean; repeated
     rows are trained on and scored each; an empty table gives no rows; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents, text_col))
+    held_words, rest = word_shares(documents, text_col)
+    shared = documents.sparkSession.sparkContext.broadcast((held_words, train(documents, held_words, text_col)))
 
     def score(batch: pa.RecordBatch) -> dict:
         if _TASK.get("model") is not shared.value:
-            known, flat = shared.value
-            _TASK.update(model=shared.value, vocabulary=Vocabulary(known), network=None if flat is None else Network.of(flat))
+            top, flat = shared.value
+            _TASK.update(model=shared.value, vocabulary=Vocabulary(top), network=None if flat is None else Network.of(flat))
         vocabulary, network = _TASK["vocabulary"], _TASK["network"]
-        counts, sums, held, size = [], [], [], 0
+        counts, sums, rare, held, size = [], [], [], [], 0
 
         def flush() -> None:
             if not held:
                 return
-            around, target = places(held)
+            codes = np.concatenate(held)
+            around, target = places([vocabulary.units[x] for x in held], network.into.shape[1] - 1)
             got = np.empty(len(target))
             for low in range(0, len(target), PASS):
                 order = low + np.argsort(target[low : low + PASS], kind="stable")
                 got[order] = network.log_probs(around[order], target[order])[0]
+            got += vocabulary.shares[codes]
             ends = np.cumsum(counts[len(sums) :])
             sums.extend(np.diff(np.concatenate(([0.0], np.concatenate(([0.0], np.cumsum(got)))[ends]))).tolist())
             held.clear()
 
         for text in batch.column("text").to_pylist():
-            ids = vocabulary.ids(text)
-            held.append(ids)
-            counts.append(len(ids))
-            size += len(ids)
-            if size >= PASS:
+            ws = words(text)
+            codes = vocabulary.codes(ws)
+            held.append(codes)
+            counts.append(len(ws))
+            rare.append([ws[i] for i in np.flatnonzero(codes >= vocabulary.fixed).tolist()])
+            size += len(ws)
+            if size >= PASS and network is not None:
                 flush()
                 size = 0
-        flush()
-        mean = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
-        return {id_col: batch.column("id"), "n_words": counts, "pseudo_ll": [s if n else 0.0 for s, n in zip(sums, counts, strict=True)], "per_word": mean}
-
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(docs, score, f"`{id_col}` {type_of(documents, id_col)}, n_words long, pseudo_ll double, per_word double")
+        if network is None:
+            sums = [0.0] * len(counts)
+        else:
+            flush()
+        return {"row": batch.column("row"), "id": batch.column("id"), "n_words": counts, "ll": sums, "rare": rare}
+
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    # stored, so that the row numbers are those of one run
+    scored = stored(map_arrow(docs, score, f"row long, id {type_of(documents, id_col)}, n_words long, ll double, rare array<binary>"), "scores")
+    own = scored.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.sum("share").alias("own"))
+    pseudo_ll = F.when(F.col("n_words") > 0, F.col("ll") + F.coalesce("own", F.lit(0.0))).otherwise(0.0)
+    found = scored.drop("rare").join(own, "row", "left").select("id", "n_words", pseudo_ll.alias("pseudo_ll"))
+    mean = F.when(F.col("n_words") > 0, F.col("pseudo_ll") / F.col("n_words"))
+    return found.select(F.col("id").alias(id_col), "n_words", "pseudo_ll", mean.alias("per_word"))
 
 
 _TASK: dict = {}
