@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop recurring lines, and the documents that had nothing else; n_chars follows the text."""
-    found = line_dedup.drop_recurring_lines(docs)
+    found = line_dedup.drop_recurring_lines(docs, least_docs=line_dedup.LEAST_DOCS)
     empty = (F.col("n_dropped") > 0) & (F.trim("text") == "")
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return found.where(~F.coalesce(empty, F.lit(False))).select(*(n_chars if c == "n_chars" else c for c in docs.columns))

@@ -239,6 +239,17 @@ def test_line_dedup_drops_recurring_templates_but_the_first(spark):
     assert line_dedup.drop_recurring_lines(docs(spark)).count() == len(TEXTS)
 
 
+def test_production_drops_a_passage_of_two_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = text_of(60, 70)
+    rows = [(i, f"{text_of(40, 71 + i)}\n{passage}\n{text_of(30, 81 + i)}" if i < 2 else text_of(90, 91)) for i in range(3)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_dropped for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs(spark, rows), str(tmp_path)).collect()}
+    assert kept == {0: rows[0][1], 1: rows[1][1].replace(passage + "\n", ""), 2: rows[2][1]}
+
+
 def test_templates_generalise_words_too():
     leaf = line_dedup.Leaf()
     lines = ["the file named alpha was not found here", "the file named beta was not found here", "the dog ran over the green hill fast"]

@@ -24,6 +24,8 @@ LEADING = 3
 FIELD = "<*>"
 #: A line joins a template if it agrees with it in at least this share of the positions.
 ALIKE = 0.7
+#: Documents that make a line recur, in the query and the pipeline.
+LEAST_DOCS = 2
 #: Distinct lines of a leaf that one task clusters; a larger leaf is dealt out, and its templates are merged.
 LEAF_LINES = 1000
 _VARIABLE = re.compile(r"\d|@|://")

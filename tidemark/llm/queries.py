@@ -38,7 +38,7 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its recurring lines: how many went, and the digest of what stays."""
-    found = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    found = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"), least_docs=line_dedup.LEAST_DOCS)
     return found.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
