@@ -250,6 +250,24 @@ def test_production_drops_a_passage_of_two_documents(spark, tmp_path):
     assert kept == {0: rows[0][1], 1: rows[1][1].replace(passage + "\n", ""), 2: rows[2][1]}
 
 
+def test_passages_inside_longer_lines(spark):
+    parts = [text_of(n, 170 + n).capitalize() + "." for n in (11, 14, 17, 19)]
+    own = [[text_of(9 + i, 200 + 10 * i + k).capitalize() + "? " for k in range(3)] for i in range(4)]
+    passage, short = " ".join(parts), "Not a passage at all. "
+    rows = [
+        (0, f"{own[0][0]}{passage} {short}{own[0][1]}"),  # the first copy stays
+        (1, f"{own[1][0]}{own[1][1]}{passage} {short}{own[1][2]}\nend"),
+        (2, f"{own[2][0]}\n{parts[0]} {parts[1]}\nOk.\n{parts[2]} {parts[3]} {own[2][1]}"),
+        (3, f"{own[3][0]}{short}{own[3][1]}{parts[0]} {own[3][2]}"),  # too little of it
+    ]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs(spark, rows), least_docs=2).collect()}
+    assert {i: r.text for i, r in got.items()} == {
+        0: rows[0][1], 1: f"{own[1][0]}{own[1][1]}{own[1][2]}\nend",  # the short sentence next to it recurs too
+        2: f"{own[2][0]}\nOk.\n{own[2][1]}", 3: rows[3][1],
+    }
+    assert {i: r.n_dropped for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
 def test_templates_generalise_words_too():
     leaf = line_dedup.Leaf()
     lines = ["the file named alpha was not found here", "the file named beta was not found here", "the dog ran over the green hill fast"]

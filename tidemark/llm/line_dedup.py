@@ -4,6 +4,10 @@ A line's leaf is found by a fixed number of steps: its number of tokens, its LEA
 token, where a token that holds a digit, an "@" or "://" is a variable field. In a leaf, lines that agree in most
 positions share a template; the other positions are variable too. A template in enough documents is
 boilerplate: its first line in the corpus stays, all others go.
+
+The sentences of a line pass through the same tree, so that a passage is found inside longer lines, or where it is
+broken into other lines. A recurring sentence goes only as a part of a passage: a run of recurring sentences and
+lines of at least PASSAGE tokens.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bitmap, in_bitmap, map_arrow, row_key, stored, type_of
@@ -28,6 +32,11 @@ ALIKE = 0.7
 LEAST_DOCS = 2
 #: Distinct lines of a leaf that one task clusters; a larger leaf is dealt out, and its templates are merged.
 LEAF_LINES = 1000
+#: Tokens of a run of recurring sentences that goes from the lines it stands in.
+PASSAGE = 50
+#: Where a line is cut into sentences; nothing is taken away. Java reads it as Python does.
+SENTENCES = r"(?<=[.!?][ \t])|(?<=[。！？])"
+_SENTENCES = re.compile(SENTENCES)
 _VARIABLE = re.compile(r"\d|@|://")
 
 
@@ -68,15 +77,36 @@ class Leaf:
         return best
 
 
+def _units(text: str | None, least_tokens: int) -> Iterator[tuple[int, int, bool, int, int, list[str]]]:
+    """(line_no, unit, whole, seq, sentences, tokens) of every line and sentence of least_tokens: unit -1 is a line
+    of several sentences, other units are sentences by number; whole, whether the unit is a line; seq, how many
+    sentences stand before it in the text."""
+    seq = 0
+    for n, line in enumerate((text or "").split("\n")):
+        tokens = line.split()
+        if len(tokens) < least_tokens:
+            continue
+        cut = _SENTENCES.split(line)
+        if len(cut) == 1:
+            yield n, 0, True, seq, 1, tokens
+            seq += 1
+            continue
+        parts = [(k, ts) for k, ts in enumerate(map(str.split, cut)) if len(ts) >= least_tokens]
+        yield n, -1, True, seq, len(parts), tokens
+        for k, ts in parts:
+            yield n, k, False, seq, 1, ts
+            seq += 1
+
+
 def _lines(documents: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int) -> DataFrame:
-    """(key, doc_id, line_no, leaf, line, hash): the lines of leaves that enough documents have, or nearly
-    all of them: the leaves come as a bitmap of fixed size. Lines of fewer tokens never count."""
+    """(key, doc_id, line_no, unit, whole, seq, sentences, tokens, leaf, line, hash): the lines and sentences (see
+    _units) of leaves that enough documents have, or nearly all of them: the leaves come as a bitmap of fixed size.
+    Those of fewer tokens never count."""
 
     def tally(batch: pa.RecordBatch) -> dict:
         docs: Counter = Counter()
         for text in batch.column("text").to_pylist():
-            split = (line.split() for line in (text or "").split("\n"))
-            docs.update({leaf_of(ts, False) for ts in split if len(ts) >= least_tokens})
+            docs.update({leaf_of(u[-1], False) for u in _units(text, least_tokens)})
         return {"leaf": list(docs), "docs": list(docs.values())}
 
     docs = documents.select(F.col(text_col).alias("text"))
@@ -86,22 +116,22 @@ def _lines(documents: DataFrame, id_col: str, text_col: str, least_tokens: int,
     def pick(batch: pa.RecordBatch) -> dict:
         rows, at, leaves = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            for n, line in enumerate((text or "").split("\n")):
-                if len(ts := line.split()) >= least_tokens:
-                    at.append((i, n, line))
-                    leaves.append(leaf_of(ts, False))
+            for u in _units(text, least_tokens):
+                at.append((i, *u))
+                leaves.append(leaf_of(u[-1], False))
         keep = np.flatnonzero(in_bitmap(shared.value, np.array(leaves, np.int64).view(np.uint64)))
         for j in keep.tolist():
-            i, n, line = at[j]
-            line = " ".join(masked(line))
-            rows.append((i, n, leaves[j], line, _hash(line)))
+            *place, tokens = at[j]
+            line = " ".join(FIELD if _VARIABLE.search(t) else t for t in tokens)
+            rows.append((*place, len(tokens), leaves[j], line, _hash(line)))
         take = pa.array([r[0] for r in rows], pa.int64())
         return {"key": batch.column("key").take(take), "doc_id": batch.column("doc_id").take(take)} | {
-            c: [r[k] for r in rows] for k, c in enumerate(("", "line_no", "leaf", "line", "hash")) if c
+            c: [r[k] for r in rows] for k, c in enumerate(("", "line_no", "unit", "whole", "seq", "sentences", "tokens", "leaf", "line", "hash")) if c
         }
 
     keyed = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(keyed, pick, f"key string, doc_id {type_of(documents, id_col)}, line_no int, leaf long, line string, hash long")
+    schema = "line_no int, unit int, whole boolean, seq int, sentences int, tokens int, leaf long, line string, hash long"
+    return map_arrow(keyed, pick, f"key string, doc_id {type_of(documents, id_col)}, {schema}")
 
 
 def _clustered(lines: DataFrame) -> DataFrame:
@@ -133,7 +163,8 @@ def _clustered(lines: DataFrame) -> DataFrame:
 
 
 def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_tokens: int = 3) -> DataFrame:
-    """(key, line_no, template): the lines to drop, by row_key and number from 0."""
+    """(key, line_no, unit, whole, template): the lines to drop, by row_key and number from 0, where whole is true, and the
+    sentences to drop from other lines, by their number in the line."""
     lines = stored(_lines(documents, id_col, text_col, least_tokens, least_docs), "lines")
     distinct = lines.groupBy("leaf", "hash").agg(F.first("line").alias("line"))
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
@@ -143,30 +174,54 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     again = local.select("leaf", F.lit(0).cast("long").alias("part"), F.col("template").alias("line"), F.col("template_id").alias("hash")).distinct()
     merged = _clustered(again).select("leaf", F.col("hash").alias("template_id"), F.col("template_id").alias("final"), F.col("template").alias("final_template"))
     of = local.select("leaf", "hash", "template_id").join(merged, ["leaf", "template_id"]).select("leaf", "hash", "final", "final_template")
-    placed = stored(lines.select("key", "doc_id", "line_no", "leaf", "hash").join(of, ["leaf", "hash"]), "placed")
-    by_doc = placed.groupBy("final", "key", "doc_id").agg(F.min("line_no").alias("line_no"))
-    place = F.struct(F.col("doc_id"), F.col("key"), F.col("line_no"))
+    placed = stored(lines.drop("line").join(of, ["leaf", "hash"]), "placed")
+    gone = stored(_repeated(placed.where("whole"), least_docs), "gone")
+    # a sentence whose line goes is no copy that stays
+    rest = placed.where("unit >= 0").join(gone.select("key", "line_no"), ["key", "line_no"], "left_anti")
+    of_text = Window.partitionBy("key").orderBy("seq", F.desc("sentences"))
+    ended = F.max(F.col("seq") + F.col("sentences")).over(of_text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("seq") > ended, 1).otherwise(0)
+    runs = gone.union(_repeated(rest, least_docs)).withColumn("apart", apart).withColumn("run", F.sum("apart").over(of_text))
+    long = runs.withColumn("all", F.sum("tokens").over(Window.partitionBy("key", "run")))
+    return long.where(F.col("whole_line") | (F.col("all") >= PASSAGE)).select("key", "line_no", "unit", F.col("whole_line").alias("whole"), F.col("final_template").alias("template")).distinct()
+
+
+def _repeated(placed: DataFrame, least_docs: int) -> DataFrame:
+    """The places of templates in at least least_docs documents, but for the first place of each."""
+    by_doc = placed.groupBy("final", "key", "doc_id").agg(F.min(F.struct("line_no", "unit")).alias("at"))
+    place = F.struct("doc_id", "key", "at")
     known = by_doc.groupBy("final").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= least_docs)
-    rest = placed.join(known, "final").where((F.col("key") != F.col("first.key")) | (F.col("line_no") != F.col("first.line_no")))
-    return rest.select("key", "line_no", F.col("final_template").alias("template")).distinct()
+    rest = placed.join(known, "final").where((F.col("key") != F.col("first.key")) | (F.struct("line_no", "unit") != F.col("first.at")))
+    return rest.select("key", "line_no", "unit", F.col("whole").alias("whole_line"), "seq", "sentences", "tokens", "final_template")
 
 
 def drop_recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_tokens: int = 3) -> DataFrame:
-    """documents with text_col without its recurring lines, and two more columns: n_lines (before) and
-    n_dropped.
-
-    A template recurs if at least least_docs rows have it. Lines end at "\\n"; lines of fewer than
-    least_tokens tokens stay. Defined cases: a null text stays null with no lines, an empty text is one
-    empty line; of equal ids the first line is by text hash; exactly repeated rows are one document (so they
-    all keep or lose the same lines); an empty table gives no rows; other columns stay as they are.
+    """documents with text_col without its recurring lines and passages, and two more columns: n_lines (before) and
+    n_dropped (lines that went or lost sentences).
+
+    A template recurs if at least least_docs rows have it. Lines end at "\\n"; lines and sentences of fewer than
+    least_tokens tokens stay, unless a line has nothing else left. What stays of a line is unchanged. Defined cases:
+    a null text stays null with no lines, an empty text is one empty line; of equal ids the first line is by text
+    hash; exactly repeated rows are one document (so they all keep or lose the same lines); an empty table gives no
+    rows; other columns stay as they are.
     """
     gone = recurring_lines(documents, id_col, text_col, least_docs, least_tokens)
-    gone = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))  # at most a text's lines
+    whole = F.collect_set(F.when(F.col("whole"), F.col("line_no"))).alias("__gone")  # at most a text's lines
+    cut = F.when(~F.col("whole"), F.struct("line_no", "unit"))
+    gone = gone.groupBy(F.col("key").alias("__key")).agg(whole, F.collect_set(cut).alias("__cut"))
     marked = documents.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+
+    def rest_of(line, i):
+        mine = F.transform(F.filter("__cut", lambda c: c["line_no"] == i), lambda c: c["unit"])
+        left = F.array_join(F.filter(F.split(line, SENTENCES, -1), lambda x, k: ~F.array_contains(mine, k)), "")
+        emptied = (F.size(mine) > 0) & (F.trim(left) == "")
+        return F.when(F.array_contains("__gone", i) | emptied, F.lit(None)).when(F.size(mine) > 0, left).otherwise(line)
+
+    kept = F.array_join(F.transform(lines, rest_of), "\n")  # leaves out nulls
+    touched = F.array_union("__gone", F.transform("__cut", lambda c: c["line_no"]))
     return marked.select(
         *(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(touched), F.lit(0)).cast("long").alias("n_dropped"),
     )
