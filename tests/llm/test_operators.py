@@ -268,6 +268,29 @@ def test_passages_inside_longer_lines(spark):
     assert {i: r.n_dropped for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 0}
 
 
+def test_rows_of_fields_recur_only_if_equal(spark):
+    table = [[f"{i}{k}.5 {i * k + 7} 2{k}% {i}-{k} 8{i}" for k in range(3)] for i in range(4)]
+    rows = [(i, "\n".join([*table[i], "1.5 2.5 3.5 4.5 5.5"])) for i in range(4)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: "\n".join(table[i]) for i in range(1, 4)}
+
+
+def test_a_large_leaf_is_clustered_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 10)
+    r = random.Random(12)
+    lines = {" ".join(["one", "two", "three", *r.sample(VOCABULARY, 8), "end"]) for _ in range(100)}
+    alike = [" ".join(["one", "two", "three", *(w if k == j % 2 * 7 else x for k, x in enumerate("the same words in the same old order".split())), "end"]) for j, w in enumerate(VOCABULARY[:8])]
+    texts = [*sorted(lines), *alike]
+    leaf = line_dedup.leaf_of(texts[0].split())
+    frame = spark.createDataFrame([(leaf, i, t) for i, t in enumerate(texts)], "leaf long, hash long, line string")
+    for share in line_dedup.DEALT_BY:
+        parts = line_dedup._dealt(frame.selectExpr("*", "line AS rep"), share).groupBy("leaf", "part").count().collect()
+        assert sum(p["count"] for p in parts) == len(texts) and max(p["count"] for p in parts) <= 20
+    got = {x.hash: x.final for x in line_dedup._templates(frame).collect()}
+    assert len(got) == len(texts) and len({got[i] for i in range(len(lines), len(texts))}) == 1
+    assert len(set(got.values())) > 90
+
+
 def test_templates_generalise_words_too():
     leaf = line_dedup.Leaf()
     lines = ["the file named alpha was not found here", "the file named beta was not found here", "the dog ran over the green hill fast"]

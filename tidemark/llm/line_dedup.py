@@ -30,8 +30,10 @@ FIELD = "<*>"
 ALIKE = 0.7
 #: Documents that make a line recur, in the query and the pipeline.
 LEAST_DOCS = 2
-#: Distinct lines of a leaf that one task clusters; a larger leaf is dealt out, and its templates are merged.
+#: Distinct lines of a leaf that one task clusters. A larger leaf is dealt out by two of its tokens, then its
+#: templates by two others: of a line's inner tokens, those at these shares of the way from the first to the last.
 LEAF_LINES = 1000
+DEALT_BY = (0.0, 1.0, 0.5, 0.25, 0.75)
 #: Tokens of a run of recurring sentences that goes from the lines it stands in.
 PASSAGE = 50
 #: Where a line is cut into sentences; nothing is taken away. Java reads it as Python does.
@@ -99,7 +101,7 @@ def _units(text: str | None, least_tokens: int) -> Iterator[tuple[int, int, bool
 
 
 def _lines(documents: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int) -> DataFrame:
-    """(key, doc_id, line_no, unit, whole, seq, sentences, tokens, leaf, line, hash): the lines and sentences (see
+    """(key, doc_id, line_no, unit, whole, seq, sentences, tokens, leaf, line, hash, exact): the lines and sentences (see
     _units) of leaves that enough documents have, or nearly all of them: the leaves come as a bitmap of fixed size.
     Those of fewer tokens never count."""
 
@@ -123,58 +125,86 @@ def _lines(documents: DataFrame, id_col: str, text_col: str, least_tokens: int,
         for j in keep.tolist():
             *place, tokens = at[j]
             line = " ".join(FIELD if _VARIABLE.search(t) else t for t in tokens)
-            rows.append((*place, len(tokens), leaves[j], line, _hash(line)))
+            rows.append((*place, len(tokens), leaves[j], line, _hash(line), _hash(" ".join(tokens))))
         take = pa.array([r[0] for r in rows], pa.int64())
         return {"key": batch.column("key").take(take), "doc_id": batch.column("doc_id").take(take)} | {
-            c: [r[k] for r in rows] for k, c in enumerate(("", "line_no", "unit", "whole", "seq", "sentences", "tokens", "leaf", "line", "hash")) if c
+            c: [r[k] for r in rows] for k, c in enumerate(("", "line_no", "unit", "whole", "seq", "sentences", "tokens", "leaf", "line", "hash", "exact")) if c
         }
 
     keyed = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "line_no int, unit int, whole boolean, seq int, sentences int, tokens int, leaf long, line string, hash long"
+    schema = "line_no int, unit int, whole boolean, seq int, sentences int, tokens int, leaf long, line string, hash long, exact long"
     return map_arrow(keyed, pick, f"key string, doc_id {type_of(documents, id_col)}, {schema}")
 
 
 def _clustered(lines: DataFrame) -> DataFrame:
-    """Lines (leaf, part, line, hash), dealt out and sorted by leaf and part, to (leaf, hash, template_id,
-    template). A task holds the lines of one part of one leaf at a time."""
+    """Lines (leaf, part, line, hash, rep), dealt out and sorted by leaf and part, to (leaf, hash, template_id,
+    template, rep), rep that of the template's first line. A task holds the lines of one part of one leaf at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, held = None, Leaf(), []
+        now, leaf, held, reps = None, Leaf(), [], []
 
         def out() -> pa.RecordBatch:
             ids = [_hash(f"{now[0]} {now[1]} {' '.join(t)}") for t in leaf.templates]
             texts = [" ".join(t) for t in leaf.templates]
-            rows = {"leaf": [now[0]] * len(held), "hash": [h for h, _ in held], "template_id": [ids[i] for _, i in held], "template": [texts[i] for _, i in held]}
+            rows = {"leaf": [now[0]] * len(held), "hash": [h for h, _ in held], "template_id": [ids[i] for _, i in held], "template": [texts[i] for _, i in held], "rep": [reps[i] for _, i in held]}
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
-        schema = pa.schema([("leaf", pa.int64()), ("hash", pa.int64()), ("template_id", pa.int64()), ("template", pa.string())])
+        schema = pa.schema([("leaf", pa.int64()), ("hash", pa.int64()), ("template_id", pa.int64()), ("template", pa.string()), ("rep", pa.string())])
         for batch in batches:
-            for at, part, line, h in zip(*(batch.column(c).to_pylist() for c in ("leaf", "part", "line", "hash")), strict=True):
+            for at, part, line, h, rep in zip(*(batch.column(c).to_pylist() for c in ("leaf", "part", "line", "hash", "rep")), strict=True):
                 if (at, part) != now:
                     if held:
                         yield out()
-                    now, leaf, held = (at, part), Leaf(), []
+                    now, leaf, held, reps = (at, part), Leaf(), [], []
                 held.append((h, leaf.add(line.split(" "))))
+                if len(reps) < len(leaf.templates):
+                    reps.append(rep)
         if held:
             yield out()
 
     dealt = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
-    return dealt.select("leaf", "part", "line", "hash").mapInArrow(run, "leaf long, hash long, template_id long, template string")
+    return dealt.select("leaf", "part", "line", "hash", "rep").mapInArrow(run, "leaf long, hash long, template_id long, template string, rep string")
+
+
+def _dealt(lines: DataFrame, share: float) -> DataFrame:
+    """(leaf, part, line, hash, rep) of lines (leaf, line, hash, rep): a leaf of at most LEAF_LINES is one part; the parts of
+    a larger one hold no more than about that, and its lines meet by two tokens of rep at a share of their length."""
+    sizes = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "sizes").where(F.col("n") > LEAF_LINES)
+    tokens = F.split("rep", " ")
+    at = F.lit(LEADING) + F.floor(F.greatest(F.size(tokens) - LEADING - 3, F.lit(0)) * share).cast("int")
+    by = F.when(F.col("n").isNotNull(), F.xxhash64(F.get(tokens, at), F.get(tokens, at + 1))).otherwise(F.lit(0).cast("long"))
+    lines = lines.join(sizes, "leaf", "left").withColumn("by", by)
+    crowded = lines.where("n is not null").groupBy("leaf", "by").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF_LINES)
+    split = F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("line"), F.ceil(F.col("m") / LEAF_LINES))).otherwise(F.lit(0).cast("long"))
+    return lines.join(crowded, ["leaf", "by"], "left").select("leaf", F.xxhash64("by", split).alias("part"), "line", "hash", "rep", F.col("n").isNotNull().alias("large"))
+
+
+def _templates(lines: DataFrame) -> DataFrame:
+    """(leaf, hash, final, final_template) of the distinct lines. A leaf of more than LEAF_LINES goes through rounds:
+    its parts' templates are dealt again by other tokens, until they fit into one part or the rounds end."""
+    distinct = lines.groupBy("leaf", "hash").agg(F.first("line").alias("line")).withColumn("rep", F.col("line"))
+    dealt = stored(_dealt(distinct, DEALT_BY[0]), "dealt")
+    of = stored(_clustered(dealt), "templates")
+    large = dealt.where("large").select("leaf").distinct()
+    for share in DEALT_BY[1:]:
+        left = of.join(large, "leaf", "left_semi").select("leaf", F.col("template").alias("line"), F.col("template_id").alias("hash"), "rep").distinct()
+        dealt = stored(_dealt(left, share), "dealt")
+        if dealt.isEmpty():
+            break
+        merged = _clustered(dealt).select("leaf", F.col("hash").alias("template_id"), F.col("template_id").alias("next"), F.col("template").alias("next_template"), F.col("rep").alias("next_rep"))
+        joined = of.join(merged, ["leaf", "template_id"], "left")
+        of = stored(joined.select("leaf", "hash", F.coalesce("next", "template_id").alias("template_id"), F.coalesce("next_template", "template").alias("template"), F.coalesce("next_rep", "rep").alias("rep")), "templates")
+        large = dealt.where("large").select("leaf").distinct()
+    return of.select("leaf", "hash", F.col("template_id").alias("final"), F.col("template").alias("final_template"))
 
 
 def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_tokens: int = 3) -> DataFrame:
     """(key, line_no, unit, whole, template): the lines to drop, by row_key and number from 0, where whole is true, and the
     sentences to drop from other lines, by their number in the line."""
     lines = stored(_lines(documents, id_col, text_col, least_tokens, least_docs), "lines")
-    distinct = lines.groupBy("leaf", "hash").agg(F.first("line").alias("line"))
-    sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / LEAF_LINES)
-    dealt = distinct.join(sizes, "leaf").select("leaf", "line", "hash", F.pmod("hash", parts).alias("part"))
-    local = stored(_clustered(dealt), "templates")
-    again = local.select("leaf", F.lit(0).cast("long").alias("part"), F.col("template").alias("line"), F.col("template_id").alias("hash")).distinct()
-    merged = _clustered(again).select("leaf", F.col("hash").alias("template_id"), F.col("template_id").alias("final"), F.col("template").alias("final_template"))
-    of = local.select("leaf", "hash", "template_id").join(merged, ["leaf", "template_id"]).select("leaf", "hash", "final", "final_template")
-    placed = stored(lines.drop("line").join(of, ["leaf", "hash"]), "placed")
+    kept = F.size(F.filter(F.split("final_template", " "), lambda t: t != FIELD))
+    final = F.when(2 * kept >= F.col("tokens"), F.col("final")).otherwise(F.xxhash64("leaf", "exact"))
+    placed = stored(lines.drop("line").join(_templates(lines), ["leaf", "hash"]).withColumn("final", final), "placed")
     gone = stored(_repeated(placed.where("whole"), least_docs), "gone")
     # a sentence whose line goes is no copy that stays
     rest = placed.where("unit >= 0").join(gone.select("key", "line_no"), ["key", "line_no"], "left_anti")
@@ -187,7 +217,7 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _repeated(placed: DataFrame, least_docs: int) -> DataFrame:
-    """The places of templates in at least least_docs documents, but for the first place of each."""
+    """The places of templates (or of equal lines, where a template keeps less than half its tokens) in at least least_docs documents, but for the first place of each."""
     by_doc = placed.groupBy("final", "key", "doc_id").agg(F.min(F.struct("line_no", "unit")).alias("at"))
     place = F.struct("doc_id", "key", "at")
     known = by_doc.groupBy("final").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= least_docs)
@@ -199,7 +229,8 @@ def drop_recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     """documents with text_col without its recurring lines and passages, and two more columns: n_lines (before) and
     n_dropped (lines that went or lost sentences).
 
-    A template recurs if at least least_docs rows have it. Lines end at "\\n"; lines and sentences of fewer than
+    A template recurs if at least least_docs rows have it; one that keeps less than half its tokens is none, and
+    only its equal lines recur. Lines end at "\\n"; lines and sentences of fewer than
     least_tokens tokens stay, unless a line has nothing else left. What stays of a line is unchanged. Defined cases:
     a null text stays null with no lines, an empty text is one empty line; of equal ids the first line is by text
     hash; exactly repeated rows are one document (so they all keep or lose the same lines); an empty table gives no
