@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontam, lang_crf, line_dedup, minhash, packing
 from tidemark.llm.shared import stored
 
-#: A text whose likeliest language has a smaller mean marginal is no text in a known language.
-LEAST_SCORE = 0.5
+#: A text whose words' largest marginals have a smaller mean is no text in known languages, be they one or several.
+LEAST_CONFIDENCE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the texts in a language that the labels know; lang stays as it was."""
+    """Keep the texts in languages that the labels know, mixed ones too; lang stays as it was."""
     found = lang_crf.identify(docs, docs)
-    kept = (F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    kept = (F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE)
     return found.where(kept).select(docs.columns)
 
 

@@ -336,6 +336,24 @@ def test_language_cases(spark, sf_dir):
     assert lang_crf.identify(docs(spark, []), labelled).count() == 0
 
 
+def test_mixed_languages_pass_the_stage(spark, sf_dir):
+    import corpus_pipeline
+
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    by = {}
+    for r in labelled.where("length(text) > 2000").orderBy("doc_id").collect():
+        by.setdefault(r.lang, r.text.split())
+    langs = sorted(by)[:3]
+    n, start = 10**6, 0
+    mixed = [(n, " ".join(w for lang, k in zip(langs, (40, 30, 30), strict=True) for w in by[lang][:k]))]
+    mixed += [(n + 1, " ".join(by[langs[start]][:50] + by[langs[start + 1]][:50] + by[langs[2]][:10]))]
+    mixed += [(n + 2, " ".join(w for k in range(0, 90, 10) for w in by[langs[k // 10 % 3]][k : k + 10]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in mixed], labelled.schema)
+    assert all(r.score < 0.5 <= r.confidence for r in lang_crf.identify(frame, labelled).collect())
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, labelled.unionByName(frame), sf_dir).collect()}
+    assert kept >= {i for i, _ in mixed}
+
+
 # 6
 
 

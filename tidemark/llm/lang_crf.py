@@ -239,12 +239,12 @@ def identify(
     documents: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = 400, per_document: int = 3,
 ) -> DataFrame:
-    """documents with lang_pred, score (the mean marginal of lang_pred over the words, 0 to 1) and shares
-    (the mean marginals by language).
+    """documents with lang_pred, score (the mean marginal of lang_pred over the words, 0 to 1), shares (the mean
+    marginals by language) and confidence (the mean of each word's largest marginal).
 
     The model is fitted on a bounded sample of `labelled` (see training_segments); text and lang_col are all
     it sees. Whole texts are labelled, word by word. Defined cases: a null text, or one without letters, is
-    UNKNOWN with score 0 and empty shares; so is every text if nothing is labelled; ties go to the first
+    UNKNOWN with score and confidence 0 and empty shares; so is every text if nothing is labelled; ties go to the first
     language by name; repeated rows are labelled each; all columns stay as they are. Narrow: no shuffle.
     """
     segments = training_segments(labelled, id_col, text_col, lang_col, per_language, per_document)
@@ -255,10 +255,10 @@ def identify(
     def label(batch: pa.RecordBatch) -> dict:
         found = _label(batch.column(text_col).to_pylist(), shared.value)
         out = {c: batch.column(i) for i, c in enumerate(names)}
-        return out | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "shares": [x[2] for x in found]}
+        return out | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "shares": [x[2] for x in found], "confidence": [x[3] for x in found]}
 
     schema = ", ".join(f"`{c}` {type_of(documents, c)}" for c in names)
-    return map_arrow(documents, label, f"{schema}, lang_pred string, score double, shares map<string,double>")
+    return map_arrow(documents, label, f"{schema}, lang_pred string, score double, shares map<string,double>, confidence double")
 
 
 class _Scores:
@@ -281,18 +281,20 @@ class _Scores:
 _SCORES = _Scores()
 
 
-def _label(texts: list[str | None], model: Model | None) -> list[tuple[str, float, dict[str, float]]]:
-    out = [(UNKNOWN, 0.0, {})] * len(texts)
+def _label(texts: list[str | None], model: Model | None) -> list[tuple[str, float, dict[str, float], float]]:
+    out = [(UNKNOWN, 0.0, {}, 0.0)] * len(texts)
     pending: list[tuple[int, list[str]]] = []
 
     def flush():
         if pending:
             score = _SCORES.of(model, [ws for _, ws in pending])
             lengths = np.array([len(ws) for _, ws in pending])
-            mean = np.add.reduceat(marginals(score, lengths, model.transition, model.start), np.cumsum(lengths) - lengths) / lengths[:, None]
-            for (i, _), m in zip(pending, mean, strict=True):
+            each, starts = marginals(score, lengths, model.transition, model.start), np.cumsum(lengths) - lengths
+            mean = np.add.reduceat(each, starts) / lengths[:, None]
+            sure = np.add.reduceat(each.max(1), starts) / lengths
+            for (i, _), m, c in zip(pending, mean, sure, strict=True):
                 top = int(np.argmax(m))
-                out[i] = (model.labels[top], float(min(1.0, m[top])), dict(zip(model.labels, m.tolist(), strict=True)))
+                out[i] = (model.labels[top], float(min(1.0, m[top])), dict(zip(model.labels, m.tolist(), strict=True)), float(min(1.0, c)))
             pending.clear()
 
     held = 0
