@@ -131,6 +131,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(sorted(x) for x in by.values()) == brute_classes(rows)
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    rows = []
+    for g in range(16):
+        base, line = text_of(500, 300 + g), text_of(15, 400 + g)
+        rows += [(10 * g + k, f"{base} {(line + ' ') * times}") for k, times in enumerate((1, 50, 120, 7))]
+    by = {}
+    for r in minhash.near_duplicate_classes(docs(spark, rows)).collect():
+        by.setdefault(r.root, []).append(repr(r.doc_id))
+    assert sorted(sorted(x) for x in by.values()) == brute_classes(rows)
+    assert len(by) == 16
+    sig = minhash._scan(docs(spark, rows), "doc_id", "text", 5).collect()
+    low = {r.doc_id: np.frombuffer(r.sketch, np.uint8) for r in sig}
+    assert all((low[10 * g] == low[10 * g + k]).sum() >= minhash.AGREE for g in range(16) for k in (1, 2, 3))
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     kept = minhash.deduplicate(docs(spark))
     assert kept.columns == docs(spark).columns

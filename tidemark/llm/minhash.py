@@ -3,8 +3,9 @@
 Every distinct shingle of a text, weighted by how often it stands there, is a Poisson process whose
 points fall on the registers of the signature at random; a register keeps the shingle of its earliest
 point. Two registers agree with the probability Jaccard similarity of the texts. A process stops once its next
-point comes later than the latest register. Bands of registers give candidates; the exact Jaccard
-similarity of the distinct shingles decides.
+point comes later than the latest register. A second signature weights every distinct shingle alike, so its
+registers agree with the Jaccard similarity of the distinct shingles. Bands of both give candidates; the exact
+Jaccard similarity of the distinct shingles decides.
 """
 
 from __future__ import annotations
@@ -76,17 +77,22 @@ def _node(text: bytes | None, ws: list[bytes], key: str) -> bytes:
 
 
 def _scan(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Per row: key, doc_id, node, number of distinct shingles, band hashes, a byte of each register."""
+    """Per row: key, doc_id, node, number of distinct shingles, band hashes and a byte of each register of equal
+    weights, and the band hashes of the shingles' counts, where a shingle repeats."""
 
     def sign(batch: pa.RecordBatch) -> dict:
-        nodes, counts, bands, sketches, pending, held = [], [], [], [], [], 0
+        nodes, counts, bands, sketches, counted, pending, held = [], [], [], [], [], [], 0
 
         def flush():
             if pending:
-                sig = signatures([p[1] for p in pending], [p[2] for p in pending], BANDS * ROWS)
+                sig = signatures([p[1] for p in pending], [np.ones(len(p[1])) for p in pending], BANDS * ROWS)
                 low = (mixed(sig) & np.uint64(255)).astype(np.uint8)
                 for (i, *_), row, sketch in zip(pending, band_hashes(sig, BANDS, ROWS).view(np.int64), low, strict=True):
                     bands[i], sketches[i] = row, sketch.tobytes()
+                if repeating := [p for p in pending if p[2].max() > 1]:
+                    sig = signatures([p[1] for p in repeating], [p[2] for p in repeating], BANDS * ROWS)
+                    for (i, *_), row in zip(repeating, band_hashes(sig, BANDS, ROWS).view(np.int64), strict=True):
+                        counted[i] = row
                 pending.clear()
 
         for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
@@ -96,16 +102,17 @@ def _scan(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             counts.append(len(found))
             bands.append([])
             sketches.append(b"")
+            counted.append([])
             if len(found):
                 pending.append((len(bands) - 1, found, times))
                 if (held := held + len(found)) > _BLOCK:
                     flush()
                     held = 0
         flush()
-        return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "node": nodes, "n": counts, "bands": bands, "sketch": sketches}
+        return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "node": nodes, "n": counts, "bands": bands, "sketch": sketches, "counted": counted}
 
     docs = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(docs, sign, f"key string, doc_id {type_of(documents, id_col)}, node binary, n int, bands array<bigint>, sketch binary")
+    return map_arrow(docs, sign, f"key string, doc_id {type_of(documents, id_col)}, node binary, n int, bands array<bigint>, sketch binary, counted array<bigint>")
 
 
 def _shingle_sets(documents: DataFrame, id_col: str, text_col: str, size: int, keys: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def _across(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between the members of a block that belong to different classes so far.
 
     rows: block, minor (of two sides, which are compared), node, root, band (of the bucket), bands, sketch,
-    sh. A pair that shares several buckets is compared in that of its first shared band only. Members that
+    sh. A pair that shares several buckets of equal weights is compared in that of its first shared band only. Members that
     links found here already join are not compared again, so alike members cost few comparisons.
     """
 
@@ -212,8 +219,11 @@ def near_duplicate_classes(
     other columns are ignored.
     """
     scan = stored(_scan(documents, id_col, text_col, size), "signatures")
-    nodes = scan.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")), F.min("key").alias("key"))
+    nodes = scan.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch", "counted")), F.min("key").alias("key"))
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "b"))
+    # a text that repeats no shingle has one signature for both
+    counted = nodes.select("node", "n", "bands", F.posexplode("counted").alias("band", "b"))
+    rows = rows.union(counted.where(F.col("b") != F.get("bands", F.col("band"))).select("node", "n", "band", "b"))
     low = F.min(F.struct("node", "n")).alias("low")
     shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size"), low).where("size > 1")
     members = stored(rows.join(shared, "b").select("b", "band", "size", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "buckets")
