@@ -244,7 +244,7 @@ def test_line_dedup_drops_recurring_templates_but_the_first(spark):
     rows = [(i, f"{own[i]}\nPosted by someone on 2024-01-{10 + i} at home\nOk.\n\nAll rights reserved.") for i in range(6)]
     rows += [(20, None), (21, ""), (22, "twice over this line\ntwice over this line"), (23, "twice over this line"), (24, "unique line of text")]
     df = docs(spark, rows)
-    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df, least_docs=3).collect()}
     assert got[0].text == rows[0][1] and got[0].n_dropped == 0
     for i in range(1, 6):
         assert got[i].text == f"{own[i]}\nOk.\n" and (got[i].n_lines, got[i].n_dropped) == (5, 2)
@@ -290,27 +290,107 @@ def test_rows_of_fields_recur_only_if_equal(spark):
     assert got == {0: rows[0][1]} | {i: "\n".join(table[i]) for i in range(1, 4)}
 
 
-def test_a_large_leaf_is_clustered_in_bounded_parts(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LEAF_LINES", 10)
+TOKEN = re.compile("[\u3000-\ud7ff\uf000-\uffff]|[^ \t\r\v\f\u3000-\ud7ff\uf000-\uffff]+")
+
+
+def old_units(text):
+    """(line, begin, end in the line, tokens) of every unit of three tokens and more."""
+    out = []
+    for n, line in enumerate(text.split("\n")):
+        at = 0
+        for part in re.split(r"(?<=[.!?][ \t])|(?<=[。！？])", line):
+            if len(tokens := TOKEN.findall(part)) >= 3:
+                out.append((n, at, at + len(part), tokens))
+            at += len(part)
+    return out
+
+
+def old_line_dedup(rows, least_docs=2):
+    """Kept text and touched lines by place in rows, which must have different keys."""
+    masked = lambda ts: tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in ts)
+    leaf_of = lambda m: (len(m), m[:3], m[-1])
+    leaves = {}
+    for _, text in rows:
+        for *_, ts in old_units(text or ""):
+            leaves.setdefault(leaf_of(masked(ts)), set()).add(masked(ts))
+    support = {}
+    for leaf, lines in leaves.items():
+        for m in lines:
+            for k in range(3, len(m) - 1):
+                support[leaf, k, m[k]] = support.get((leaf, k, m[k]), 0) + 1
+
+    def template(ts):
+        m = masked(ts)
+        leaf, fields = leaf_of(m), m.count("<*>")
+        if len(leaves[leaf]) > 1 and len(m) > 4:
+            inner = [(k, m[k]) for k in range(3, len(m) - 1) if m[k] != "<*>"]
+            constant = [x for x in inner if support[leaf, *x] >= max(2, 0.05 * len(leaves[leaf]))]
+            varying = len(inner) - len(constant)
+            if varying <= 0.3 * len(m) and 2 * (fields + varying) <= len(m):
+                return leaf, "template", tuple(constant)
+        return (leaf, "line", m) if 2 * fields <= len(m) else (leaf, "exact", tuple(ts))
+
+    where = {}
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    for i in order:
+        for seq, u in enumerate(old_units(rows[i][1] or "")):
+            where.setdefault(template(u[3]), []).append((i, seq))
+    marked = {x for xs in where.values() if len({i for i, _ in xs}) >= least_docs for x in xs[1:]}
+    out = {}
+    for i, (_, text) in enumerate(rows):
+        if text is None:
+            out[i] = (None, 0)
+            continue
+        units, lines = old_units(text), text.split("\n")
+        hit = [(i, s) in marked for s in range(len(units))]
+        runs = [(k, [j for j, _ in g]) for k, g in itertools.groupby(enumerate(hit), lambda x: x[1])]
+        long = {j for k, js in runs if k and sum(len(units[j][3]) for j in js) >= 50 for j in js}
+        kept, touched = [], 0
+        for n, line in enumerate(lines):
+            mine = [j for j, u in enumerate(units) if u[0] == n]
+            if mine and all(hit[j] for j in mine):
+                touched += 1
+                continue
+            cut = [j for j in mine if j in long]
+            rest = line
+            for j in reversed(cut):
+                rest = rest[: units[j][1]] + rest[units[j][2] :]
+            touched += bool(cut)
+            if not cut or rest.strip(" \t\r\v\f"):
+                kept.append(rest)
+        out[i] = ("\n".join(kept), touched)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(31)
+    pool = [" ".join(r.choice(VOCABULARY[:60]) for _ in range(r.randint(1, 14))) + r.choice([".", "?", "", " 7", "。"]) for _ in range(60)]
+    leaf = ["user {} has read page {} of the long book today".format(r.choice(VOCABULARY), r.choice(VOCABULARY[:5])) for _ in range(60)]
+    pool += leaf + ["ein 1 2 3 4", "ein 1 2 3 5", "日本語の文章です。", "a\tb c  d", "see http://x.y now please", " lead and trail "]
+    rows = []
+    for i in range(120):
+        parts = [r.choice(pool) if r.random() < 0.6 else text_of(r.randint(1, 20), 5000 + 100 * i + k) + ". " for k in range(r.randint(0, 12))]
+        rows.append((i, "".join(p + r.choice(["\n", " ", "\n\n", " "]) for p in parts)))
+    got = {x.doc_id: (x.text, x.n_dropped) for x in line_dedup.drop_recurring_lines(docs(spark, rows)).collect()}
+    want = old_line_dedup(rows)
+    assert got == want and 50 < sum(n > 0 for _, n in want.values())
+
+
+@pytest.mark.parametrize("size", [50, 500, 1500])
+def test_a_leaf_of_any_size_follows_one_rule(spark, size):
+    """Lines of one leaf: alike ones, each with a word of its own, and unlike ones."""
     r = random.Random(12)
-    lines = {" ".join(["one", "two", "three", *r.sample(VOCABULARY, 8), "end"]) for _ in range(100)}
-    alike = [" ".join(["one", "two", "three", *(w if k == j % 2 * 7 else x for k, x in enumerate("the same words in the same old order".split())), "end"]) for j, w in enumerate(VOCABULARY[:8])]
-    texts = [*sorted(lines), *alike]
-    leaf = line_dedup.leaf_of(texts[0].split())
-    frame = spark.createDataFrame([(leaf, i, t) for i, t in enumerate(texts)], "leaf long, hash long, line string")
-    for share in line_dedup.DEALT_BY:
-        parts = line_dedup._dealt(frame.selectExpr("*", "line AS rep"), share).groupBy("leaf", "part").count().collect()
-        assert sum(p["count"] for p in parts) == len(texts) and max(p["count"] for p in parts) <= 20
-    got = {x.hash: x.final for x in line_dedup._templates(frame).collect()}
-    assert len(got) == len(texts) and len({got[i] for i in range(len(lines), len(texts))}) == 1
-    assert len(set(got.values())) > 90
-
-
-def test_templates_generalise_words_too():
-    leaf = line_dedup.Leaf()
-    lines = ["the file named alpha was not found here", "the file named beta was not found here", "the dog ran over the green hill fast"]
-    assert [leaf.add(x.split()) for x in lines] == [0, 0, 1]
-    assert leaf.templates[0] == ["the", "file", "named", "<*>", "was", "not", "found", "here"]
+    alike = [(i, f"one two three the same words in the same w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x order end") for i in range(size)]
+    unlike = [(size + i, " ".join(["one", "two", "three", *("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(8)), "end"])) for i in range(size // 2)]
+    got = {x.doc_id: x.text for x in line_dedup.drop_recurring_lines(docs(spark, alike + unlike)).collect()}
+    assert [i for i, t in sorted(got.items()) if t] == [0, *range(size, size + size // 2)]
+
+
+def test_line_dedup_replaces_columns_of_its_names(spark):
+    df = docs(spark, [(1, "one line of text"), (2, "one line of text")]).withColumnsRenamed({"key": "n_lines", "node": "N_Dropped", "source": "marked", "lang": "c0"})
+    out = line_dedup.drop_recurring_lines(df)
+    assert out.columns == ["doc_id", "text", "c0", "marked", "n_chars", "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text, r.c0, r.n_lines, r.n_dropped) for r in out.collect()} == {(1, "one line of text", "en", 1, 0), (2, "", "en", 1, 1)}
 
 
 # 5

@@ -1,258 +1,290 @@
 """Line deduplication by a tree of log templates.
 
-A line's leaf is found by a fixed number of steps: its number of tokens, its LEADING first tokens, its last
-token, where a token that holds a digit, an "@" or "://" is a variable field. In a leaf, lines that agree in most
-positions share a template; the other positions are variable too. A template in enough documents is
-boilerplate: its first line in the corpus stays, all others go.
-
-The sentences of a line pass through the same tree, so that a passage is found inside longer lines, or where it is
-broken into other lines. A recurring sentence goes only as a part of a passage: a run of recurring sentences and
-lines of at least PASSAGE tokens.
+A unit is a line, or each of a line's sentences where it has several. A unit goes down the tree by a fixed number
+of steps: its number of tokens, its LEADING first tokens, its last token. A token that holds a digit, an "@" or
+"://" is a variable field from the start. In the leaf, a token at a position is constant if enough of the leaf's
+distinct units have it there, else that position is variable too; what is constant is the unit's template. So a
+template follows from the unit and from counts over its leaf: no order of units matters, no leaf is held by a task.
+A template in enough documents is boilerplate: its first unit in the corpus stays, all others are marked. A line
+goes if all its units are marked; of other lines, marked units go in runs of at least PASSAGE tokens, so that a
+passage is found inside longer lines, or where it is broken into other lines.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.shared import bitmap, in_bitmap, map_arrow, row_key, stored, type_of
+from tidemark.llm.shared import _ODD, bitmap, bits_for, in_bitmap, map_arrow, mixed, row_key, stored, type_of
 
 LEADING = 3
-FIELD = "<*>"
-#: A line joins a template if it agrees with it in at least this share of the positions.
-ALIKE = 0.7
-#: Documents that make a line recur, in the query and the pipeline.
+#: A template stands for a unit if it leaves at most this share of its tokens variable beside its fields; and the
+#: constant tokens of a template are at least half of all.
+VARIABLE = 0.3
+#: A token is constant at a position if at least two distinct units of the leaf, and this share of them, have it.
+CONSTANT = 0.05
+#: Documents that make a template recur, in the query and the pipeline.
 LEAST_DOCS = 2
-#: Distinct lines of a leaf that one task clusters. A larger leaf is dealt out by two of its tokens, then its
-#: templates by two others: of a line's inner tokens, those at these shares of the way from the first to the last.
-LEAF_LINES = 1000
-DEALT_BY = (0.0, 1.0, 0.5, 0.25, 0.75)
-#: Tokens of a run of recurring sentences that goes from the lines it stands in.
+#: Tokens of a run of marked units that goes from the lines it stands in.
 PASSAGE = 50
-#: Where a line is cut into sentences; nothing is taken away. Java reads it as Python does.
-SENTENCES = r"(?<=[.!?][ \t])|(?<=[。！？])"
-_SENTENCES = re.compile(SENTENCES)
-_VARIABLE = re.compile(r"\d|@|://")
-
-
-def masked(line: str) -> list[str]:
-    """The tokens of a line, variable fields as FIELD."""
-    return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
-
-
-def _hash(x: str) -> int:
-    return int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def leaf_of(tokens: list[str], tokens_masked: bool = True) -> int:
-    """The leaf of a line's tokens."""
-    steps = [*tokens[:LEADING], tokens[-1]]
-    if not tokens_masked:
-        steps = [FIELD if _VARIABLE.search(t) else t for t in steps]
-    return _hash(f"{len(tokens)} {' '.join(steps)}")
-
-
-class Leaf:
-    """The templates of a leaf, each a list of tokens in which FIELD fits anything."""
-
-    def __init__(self):
-        self.templates: list[list[str]] = []
-
-    def add(self, tokens: list[str]) -> int:
-        """The number of the template that the tokens join: the one they agree with most, or a new one."""
-        best, most = -1, ALIKE * len(tokens)
-        for i, t in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(t, tokens, strict=True))
-            if same >= most and (best < 0 or same > most):
-                best, most = i, same
-        if best < 0:
-            self.templates.append(tokens)
-            return len(self.templates) - 1
-        self.templates[best] = [a if a == b else FIELD for a, b in zip(self.templates[best], tokens, strict=True)]
-        return best
-
-
-def _units(text: str | None, least_tokens: int) -> Iterator[tuple[int, int, bool, int, int, list[str]]]:
-    """(line_no, unit, whole, seq, sentences, tokens) of every line and sentence of least_tokens: unit -1 is a line
-    of several sentences, other units are sentences by number; whole, whether the unit is a line; seq, how many
-    sentences stand before it in the text."""
-    seq = 0
-    for n, line in enumerate((text or "").split("\n")):
-        tokens = line.split()
-        if len(tokens) < least_tokens:
-            continue
-        cut = _SENTENCES.split(line)
-        if len(cut) == 1:
-            yield n, 0, True, seq, 1, tokens
-            seq += 1
-            continue
-        parts = [(k, ts) for k, ts in enumerate(map(str.split, cut)) if len(ts) >= least_tokens]
-        yield n, -1, True, seq, len(parts), tokens
-        for k, ts in parts:
-            yield n, k, False, seq, 1, ts
-            seq += 1
-
-
-def _lines(documents: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int) -> DataFrame:
-    """(key, doc_id, line_no, unit, whole, seq, sentences, tokens, leaf, line, hash, exact): the lines and sentences (see
-    _units) of leaves that enough documents have, or nearly all of them: the leaves come as a bitmap of fixed size.
-    Those of fewer tokens never count."""
+#: Bytes of text that are cut into units together; a longer text is a block of its own.
+BLOCK = 1 << 20
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: First bytes of wide characters of three bytes (kana, CJK, Hangul, full-width forms), each a token of its own.
+_WIDE = np.zeros(256, bool)
+_WIDE[[*range(0xE3, 0xEE), 0xEF]] = True
+_FIELD = np.zeros(256, bool)
+_FIELD[[*b"0123456789@"]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[*b".!?"]] = True
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of an odd number modulo 2**64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n, BLOCK) + 1
+        bases = np.full((2, size), [[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        bases[:, 0] = 1
+        _POWERS[:] = np.cumprod(bases, axis=1)
+    return _POWERS
+
+
+class Units:
+    """The units of texts, as arrays.
+
+    data: the texts, each with a newline after it. doc_at: where each begins (one more at the end). line_at, line_doc: likewise for lines.
+    Of each unit that has at least least_tokens tokens: begin, end (bytes; a newline is in no unit), doc, line,
+    seq (its number in the text), tokens, fields, leaf, masked (a hash of it with fields masked), exact (a hash of its
+    tokens). codes and code_at: 16 bits of each inner token, 0 for a field.
+    """
+
+    def __init__(self, texts: list[bytes], least_tokens: int):
+        self.data = b = np.frombuffer(b"".join(x for t in texts for x in (t, b"\n")), np.uint8)
+        n = len(b)
+        self.doc_at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
+        newline = np.flatnonzero(b == 10)
+        self.line_at = np.concatenate(([0], newline + 1))
+        self.line_doc = np.searchsorted(self.doc_at, self.line_at[:-1], "right") - 1
+
+        space, wide = _SPACE[b], _WIDE[b]
+        after = np.zeros(n, bool)  # right after a wide character
+        after[3:] = wide[:-3]
+        start = ~space
+        start[1:] &= space[:-1] | wide[1:] | after[1:]
+        stop = np.zeros(n + 1, bool)
+        stop[1:n] = ~space[:-1] & (space[1:] | start[1:])
+        s, e = np.flatnonzero(start), np.flatnonzero(stop)
+
+        cut = np.zeros(n + 1, bool)
+        cut[self.line_at] = True
+        cut[2:n] |= _ENDS[b[:-2]] & ((b[1:-1] == 32) | (b[1:-1] == 9))
+        for a, c, d in (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f"):
+            cut[3:] |= (b[:-2] == a) & (b[1:-1] == c) & (b[2:] == d)
+        cut[n] = True
+        at = np.flatnonzero(cut)
+        unit = np.searchsorted(at, s, "right") - 1
+        count = np.bincount(unit, minlength=len(at) - 1)
+        own = count >= least_tokens
+        mine = own[unit]
+        s, e, count = s[mine], e[mine], count[own]
+        first = np.cumsum(count) - count
+        self.tokens, self.begin, self.end = count.astype(np.int32), at[:-1][own], at[1:][own]
+        self.end = self.end - (b[self.end - 1] == 10)
+        self.line = np.searchsorted(self.line_at, self.begin, "right") - 1
+        self.doc = self.line_doc[self.line]
+        self.seq = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
+
+        up, down = _powers(n)
+        h = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[b] * up[:n], out=h[1:])
+        token = mixed((h[e] - h[s]) * down[s])
+        marks = _FIELD[b]
+        marks[:-2] |= (b[:-2] == 58) & (b[1:-1] == 47) & (b[2:] == 47)
+        seen = np.concatenate(([0], np.cumsum(marks, dtype=np.int32)))
+        field = seen[e] > seen[s]
+        shown = np.where(field, np.uint64(1), token)
+        place = np.arange(len(s)) - np.repeat(first, count)
+        turn = mixed((place + 1).astype(np.uint64) * _ODD)
+        total = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0, np.uint64)
+        size = count.astype(np.uint64)
+        self.masked = mixed(total(mixed(shown + turn)) + size).view(np.int64)
+        self.exact = mixed(total(mixed(token + turn)) + size).view(np.int64)
+        self.fields = total(field.astype(np.int32)).astype(np.int32) if len(first) else np.empty(0, np.int32)
+        steps = [first + np.minimum(k, count - 1) for k in range(LEADING)] + [first + count - 1]
+        leaf = size
+        for k in steps:
+            leaf = mixed(leaf * _ODD + shown[k])
+        self.leaf = leaf.view(np.int64)
+        inner = (place >= LEADING) & (place < np.repeat(count, count) - 1)
+        code = np.where(field, 0, (token & np.uint64(0x7FFF)).astype(np.int64) + 1).astype(np.int32)
+        self.codes = code[inner]
+        self.code_at = np.concatenate(([0], np.cumsum(np.maximum(count - LEADING - 1, 0)))).astype(np.int32)
+
+    def rest(self, marked: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The texts without what goes if these units are marked, and the number of lines of each that went or lost units."""
+        lines = len(self.line_doc)
+        of_line = np.bincount(self.line, minlength=lines)
+        whole = (of_line > 0) & (np.bincount(self.line, marked, lines) == of_line)
+        new = np.ones(len(marked), bool)
+        new[1:] = (marked[1:] != marked[:-1]) | (self.doc[1:] != self.doc[:-1])
+        run = np.cumsum(new) - 1
+        long = np.bincount(run, self.tokens)[run] >= PASSAGE
+        cut = marked & long & ~whole[self.line]
+        gone = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(gone, self.begin[cut], 1)
+        np.add.at(gone, self.end[cut], -1)
+        keep = np.cumsum(gone[:-1]) == 0
+        touched = np.bincount(self.line[cut], minlength=lines) > 0
+        left = np.concatenate(([0], np.cumsum(keep & ~_SPACE[self.data])))
+        drop = whole | (touched & (left[self.line_at[1:]] == left[self.line_at[:-1]]))
+        keep &= ~np.repeat(drop, np.diff(self.line_at))
+        # the newline of the last line that stays belongs to no text
+        stays = np.where(drop, -1, np.arange(lines))
+        last = np.maximum.reduceat(stays, np.searchsorted(self.line_doc, np.arange(len(self.doc_at) - 1)))
+        keep[self.line_at[last[last >= 0] + 1] - 1] = False
+        ends = np.concatenate(([0], np.cumsum(keep)))[self.doc_at]
+        out = self.data[keep].tobytes()
+        changed = np.bincount(self.line_doc, drop | touched, len(self.doc_at) - 1).astype(np.int64)
+        return [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], changed
+
+
+def _blocks(texts: list[bytes | None], only: list[bool] | None = None) -> Iterator[list[int]]:
+    """The numbers of the texts that are not empty (and wanted), in blocks."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        if t and (only is None or only[i]):
+            if held and size + len(t) > BLOCK:
+                yield held
+                held, size = [], 0
+            held.append(i)
+            size += len(t)
+    if held:
+        yield held
+
+
+def _candidates(documents: DataFrame, id_col: str, text_col: str, least_tokens: int, least_docs: int) -> DataFrame:
+    """(key, doc_id, seq, tokens, fields, leaf, masked, exact, codes) of the units of leaves that occur least_docs times,
+    and of some others: which leaves do comes as a bitmap."""
 
     def tally(batch: pa.RecordBatch) -> dict:
-        docs: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            docs.update({leaf_of(u[-1], False) for u in _units(text, least_tokens)})
-        return {"leaf": list(docs), "docs": list(docs.values())}
+        texts, found = batch.column("text").to_pylist(), []
+        for block in _blocks(texts):
+            found.append(Units([texts[i] for i in block], least_tokens).leaf)
+        leaf, n = np.unique(np.concatenate(found or [np.empty(0, np.int64)]), return_counts=True)
+        return {"leaf": leaf, "n": n}
 
-    docs = documents.select(F.col(text_col).alias("text"))
-    counted = map_arrow(docs, tally, "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("docs"))
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap(counted.where(F.col("docs") >= least_docs), "leaf"))
+    text = F.col(text_col).cast("binary").alias("text")
+    counted = map_arrow(documents.select(text), tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    leaves = stored(counted.where(F.col("n") >= least_docs).select("leaf"), "leaves")
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap(leaves, "leaf", bits_for(leaves.count())))
 
     def pick(batch: pa.RecordBatch) -> dict:
-        rows, at, leaves = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for u in _units(text, least_tokens):
-                at.append((i, *u))
-                leaves.append(leaf_of(u[-1], False))
-        keep = np.flatnonzero(in_bitmap(shared.value, np.array(leaves, np.int64).view(np.uint64)))
-        for j in keep.tolist():
-            *place, tokens = at[j]
-            line = " ".join(FIELD if _VARIABLE.search(t) else t for t in tokens)
-            rows.append((*place, len(tokens), leaves[j], line, _hash(line), _hash(" ".join(tokens))))
-        take = pa.array([r[0] for r in rows], pa.int64())
-        return {"key": batch.column("key").take(take), "doc_id": batch.column("doc_id").take(take)} | {
-            c: [r[k] for r in rows] for k, c in enumerate(("", "line_no", "unit", "whole", "seq", "sentences", "tokens", "leaf", "line", "hash", "exact")) if c
+        texts, names = batch.column("text").to_pylist(), ("seq", "tokens", "fields", "leaf", "masked", "exact")
+        out, rows, codes, sizes = {c: [] for c in names}, [], [], []
+        for block in _blocks(texts):
+            units = Units([texts[i] for i in block], least_tokens)
+            keep = in_bitmap(shared.value, units.leaf.view(np.uint64))
+            size = np.diff(units.code_at)
+            for c in names:
+                out[c].append(getattr(units, c)[keep])
+            rows.append(np.array(block)[units.doc[keep]])
+            codes.append(units.codes[np.repeat(keep, size)])
+            sizes.append(size[keep])
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+        take = pa.array(join(rows, np.int64))
+        ends = np.concatenate(([0], np.cumsum(join(sizes, np.int64)))).astype(np.int32)
+        kinds = dict.fromkeys(names, np.int64) | dict.fromkeys(("seq", "tokens", "fields"), np.int32)
+        return {"key": batch.column("key").take(take), "doc_id": batch.column("doc_id").take(take)} | {c: join(out[c], kinds[c]) for c in names} | {
+            "codes": pa.ListArray.from_arrays(pa.array(ends), pa.array(join(codes, np.int32)))
         }
 
-    keyed = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "line_no int, unit int, whole boolean, seq int, sentences int, tokens int, leaf long, line string, hash long, exact long"
-    return map_arrow(keyed, pick, f"key string, doc_id {type_of(documents, id_col)}, {schema}")
-
-
-def _clustered(lines: DataFrame) -> DataFrame:
-    """Lines (leaf, part, line, hash, rep), dealt out and sorted by leaf and part, to (leaf, hash, template_id,
-    template, rep), rep that of the template's first line. A task holds the lines of one part of one leaf at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, held, reps = None, Leaf(), [], []
-
-        def out() -> pa.RecordBatch:
-            ids = [_hash(f"{now[0]} {now[1]} {' '.join(t)}") for t in leaf.templates]
-            texts = [" ".join(t) for t in leaf.templates]
-            rows = {"leaf": [now[0]] * len(held), "hash": [h for h, _ in held], "template_id": [ids[i] for _, i in held], "template": [texts[i] for _, i in held], "rep": [reps[i] for _, i in held]}
-            return pa.RecordBatch.from_pydict(rows, schema=schema)
-
-        schema = pa.schema([("leaf", pa.int64()), ("hash", pa.int64()), ("template_id", pa.int64()), ("template", pa.string()), ("rep", pa.string())])
-        for batch in batches:
-            for at, part, line, h, rep in zip(*(batch.column(c).to_pylist() for c in ("leaf", "part", "line", "hash", "rep")), strict=True):
-                if (at, part) != now:
-                    if held:
-                        yield out()
-                    now, leaf, held, reps = (at, part), Leaf(), [], []
-                held.append((h, leaf.add(line.split(" "))))
-                if len(reps) < len(leaf.templates):
-                    reps.append(rep)
-        if held:
-            yield out()
-
-    dealt = lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
-    return dealt.select("leaf", "part", "line", "hash", "rep").mapInArrow(run, "leaf long, hash long, template_id long, template string, rep string")
-
-
-def _dealt(lines: DataFrame, share: float) -> DataFrame:
-    """(leaf, part, line, hash, rep) of lines (leaf, line, hash, rep): a leaf of at most LEAF_LINES is one part; the parts of
-    a larger one hold no more than about that, and its lines meet by two tokens of rep at a share of their length."""
-    sizes = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "sizes").where(F.col("n") > LEAF_LINES)
-    tokens = F.split("rep", " ")
-    at = F.lit(LEADING) + F.floor(F.greatest(F.size(tokens) - LEADING - 3, F.lit(0)) * share).cast("int")
-    by = F.when(F.col("n").isNotNull(), F.xxhash64(F.get(tokens, at), F.get(tokens, at + 1))).otherwise(F.lit(0).cast("long"))
-    lines = lines.join(sizes, "leaf", "left").withColumn("by", by)
-    crowded = lines.where("n is not null").groupBy("leaf", "by").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF_LINES)
-    split = F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("line"), F.ceil(F.col("m") / LEAF_LINES))).otherwise(F.lit(0).cast("long"))
-    return lines.join(crowded, ["leaf", "by"], "left").select("leaf", F.xxhash64("by", split).alias("part"), "line", "hash", "rep", F.col("n").isNotNull().alias("large"))
-
-
-def _templates(lines: DataFrame) -> DataFrame:
-    """(leaf, hash, final, final_template) of the distinct lines. A leaf of more than LEAF_LINES goes through rounds:
-    its parts' templates are dealt again by other tokens, until they fit into one part or the rounds end."""
-    distinct = lines.groupBy("leaf", "hash").agg(F.first("line").alias("line")).withColumn("rep", F.col("line"))
-    dealt = stored(_dealt(distinct, DEALT_BY[0]), "dealt")
-    of = stored(_clustered(dealt), "templates")
-    large = dealt.where("large").select("leaf").distinct()
-    for share in DEALT_BY[1:]:
-        left = of.join(large, "leaf", "left_semi").select("leaf", F.col("template").alias("line"), F.col("template_id").alias("hash"), "rep").distinct()
-        dealt = stored(_dealt(left, share), "dealt")
-        if dealt.isEmpty():
-            break
-        merged = _clustered(dealt).select("leaf", F.col("hash").alias("template_id"), F.col("template_id").alias("next"), F.col("template").alias("next_template"), F.col("rep").alias("next_rep"))
-        joined = of.join(merged, ["leaf", "template_id"], "left")
-        of = stored(joined.select("leaf", "hash", F.coalesce("next", "template_id").alias("template_id"), F.coalesce("next_template", "template").alias("template"), F.coalesce("next_rep", "rep").alias("rep")), "templates")
-        large = dealt.where("large").select("leaf").distinct()
-    return of.select("leaf", "hash", F.col("template_id").alias("final"), F.col("template").alias("final_template"))
-
-
-def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_tokens: int = 3) -> DataFrame:
-    """(key, line_no, unit, whole, template): the lines to drop, by row_key and number from 0, where whole is true, and the
-    sentences to drop from other lines, by their number in the line."""
-    lines = stored(_lines(documents, id_col, text_col, least_tokens, least_docs), "lines")
-    kept = F.size(F.filter(F.split("final_template", " "), lambda t: t != FIELD))
-    final = F.when(2 * kept >= F.col("tokens"), F.col("final")).otherwise(F.xxhash64("leaf", "exact"))
-    placed = stored(lines.drop("line").join(_templates(lines), ["leaf", "hash"]).withColumn("final", final), "placed")
-    gone = stored(_repeated(placed.where("whole"), least_docs), "gone")
-    # a sentence whose line goes is no copy that stays
-    rest = placed.where("unit >= 0").join(gone.select("key", "line_no"), ["key", "line_no"], "left_anti")
-    of_text = Window.partitionBy("key").orderBy("seq", F.desc("sentences"))
-    ended = F.max(F.col("seq") + F.col("sentences")).over(of_text.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("seq") > ended, 1).otherwise(0)
-    runs = gone.union(_repeated(rest, least_docs)).withColumn("apart", apart).withColumn("run", F.sum("apart").over(of_text))
-    long = runs.withColumn("all", F.sum("tokens").over(Window.partitionBy("key", "run")))
-    return long.where(F.col("whole_line") | (F.col("all") >= PASSAGE)).select("key", "line_no", "unit", F.col("whole_line").alias("whole"), F.col("final_template").alias("template")).distinct()
-
-
-def _repeated(placed: DataFrame, least_docs: int) -> DataFrame:
-    """The places of templates (or of equal lines, where a template keeps less than half its tokens) in at least least_docs documents, but for the first place of each."""
-    by_doc = placed.groupBy("final", "key", "doc_id").agg(F.min(F.struct("line_no", "unit")).alias("at"))
-    place = F.struct("doc_id", "key", "at")
-    known = by_doc.groupBy("final").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= least_docs)
-    rest = placed.join(known, "final").where((F.col("key") != F.col("first.key")) | (F.struct("line_no", "unit") != F.col("first.at")))
-    return rest.select("key", "line_no", "unit", F.col("whole").alias("whole_line"), "seq", "sentences", "tokens", "final_template")
-
-
-def drop_recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 3, least_tokens: int = 3) -> DataFrame:
-    """documents with text_col without its recurring lines and passages, and two more columns: n_lines (before) and
-    n_dropped (lines that went or lost sentences).
-
-    A template recurs if at least least_docs rows have it; one that keeps less than half its tokens is none, and
-    only its equal lines recur. Lines end at "\\n"; lines and sentences of fewer than
-    least_tokens tokens stay, unless a line has nothing else left. What stays of a line is unchanged. Defined cases:
-    a null text stays null with no lines, an empty text is one empty line; of equal ids the first line is by text
-    hash; exactly repeated rows are one document (so they all keep or lose the same lines); an empty table gives no
-    rows; other columns stay as they are.
+    docs = documents.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), text)
+    return map_arrow(docs, pick, f"key string, doc_id {type_of(documents, id_col)}, seq int, tokens int, fields int, leaf long, masked long, exact long, codes array<int>")
+
+
+def _templates(units: DataFrame) -> DataFrame:
+    """(leaf, masked, template) of the distinct units whose leaf holds others and that a template stands for."""
+    lines = units.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens"), F.first("fields").alias("fields"))
+    several = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1"), "several")
+    inner = units.where(F.col("tokens") > LEADING + 1).select("leaf", "masked", "tokens", "fields", "codes").join(several, "leaf")
+    inner = inner.groupBy("leaf", "masked").agg(*(F.first(c).alias(c) for c in ("tokens", "fields", "lines", "codes")))
+    inner = stored(inner, "inner").select("leaf", "masked", "tokens", "fields", "lines", F.posexplode("codes").alias("place", "code")).where("code > 0")
+    enough = F.greatest(F.lit(2.0), CONSTANT * F.first("lines"))
+    support = inner.groupBy("leaf", "place", "code").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough")
+    support = stored(support.select("leaf", "place", "code", F.lit(1).alias("known")), "support")
+    kept = inner.join(support, ["leaf", "place", "code"], "left").groupBy("leaf", "masked").agg(
+        F.first("tokens").alias("tokens"), F.first("fields").alias("fields"), F.count_if(F.col("known").isNull()).alias("varying"),
+        F.bit_xor(F.when(F.col("known") == 1, F.xxhash64("place", "code"))).alias("constant"),
+    )
+    fits = (F.col("varying") <= VARIABLE * F.col("tokens")) & (2 * (F.col("fields") + F.col("varying")) <= F.col("tokens"))
+    return kept.where(fits).select("leaf", "masked", F.xxhash64("leaf", F.coalesce("constant", F.lit(0))).alias("template"))
+
+
+def recurring_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = 3) -> DataFrame:
+    """(key, seq): the units to mark, by row_key and their number in the text."""
+    units = stored(_candidates(documents, id_col, text_col, least_tokens, least_docs), "units")
+    templates = stored(_templates(units), "templates")
+    alone = F.when(2 * F.col("fields") <= F.col("tokens"), F.xxhash64("leaf", "masked")).otherwise(F.xxhash64("leaf", "masked", "exact"))
+    placed = units.select("key", "doc_id", "seq", "tokens", "fields", "leaf", "masked", "exact").join(templates, ["leaf", "masked"], "left")
+    placed = stored(placed.select("key", "doc_id", "seq", F.coalesce("template", alone).alias("template")), "placed")
+    # a template in fewer documents than that has fewer rows here too
+    by_doc = placed.groupBy("template", "key", "doc_id").agg(F.min("seq").alias("seq"))
+    first = F.min(F.struct("doc_id", "key", "seq")).alias("first")
+    known = stored(by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), first).where(F.col("docs") >= least_docs).select("template", "first"), "known")
+    return placed.join(known, "template").where((F.col("key") != F.col("first.key")) | (F.col("seq") != F.col("first.seq"))).select("key", "seq")
+
+
+def drop_recurring_lines(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = 3,
+    n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+) -> DataFrame:
+    """documents with text_col without its recurring lines and passages, and two more columns, named by the last two
+    parameters: the number of lines before, and of those that went or lost sentences.
+
+    A template recurs if at least least_docs rows have it. Where no template stands for a unit (see VARIABLE), only units
+    equal but for their fields recur; where fields are more than half of it, only equal ones. Lines end at "\\n". Units of
+    fewer than least_tokens tokens stay, unless their line has nothing else left. What stays of a line is unchanged.
+    Defined cases: a null text stays null with no lines, an empty text is one empty line; of equal ids the first
+    unit is by text hash; exactly repeated rows are one document (so they all keep or lose the same lines); an empty
+    table gives no rows; other columns stay as they are, but one that is named like a new column is replaced by it.
     """
-    gone = recurring_lines(documents, id_col, text_col, least_docs, least_tokens)
-    whole = F.collect_set(F.when(F.col("whole"), F.col("line_no"))).alias("__gone")  # at most a text's lines
-    cut = F.when(~F.col("whole"), F.struct("line_no", "unit"))
-    gone = gone.groupBy(F.col("key").alias("__key")).agg(whole, F.collect_set(cut).alias("__cut"))
-    marked = documents.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left")
-    lines = F.split(text_col, "\n", -1)
-
-    def rest_of(line, i):
-        mine = F.transform(F.filter("__cut", lambda c: c["line_no"] == i), lambda c: c["unit"])
-        left = F.array_join(F.filter(F.split(line, SENTENCES, -1), lambda x, k: ~F.array_contains(mine, k)), "")
-        emptied = (F.size(mine) > 0) & (F.trim(left) == "")
-        return F.when(F.array_contains("__gone", i) | emptied, F.lit(None)).when(F.size(mine) > 0, left).otherwise(line)
-
-    kept = F.array_join(F.transform(lines, rest_of), "\n")  # leaves out nulls
-    touched = F.array_union("__gone", F.transform("__cut", lambda c: c["line_no"]))
-    return marked.select(
-        *(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(touched), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    marked = recurring_units(documents, id_col, text_col, least_docs, least_tokens).groupBy("key").agg(F.collect_set("seq").alias("marked"))  # a text's own units
+    names = [c for c in documents.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())]
+    keyed = documents.select(row_key(id_col, text_col).alias("key"), *(_quoted(c).alias(f"c{i}") for i, c in enumerate(names)))
+    text = f"c{[c.lower() for c in names].index(text_col.lower())}"
+    of = {f"c{i}": type_of(documents, c) for i, c in enumerate(names)}
+
+    def drop(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(text).cast(pa.binary()).to_pylist()
+        seqs = batch.column("marked")
+        lines, dropped = [0 if t is None else t.count(b"\n") + 1 for t in texts], np.zeros(len(texts), np.int64)
+        has = seqs.is_valid().to_pylist()
+        for block in _blocks(texts, has):
+            units = Units([texts[i] for i in block], least_tokens)
+            begin, at = np.searchsorted(units.doc, np.arange(len(block))), np.zeros(len(units.doc), bool)
+            for j, i in enumerate(block):
+                at[begin[j] + seqs[i].values.to_numpy()] = True
+            left, dropped[block] = units.rest(at)
+            for i, t in zip(block, left, strict=True):
+                texts[i] = t
+        new = pa.array(texts, pa.binary()).cast(batch.column(text).type)
+        return {c: new if c == text else batch.column(c) for c in of} | {"lines": lines, "dropped": dropped}
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in of.items())
+    found = map_arrow(keyed.join(marked, "key", "left"), drop, f"{schema}, lines long, dropped long")
+    return found.toDF(*names, n_lines, n_dropped)
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")

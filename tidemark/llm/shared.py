@@ -103,29 +103,43 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-#: Bits of a Bloom bitmap with one hash; 2 MB whatever the number of keys.
-BITMAP_BITS = 24
+#: Address bits of a Bloom bitmap with one hash: 2 MB whatever the number of keys. Where a bitmap follows the number
+#: of its keys, 16 bits for each, up to 16 MB.
+BITMAP_BITS, MOST_BITMAP_BITS = 24, 27
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITMAP_BITS address bits over the 64-bit hashes of a column, built by a distributed
-    bit_or. Only its words that are not zero reach the driver: 2**18 rows at most for any input."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - BITMAP_BITS)
+def bits_for(keys: int) -> int:
+    """Address bits of a bitmap for so many keys."""
+    return min(MOST_BITMAP_BITS, max(16, (16 * keys).bit_length()))
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap with so many address bits over the 64-bit hashes of a column, built by a distributed
+    bit_or. Only its words that are not zero reach the driver, whatever the input: 2**(bits - 6) rows at most."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
     rows = (
         hashes.where(F.col(column).isNotNull())
         .groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("bits"))
         .toPandas()
     )
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be among those of the bitmap; never false for one that is."""
-    at = h >> np.uint64(64 - BITMAP_BITS)
-    return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+    at = h >> np.uint64(64 - 5 - len(words).bit_length())
+    return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with underscores after it until no column of df has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def row_key(id_col: str, text_col: str):
