@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lang_crf, line_dedup, minhash, packing
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import free_name, stored
 
 #: A text whose words' largest marginals have a smaller mean is no text in known languages, be they one or several.
 LEAST_CONFIDENCE = 0.5
@@ -26,10 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop recurring lines, and the documents that had nothing else; n_chars follows the text."""
-    found = line_dedup.drop_recurring_lines(docs, least_docs=line_dedup.LEAST_DOCS)
-    empty = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.where(~F.coalesce(empty, F.lit(False))).select(*(n_chars if c == "n_chars" else c for c in docs.columns))
+    lines, dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    found = line_dedup.drop_recurring_lines(docs, n_lines=lines, n_dropped=dropped)
+    empty = (F.col(dropped) > 0) & (F.trim("text") == "")
+    n_chars = F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.where(~F.coalesce(empty, F.lit(False))).select(*(n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
