@@ -12,6 +12,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from oracle import check  # noqa: E402
@@ -560,43 +562,77 @@ def test_packing_keeps_all_limits(spark):
 # 9
 
 
-def brute_anchors(tokens, s, w):
-    """Closed syncmers as sets of k-mers, with Python's own hash of s-mers in the place of Spark's."""
-    k, order = s + w - 1, lambda x: hashlib.md5(repr(x).encode()).digest()
-    out = []
-    for i in range(len(tokens) - k + 1):
-        inner = [order(tuple(tokens[i + j : i + j + s])) for j in range(w)]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append(tuple(tokens[i : i + k]))
-    return out
+def spark_hash(parts):
+    """Spark's xxhash64 of strings or longs, one after another."""
+    h = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+ANCHOR_TOKENS = regex.compile(rf"[{SINGLE}]|(?:(?![{SINGLE}])[\p{{L}}\p{{M}}])+|\p{{N}}+|(?:(?![{SINGLE}])[^ \t\n\x0B\f\r\p{{L}}\p{{M}}\p{{N}}])+")
+
+
+def brute_anchors(text):
+    h = [spark_hash([t]) for t in ANCHOR_TOKENS.findall(text)]
+    if len(h) < 7:
+        return [(i + 1, x) for i, x in enumerate(h)]
+    pairs = [spark_hash(h[i : i + 2]) for i in range(len(h) - 1)]
+    at = [i for i in range(len(h) - 6) if min(pairs[i : i + 6]) in (pairs[i], pairs[i + 5])]
+    return [(i + 1, spark_hash(h[i : i + 7])) for i in at]
 
 
-def test_fingerprint_cases(spark):
+def brute_likeness(a, b):
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return 1.0 if a == b else len(x & y) / len(x | y)
+
+
+def test_fingerprints_against_brute_force(spark):
     from pyspark.sql import functions as F
 
-    rows = [(i, t) for i, (_, t) in enumerate(TEXTS)]
-    found = syncmers.fingerprints(docs(spark, rows))
-    got = {r.doc_id: r for r in found.select("*", syncmers.fingerprint_string("fp").alias("print"), F.sha2("edited", 256).alias("sha")).collect()}
+    r = random.Random(77)
+    more = ["".join(r.choice("ab 1.,日本ไทยé\u0301-\t\n😀") for _ in range(r.randint(0, 300))) for _ in range(60)]
+    wide = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(2000))
+    more += [BASE[:250], BASE[:250] + " " + text_of(400, 9), wide, "字" + wide, BASE, BASE]
+    rows = [(i, t) for i, t in enumerate([t for _, t in TEXTS] + more)]
+    found = syncmers.fingerprints(docs(spark, r.sample(rows, len(rows))))
+    got = {x.doc_id: x for x in found.select("*", syncmers.fingerprint_string("fp").alias("print")).collect()}
     texts = [t or "" for _, t in rows]
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        cut = len(t) // 4
-        edited = t[: len(t) - cut] + texts[(i + 1) % len(texts)][:cut]
+        cut, after = len(t) // 4, texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - cut] + after[:cut]
         assert (got[i].n_chars, got[i].edited) == (len(t), edited)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        assert (t == edited) <= (got[i].near_edited == 1)
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        assert texts[i] != texts[j] or got[i].print == got[j].print
-    assert syncmers.fingerprints(docs(spark)).count() == len(TEXTS)
+        fp, changed, near = brute_anchors(t), brute_anchors(edited), brute_anchors(after)
+        assert [tuple(x) for x in got[i].fp] == fp and [tuple(x) for x in got[i].edited_fp] == changed
+        assert got[i].near_edited == pytest.approx(brute_likeness(fp, changed)) and got[i].near_next == pytest.approx(brute_likeness(fp, near))
+        assert got[i].print == " ".join(f"{h & (1 << 64) - 1:X}@{n}" for n, h in fp)
+    n = len(TEXTS) + 60
+    assert got[n].near_next > 0.05 and got[n + 2].near_next > 0.9  # a beginning of the next text; a shifted text without spaces
     assert syncmers.fingerprints(docs(spark, [])).count() == 0
 
 
-def test_anchors_are_closed_syncmers(spark):
-    """The density is that of closed syncmers, and an anchor is one wherever its passage stands."""
-    df = spark.createDataFrame([(text_of(3000, 5),), (text_of(200, 6) + " " + text_of(3000, 5),)], "t string")
-    a, b = [r.fp.words for r in syncmers.with_fingerprint(df, "t", "fp").collect()]
-    n = 3000 - syncmers.WORD_S - syncmers.WORD_W + 2
-    assert abs(len(a) / n - len(brute_anchors(text_of(3000, 5).split(), syncmers.WORD_S, syncmers.WORD_W)) / n) < 0.05
-    assert b[-len(a) :] == a
+def test_fingerprints_of_equal_ids_and_repeated_rows(spark):
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.n_chars, x.near_next) for x in syncmers.fingerprints(docs(spark)).collect())
+    assert len(got) == len(TEXTS)
+    assert [x[:3] for x in got] == sorted((i is not None, i or 0, len(t or "")) for i, t in TEXTS)
+    same = syncmers.fingerprints(docs(spark, [(1, "a b c")] * 50)).collect()
+    assert len(same) == 50 and {(x.near_next, x.edited) for x in same} == {(1.0, "a b a")}
+
+
+def test_fingerprint_plan_has_no_nested_loop(spark):
+    plan = syncmers.fingerprints(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Broadcast" not in plan and "Python" not in plan and "from_json" not in plan
+
+
+def test_anchors_align_a_passage(spark):
+    passage = text_of(3000, 5)
+    df = spark.createDataFrame([(1, passage, text_of(200, 6) + " " + passage), (2, passage, "none of it"), (3, "", "")], "pair int, a string, b string")
+    df = syncmers.with_fingerprint(syncmers.with_fingerprint(df, "a", "x"), "b", "y")
+    (got,) = syncmers.aligned(df.cache(), "pair", "x", "y").collect()
+    assert (got.pair, got.shift) == (1, 200) and got.anchors >= len(brute_anchors(passage)) * 0.95
 
 
 # 10

@@ -1,7 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A k-mer of tokens is an anchor if the smallest of its inner s-mers (by hash) is its first or last. Whether
-a k-mer is chosen depends on it alone, so equal passages have equal anchors wherever they stand.
+Tokens are cut by what characters are, not by where a run begins: runs of letters, runs of digits, runs of other
+signs, and each character of scripts that put no spaces between words. A run of K tokens is an anchor if the smallest of its
+inner S-token hashes is the first or the last. Whether a run is chosen depends on it alone, so equal passages have
+equal anchors wherever they stand, and an anchor's place tells where.
 """
 
 from __future__ import annotations
@@ -9,75 +11,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import stored, type_of
 
-#: Tokens of long texts: runs of 1 to 12 characters that are not space. k = S + W - 1 tokens.
-WORD_S, WORD_W = 2, 8
-#: Tokens of short texts: code points.
-CHAR_S, CHAR_W = 3, 3
-#: Texts below CHARS_BELOW code points have anchors of code points, texts from WORDS_FROM on anchors of
-#: words. Between them they have both, so a text and its edited form always share a kind.
-CHARS_BELOW, WORDS_FROM = 512, 256
+#: Tokens of an inner hash, inner hashes of an anchor, tokens of an anchor.
+S, W = 2, 6
+K = S + W - 1
+#: Scripts without spaces: South-East Asian ones, kana, CJK, Hangul, full-width forms.
+_SINGLE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
+TOKENS = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}&&[^{_SINGLE}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}{_SINGLE}]+"
 #: Ranges of ids for each shuffle partition.
 RANGES = 8
 
 
-def _with_anchors(df: DataFrame, tokens: Column, s: int, w: int, out: str) -> DataFrame:
-    """df with the hashes of its closed syncmers, in order, in column `out`. Null tokens have none; a text of
-    fewer than k tokens has its tokens as anchors."""
-    k = s + w - 1
-    df = df.withColumn("__h", F.transform(tokens, lambda t: F.xxhash64(t)))
-    if s == 2:
-        pair = F.zip_with("__h", F.slice("__h", 2, F.greatest(F.size("__h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        df = df.withColumn("__s", pair)
-    else:
-        at = F.when(F.size("__h") >= s, F.sequence(F.lit(1), F.size("__h") - (s - 1)))
-        df = df.withColumn("__s", F.transform(at, lambda i: F.xxhash64(F.slice("__h", i, s))))
-    places = F.when(F.size("__h") >= k, F.sequence(F.lit(1), F.size("__h") - (k - 1)))
-    edge = lambda i: F.least(F.element_at("__s", i), F.element_at("__s", i + (w - 1))) == F.array_min(F.slice("__s", i, w))
-    low = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    chosen = F.transform(F.filter(places, edge), lambda i: low(F.xxhash64(F.slice("__h", i, k))))
-    return df.withColumn(out, F.coalesce(chosen, F.transform("__h", low))).drop("__h", "__s")
-
-
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: a struct of the anchors of words and of code points of column `text` (not null)."""
-    n = F.char_length(text)
-    empty = F.array().cast("array<string>")
-    df = _with_anchors(df, F.when(n >= WORDS_FROM, F.regexp_extract_all(text, F.lit(r"\S{1,12}"), F.lit(0))).otherwise(empty), WORD_S, WORD_W, "__w")
-    points = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    df = _with_anchors(df, F.when(n < CHARS_BELOW, points).otherwise(empty), CHAR_S, CHAR_W, "__c")
-    return df.withColumn(out, F.struct(F.col("__w").alias("words"), F.col("__c").alias("chars"))).drop("__w", "__c")
+    """df with `out`: the anchors of column `text` (not null) in order, an array of structs: at (number of the first
+    token, from 1), anchor (64 bits). A text of fewer than K tokens has its tokens as anchors."""
+    df = df.withColumn("__h", F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
+    pair = F.zip_with("__h", F.slice("__h", 2, F.greatest(F.size("__h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("__s", pair)
+    places = F.when(F.size("__h") >= K, F.sequence(F.lit(1), F.size("__h") - (K - 1)))
+    edge = lambda i: F.least(F.element_at("__s", i), F.element_at("__s", i + (W - 1))) == F.array_min(F.slice("__s", i, W))
+    chosen = F.transform(F.filter(places, edge), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("__h", i, K)).alias("anchor")))
+    short = F.transform("__h", lambda h, i: F.struct((i + 1).alias("at"), h.alias("anchor")))
+    return df.withColumn(out, F.coalesce(chosen, short)).drop("__h", "__s")
 
 
-def fingerprint_string(print_: str) -> Column:
-    """The anchors as hexadecimal numbers of 31 bits, words before a "/" and code points after it."""
-    low = lambda c: F.array_join(F.transform(F.col(c), F.hex), " ")
-    return F.concat(low(f"{print_}.words"), F.lit("/"), low(f"{print_}.chars"))
+def fingerprint_string(fp: str) -> Column:
+    """The anchors as hexadecimal numbers, each with its place after an "@"."""
+    return F.array_join(F.transform(F.col(fp), lambda x: F.concat(F.hex(x["anchor"]), F.lit("@"), x["at"].cast("string"))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of the anchors, of the kind that agrees better; 1 for equal fingerprints."""
+    """Jaccard similarity of the sets of anchors; 1 for equal fingerprints, also empty ones."""
+    x, y = F.col(f"{a}.anchor"), F.col(f"{b}.anchor")
+    both = F.size(F.array_intersect(x, y))
+    of_all = both / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - both)
+    return F.when(F.col(a) == F.col(b), 1.0).when(both == 0, 0.0).otherwise(of_all).cast("double")
+
+
+def aligned(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Where one text of a pair stands in the other, by anchors that occur once in either: key (unique in pairs), shift (tokens by
+    which most of them stand later in `b` than in `a`; of equally many the smallest), anchors (how many do). Pairs
+    that share none have no row."""
 
-    def jaccard(kind: str) -> Column:
-        x, y = F.col(f"{a}.{kind}"), F.col(f"{b}.{kind}")
-        both = F.size(F.array_intersect(x, y))
-        return F.when((F.size(x) > 0) & (F.size(y) > 0), both / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - both)).otherwise(0.0)
+    def once(fp: str, at: str) -> DataFrame:
+        each = pairs.select(F.col(key).alias("key"), F.explode(fp).alias("x")).groupBy("key", "x.anchor")
+        return each.agg(F.count(F.lit(1)).alias("n"), F.first("x.at").alias(at)).where("n = 1").drop("n")
 
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(jaccard("words"), jaccard("chars"))).cast("double")
+    shifts = once(a, "at_a").join(once(b, "at_b"), ["key", "anchor"]).groupBy("key", (F.col("at_b") - F.col("at_a")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    best = shifts.groupBy("key").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"))
+    return best.select(F.col("key").alias(key), (-F.col("best.back")).alias("shift"), F.col("best.n").alias("anchors"))
 
 
-def _ranges(docs: DataFrame) -> DataFrame:
-    """part, low, next_low, head: ranges of `at` that hold about as many rows each, RANGES for each shuffle
-    partition, so that tasks get even shares; head is the first place of the next range, after the last that
-    of the first."""
+def _lows(docs: DataFrame) -> list[str]:
+    """The first places (JSON) of ranges of `at` that hold about as many rows each, in order: RANGES for each shuffle
+    partition at most, whatever the number of rows."""
     parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("at").repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
-    lows = stored(ranged.groupBy("part").agg(F.min("at").alias("low")), "ranges")
-    order = Window.orderBy("part")  # a row for each range
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bounds = lows.withColumn("next_low", F.lead("low").over(order))
-    return bounds.withColumn("head", F.coalesce("next_low", F.first("low").over(every)))
+    lows = stored(ranged.groupBy("part").agg(F.min("at").alias("at")), "ranges")
+    return [r[0] for r in lows.orderBy("at").select(F.to_json("at", {"ignoreNullFields": "false"})).collect()]
+
+
+def _in_ranges(docs: DataFrame, lows: list[str], at_type: str) -> DataFrame:
+    """docs with part, the number of the range of `at`, found by bisection of the ranges' first places. The first row of a
+    range (guest) also stands behind the last one of the range before it (that of the first range behind the last of all), marked by `guest`
+    and, in the last range, `after`."""
+    every = F.from_json(F.lit(f"[{','.join(lows)}]"), f"array<{at_type}>")  # folded into one literal
+    n = len(lows)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        right = F.get(every, mid) <= F.col("at")
+        return F.struct(F.when(right, mid).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(mid - 1).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, (n - 1).bit_length())))
+    begin = F.struct(F.lit(0).alias("low"), F.lit(n - 1).alias("high"))
+    # bisection of one place leaves low as it is: the middle of (i, i) is i, and place i is at or before the row
+    placed = docs.withColumn("part", F.aggregate(steps, begin, halve, lambda s: s["low"]))
+    here = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"), F.lit(False).alias("after"))
+    there = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("guest"), (F.col("part") == 0).alias("after"))
+    both = F.when(F.get(every, F.col("part")) == F.col("at"), F.array(here, there)).otherwise(F.array(here))
+    return placed.withColumn("to", F.explode(both)).select(*docs.columns, "to.part", "to.guest", "to.after")
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,31 +99,28 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited form replaces the last floor(n_chars / 4) code points by the first as many (or all) of the
     next document, by id; after the last comes the first. Returns doc_id, n_chars, edited (text), fp and
-    edited_fp (structs, see with_fingerprint), near_edited, near_next.
+    edited_fp (see with_fingerprint), near_edited, near_next.
 
-    Texts are shuffled once, into ranges of ids; only the ranges' bounds are broadcast, a row for each.
-    Defined cases: a null text is empty and has no anchors; equal fingerprints have likeness 1, also
-    empty ones; a null id comes first; equal ids go by text hash; a row that is repeated is a document of
-    its own, next to its copy; a lone document is its own next; other columns are ignored.
+    Texts are shuffled once, into ranges of ids; nothing is broadcast. Defined cases: a null text is empty and has no
+    anchors; a text of fewer than K tokens shares anchors only with others of that kind; equal fingerprints
+    have likeness 1, also empty ones; a null id comes first; equal ids go by text hash; a row that is repeated is a
+    document of its own, next to its copy; a lone document is its own next; other columns are ignored.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("at", F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id"), F.xxhash64("text").alias("tie")))
-    ranges = stored(_ranges(docs), "ranges")
-    bounds = F.broadcast(ranges.select("part", "low", "next_low"))
-    inside = (F.col("at") >= F.col("low")) & (F.col("next_low").isNull() | (F.col("at") < F.col("next_low")))
-    placed = with_fingerprint(docs, "text", "fp").join(bounds, inside).drop("low", "next_low")
-    firsts = docs.join(F.broadcast(ranges.select(F.col("head").alias("at")).distinct()), "at").dropDuplicates(["at"])
-    heads = with_fingerprint(firsts, "text", "fp").select(F.col("at").alias("head"), F.struct("text", "fp").alias("head_doc"))
-    heads = ranges.select("part", "head").join(heads, "head").select("part", "head_doc")
-
-    order = Window.partitionBy("part").orderBy("at")
-    # two leads of plain columns: a struct of them would be shuffled beside them
-    both = placed.withColumns({"after_text": F.lead("text").over(order), "after_fp": F.lead("fp").over(order)}).join(heads, "part")
-    after = F.coalesce("after_text", F.col("head_doc.text"))
-    both = both.select("doc_id", "text", "fp", after.alias("after"), F.coalesce("after_fp", F.col("head_doc.fp")).alias("next_fp"))
+    lows = _lows(docs)
+    if not lows:
+        placed = docs.select("*", F.lit(0).alias("part"), F.lit(False).alias("guest"), F.lit(False).alias("after"))
+    else:
+        placed = _in_ranges(docs, lows, type_of(docs, "at"))
+    # texts alone are shuffled and sorted; anchors are found after that
+    dealt = placed.repartition("part").sortWithinPartitions("part", "after", "at", "guest")
+    order = Window.partitionBy("part").orderBy("after", "at", "guest")
+    both = with_fingerprint(dealt, "text", "fp")
+    both = both.withColumns({"next": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)}).where("not guest")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("after", F.lit(1), cut))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
     both = with_fingerprint(both, "edited", "edited_fp")
     return both.select("doc_id", "n_chars", "edited", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
