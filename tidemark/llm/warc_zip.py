@@ -6,17 +6,22 @@ record: id, offset, length), both uncompressed by ZIP, so a record is a range of
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.shared import map_arrow, new_path, stored, type_of
 
@@ -27,6 +32,8 @@ REVISIT_FROM = 100
 PACKAGE_BYTES = 1 << 30
 #: Neighbouring records are read together up to so many bytes.
 READ_BYTES = 4 << 20
+#: Bytes of packages that a task reads, and of payloads that it hands on at a time.
+TASK_BYTES, BATCH_BYTES = 32 << 20, 32 << 20
 _MAX16, _MAX32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -137,16 +144,26 @@ def data_offset(source, member: Member) -> int:
 # ---- WARC
 
 
-def record(kind: str, page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def urn(page) -> str:
+    """The record id of a page; a null id has one that no other value gives."""
+    return "<urn:no-page>" if page is None else f"<urn:page:{quote(str(page), safe='')}>"
+
+
+def page_of(value: str | None) -> str | None:
+    """The page of a record id, as a string."""
+    return unquote(value[len("<urn:page:") : -1]) if value and value.startswith("<urn:page:") else None
+
+
+def record(kind: str, page, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """A WARC record; a revisit has the HTTP headers without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(page)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -205,11 +222,10 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
                     path, part = f"{folder}/{name}", part + 1
                     zipped = ZipWriter(files.open_output_stream(f"{base}/{name}"))
                     zipped.begin(DATA)
-                of = lambda x: "null" if x is None else str(x)
-                raw = record("response" if refers is None else "revisit", of(page), url, payload, digest, None if refers is None else of(refers))
+                raw = record("response" if refers is None else "revisit", page, url, payload, digest, refers)
                 squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                 member = squeeze.compress(raw) + squeeze.flush()
-                lines.append(json.dumps({"id": of(page), "offset": zipped.size, "length": len(member)}).encode() + b"\n")
+                lines.append(json.dumps({"id": None if page is None else str(page), "offset": zipped.size, "length": len(member)}).encode() + b"\n")
                 zipped.write(member)
                 if zipped.size >= PACKAGE_BYTES:
                     finish()
@@ -242,30 +258,55 @@ def index_entries(packages: DataFrame) -> DataFrame:
     return map_arrow(packages.select("path"), entries, "path string, id string, offset long, length long")
 
 
+def _ranges(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(id, kind, url, refers_to, digest, payload) of a batch of index entries. Neighbours are read at once, one read at a time."""
+    rows, at = sorted(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True)), 0
+    while at < len(rows):
+        path, low, length = rows[at]
+        upto, end = at + 1, low + length
+        while upto < len(rows) and rows[upto][0] == path and rows[upto][1] == end and end - low < READ_BYTES:
+            end += rows[upto][2]
+            upto += 1
+        files, name = _open(path)
+        with files.open_input_file(name) as source:
+            data = source.read_at(end - low, low)
+        for _, o, n in rows[at:upto]:
+            headers, payload = parsed(zlib.decompress(data[o - low : o - low + n], 31))
+            kind, digest = headers["warc-type"], headers["warc-payload-digest"].partition(":")[2]
+            yield page_of(headers["warc-record-id"]), kind, headers.get("warc-target-uri"), page_of(headers.get("warc-refers-to")), digest, payload
+        at = upto
+
+
+def _read(entries: DataFrame, last: str, of_payload) -> DataFrame:
+    """The records of index entries, with of_payload(payload) as the last columns. What a task holds is bounded by bytes."""
+    names = ["id", "kind", "url", "refers_to", "digest", *(x.split(" ")[0] for x in last.split(", "))]
+    ddl = f"id string, kind string, url string, refers_to string, digest string, {last}"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        make = lambda: pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(names)}, schema=schema)
+        for batch in batches:
+            for *head, payload in _ranges(batch):
+                out.append((*head, *(found := of_payload(payload))))
+                held += 200 + sum(len(x) for x in found if isinstance(x, bytes))
+                if held >= BATCH_BYTES:
+                    yield make()
+                    out, held = [], 0
+        if out:
+            yield make()
+
+    return entries.mapInArrow(run, ddl)
+
+
 def read_records(entries: DataFrame) -> DataFrame:
-    """The records of index entries, each read by its range: id, kind, url, refers_to, digest, payload."""
-
-    def read(batch: pa.RecordBatch) -> dict:
-        rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True))
-        out, at = [], 0
-        while at < len(rows):
-            path, low, length = rows[at]
-            upto, end = at + 1, low + length
-            while upto < len(rows) and rows[upto][0] == path and rows[upto][1] == end and end - low < READ_BYTES:
-                end += rows[upto][2]
-                upto += 1
-            files, name = _open(path)
-            with files.open_input_file(name) as source:
-                data = source.read_at(end - low, low)
-            for _, o, n in rows[at:upto]:
-                headers, payload = parsed(zlib.decompress(data[o - low : o - low + n], 31))
-                page = lambda h: headers[h][len("<urn:page:") : -1] if h in headers else None
-                kind, digest = headers["warc-type"], headers["warc-payload-digest"].partition(":")[2]
-                out.append((page("warc-record-id"), kind, headers.get("warc-target-uri"), page("warc-refers-to"), digest, payload))
-            at = upto
-        return {k: [r[i] for r in out] for i, k in enumerate(("id", "kind", "url", "refers_to", "digest", "payload"))}
+    """The records of index entries, each read by its range: id, kind, url, refers_to, digest, payload. The id of a page without one is null."""
+    return _read(entries, "payload binary", lambda payload: (payload,))
+
 
-    return map_arrow(entries, read, "id string, kind string, url string, refers_to string, digest string, payload binary")
+def digest_records(entries: DataFrame) -> DataFrame:
+    """As read_records(), with the payload's bytes (n) and SHA-256 (read), computed where it is read, in its place."""
+    return _read(entries, "n long, read string", lambda payload: (len(payload), hashlib.sha256(payload).hexdigest()))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -274,23 +315,23 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     record_type, refers_to.
 
     Defined cases: a null html is an empty payload; a null URL gives no target header; of rows with equal
-    ids and payloads all with the smallest id are responses; a null id is written as "null" and never
+    ids and payloads all with the smallest id are responses; a null id comes back null and is never
     referred to unless no other has that payload; an empty table writes nothing; other columns are ignored.
     """
     spark = pages.sparkSession
     packages = stored(write_packages(with_revisits(pages, id_col, url_col, html_col), new_path(spark, "warc")), "packages")
-    records = read_records(index_entries(packages).repartition("path", F.floor(F.col("offset") / READ_BYTES)))
-    read = records.select("id", "kind", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("read"), "digest")
-    read = stored(read, "records")
+    # index rows are tiny, so tasks are counted by the bytes that they lead to
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((packages.agg(F.sum("bytes")).first()[0] or 0) / TASK_BYTES))
+    records = digest_records(index_entries(packages).repartition(tasks, "path", F.floor(F.col("offset") / READ_BYTES)))
+    read = stored(records.select("id", "kind", "refers_to", "digest", "n", "read"), "records")
     full = read.where("kind = 'response'").groupBy(F.col("id").alias("refers_to"), "digest").agg(F.first("n").alias("full_n"), F.first("read").alias("full_read"))
     both = read.join(full, ["refers_to", "digest"], "left")
     kind = type_of(pages, id_col)
-    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
     revisit = F.col("kind") == "revisit"
     return both.select(
-        page("id").alias(id_col),
+        F.col("id").cast(kind).alias(id_col),
         F.when(revisit, F.col("full_n")).otherwise(F.col("n")).alias("payload_bytes"),
         F.when(revisit, F.col("full_read")).otherwise(F.col("read")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
-        page("refers_to").alias("refers_to"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
     )
