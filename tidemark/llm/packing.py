@@ -3,8 +3,8 @@
 An example is a vector of tokens, segments (always one) and loss-bearing tokens; a sequence has a limit
 on each. An open sequence takes, of the waiting examples that fit, the one with the largest dot product
 of its vector and the sequence's free room, each in units of the limit. Where examples may be cut, a
-sequence that nothing fits takes part of one, so padding is left only where a limit other than tokens
-closes a sequence.
+sequence that nothing fits takes part of one; a sequence that another limit closes ends at a power of two, which needs no
+padding, and what is beyond it waits again.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.shared import type_of
 
-#: Words whose ids a task keeps at a time.
-CACHED_WORDS = 800_000
+#: Words whose ids a task keeps at a time, and their characters.
+CACHED_WORDS, CACHED_CHARS = 800_000, 16_000_000
 #: Sequences' worth of examples that wait before sequences are filled.
 WAITING = 16
 
@@ -40,7 +40,7 @@ class _Numbers(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that lower-cases and drops spaces and newlines, word by word.
+    """Ids of whole texts. For a tokenizer that lower-cases and drops spaces and newlines, word by word; by whole texts for others.
 
     Words are cut at those two characters only, so the ids of a text are those of its words in order, and
     each distinct word is encoded once. A-Z are lower-cased first to have fewer distinct words, except beside combining marks,
@@ -58,10 +58,13 @@ class WordEncoder:
         ends = [i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
+        of = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        whole, parts = "Some Text,  of\nWORDS ", ("some", "text,", "of", "words")
+        self.by_word = of(whole) == [i for w in parts for i in of(w)] and of(" \n") == []
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers, self.flat, self.begin = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.numbers, self.flat, self.begin, self.chars = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64), 0
 
     def _split(self, text: str) -> list[str]:
         if "<|" not in text:
@@ -98,7 +101,9 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.numbers) > CACHED_WORDS:
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.numbers) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self._reset()
         known = len(self.numbers)
         places = []
@@ -106,6 +111,7 @@ class WordEncoder:
             ws = self._split(t) if t else []
             places.append(np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)))
         if new := list(islice(self.numbers, known, None)):
+            self.chars += sum(map(len, new))
             ids = self._ids(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.flat = np.concatenate((self.flat, *ids))
@@ -169,7 +175,7 @@ class _Packer:
     def _fill_one(self, target: int) -> None:
         room = np.array([target, self.limits.segments, self.limits.loss])
         demand = np.array([(len(x[1]) - x[3], 1, x[2][-1] - x[2][x[3]]) for x in self.wait])
-        free, offset = np.ones(len(self.wait), bool), 0
+        free, offset, placed = np.ones(len(self.wait), bool), 0, []
         while free.any() and room[1] > 0 and room[0] > 0:
             fits = free & (demand <= room).all(1)
             if fits.any():
@@ -187,11 +193,27 @@ class _Packer:
             else:
                 break
             loss = self._place(self.wait[i], n, offset)
+            placed.append((i, n))
             demand[i] -= (n, 0, loss)
             if demand[i, 0] <= 0:
                 free[i] = False
             offset += n
             room = room - (n, 1, loss)
+        if not placed:
+            raise ValueError("the limits let no token into a sequence")
+        if self.cut and offset < target:  # another limit closed it
+            back = offset - (1 << (offset.bit_length() - 1) if offset else 0)
+            offset -= back
+            while back:
+                i, n = placed.pop()
+                x, (row, at, _, sequence, begin, ids, _) = self.wait[i], self.out.pop()
+                less = min(back, n)
+                if n > less:
+                    keep = n - less
+                    self.out.append((row, at, keep, sequence, begin, ids[:keep], int(x[2][at + keep] - x[2][at])))
+                x[3] -= less
+                free[i] = True
+                back -= less
         self.sequence += 1
         self.left -= offset
         self.wait = [x for i, x in enumerate(self.wait) if free[i]]
