@@ -165,7 +165,7 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = self.fixed + zlib.crc32(word) % self.sharing
-        if len(self) < self.fixed + 1_000_000:
+        if len(word) <= 40 and len(self) < self.fixed + 1_000_000:
             self[word] = found
         return found
 

@@ -14,8 +14,8 @@ from tidemark.llm.shared import map_arrow, type_of
 
 #: The mark that stands for a space, and the penalty of an unknown character below the lowest score.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
-#: Words whose counts a task keeps at a time.
-CACHED_WORDS = 800_000
+#: Words whose counts a task keeps at a time, and the characters of the longest of them.
+CACHED_WORDS, CACHED_CHARS = 800_000, 40
 
 
 def pieces_of(model_path: str) -> list[tuple[str, float]]:
@@ -37,7 +37,7 @@ class UnigramCounter(dict):
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
 
-        self.automaton, self.single = ahocorasick.Automaton(), set()
+        self.automaton, self.single, self.longest = ahocorasick.Automaton(), set(), max((len(p) for p, _ in pieces), default=1)
         for piece, score in pieces:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
@@ -48,29 +48,35 @@ class UnigramCounter(dict):
         self.by_byte = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = found = self._best(word)
+        found = self._best(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def _best(self, word: str) -> tuple[int, float]:
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for last, (size, score) in self.automaton.iter(word):
-            ends[last + 1].append((last + 1 - size, score))
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
+        # a piece begins at most `longest` positions back, so the pass keeps a ring of them, whatever the word's length
+        ring = self.longest + 1
+        best, count, unknown = [0.0] * ring, [0] * ring, False
+        found = self.automaton.iter(word)
+        match = next(found, None)
+        for end in range(1, len(word) + 1):
+            ways = []
+            while match is not None and match[0] < end:
+                ways.append((end - match[1][0], match[1][1]))
+                match = next(found, None)
             top, start = None, 0
-            for low, score in sorted(ends[end]):
-                if top is None or best[low] + score > top:
-                    top, start = best[low] + score, low
-            if word[end - 1] not in self.single and (top is None or best[end - 1] + self.unknown > top):
-                best[end], unknown[end] = best[end - 1] + self.unknown, True
-                more = len(word[end - 1].encode()) if self.by_byte else not unknown[end - 1]
-                count[end] = count[end - 1] + more
+            for low, score in sorted(ways):
+                if top is None or best[low % ring] + score > top:
+                    top, start = best[low % ring] + score, low
+            before, at = (end - 1) % ring, end % ring
+            if word[end - 1] not in self.single and (top is None or best[before] + self.unknown > top):
+                more = len(word[end - 1].encode()) if self.by_byte else not unknown
+                best[at], count[at], unknown = best[before] + self.unknown, count[before] + more, True
             else:
-                best[end], count[end] = top, count[start] + 1
-        return count[n], best[n]
+                count[at], best[at], unknown = count[start % ring] + 1, top, False
+        return count[len(word) % ring], best[len(word) % ring]
 
 
 def split(text: str) -> list[str]:
