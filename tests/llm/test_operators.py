@@ -433,6 +433,28 @@ def test_language_cases(spark, sf_dir):
     assert lang_crf.identify(docs(spark, []), labelled).count() == 0
 
 
+def test_language_id_replaces_columns_of_its_names_and_keeps_an_unlabelled_corpus(spark, sf_dir):
+    import corpus_pipeline
+
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = labelled.selectExpr("*", "1 AS score", "'x' AS Lang_Pred", "2 AS shares", "3 AS confidence", "4 AS n_dropped", "5 AS N_Lines")
+    out = lang_crf.identify(clash, labelled)
+    assert out.columns == [*labelled.columns, "n_dropped", "N_Lines", "lang_pred", "score", "shares", "confidence"] and out.first().score != 1
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, clash, sf_dir)
+        assert kept.columns == clash.columns and {(r.score, r.Lang_Pred, r.n_dropped) for r in kept.collect()} == {(1, "x", 4)}
+    bare = labelled.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert corpus_pipeline.language_id(spark, bare, sf_dir).count() == bare.count()
+
+
+def test_training_rows_that_repeat_an_id(spark):
+    same = docs(spark, [(1, text_of(60, i)) for i in range(300)])
+    many = lang_crf.training_segments(same, "doc_id", "text", "lang", 50, 2)
+    assert 20 < len(many) <= 100
+    copies = docs(spark, [(1, text_of(60, 1))] * 300)
+    assert len(lang_crf.training_segments(copies, "doc_id", "text", "lang", 300, 2)) <= 2
+
+
 def test_mixed_languages_pass_the_stage(spark, sf_dir):
     import corpus_pipeline
 
@@ -559,6 +581,37 @@ def test_packing_keeps_all_limits(spark):
         assert sum(r.length for r in mine) == mine[0].doc_tokens
 
 
+def test_short_texts_need_no_padding(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, "the cat sat on it") for i in range(20_000)]
+    got = packing.pack_documents(docs(spark, rows), path).collect()
+    sizes = [sum(r.length for r in x) for x in sequences(got)]
+    assert sum(sizes) == sum({r.doc_id: r.doc_tokens for r in got}.values()) and all(n & (n - 1) == 0 for n in sizes)
+    assert len({(r.doc_id, r.start) for r in got}) == len(got) and max(len(x) for x in sequences(got)) <= 64
+    by = {}
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == by.get(r.doc_id, 0) and r.length > 0
+        by[r.doc_id] = r.start + r.length
+
+
+def test_limits_that_let_nothing_in(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with pytest.raises(Exception, match="let no token"):
+        packing.pack_conversations(spark.createDataFrame([(1, 0, "assistant", "a b c")], "conv_id int, turn int, role string, text string"), path, limits=packing.Limits(64, 4, 0)).collect()
+
+
+def test_word_caches_are_bounded(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHED_CHARS", 1000)
+    encoder, r = packing.WordEncoder(path), random.Random(3)
+    texts = ["".join(r.choice("abcdef") for _ in range(400)) for _ in range(30)]
+    got = [encoder.encode([t])[0].tolist() for t in texts]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and encoder.chars <= 1400
+    counter = token_counts.UnigramCounter([("a", -1.0), ("ab", -1.5)])
+    assert [counter[t][0] > 0 for t in texts] == [True] * 30 and len(counter) == 0
+    assert packing.WordEncoder(path).by_word and not packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
+
+
 # 9
 
 
@@ -652,6 +705,18 @@ def test_warc_round_trip_against_brute_force(spark):
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_batches_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc_zip, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(warc_zip, "TASK_BYTES", 200)
+    rows = [(c, "http://x/" + c, (c + "é") * 300) for c in ("null", "a>b", "x\r\ny", "é %41", "")] + [(None, "u", "z" * 150)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    want = {(i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "response", None) for i, _, h in rows}
+    assert {tuple(r) for r in warc_zip.round_trip(pages).collect()} == want
+    packages = warc_zip.write_packages(warc_zip.with_revisits(pages, "page_id", "url", "html"), f"file://{tmp_path}/w")
+    read = warc_zip.read_records(warc_zip.index_entries(spark.createDataFrame(packages.collect())))
+    assert {(r.id, r.payload.decode()) for r in read.collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_zip_directories(tmp_path):
     import zipfile
 

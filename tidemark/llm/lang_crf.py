@@ -19,8 +19,10 @@ from tidemark.llm.shared import map_arrow, type_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Words whose scores a task keeps at a time; words of one forward-backward pass; words of a segment.
-CACHED_WORDS, PASS_WORDS, SEGMENT = 800_000, 200_000, 64
+#: The columns that identify() adds.
+NAMES = ("lang_pred", "score", "shares", "confidence")
+#: Scores that a task keeps at a time (words times languages), and the words' characters; words of one forward-backward pass; words of a segment.
+CACHED_SCORES, CACHED_CHARS, PASS_WORDS, SEGMENT = 4_000_000, 16_000_000, 200_000, 64
 #: Training sequences.
 LENGTH = 48
 
@@ -203,9 +205,10 @@ def _forward(score: np.ndarray, lengths: np.ndarray, transition: np.ndarray, sta
 
 
 def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, per_document: int) -> list[tuple[str, list[str]]]:
-    """Word segments of a bounded sample: about per_language documents of each language, by a hash of the id,
-    and per_document segments of LENGTH words from each, evenly over its whole text. What reaches the
-    driver is bounded by these parameters and the number of languages."""
+    """Word segments of a bounded sample: about per_language documents of each language, by a hash of id and text,
+    and per_document segments of LENGTH words from each, evenly over its whole text (so of a text of more than
+    per_document x LENGTH words a part is learned from; all of it is labelled). Rows that repeat id and text
+    count once. What reaches the driver is bounded by these parameters and the number of languages."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
@@ -213,7 +216,8 @@ def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     share = F.lit(None)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.2 * per_language / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < share * (1 << 30)
+    row = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    draw = F.pmod(row, F.lit(1 << 30)) < share * (1 << 30)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = []
@@ -225,8 +229,8 @@ def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col:
                     out.append((lang, " ".join(ws[low : low + LENGTH])))
         return {"lang": [x[0] for x in out], "words": [x[1] for x in out]}
 
-    drawn = usable.where(draw).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = map_arrow(drawn, cut, "lang string, words string").collect()
+    drawn = usable.where(draw).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), row.alias("row"))
+    rows = map_arrow(drawn.dropDuplicates(["lang", "row"]).select("lang", "text"), cut, "lang string, words string").collect()
     by: dict[str, list] = {}
     for r in sorted(rows):
         by.setdefault(r.lang, []).append(r.words.split(" "))
@@ -237,42 +241,45 @@ def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col:
 
 def identify(
     documents: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 400, per_document: int = 3,
+    per_language: int = 400, per_document: int = 3, names: tuple[str, str, str, str] = NAMES,
 ) -> DataFrame:
-    """documents with lang_pred, score (the mean marginal of lang_pred over the words, 0 to 1), shares (the mean
+    """documents with four more columns, named by `names`: lang_pred, score (the mean marginal of lang_pred over the words, 0 to 1), shares (the mean
     marginals by language) and confidence (the mean of each word's largest marginal).
 
     The model is fitted on a bounded sample of `labelled` (see training_segments); text and lang_col are all
     it sees. Whole texts are labelled, word by word. Defined cases: a null text, or one without letters, is
-    UNKNOWN with score and confidence 0 and empty shares; so is every text if nothing is labelled; ties go to the first
-    language by name; repeated rows are labelled each; all columns stay as they are. Narrow: no shuffle.
+    UNKNOWN with score and confidence 0 and empty shares; if nothing is labelled every text is UNKNOWN, with a null
+    confidence; ties go to the first language by name; repeated rows are labelled each; all columns stay as they are,
+    but one that is named like a new column is replaced by it. Narrow: no shuffle of documents.
     """
     segments = training_segments(labelled, id_col, text_col, lang_col, per_language, per_document)
     model = fit(segments) if segments else None
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    names = documents.columns
+    kept = [c for c in documents.columns if c.lower() not in {n.lower() for n in names}]
 
     def label(batch: pa.RecordBatch) -> dict:
-        found = _label(batch.column(text_col).to_pylist(), shared.value)
-        out = {c: batch.column(i) for i, c in enumerate(names)}
-        return out | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "shares": [x[2] for x in found], "confidence": [x[3] for x in found]}
+        found = _label(batch.column("text").to_pylist(), shared.value)
+        return {f"c{i}": batch.column(f"c{i}") for i in range(len(kept))} | {n: [x[i] for x in found] for i, n in enumerate(NAMES)}
 
-    schema = ", ".join(f"`{c}` {type_of(documents, c)}" for c in names)
-    return map_arrow(documents, label, f"{schema}, lang_pred string, score double, shares map<string,double>, confidence double")
+    of = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    schema = "".join(f"c{i} {type_of(documents, c)}, " for i, c in enumerate(kept))
+    rows = documents.select(*(of(c).alias(f"c{i}") for i, c in enumerate(kept)), of(text_col).alias("text"))
+    return map_arrow(rows, label, f"{schema}lang_pred string, score double, shares map<string,double>, confidence double").toDF(*kept, *names)
 
 
 class _Scores:
     """The scores of words in a task, kept until there are too many."""
 
     def __init__(self):
-        self.model, self.numbers, self.table = None, {}, None
+        self.model, self.numbers, self.table, self.chars = None, {}, None, 0
 
     def of(self, model: Model, texts: list[list[str]]) -> np.ndarray:
-        if self.model is not model or len(self.numbers) > CACHED_WORDS:
-            self.model, self.numbers, self.table = model, {}, np.empty((0, len(model.labels)))
+        if self.model is not model or len(self.numbers) * len(model.labels) > CACHED_SCORES or self.chars > CACHED_CHARS:
+            self.model, self.numbers, self.table, self.chars = model, {}, np.empty((0, len(model.labels))), 0
         new = list(dict.fromkeys(w for ws in texts for w in ws if w not in self.numbers))
         if new:
             base = len(self.numbers)
+            self.chars += sum(map(len, new))
             self.numbers.update(zip(new, range(base, base + len(new)), strict=True))
             self.table = np.vstack((self.table, model.scores(new)))
         return self.table[np.fromiter((self.numbers[w] for ws in texts for w in ws), np.int64)]
@@ -282,7 +289,7 @@ _SCORES = _Scores()
 
 
 def _label(texts: list[str | None], model: Model | None) -> list[tuple[str, float, dict[str, float], float]]:
-    out = [(UNKNOWN, 0.0, {}, 0.0)] * len(texts)
+    out = [(UNKNOWN, 0.0, {}, 0.0 if model else None)] * len(texts)
     pending: list[tuple[int, list[str]]] = []
 
     def flush():
