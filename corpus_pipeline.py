@@ -18,10 +18,12 @@ LEAST_CONFIDENCE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the texts in languages that the labels know, mixed ones too; lang stays as it was."""
-    found = lang_crf.identify(docs, docs)
-    kept = (F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE)
-    return found.where(kept).select(docs.columns)
+    """Keep the texts in languages that the labels know, mixed ones too; lang stays as it was. Where nothing is labelled no
+    language can be judged, and all texts stay."""
+    names = tuple(free_name(docs, n) for n in lang_crf.NAMES)
+    found = lang_crf.identify(docs, docs, names=names)
+    kept = (F.col(names[0]) != lang_crf.UNKNOWN) & (F.col(names[3]) >= LEAST_CONFIDENCE)
+    return found.where(F.col(names[3]).isNull() | kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
