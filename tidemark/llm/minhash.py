@@ -225,7 +225,8 @@ def near_duplicate_classes(
     counted = nodes.select("node", "n", "bands", F.posexplode("counted").alias("band", "b"))
     rows = rows.union(counted.where(F.col("b") != F.get("bands", F.col("band"))).select("node", "n", "band", "b"))
     low = F.min(F.struct("node", "n")).alias("low")
-    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size"), low).where("size > 1")
+    # stored, so that the join has an exchange of its own, which adaptive execution splits where a bucket is hot
+    shared = stored(rows.groupBy("b").agg(F.count(F.lit(1)).alias("size"), low).where("size > 1"), "shared")
     members = stored(rows.join(shared, "b").select("b", "band", "size", "node", "n", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "buckets")
     alike = F.least("n", "low_n") * share[1] >= F.greatest("n", "low_n") * share[0]
     star = stored(members.where(F.col("node") != F.col("low")).where(alike).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "star")
