@@ -228,6 +228,56 @@ def test_scores_are_those_of_the_words_themselves(spark, monkeypatch, table):
     assert got[1].pseudo_ll - got[2].pseudo_ll == pytest.approx(np.log(40), rel=1e-3)
 
 
+@pytest.mark.parametrize("table", [1 << 16, 700])
+def test_scores_against_brute_force(spark, monkeypatch, table):
+    """Every document's sum, place by place, with the words' units and shares found by plain counting."""
+    monkeypatch.setattr(lm_score, "TABLE", table)
+    trained = []
+    monkeypatch.setattr(lm_score, "train", lambda *a, f=lm_score.train: trained.append(f(*a)) or trained[-1])
+    r = random.Random(5)
+    names = [f"w{i}" for i in range(900)]
+    rows = TEXTS + [(200 + i, " ".join(r.choices(names, weights=range(900, 0, -1), k=r.randint(1, 120)))) for i in range(60)]
+    got = lm_score.score_documents(docs(spark, rows)).collect()
+    net = lm_score.Network.of(trained[0])
+    tokens = len(net.cls) * lm_score.IN_CLASS
+    count = {}
+    for _, t in rows:
+        for w in old_words(t):
+            count[w] = count.get(w, 0) + 1
+    own = sorted(count, key=lambda w: (-count[w], w.encode()))[: tokens - tokens // lm_score.SHARING]
+    rank = {w: i for i, w in enumerate(own)}
+    for w in count:
+        rank.setdefault(w, len(own) + zlib.crc32(w.encode()) % (tokens // lm_score.SHARING))
+    of_unit = {}
+    for w, n in count.items():
+        of_unit[rank[w]] = of_unit.get(rank[w], 0) + n
+    unit = {w: k % len(net.cls) * lm_score.IN_CLASS + k // len(net.cls) for w, k in rank.items()}
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def brute(text):
+        ws, total = old_words(text), 0.0
+        for i, w in enumerate(ws):
+            x = net.bias.copy()
+            for s, off in enumerate(lm_score.SIDES):
+                x = x + net.into[s][unit[ws[i + off]] if 0 <= i + off < len(ws) else tokens]
+            h, (c, k) = np.tanh(x), divmod(unit[w], lm_score.IN_CLASS)
+            total += np.log(softmax(net.cls @ h + net.cls_bias)[c]) + np.log(softmax(net.out[c] @ h + net.out_bias[c])[k]) + np.log(count[w] / of_unit[rank[w]])
+        return len(ws), total
+
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    a = sorted(((x.doc_id, x.n_words, x.pseudo_ll) for x in got), key=key)
+    b = sorted(((i, *brute(t)) for i, t in rows), key=key)
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=1e-4, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "COPY_WORDS", 5000)
+    frame = docs(spark, [(i, text_of(200, 900 + i)) for i in range(60)] + TEXTS)
+    one, many = (sorted((str(r.doc_id), r.n_words, round(r.pseudo_ll, 3)) for r in lm_score.score_documents(frame.repartition(n, "n_chars")).collect()) for n in (1, 7))
+    assert one == many
+
+
 def test_network_grows_with_the_vocabulary():
     sizes = [lm_score.classes_for(n) for n in (1000, 10**6, 10**8)]
     assert sizes[0] == lm_score.CLASSES and sizes[2] > 5 * sizes[1] > 10 * sizes[0]

@@ -35,6 +35,8 @@ TABLE = 1 << 16
 #: Places of a training step, and of a scoring pass.
 STEP, PASS = 4096, 65536
 RATE = 0.1
+#: Words that a copy of the network learns from.
+COPY_WORDS = 2_000_000
 #: Columns of a row in which parameters are summed.
 ROW = 64
 
@@ -135,11 +137,13 @@ def classes_for(distinct: int) -> int:
 
 @dataclass
 class Words:
-    """The most frequent words, the logarithm of each one's share of its unit, and the number of classes."""
+    """The most frequent words, the logarithm of each one's share of its unit, the number of classes, and that of all
+    words of all texts."""
 
     top: list[bytes]
     share: np.ndarray
     classes: int
+    total: int = 0
 
     @property
     def tokens(self) -> int:
@@ -186,7 +190,8 @@ def word_shares(documents: DataFrame, text_col: str) -> tuple[Words, DataFrame]:
     counted = map_arrow(documents.select(F.col(text_col).cast("binary").alias("text")), tally, "word binary, n long")
     counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     top = counted.orderBy(F.desc("n"), "word").limit(TABLE).collect()
-    held = Words([bytes(r.word) for r in top], np.zeros(len(top)), classes_for(counted.count()))
+    distinct, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    held = Words([bytes(r.word) for r in top], np.zeros(len(top)), classes_for(distinct), total)
     sharing = held.tokens - held.known
     unit = F.crc32("word") % sharing
     if len(top) == TABLE:
@@ -235,9 +240,10 @@ def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | N
     return network, total
 
 
-def train(documents: DataFrame, held: Words, text_col: str = "text") -> np.ndarray | None:
-    """Parameters from all texts. Every task trains a copy of one starting network on its whole share; the copies'
-    mean, weighted by words, is the network."""
+def train(documents: DataFrame, held: Words, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
+    """Parameters from all texts. Rows are dealt by a hash of id and text into shares of about COPY_WORDS words, in the order of
+    that hash, so that the shares don't depend on how the input is split. A copy of one starting network is trained on each
+    whole share; the copies' mean, weighted by words, is the network."""
     shared = documents.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +256,9 @@ def train(documents: DataFrame, held: Words, text_col: str = "text") -> np.ndarr
 
     names = ["row", "total", *(f"p{i}" for i in range(ROW))]
     schema = "row long, " + ", ".join(f"{c} double" for c in names[1:])
-    texts = documents.select(F.col(text_col).cast("binary").alias("text"))
+    row = F.xxhash64(F.col(id_col).cast("string"), text_col).alias("row")
+    texts = documents.where(F.col(text_col).isNotNull()).select(row, F.col(text_col).cast("binary").alias("text"))
+    texts = texts.repartition(max(1, math.ceil(held.total / COPY_WORDS)), "row").sortWithinPartitions("row").select("text")
     summed = texts.mapInArrow(run, schema).groupBy("row").agg(*(F.sum(c).alias(c) for c in names[1:])).toPandas()
     if summed.empty:
         return None
@@ -266,7 +274,7 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows are trained on and scored each; an empty table gives no rows; other columns are ignored.
     """
     held_words, rest = word_shares(documents, text_col)
-    shared = documents.sparkSession.sparkContext.broadcast((held_words, train(documents, held_words, text_col)))
+    shared = documents.sparkSession.sparkContext.broadcast((held_words, train(documents, held_words, id_col, text_col)))
 
     def score(batch: pa.RecordBatch) -> dict:
         if _TASK.get("model") is not shared.value:
