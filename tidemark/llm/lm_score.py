@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import map_arrow, stored, type_of, words
 
 #: Least number of classes, units in each, places looked at on both sides, width of the network.
-CLASSES, IN_CLASS, SIDES, WIDTH = 16, 32, (-2, -1, 1, 2), 16
+CLASSES, IN_CLASS, SIDES, WIDTH = 8, 64, (-2, -1, 1, 2), 16
 #: Units of the smallest network.
 TOKENS = CLASSES * IN_CLASS
 #: One unit of so many is shared by words, chosen by a hash; the others are the most frequent words.
@@ -32,9 +32,9 @@ SHARING = 8
 PER_ROOT = 2
 #: Most frequent words that tasks hold with their shares of units; the shares of all others come by a join.
 TABLE = 1 << 16
-#: Places of a training step, and of a scoring pass.
-STEP, PASS = 4096, 65536
-RATE = 0.1
+#: Places of a training step, of a scoring step, and of texts that are laid end to end.
+STEP, SCORED, PASS = 8192, 16384, 65536
+RATE = 0.15
 #: Words that a copy of the network learns from.
 COPY_WORDS = 2_000_000
 #: Columns of a row in which parameters are summed.
@@ -81,46 +81,51 @@ class Network:
         Targets come sorted by class, so each class is one matrix product."""
         x = self.into[0][around[:, 0]]
         for s in range(1, len(SIDES)):
-            x = x + self.into[s][around[:, s]]
+            x += self.into[s][around[:, s]]
         h = np.tanh(x + self.bias)
         c, w = target // IN_CLASS, target % IN_CLASS
-        places = np.arange(len(target))
-        logit = h @ self.cls.T + self.cls_bias
-        logit -= logit.max(1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(1, keepdims=True)
-        score = logit[places, c] - np.log(total[:, 0])
+        score, d = _log_softmax(h @ self.cls.T + self.cls_bias, c, grads)
         if grads:
-            d = -p / total
-            d[places, c] += 1
             g_cls, g_cb, dh = d.T @ h, d.sum(0), d @ self.cls
             g_out, g_ob = np.zeros_like(self.out), np.zeros_like(self.out_bias)
-        edge = np.searchsorted(c, np.arange(len(self.cls) + 1))
-        for k in range(len(self.cls)):
-            a, b = edge[k], edge[k + 1]
+        edge = np.searchsorted(c, np.arange(len(self.cls) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
             if a == b:
                 continue
-            own = np.arange(b - a)
-            logit = h[a:b] @ self.out[k].T + self.out_bias[k]
-            logit -= logit.max(1, keepdims=True)
-            p = np.exp(logit)
-            total = p.sum(1, keepdims=True)
-            score[a:b] += logit[own, w[a:b]] - np.log(total[:, 0])
+            own = h[a:b]
+            more, d = _log_softmax(own @ self.out[k].T + self.out_bias[k], w[a:b], grads)
+            score[a:b] += more
             if grads:
-                d = -p / total
-                d[own, w[a:b]] += 1
-                g_out[k], g_ob[k] = d.T @ h[a:b], d.sum(0)
+                g_out[k], g_ob[k] = d.T @ own, d.sum(0)
                 dh[a:b] += d @ self.out[k]
         if not grads:
             return score, []
         dx = dh * (1 - h * h)
-        g_into = np.zeros_like(self.into)
+        # one count for each side: cell (unit, column) of every place
+        g_into, flat = np.empty_like(self.into), dx.ravel()
+        cells = np.empty(dx.shape, np.int64)
         for s in range(len(SIDES)):
-            for j in range(WIDTH):
-                g_into[s, :, j] = np.bincount(around[:, s], dx[:, j], self.into.shape[1])
+            np.add(around[:, s, None] * WIDTH, np.arange(WIDTH), out=cells)
+            g_into[s] = np.bincount(cells.ravel(), flat, self.into[s].size).reshape(self.into[s].shape)
         return score, [g_into, dx.sum(0), g_cls, g_cb, g_out, g_ob]
 
 
+def _log_softmax(logit: np.ndarray, at: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log-probability of place at[i] of each row, and its gradient by the logits, if asked for. Changes logit."""
+    if np.abs(logit).max() > 60:  # else no row's sum overflows or vanishes
+        logit -= logit.max(1, keepdims=True)
+    rows = np.arange(len(at))
+    own = logit[rows, at]
+    p = np.exp(logit, out=logit)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    score = own - np.log(total)
+    if not grads:
+        return score, None
+    p *= (-1 / total)[:, None]
+    p[rows, at] += 1
+    return score, p
+
+
 def places(ids: list[np.ndarray], tokens: int = TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """The neighbours (places, sides) and the targets of texts of unit ids."""
     far = max(map(abs, SIDES))
@@ -289,8 +294,8 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
             codes = np.concatenate(held)
             around, target = places([vocabulary.units[x] for x in held], network.into.shape[1] - 1)
             got = np.empty(len(target))
-            for low in range(0, len(target), PASS):
-                order = low + np.argsort(target[low : low + PASS], kind="stable")
+            for low in range(0, len(target), SCORED):
+                order = low + np.argsort(target[low : low + SCORED], kind="stable")
                 got[order] = network.log_probs(around[order], target[order])[0]
             got += vocabulary.shares[codes]
             ends = np.cumsum(counts[len(sums) :])
