@@ -50,6 +50,41 @@ def market_score(positive: Column, known: Column) -> Column:
     return choose((known < 3, 1), (positive >= 3, 2), (positive == 2, 1), default=0)
 
 
+def as_shown(x: Column) -> Column:
+    """A rounded number as text, without a zero after the point."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+#: Fixed values, here and below: the sentences that decisions, reports and radars state.
+AUDIT_DETAIL = (
+    "RBA blocker passed, but the exact Aug-15 macro matrix, adjusted-price mirror, original v1.2 exact-ticker runner and full56 baseline bytes were not preserved. "
+    "Promotion remains fail-closed."
+)
+
+
+def divergence_detail(c: dict[str, Column]) -> Column:
+    return F.format_string("Validated Core: USD %s %s vs FX-neutral %s %s.", as_shown(c["usd_score"]), c["usd_regime"], as_shown(c["fxn_score"]), c["fxn_regime"])
+
+
+def vintage_detail(c: dict[str, Column]) -> Column:
+    return F.format_string("Validated Core is %s; production candidate is %s and is not yet CORE.", c["money_date"], c["candidate_date"])
+
+
+def decision_reasons(c: dict[str, Column]) -> Column:
+    """Five, in order."""
+    fixed = lambda x: F.format_number(x, 1)
+    newer = F.format_string(
+        "Newer production-source Money candidate is USD %s / FX-neutral %s as available %s.", fixed(c["candidate_usd_score"]), fixed(c["candidate_fxn_score"]), c["candidate_date"]
+    )
+    return F.array(
+        F.lit("Validated Money Core is divergent: USD Risk-On, FX-neutral Neutral."),
+        F.when(c["candidate_date"].isNotNull(), newer).otherwise("No newer production candidate is available."),
+        F.format_string("Freshness overlay is %s: %s/4 blocks accelerated and %s/4 are expanding YoY.", c["tilt"], c["accelerating"].cast("string"), c["expanding"].cast("string")),
+        F.format_string("Funding remains %s, limiting conviction.", F.lower(c["funding_regime"])),
+        F.format_string("%s/%s primary market turns are currently positive.", c["positive"].cast("string"), F.when(c["known"] == 0, 4).otherwise(c["known"]).cast("string")),
+    )
+
+
 def transmission(money: Column, tier: Column, usd: Column, fxn: Column, tilt: Column) -> dict[str, Column]:
     """Whether money supports the asset: by USD or FX-neutral money where that is its basis, else by the tilt."""
     holds = tilt != "DETERIORATING"

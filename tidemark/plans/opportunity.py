@@ -18,23 +18,23 @@ from tidemark.plans.dims import STATE
 LEVELS = {"real_yield_10y_high": "real10", "real_yield_5y_high": "real5", "hy_oas_high": "hyoas"}
 
 
+#: The numbers of a turn that documents carry.
+TREND = ("price", "ma10", "ma10_slope_3m_pct", "return_3m_pct", "return_6m_pct")
+
+
 def dislocations(prices: DataFrame, cpi: DataFrame, levels: DataFrame, assets: DataFrame, benchmark: str = "SPY") -> DataFrame:
     """The dislocation of each asset by its own model: asset, d_known, d_pass, z60m, d_as_of. An asset whose
     input is missing has none."""
     of = lambda kind: assets.where(F.col("dislocation") == kind).select("asset")
     mine = lambda panel, kind: panel.join(F.broadcast(of(kind)), "asset", "left_semi")
-    relative = features.relative_panel(prices, benchmark)
-    price_models = [
-        features.dislocation(mine(prices, "absolute")),
-        features.dislocation(mine(features.real_panel(prices, cpi), "real")),
-        features.dislocation(mine(relative, "relative_spy")),
-    ]
+    # an asset has one model, so the panels of all price models share one window
+    panel = mine(prices, "absolute").select("asset", "month", "value")
+    panel = panel.unionByName(mine(features.real_panel(prices, cpi), "real")).unionByName(mine(features.relative_panel(prices, benchmark), "relative_spy"))
     series = F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))
     chosen = assets.select("asset", series[F.col("dislocation")].alias("series")).where("series is not null")
     as_of = prices.groupBy("asset").agg(F.max("month").alias("as_of")).join(F.broadcast(chosen), "asset")
     out = features.dislocation(features.level_panel(levels, as_of), log=False, high=True)
-    for x in price_models:
-        out = out.unionByName(x)
+    out = out.unionByName(features.dislocation(panel))
     return out.select("asset", F.col("available").alias("d_known"), F.col("pass").alias("d_pass"), "z60m", F.col("as_of").alias("d_as_of"))
 
 
@@ -43,7 +43,7 @@ def opportunity(assets: DataFrame, prices: DataFrame, cpi: DataFrame, levels: Da
 
     positions: asset, available, pass, crowded, percentile_3y (for all assets). tilt: one row with the summary's
     tilt. Missing factors never count as passes."""
-    turns = features.turn(prices).select("asset", F.col("available").alias("turn_known"), F.col("pass").alias("turn_pass"), "stage", F.col("as_of").alias("price_as_of"))
+    turns = features.turn(prices).select("asset", F.col("available").alias("turn_known"), F.col("pass").alias("turn_pass"), "stage", F.col("as_of").alias("price_as_of"), *TREND)
     held = positions.select("asset", F.col("available").alias("p_known"), F.col("pass").alias("p_pass"), "crowded", "percentile_3y")
     rows = assets.join(turns, "asset", "left").join(dislocations(prices, cpi, levels, assets), "asset", "left").join(held, "asset", "left")
     rows = rows.withColumns({c: yes(F.col(c)) for c in ("turn_known", "turn_pass", "d_known", "d_pass", "p_known", "p_pass", "crowded")})
@@ -57,6 +57,11 @@ def opportunity(assets: DataFrame, prices: DataFrame, cpi: DataFrame, levels: Da
     return rows.withColumn("evidence_tier", research)
 
 
+#: What every decision says of the regime.
+REGIME = {
+    "regime_label": "NEUTRAL", "regime_tilt": "MILD_POSITIVE", "regime_score_status": "NOT_COMPUTED", "regime_provisional": True,
+    "regime_basis": "VALIDATED_MONEY_CORE_FIRST_WITH_CURRENT_RESEARCH_CONFIRMATION",
+}
 #: The markets that confirm a decision.
 CORE_MARKETS = ("SPY", "QQQ", "GLD", "DBC")
 
@@ -71,22 +76,38 @@ def decision(turns: DataFrame, nowcast: DataFrame, state: dict = STATE, only_kno
     funding = rules.funding_regime(F.lit(state["funding_score"]))
     one = markets.crossJoin(F.broadcast(nowcast)).select(  # one row each
         "positive", "known", "tilt", "coverage", "accelerating", "expanding", rules.regime(usd).alias("usd_regime"), rules.regime(fxn).alias("fxn_regime"),
-        rules.agreement(usd, fxn).alias("money_agreement"), funding.alias("funding_regime"),
+        rules.agreement(usd, fxn).alias("money_agreement"), funding.alias("funding_regime"), *(F.lit(v).alias(k) for k, v in REGIME.items()),
+        F.lit(None).cast("double").alias("regime_score"), F.round(usd, 1).alias("usd_score"), F.round(fxn, 1).alias("fxn_score"), F.lit(state["money_date"]).alias("money_date"),
+        F.lit(state["freshness"]).alias("money_freshness"), F.round(F.lit(state["funding_score"]), 1).alias("funding_score"), F.lit(state["funding_date"]).alias("funding_date"),
+        *_candidate(state), F.lit(state["promotion_gate"]).alias("promotion_gate"), F.lit(False).alias("core_replacement_allowed"),
     )
     stale, candidate = F.lit(state["freshness"] == "STALE"), F.lit(state["candidate_date"] is not None)
     parts = rules.conviction(stale, candidate, F.col("money_agreement"), F.col("funding_regime"), rules.market_score(F.col("positive"), F.col("known")))
-    return one.withColumns({k if k.startswith("conviction") else f"score_{k}": v for k, v in parts.items()})
+    one = one.withColumns({k if k.startswith("conviction") else f"score_{k}": v for k, v in parts.items()})
+    return one.withColumn("key_reasons", rules.decision_reasons({c: F.col(c) for c in one.columns}))
+
 
+def _candidate(state: dict) -> list[Column]:
+    """The newer money vintage, null where there is none."""
+    there = state["candidate_date"] is not None
+    usd, fxn = (F.lit(state[k] if there else None).cast("double") for k in ("candidate_usd", "candidate_fxn"))
+    of = {"candidate_date": F.lit(state["candidate_date"]).cast("string"), "candidate_usd_score": F.round(usd, 1), "candidate_fxn_score": F.round(fxn, 1)}
+    of |= {"candidate_usd_regime": F.when(usd.isNotNull(), rules.regime(usd)), "candidate_fxn_regime": F.when(fxn.isNotNull(), rules.regime(fxn))}
+    return [v.alias(k) for k, v in of.items()]
 
-def report_conflicts(decided: DataFrame, positioning_error: Column, state: dict = STATE) -> DataFrame:
-    """(ordinal, type): the conflicts a report states, in order."""
+
+def report_conflicts(decided: DataFrame, positioning_error: Column) -> DataFrame:
+    """(ordinal, type, detail): the conflicts that a report states of a decision, in order."""
+    kind = lambda name, detail: F.struct(F.lit(name).alias("type"), detail.alias("detail"))
+    c = {name: F.col(name) for name in decided.columns}
     kinds = F.array(
-        F.lit("MONEY_DIVERGENCE"),
-        F.when(F.lit(state["candidate_date"] is not None), F.lit("CORE_VINTAGE_LAG")),
-        F.when(F.lit(state["promotion_gate"] == "BLOCKED_MISSING_FROZEN_INPUT_BYTES"), F.lit("CORE_PROMOTION_AUDIT")),
-        F.when(positioning_error.isNotNull(), F.lit("POSITIONING_SOURCE")),
+        kind("MONEY_DIVERGENCE", rules.divergence_detail(c)),
+        F.when(F.col("candidate_date").isNotNull(), kind("CORE_VINTAGE_LAG", rules.vintage_detail(c))),
+        F.when(F.col("promotion_gate") == "BLOCKED_MISSING_FROZEN_INPUT_BYTES", kind("CORE_PROMOTION_AUDIT", F.lit(rules.AUDIT_DETAIL))),
+        F.when(positioning_error.isNotNull(), kind("POSITIONING_SOURCE", positioning_error)),
     )
-    return decided.select(F.posexplode(F.array_compact(kinds)).alias("ordinal", "type"))
+    found = decided.select(F.posexplode(F.array_compact(kinds)).alias("ordinal", "x"))
+    return found.select("ordinal", "x.type", "x.detail")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -126,7 +147,28 @@ def radar(found: DataFrame, prices: DataFrame, benchmark: str = "SPY") -> DataFr
     best = rules.choose((c("preferred_side") == "LONG", c("long_label")), (c("preferred_side") == "SHORT", c("short_label")), default="LOW")
     rows = rows.withColumn("best_asymmetry", best)
     flags = {name: c(name) for name in rows.columns}
-    return rows.withColumns({"conflicts": rules.radar_conflicts(flags), "reasons": rules.radar_reasons(flags), "rank": rules.rank(c("best_asymmetry"), c("phase"))})
+    rows = rows.withColumns({"conflicts": rules.radar_conflicts(flags), "reasons": rules.radar_reasons(flags), "rank": rules.rank(c("best_asymmetry"), c("phase"))})
+    return rows.withColumns({"core_transmission": c("tier") == "CORE", "invalidation": c("downgrade")})
+
+
+def radar_document(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """(asset, document): a radar's row as an endpoint sends it, grouped by subject, with the decision's regime."""
+    of = lambda *names: F.struct(*names)
+    regime = F.struct(F.col("regime_label").alias("label"), F.col("regime_tilt").alias("tilt"), F.col("conviction_label").alias("conviction"), F.col("funding_regime").alias("funding"))
+    one = rows.crossJoin(F.broadcast(decided.select(regime.alias("regime_context"), F.col("money_date"))))  # one row
+    return as_json(
+        one.select(
+            "asset", "asset_class", "core_transmission", "phase", "preferred_side", "best_asymmetry", "regime_context",
+            of(F.col("long_label").alias("label"), F.col("long_evidence").alias("evidence")).alias("long_asymmetry"), of(F.col("short_label").alias("label"), F.col("short_evidence").alias("evidence")).alias("short_asymmetry"),
+            of(F.col("macro_long").alias("long_support"), F.col("macro_short").alias("short_support"), F.col("money").alias("basis"), F.col("t_score").alias("score")).alias("macro"),
+            of(F.col("cheap").alias("cheap_long"), F.col("expensive").alias("expensive_short"), F.col("washed").alias("positioning_washed"), F.col("crowded").alias("positioning_crowded"),
+                F.col("z60m").alias("dislocation_z"), F.col("percentile_3y").alias("positioning_percentile")).alias("contrarian"),
+            of(F.col("trend").alias("stage"), *TREND, F.col("rs_stage").alias("relative_strength")).alias("trend"),
+            "conflicts", F.col("reasons").alias("mechanical_reasons"), "invalidation", of(F.col("price_as_of").alias("price"), F.col("money_date").alias("money")).alias("freshness"),
+        ), "asset",
+    )
+
+
 
 
 #: Radar phases by the bucket they fill, if the asset has a side; phases not to chase need none.

@@ -184,10 +184,17 @@ def _lines(spark: SparkSession, file: str, text: str) -> DataFrame:
     return spark.createDataFrame([(file, i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, text string")
 
 
-@query("SELECT * FROM (VALUES ('CPI', '2020-01', 2.5), ('CPI', '2020-02', 3.0)) t(series, month, value)".replace("2.5", "2.5::DOUBLE").replace("3.0", "3.0::DOUBLE"))
+@query("SELECT * FROM (VALUES ('CPI', '2020-01', 2.5::DOUBLE), ('CPI', '2020-02', 3.0::DOUBLE)) t(series, month, value)")
 def s02_macro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Date and value cells: the last number of each month; ".", blanks and bad dates are no values."""
-    return readers.parse_macro_csv(_lines(spark, "CPI", "DATE,CPI\n2020-01-01,1.5\n2020-01-20,2.5\n2020-01-21,.\n2020-02-01,3\n2020-03-01,\nbad,4"))
+    """The column named for the series, from a start date on: the last number of each month; ".", blanks and bad dates are no values."""
+    text = "DATE,OTHER,CPI\n2019-12-01,8,1\n2020-01-01,9,1.5\n2020-01-20,9,2.5\n2020-01-21,9,.\n2020-02-01,,3\n2020-03-01,9,\nbad,9,4"
+    return readers.parse_macro_csv(_lines(spark, "CPI", text).union(_lines(spark, "PPI", "DATE,CPI\n2020-01-01,1")), "2020-01-01")
+
+
+@query("SELECT * FROM (VALUES ('m2', '2020-01', 2.5::DOUBLE), ('m2', '2020-02', 3.0::DOUBLE)) t(series, month, value)")
+def s06_two_column_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second column, whatever its name."""
+    return readers.parse_two_column_csv(_lines(spark, "m2", "DATE,X\n2020-01-01,1.5\n2020-01-20,2.5\n2020-01-21,.\n2020-02-01,3\n2020-03-01,\nbad,4"))
 
 
 @query("SELECT * FROM (VALUES ('ea', '2026-02', 2.5::DOUBLE), ('ea', '2026-03', 2.75::DOUBLE)) t(file, month, value)")
@@ -212,6 +219,17 @@ def s09_release_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_release_csv(_lines(spark, "d3", RELEASE), "DMABMS")
 
 
+@query("SELECT * FROM (VALUES ('bom', DATE '2015-02-28', 1000.5::DOUBLE), ('cp1252', DATE '2015-03-31', 2000.5::DOUBLE), ('latin', DATE '2015-04-30', 7::DOUBLE)) t(file, date, value)")
+def s09_release_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte order mark before the code, windows-1252 with a quoted number, and bytes that only ISO-8859-1 has."""
+    files = [
+        ("bom", b"\xef\xbb\xbfDMABMS,x\n1000.5,28-Feb-2015"), ("cp1252", 'Date,DMABMS\r\n31/03/2015,"2,000.5",\x96'.encode("latin-1")),
+        ("latin", b"Date\x81,DMABMS\n2015-04-30,7"),
+    ]
+    texts = readers.decode_texts(spark.createDataFrame(files, "file string, content binary"))
+    return readers.parse_release_csv(readers.lines_of(texts), "DMABMS")
+
+
 @query(
     """SELECT l_orderkey::VARCHAR AS market, strftime(l_shipdate, '%Y-%m-%d') AS date, l_quantity AS oi, l_extendedprice AS long, l_tax AS short
     FROM lineitem WHERE l_shipdate >= DATE '2001-10-01' AND l_quantity > 0"""
@@ -714,22 +732,34 @@ def r14_report_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.report(found(spark, sf_dir)).drop("asset_class")
 
 
-@query("SELECT * FROM (VALUES (0, 'MONEY_DIVERGENCE'), (1, 'CORE_VINTAGE_LAG'), (2, 'CORE_PROMOTION_AUDIT')) t(ordinal, type)")
+@query(
+    """SELECT * FROM (VALUES (0, 'MONEY_DIVERGENCE', 'Validated Core: USD 65.7 RISK-ON vs FX-neutral 43 NEUTRAL.'),
+    (1, 'CORE_VINTAGE_LAG', 'Validated Core is 2026-02-28; production candidate is 2026-06-30 and is not yet CORE.'),
+    (2, 'CORE_PROMOTION_AUDIT', 'RBA blocker passed, but the exact Aug-15 macro matrix, adjusted-price mirror, original v1.2 exact-ticker runner and full56 baseline bytes were not preserved. Promotion remains fail-closed.'),
+    (3, 'POSITIONING_SOURCE', 'no column for oi')) t(ordinal, type, detail)"""
+)
 def r15_report_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conflicts that a report states."""
-    return plans.report_conflicts(spark.range(1), F.lit(None).cast("string"))
+    """The conflicts that a report states, with their details."""
+    decided = plans.decision(found(spark, sf_dir), nowcast.summary(dims.nowcast_blocks(spark)))
+    return plans.report_conflicts(decided, F.lit("no column for oi"))
 
 
 @query(
     f"""WITH {FOUND}, m AS (SELECT count(*) FILTER (turn_pass) AS positive, count(*) AS known FROM f3 WHERE turn_known AND asset IN ('SPY', 'QQQ', 'GLD', 'DBC')),
     s AS (SELECT *, CASE WHEN known < 3 THEN 1 WHEN positive >= 3 THEN 2 WHEN positive = 2 THEN 1 ELSE 0 END AS score_market FROM m)
     SELECT positive, known, 'SUPPORTIVE_MIXED' AS tilt, '4/4' AS coverage, 'RISK-ON' AS usd_regime, 'NEUTRAL' AS fxn_regime, 'DIVERGENT' AS money_agreement, 'RESTRICTIVE' AS funding_regime,
-      score_market, (3 + score_market)::INT AS conviction FROM s"""
+      score_market, (3 + score_market)::INT AS conviction, 'NEUTRAL' AS regime_label, 'MILD_POSITIVE' AS regime_tilt, NULL::DOUBLE AS regime_score, 65.7::DOUBLE AS usd_score, 43.0::DOUBLE AS fxn_score,
+      '2026-06-30' AS candidate_date, 59.7::DOUBLE AS candidate_usd_score, 45.3::DOUBLE AS candidate_fxn_score, 'NEUTRAL' AS candidate_usd_regime, 'NEUTRAL' AS candidate_fxn_regime,
+      'BLOCKED_MISSING_FROZEN_INPUT_BYTES' AS promotion_gate, false AS core_replacement_allowed,
+      'Validated Money Core is divergent: USD Risk-On, FX-neutral Neutral.|Newer production-source Money candidate is USD 59.7 / FX-neutral 45.3 as available 2026-06-30.|Freshness overlay is SUPPORTIVE_MIXED: 3/4 blocks accelerated and 4/4 are expanding YoY.|Funding remains restrictive, limiting conviction.|'
+        || positive || '/' || CASE known WHEN 0 THEN 4 ELSE known END || ' primary market turns are currently positive.' AS key_reasons FROM s"""
 )
 def r06_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision's regimes and conviction."""
+    """The decision: regimes, money and its candidate, the gate, conviction and reasons."""
     rows = plans.decision(found(spark, sf_dir), nowcast.summary(dims.nowcast_blocks(spark)))
-    return rows.select("positive", "known", "tilt", "coverage", "usd_regime", "fxn_regime", "money_agreement", "funding_regime", "score_market", "conviction")
+    names = "positive known tilt coverage usd_regime fxn_regime money_agreement funding_regime score_market conviction regime_label regime_tilt regime_score usd_score fxn_score"
+    names += " candidate_date candidate_usd_score candidate_fxn_score candidate_usd_regime candidate_fxn_regime promotion_gate core_replacement_allowed"
+    return rows.select(*names.split(), texts("key_reasons"))
 
 
 _LA = asymmetry_sql("ml", "lc", "tl", "rl", "sc")
@@ -815,13 +845,35 @@ def u03_research_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(every.where("tier = 'CORE'").select("asset"), "asset", "left_anti").select("asset")
 
 
-@query(f"WITH {FOUND} SELECT asset, s_label AS label, action FROM f3")
+_PCT = "round(100 * {0}, 1)"
+
+
+@query(
+    f"""WITH {RADAR} SELECT g5.asset, asset_class, tier = 'CORE' AS core_transmission, phase, side AS preferred_side, best AS best_asymmetry, ll AS long_label, le AS long_evidence, sl AS short_label, se AS short_evidence,
+    ml AS long_support, money AS basis, round(t_score, 1)::DOUBLE AS score, d AS cheap_long, expensive AS expensive_short, washed, crowded, z60m AS dislocation_z, trend AS stage,
+    CASE WHEN p.n >= 13 THEN round(p.value, 4) END AS price, round(p.ma10, 4) AS ma10, {_PCT.format('p.slope')} AS slope, {_PCT.format('p.r3')} AS r3, {_PCT.format('p.r6')} AS r6,
+    {_messages(_CONFLICTS, 6)} AS conflicts, {_messages(_REASONS, 5)} AS reasons, {_messages(_DOWN, 2)} AS invalidation, p.month AS price_as_of, '2026-02-28' AS money_as_of,
+    'NEUTRAL' AS regime, 'MILD_POSITIVE' AS tilt, 'RESTRICTIVE' AS funding FROM g5 LEFT JOIN {last_sql('t')} p ON p.asset = g5.asset"""
+)
 def k01_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as an endpoint sends them, read back."""
-    rows = found(spark, sf_dir).select("asset", "s_label", "action", "upgrade")
-    sent = plans.as_json(rows, "asset")
-    back = F.from_json("document", "asset string, s_label string, action string")
-    return sent.select("asset", back["s_label"].alias("label"), back["action"].alias("action"))
+    """Radar documents as an endpoint sends them, read back whole."""
+    rows = radar_rows(spark, sf_dir)
+    sent = plans.radar_document(rows, plans.decision(found(spark, sf_dir), nowcast.summary(dims.nowcast_blocks(spark))))
+    side = "struct<label:string,evidence:string>"
+    back = sent.select(F.from_json("document", f"""asset string, asset_class string, core_transmission boolean, phase string, preferred_side string, best_asymmetry string, long_asymmetry {side},
+      short_asymmetry {side}, macro struct<long_support:boolean,basis:string,score:double>, regime_context struct<label:string,tilt:string,funding:string>,
+      contrarian struct<cheap_long:boolean,expensive_short:boolean,positioning_washed:boolean,positioning_crowded:boolean,dislocation_z:double>,
+      trend struct<stage:string,price:double,ma10:double,ma10_slope_3m_pct:double,return_3m_pct:double,return_6m_pct:double>, conflicts array<string>, mechanical_reasons array<string>,
+      invalidation array<string>, freshness struct<price:string,money:string>""").alias("j")).select("j.*")
+    names = {
+        "long_asymmetry.label": "long_label", "long_asymmetry.evidence": "long_evidence", "short_asymmetry.label": "short_label", "short_asymmetry.evidence": "short_evidence",
+        "macro.long_support": "long_support", "macro.basis": "basis", "macro.score": "score", "contrarian.cheap_long": "cheap_long", "contrarian.expensive_short": "expensive_short",
+        "contrarian.positioning_washed": "washed", "contrarian.positioning_crowded": "crowded", "contrarian.dislocation_z": "dislocation_z", "trend.stage": "stage", "trend.price": "price",
+        "trend.ma10": "ma10", "trend.ma10_slope_3m_pct": "slope", "trend.return_3m_pct": "r3", "trend.return_6m_pct": "r6", "freshness.price": "price_as_of", "freshness.money": "money_as_of",
+        "regime_context.label": "regime", "regime_context.tilt": "tilt", "regime_context.funding": "funding",
+    }
+    plain = ("asset", "asset_class", "core_transmission", "phase", "preferred_side", "best_asymmetry")
+    return back.select(*plain, *(F.col(k).alias(v) for k, v in names.items()), texts("conflicts"), F.concat_ws("|", "mechanical_reasons").alias("reasons"), texts("invalidation"))
 
 
 @query("SELECT * FROM (VALUES ('us', '2026-07', 5.6::DOUBLE)) t(block, latest_date, latest_yoy)")
@@ -845,6 +897,21 @@ def v02_release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.release_gate(monthly, "1995-01", 80, {"1995-02": -1.0}).select("observations", "latest", "missing", "met", "pass")
 
 
+@query("SELECT 138::BIGINT AS observations, DATE '2026-06-30' AS latest, 0::BIGINT AS missing, 2::BIGINT AS met, true AS pass")
+def v02_release_gate_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of a release that is all it must be: 138 months, none missing, both expected values."""
+    date = F.last_day(F.add_months(F.lit("2015-01-01").cast("date"), F.col("id").cast("int")))
+    release = spark.range(138).select(date.alias("date"), (2000.0 + F.col("id")).alias("value"))
+    return audit.release_gate(release, "2015-01", 138, {"2026-05": 2136.0, "2026-06": 2137.0}).select("observations", "latest", "missing", "met", "pass")
+
+
+@query("SELECT 0::BIGINT AS missing_inputs, true AS gate, 'READY_FOR_EXACT_RERUN' AS decision, false AS promote_to_core")
+def v03_promotion_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inputs there and the gate passed: ready, and still not promoted."""
+    path = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"))
+    return audit.promotion(audit.inputs_present(path, path), v02_release_gate_passes(spark, sf_dir))
+
+
 @query("SELECT n_name AS path, n_regionkey < 3 AS present FROM nation")
 def j09_required_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which required inputs are there."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import any_date, finite, finite_or, last_completed_month, month_key, month_of, number
@@ -48,13 +48,26 @@ def parse_csv_lines(lines: DataFrame, *columns: str) -> DataFrame:
     return both.select("file", "line_no", *(F.when(at(c) > 0, F.get("cells", at(c) - 1)).alias(c) for c in columns))
 
 
-def parse_macro_csv(lines: DataFrame) -> DataFrame:
-    """(file, line_no, text), the file named for its series: first cell a date, second a value; to (series,
-    month, value), the last finite value of each month. Blank cells are no values."""
+def parse_macro_csv(lines: DataFrame, start: str | None = None) -> DataFrame:
+    """(file, line_no, text), the file named for its series: first cell a date, the value in the column that is named for
+    the series; to (series, month, value), the last finite value of each month, of dates from `start` on. Blank
+    cells are no values; a file without that column has none."""
     cells = lines.select(F.col("file").alias("series"), "line_no", F.split(F.trim("text"), ",").alias("c"))
-    rows = cells.select("series", "line_no", month_of(F.get("c", F.lit(0)).try_cast("date")).alias("month"), number(F.get("c", F.lit(1))).alias("value"))
-    rows = rows.where("month is not null and value is not null")
-    return rows.groupBy("series", "month").agg(F.max_by("value", "line_no").alias("value"))
+    head = cells.where("line_no = 0").select("series", F.array_position("c", F.col("series")).cast("int").alias("at"))
+    return _monthly(cells.where("line_no > 0").join(head.where("at > 0"), "series"), F.col("at") - 1, start)
+
+
+def parse_two_column_csv(lines: DataFrame) -> DataFrame:
+    """As parse_macro_csv(), with the value in the second cell, whatever its name."""
+    return _monthly(lines.select(F.col("file").alias("series"), "line_no", F.split(F.trim("text"), ",").alias("c")), F.lit(1), None)
+
+
+def _monthly(cells: DataFrame, at: Column, start: str | None) -> DataFrame:
+    date_of = F.get("c", F.lit(0)).try_cast("date")
+    rows = cells.select("series", "line_no", date_of.alias("date"), number(F.get("c", at)).alias("value"))
+    rows = rows.where("date is not null and value is not null")
+    rows = rows if start is None else rows.where(F.col("date") >= F.lit(start).cast("date"))
+    return rows.groupBy("series", month_of(F.col("date")).alias("month")).agg(F.max_by("value", "line_no").alias("value"))
 
 
 def parse_period_csv(lines: DataFrame) -> DataFrame:
@@ -75,15 +88,42 @@ def parse_survey_json(texts: DataFrame) -> DataFrame:
     return rows.where("month is not null and value is not null")
 
 
+#: What windows-1252 has in the place of the control characters 0x80 to 0x9F of ISO-8859-1.
+_CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def decode_texts(files: DataFrame) -> DataFrame:
+    """(file, content) of bytes to (file, text): UTF-8 without its byte order mark; else windows-1252; else, where that has no
+    character for a byte, ISO-8859-1."""
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    latin = F.decode("content", "ISO-8859-1")
+    western = F.translate(latin, "".join(_CP1252), "".join(_CP1252.values()))
+    other = F.when(latin.rlike("[\x81\x8d\x8f\x90\x9d]"), latin).otherwise(western)
+    return files.select("file", F.regexp_replace(F.coalesce(utf8, other), "^\ufeff", "").alias("text"))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(file, text) to (file, line_no, text) of the lines that are not blank."""
+    return texts.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "text")).where("trim(text) <> ''")
+
+
+def read_release_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Release files of any of the encodings of decode_texts() as (file, line_no, text)."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return lines_of(decode_texts(spark.read.format("binaryFile").load(path).select(name.alias("file"), "content")))
+
+
 def parse_release_csv(lines: DataFrame, code: str) -> DataFrame:
     """A release with free text above its table: the first cell equal to `code` heads the column; below it, rows
-    with a date in one of their first three cells and a positive value. To (file, date, value)."""
-    cells = lines.select("file", "line_no", F.transform(F.split("text", ","), lambda c: F.trim(c)).alias("c"))
+    with a date in one of their first three cells and a positive value. Cells may be quoted, numbers may have
+    thousands separators. To (file, date, value)."""
+    bare = lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))
+    cells = lines.select("file", "line_no", F.transform(F.split("text", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), bare).alias("c"))
     hit = cells.where(F.array_contains("c", code)).select("file", F.struct("line_no", F.array_position("c", code).cast("int").alias("col")).alias("h"))
     hit = hit.groupBy("file").agg(F.min("h").alias("h"))
     rows = cells.join(hit, "file").where(F.col("line_no") > F.col("h.line_no"))
     date = F.coalesce(*(any_date(F.get("c", F.lit(i))) for i in range(3)))
-    rows = rows.select("file", date.alias("date"), number(F.get("c", F.col("h.col") - 1)).alias("value"))
+    rows = rows.select("file", date.alias("date"), number(F.replace(F.get("c", F.col("h.col") - 1), F.lit(","), F.lit(""))).alias("value"))
     return rows.where("date is not null and value > 0")
 
 
