@@ -102,7 +102,7 @@ def test_refusal(spark, date, value, reason):
 def test_positions_hit_once_and_percentile_of_ties(spark):
     rows = spark.createDataFrame([(f"2000-01-0{i}", "GOLD GOLD SILVER", None, 10.0, 5.0, 2.0) for i in range(1, 5)], "date string, market string, commodity string, oi double, long double, short double")
     terms = spark.createDataFrame([("g", ["GOLD", "SILVER"], True), ("n", ["TIN"], True)], "asset string, terms array<string>, with_commodity boolean")
-    got = one(positioning.summary(positioning.series(positioning.matched(rows, terms))))
+    got = one(positioning.summary(positioning.series(positioning.matched(rows, positioning.named(rows, terms)))))
     assert (got.asset, got.percentile, got.z_3y, got.crowded, got["pass"]) == ("g", 100.0, None, True, False)
 
 

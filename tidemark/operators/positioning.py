@@ -11,11 +11,18 @@ from tidemark.functions.exprs import contains_any, yes
 WASHED, CROWDED = 25, 75
 
 
-def matched(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows (market, commodity, …) for every asset of terms (asset, terms, with_commodity) that they name; once an
-    asset, however many of its terms they hold. terms is a table of the universe's size, not of the data's."""
+def named(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(market, commodity, asset): the distinct markets of rows with every asset of terms (asset, terms, with_commodity) that they
+    name; once an asset, however many of its terms they hold. terms is a table of the universe's size, not of the
+    data's, and meets each market once, not each of its rows."""
     text = F.when(F.col("with_commodity"), F.concat_ws(" ", "market", "commodity")).otherwise(F.col("market"))
-    return rows.join(F.broadcast(terms), contains_any(text, F.col("terms"))).drop("terms", "with_commodity")
+    return rows.select("market", "commodity").distinct().join(F.broadcast(terms), contains_any(text, F.col("terms"))).select("market", "commodity", "asset")
+
+
+def matched(rows: DataFrame, assets: DataFrame) -> DataFrame:
+    """rows (market, commodity, …) for every asset of their market in `assets` (see named)."""
+    of = assets.select(F.col("market").alias("__m"), F.col("commodity").alias("__c"), "asset")
+    return rows.join(of, (F.col("market") == F.col("__m")) & F.col("commodity").eqNullSafe(F.col("__c"))).drop("__m", "__c")
 
 
 def series(rows: DataFrame) -> DataFrame:

@@ -68,10 +68,13 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(series.alias("series"), month_of(F.col("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("value")).cache()
 
 
-def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("market"), F.upper("p_type").alias("commodity"))
+
+
+def market_rows(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
     """Weekly positions by market: open interest is all quantity, long and short that of two return flags."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("market"), F.upper("p_type").alias("commodity"))
     of = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0))
     week = F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd").alias("date")
     return (
@@ -90,7 +93,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioning.series(positioning.matched(market_rows(spark, sf_dir), dims.terms(spark, MARKET_TERMS))).cache()
+    """Only lines of parts that name an asset are read into weeks."""
+    parts = markets(spark, sf_dir)
+    assets = positioning.named(parts, dims.terms(spark, MARKET_TERMS)).cache()
+    mine = parts.join(assets.select("market", "commodity"), ["market", "commodity"], "left_semi")
+    return positioning.series(positioning.matched(market_rows(spark, sf_dir, mine), assets)).cache()
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
