@@ -148,6 +148,30 @@ def test_near_duplicates_that_repeat_a_line(spark):
     assert all((low[10 * g] == low[10 * g + k]).sum() >= minhash.AGREE for g in range(16) for k in (1, 2, 3))
 
 
+def test_recall_by_similarity():
+    """Equal-weight signatures against exact Jaccard similarities: bands and registers find what is to be linked, whatever the counts."""
+    r = np.random.default_rng(3)
+    for share in (0.8, 0.85, 0.9, 1.0):
+        sets = []
+        for _ in range(300):
+            own = int(200 * (1 - share) / (1 + share) + 1e-9)  # so that the similarity is share or a little more
+            x = r.integers(0, 2**63, 200 + own).astype(np.uint64)
+            sets += [x[:200], x[own : own + 200]]
+        assert min(len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True)) >= share - 1e-9
+        sig = minhash.signatures(sets, [np.ones(len(x)) for x in sets], minhash.BANDS * minhash.ROWS)
+        bands = minhash.band_hashes(sig, minhash.BANDS, minhash.ROWS)
+        low = (minhash.mixed(sig) & np.uint64(255)).astype(np.uint8)
+        met = (bands[::2] == bands[1::2]).any(1) & ((low[::2] == low[1::2]).sum(1) >= minhash.AGREE)
+        assert met.mean() >= 0.99
+
+
+def test_equal_shingle_sets_with_unequal_counts_are_one_class(spark):
+    base = text_of(60, 41).split()
+    rows = [(i, " ".join([*base, *["again"] * n, *base[::-1]])) for i, n in ((1, 5), (2, 80), (3, 2000))] + [(9, text_of(120, 42))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9}
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     kept = minhash.deduplicate(docs(spark))
     assert kept.columns == docs(spark).columns
