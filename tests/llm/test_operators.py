@@ -511,12 +511,12 @@ def test_language_id_replaces_columns_of_its_names_and_keeps_an_unlabelled_corpu
     import corpus_pipeline
 
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    clash = labelled.selectExpr("*", "1 AS score", "'x' AS Lang_Pred", "2 AS shares", "3 AS confidence", "4 AS n_dropped", "5 AS N_Lines")
+    clash = labelled.selectExpr("*", "1 AS score", "'x' AS Lang_Pred", "2 AS shares", "3 AS confidence", "4 AS n_dropped", "5 AS N_Lines", "6 AS row_key", "7 AS __key")
     out = lang_crf.identify(clash, labelled)
-    assert out.columns == [*labelled.columns, "n_dropped", "N_Lines", "lang_pred", "score", "shares", "confidence"] and out.first().score != 1
+    assert out.columns == [*labelled.columns, "n_dropped", "N_Lines", "row_key", "__key", "lang_pred", "score", "shares", "confidence"] and out.first().score != 1
     for _, stage in corpus_pipeline.STAGES[:4]:
         kept = stage(spark, clash, sf_dir)
-        assert kept.columns == clash.columns and {(r.score, r.Lang_Pred, r.n_dropped) for r in kept.collect()} == {(1, "x", 4)}
+        assert kept.columns == clash.columns and {(r.score, r.Lang_Pred, r.n_dropped, r.row_key, r["__key"]) for r in kept.collect()} == {(1, "x", 4, 6, 7)}
     bare = labelled.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
     assert corpus_pipeline.language_id(spark, bare, sf_dir).count() == bare.count()
 

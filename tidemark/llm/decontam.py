@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bitmap, in_bitmap, map_arrow, row_key, shingle_hashes, stored, type_of, word_hashes, words
+from tidemark.llm.shared import bitmap, free_name, in_bitmap, map_arrow, row_key, shingle_hashes, stored, type_of, word_hashes, words
 
 _WINDOW_SCHEMA = "item string, win string, n int, sh array<long>"
 _RUNS = "runs array<struct<start:int,q:int,text:string,sh:array<bigint>>>"
@@ -150,6 +150,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """documents without the rows of which at least share[0] / share[1] of the words (and one) are hit.
 
     Null and empty texts stay. All columns stay as they are."""
-    marks = contaminated_words(documents, benchmark, id_col, text_col, **kw)
-    bad = marks.where((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).select(F.col("key").alias("__key")).distinct()
-    return documents.join(bad, row_key(id_col, text_col) == F.col("__key"), "left_anti")
+    marks, name = contaminated_words(documents, benchmark, id_col, text_col, **kw), free_name(documents, "row_key")
+    bad = marks.where((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).select(F.col("key").alias(name)).distinct()
+    return documents.join(bad, row_key(id_col, text_col) == F.col(name), "left_anti")

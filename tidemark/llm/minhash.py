@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import _ODD, bitmap, in_bitmap, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
+from tidemark.llm.shared import _ODD, bitmap, free_name, in_bitmap, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
 
 #: 28 bands of 4 registers: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
@@ -263,6 +263,7 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """documents with one row of each near-duplicate class: that of the smallest id, of equal ids that of
     the smallest key. Cases as in near_duplicate_classes; all columns stay as they are."""
     classes = near_duplicate_classes(documents, id_col, text_col, **kw)
-    kept = classes.groupBy("root").agg(F.min_by("key", F.struct("doc_id", "key")).alias("__key")).select("__key")
-    marked = documents.withColumn("__key", row_key(id_col, text_col))
-    return marked.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    name = free_name(documents, "row_key")
+    kept = classes.groupBy("root").agg(F.min_by("key", F.struct("doc_id", "key")).alias(name)).select(name)
+    marked = documents.withColumn(name, row_key(id_col, text_col))
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

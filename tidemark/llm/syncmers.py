@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored, type_of
+from tidemark.llm.shared import free_name, stored, type_of
 
 #: Tokens of an inner hash, inner hashes of an anchor, tokens of an anchor.
 S, W = 2, 6
@@ -26,14 +26,15 @@ RANGES = 8
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the anchors of column `text` (not null) in order, an array of structs: at (number of the first
     token, from 1), anchor (64 bits). A text of fewer than K tokens has its tokens as anchors."""
-    df = df.withColumn("__h", F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
-    pair = F.zip_with("__h", F.slice("__h", 2, F.greatest(F.size("__h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("__s", pair)
-    places = F.when(F.size("__h") >= K, F.sequence(F.lit(1), F.size("__h") - (K - 1)))
-    edge = lambda i: F.least(F.element_at("__s", i), F.element_at("__s", i + (W - 1))) == F.array_min(F.slice("__s", i, W))
-    chosen = F.transform(F.filter(places, edge), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("__h", i, K)).alias("anchor")))
-    short = F.transform("__h", lambda h, i: F.struct((i + 1).alias("at"), h.alias("anchor")))
-    return df.withColumn(out, F.coalesce(chosen, short)).drop("__h", "__s")
+    hashes, pairs = free_name(df, "hashes"), free_name(df, "pairs")
+    df = df.withColumn(hashes, F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
+    after = F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    df = df.withColumn(pairs, F.zip_with(hashes, after, lambda a, b: F.xxhash64(a, b)))
+    places = F.when(F.size(hashes) >= K, F.sequence(F.lit(1), F.size(hashes) - (K - 1)))
+    edge = lambda i: F.least(F.element_at(pairs, i), F.element_at(pairs, i + (W - 1))) == F.array_min(F.slice(pairs, i, W))
+    chosen = F.transform(F.filter(places, edge), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i, K)).alias("anchor")))
+    short = F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("anchor")))
+    return df.withColumn(out, F.coalesce(chosen, short)).drop(hashes, pairs)
 
 
 def fingerprint_string(fp: str) -> Column:
