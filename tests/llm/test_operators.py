@@ -529,6 +529,22 @@ def test_training_rows_that_repeat_an_id(spark):
     assert len(lang_crf.training_segments(copies, "doc_id", "text", "lang", 300, 2)) <= 2
 
 
+def test_labels_do_not_depend_on_what_is_cached(monkeypatch):
+    r = random.Random(5)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    by = {"x": [word("abcde") for _ in range(80)], "y": [word("mnopq") for _ in range(80)]}
+    model = lang_crf.fit([(lang, r.sample(ws, 48)) for lang, ws in by.items() for _ in range(10)], steps=5)
+    texts = [" ".join(r.choice(by[lang]) for _ in range(30)) for lang in "xyxyxyxyxy"] + ["", None, "a" * 5000]
+    want = lang_crf._label(texts, model)
+    monkeypatch.setattr(lang_crf, "_SCORES", lang_crf._Scores())
+    monkeypatch.setattr(lang_crf, "CACHED_SCORES", 100)
+    monkeypatch.setattr(lang_crf, "CACHED_CHARS", 200)
+    monkeypatch.setattr(lang_crf, "PASS_WORDS", 64)
+    for (a, s, shares, c), (b, t, others, d) in zip(lang_crf._label(texts, model), want, strict=True):
+        assert a == b and s == pytest.approx(t) and c == pytest.approx(d) and shares == pytest.approx(others)
+    assert len(lang_crf._SCORES.numbers) < 200
+
+
 def test_mixed_languages_pass_the_stage(spark, sf_dir):
     import corpus_pipeline
 

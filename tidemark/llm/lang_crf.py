@@ -21,8 +21,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: The columns that identify() adds.
 NAMES = ("lang_pred", "score", "shares", "confidence")
-#: Scores that a task keeps at a time (words times languages), and the words' characters; words of one forward-backward pass; words of a segment.
-CACHED_SCORES, CACHED_CHARS, PASS_WORDS, SEGMENT = 4_000_000, 16_000_000, 200_000, 64
+#: Scores that a task keeps at a time (words times languages), and the words' characters; words of one forward-backward pass, each
+#: text's rounded up to whole segments; words of a segment.
+CACHED_SCORES, CACHED_CHARS, PASS_WORDS, SEGMENT = 1_000_000, 4_000_000, 65_536, 64
 #: Training sequences.
 LENGTH = 48
 
@@ -268,21 +269,37 @@ def identify(
 
 
 class _Scores:
-    """The scores of words in a task, kept until there are too many."""
+    """The scores of words in a task. When there are too many, the quarter that was used most stays."""
 
     def __init__(self):
-        self.model, self.numbers, self.table, self.chars = None, {}, None, 0
+        self.model, self.chars = None, 0
+        self.numbers: dict[str, int] = {}
+        self.table, self.used = np.empty((0, 0)), np.empty(0, np.int64)
+
+    def _keep(self, model: Model, most: int) -> None:
+        """Keep at most so many words, the most used ones, and age what is known of their use."""
+        pick = np.sort(np.argsort(-self.used, kind="stable")[:most]) if self.model is model else np.empty(0, np.int64)
+        kept = set(pick.tolist())
+        ws = [w for w, i in self.numbers.items() if i in kept]
+        if (chars := sum(map(len, ws))) > CACHED_CHARS // 2:
+            ws, pick, chars = [], pick[:0], 0
+        self.table = self.table[pick] if len(pick) else np.empty((0, len(model.labels)))
+        self.model, self.chars, self.numbers, self.used = model, chars, {w: i for i, w in enumerate(ws)}, self.used[pick] // 2
 
     def of(self, model: Model, texts: list[list[str]]) -> np.ndarray:
-        if self.model is not model or len(self.numbers) * len(model.labels) > CACHED_SCORES or self.chars > CACHED_CHARS:
-            self.model, self.numbers, self.table, self.chars = model, {}, np.empty((0, len(model.labels))), 0
+        most = CACHED_SCORES // len(model.labels)
+        if self.model is not model or len(self.numbers) > most or self.chars > CACHED_CHARS:
+            self._keep(model, most // 4)
         new = list(dict.fromkeys(w for ws in texts for w in ws if w not in self.numbers))
         if new:
             base = len(self.numbers)
             self.chars += sum(map(len, new))
             self.numbers.update(zip(new, range(base, base + len(new)), strict=True))
             self.table = np.vstack((self.table, model.scores(new)))
-        return self.table[np.fromiter((self.numbers[w] for ws in texts for w in ws), np.int64)]
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        at = np.fromiter((self.numbers[w] for ws in texts for w in ws), np.int64)
+        self.used += np.bincount(at, minlength=len(self.used))
+        return self.table[at]
 
 
 _SCORES = _Scores()
@@ -308,7 +325,7 @@ def _label(texts: list[str | None], model: Model | None) -> list[tuple[str, floa
     for i, text in enumerate(texts if model else []):
         if ws := letters(text):
             pending.append((i, ws))
-            held += len(ws)
+            held += -(-len(ws) // SEGMENT) * SEGMENT
             if held > PASS_WORDS:
                 flush()
                 held = 0

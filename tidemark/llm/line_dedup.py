@@ -34,7 +34,7 @@ LEAST_DOCS = 2
 #: Tokens of a run of marked units that goes from the lines it stands in.
 PASSAGE = 50
 #: Bytes of text that are cut into units together; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -148,15 +148,26 @@ def row_key(id_col: str, text_col: str):
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.col(text_col)).cast("string"))
 
 
+#: Bytes of a batch that are worked on together.
+PART = 1 << 23
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PART bytes, of a row at least."""
+    rows = max(1, batch.num_rows * PART // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with one dict of columns per batch. Columns that pass through keep their Arrow form, so
-    null or large integer ids stay exact."""
+    """mapInArrow with one dict of columns per part of a batch (see PART). Columns that pass through keep their Arrow
+    form, so null or large integer ids stay exact."""
     target = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(each(batch), schema=target)
+            for part in _parts(batch):
+                yield pa.RecordBatch.from_pydict(each(part), schema=target)
 
     return df.mapInArrow(run, schema)
 
