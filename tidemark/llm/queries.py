@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, minhash, packing, syncmers, token_counts, url_rules, warc_zip
+from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, merkle, minhash, packing, syncmers, token_counts, url_rules, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest tree of documents, and whether each document's proof holds after line breaks of every second one went."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, altered=merkle.leaf_digest("doc_id", "source", "lang", "n_chars", text))
+    folded = found.withColumn("folded_root", merkle.fold(F.col("altered"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
