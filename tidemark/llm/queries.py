@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, merkle, minhash, packing, syncmers, token_counts, url_rules, warc_zip
+from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, merkle, minhash, packing, prefix_trie, syncmers, token_counts, url_rules, warc_zip
+from tidemark.llm.shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +110,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations of which up to three first turns come from the twentieth conversation before."""
+    own = stored(prefix_trie.sequences(_table(spark, sf_dir, "conversations")), "conversations")
+    openings = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("opening"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    opening = F.slice(F.coalesce("opening", F.slice("turns", 1, 0)), F.lit(1), h)
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    rebuilt = own.join(openings, F.expr("conv_id - conv_id % 20 = base"), "left").select("conv_id", F.concat(opening, rest).alias("turns"))
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest, op12_prefix_trie)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
