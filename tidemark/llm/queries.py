@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, merkle, minhash, packing, prefix_trie, syncmers, token_counts, url_rules, warc_zip
+from tidemark.llm import decontam, lang_crf, line_dedup, lm_score, merkle, minhash, packing, prefix_trie, syncmers, token_counts, toxicity, url_rules, warc_zip
 from tidemark.llm.shared import stored
 
 
@@ -121,7 +121,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(rebuilt)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest, op12_prefix_trie)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of those whose id's remainder is not 0."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    found = toxicity.score_documents(docs, toxicity.train(docs.where(~held_out), labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest, op12_prefix_trie, op13_toxicity)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
