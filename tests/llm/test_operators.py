@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import subprocess
 import sys
 import zlib
 
@@ -381,37 +382,32 @@ def old_units(text):
     return out
 
 
+def old_templates(ts):
+    """All templates of a unit: of its seven inner parts none, one or two are variable, of at most 0.3 of its tokens; what is
+    constant is half of all at least. Units with more fields have only themselves."""
+    m = tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in ts)
+    n, leaf = len(m), (len(m), m[:3], m[-1])
+    if 2 * m.count("<*>") > n:
+        return [(leaf, "exact", tuple(ts))]
+    out, parts = [(leaf, "line", m)], min(7, n - 4)
+    part = {k: max(p for p in range(parts) if p * (n - 4) <= (k - 3) * parts) for k in range(3, n - 1)}
+    for masked in [set(x) for k in (1, 2) for x in itertools.combinations(range(max(parts, 0)), k)]:
+        gone = [k for k, p in part.items() if p in masked]
+        left = tuple((k, t) for k, t in enumerate(m) if k not in gone)
+        if len(gone) <= 0.3 * n and 2 * (len(gone) + sum(t == "<*>" for _, t in left)) <= n:
+            out.append((leaf, tuple(sorted(masked)), left))
+    return out
+
+
 def old_line_dedup(rows, least_docs=2):
     """Kept text and touched lines by place in rows, which must have different keys."""
-    masked = lambda ts: tuple("<*>" if re.search(r"[0-9@]|://", t) else t for t in ts)
-    leaf_of = lambda m: (len(m), m[:3], m[-1])
-    leaves = {}
-    for _, text in rows:
-        for *_, ts in old_units(text or ""):
-            leaves.setdefault(leaf_of(masked(ts)), set()).add(masked(ts))
-    support = {}
-    for leaf, lines in leaves.items():
-        for m in lines:
-            for k in range(3, len(m) - 1):
-                support[leaf, k, m[k]] = support.get((leaf, k, m[k]), 0) + 1
-
-    def template(ts):
-        m = masked(ts)
-        leaf, fields = leaf_of(m), m.count("<*>")
-        if len(leaves[leaf]) > 1 and len(m) > 4:
-            inner = [(k, m[k]) for k in range(3, len(m) - 1) if m[k] != "<*>"]
-            constant = [x for x in inner if support[leaf, *x] >= max(2, 0.05 * len(leaves[leaf]))]
-            varying = len(inner) - len(constant)
-            if varying <= 0.3 * len(m) and 2 * (fields + varying) <= len(m):
-                return leaf, "template", tuple(constant)
-        return (leaf, "line", m) if 2 * fields <= len(m) else (leaf, "exact", tuple(ts))
-
-    where = {}
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
-    for i in order:
+    where, units = {}, {}
+    for place, i in enumerate(sorted(range(len(rows)), key=lambda i: rows[i][0])):
         for seq, u in enumerate(old_units(rows[i][1] or "")):
-            where.setdefault(template(u[3]), []).append((i, seq))
-    marked = {x for xs in where.values() if len({i for i, _ in xs}) >= least_docs for x in xs[1:]}
+            units[i, seq] = u
+            for t in old_templates(u[3]):
+                where.setdefault(t, []).append((place, seq, i))
+    marked = {(i, seq) for xs in where.values() if len({i for *_, i in xs}) >= least_docs for _, seq, i in sorted(xs)[1:]}
     out = {}
     for i, (_, text) in enumerate(rows):
         if text is None:
@@ -447,9 +443,46 @@ def test_line_dedup_against_brute_force(spark):
     for i in range(120):
         parts = [r.choice(pool) if r.random() < 0.6 else text_of(r.randint(1, 20), 5000 + 100 * i + k) + ". " for k in range(r.randint(0, 12))]
         rows.append((i, "".join(p + r.choice(["\n", " ", "\n\n", " "]) for p in parts)))
-    got = {x.doc_id: (x.text, x.n_dropped) for x in line_dedup.drop_recurring_lines(docs(spark, rows)).collect()}
-    want = old_line_dedup(rows)
-    assert got == want and 50 < sum(n > 0 for _, n in want.values())
+    for least_docs, many in ((2, 50), (4, 20)):
+        got = {x.doc_id: (x.text, x.n_dropped) for x in line_dedup.drop_recurring_lines(docs(spark, rows), least_docs=least_docs).collect()}
+        want = old_line_dedup(rows, least_docs)
+        assert got == want and many < sum(n > 0 for _, n in want.values())
+
+
+@pytest.mark.parametrize("others", [0, 400, 20_000])
+def test_unrelated_lines_change_nothing(spark, others):
+    """Ten documents share a line but for one word; the leaf holds lines of other documents, unlike it and each other."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+    alike = [(i, f"one two three the same words by {words[i]} in the same order end") for i in range(10)]
+    unlike = [(10 + i, " ".join(["one", "two", "three", *("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(3)), r.choice(words), *("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(5)), "end"])) for i in range(others)]
+    got = {x.doc_id: x.text for x in line_dedup.drop_recurring_lines(docs(spark, alike + unlike)).collect()}
+    assert sorted(i for i, t in got.items() if not t) == list(range(1, 10)) and len(got) == 10 + others
+
+
+def test_a_long_text_is_cut_where_units_end(monkeypatch):
+    r = random.Random(9)
+    text = "".join(text_of(r.randint(1, 30), 900 + k) + r.choice(["\n", ". ", "。", "! ", " 日本 ", "\n\n"]) for k in range(300)).encode()
+    whole = line_dedup.Units([text, b"a short one of text", text], 3)
+    monkeypatch.setattr(line_dedup, "BLOCK", 100)
+    parts = line_dedup.Units([text, b"a short one of text", text], 3)
+    for name in ("begin", "end", "doc", "line", "seq", "tokens", "fields", "leaf", "masked", "exact", "codes", "code_at"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
+
+
+def test_memory_of_a_long_text(tmp_path):
+    """A text of 30 MB, in a process that may not have more than 600 MB beyond what imports take."""
+    code = """
+import resource, numpy as np
+from tidemark.llm import line_dedup
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = b"".join(b"a line of words number %d that go on and on. Another sentence of it\\n" % i for i in range(420_000))
+units = line_dedup.Units([text], 3)
+left, n = units.rest(np.arange(len(units.doc)) % 3 == 0)
+print(len(text), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    size, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(line_dedup.__file__) + "/../..").stdout.split())
+    assert size > 29_000_000 and peak < 600
 
 
 @pytest.mark.parametrize("size", [50, 500, 1500])

@@ -2,17 +2,20 @@
 
 A unit is a line, or each of a line's sentences where it has several. A unit goes down the tree by a fixed number
 of steps: its number of tokens, its LEADING first tokens, its last token. A token that holds a digit, an "@" or
-"://" is a variable field from the start. In the leaf, a token at a position is constant if enough of the leaf's
-distinct units have it there, else that position is variable too; what is constant is the unit's template. So a
-template follows from the unit and from counts over its leaf: no order of units matters, no leaf is held by a task.
-A template in enough documents is boilerplate: its first unit in the corpus stays, all others are marked. A line
-goes if all its units are marked; of other lines, marked units go in runs of at least PASSAGE tokens, so that a
-passage is found inside longer lines, or where it is broken into other lines.
+"://" is a variable field from the start. In the leaf, the tokens between are cut into CHUNKS parts; a template of
+a unit is what is left of it when one or two of the parts are taken as variable too. Units of a leaf that vary in
+the same parts only thus share a template. A unit has its templates by itself: no order of units matters, lines that
+are not alike change nothing, and no leaf is held by a task. A template in enough documents is boilerplate: its first
+unit in the corpus stays, all others are marked. A line goes if all its units are marked; of other lines, marked
+units go in runs of at least PASSAGE tokens, so that a passage is found inside longer lines, or where it is broken
+into other lines.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +27,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.llm.shared import _ODD, bitmap, bits_for, in_bitmap, map_arrow, mixed, row_key, stored, type_of
 
 LEADING = 3
-#: A template stands for a unit if it leaves at most this share of its tokens variable beside its fields; and the
-#: constant tokens of a template are at least half of all.
+#: The parts of a unit's inner tokens, of which one or two may vary; each token is a part where there are fewer.
+CHUNKS = 7
+#: A template leaves at most this share of the tokens variable beside fields; and its constant tokens are at least half of all.
 VARIABLE = 0.3
-#: A token is constant at a position if at least two distinct units of the leaf, and this share of them, have it.
-CONSTANT = 0.05
 #: Documents that make a template recur, in the query and the pipeline.
 LEAST_DOCS = 2
 #: Tokens of a run of marked units that goes from the lines it stands in.
 PASSAGE = 50
-#: Bytes of text that are cut into units together; a longer text is a block of its own.
+#: Bytes of text that are cut into units together; a longer text is cut in pieces of about that, at ends of units.
 BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -77,6 +79,44 @@ class Units:
         self.line_at = np.concatenate(([0], newline + 1))
         self.line_doc = np.searchsorted(self.doc_at, self.line_at[:-1], "right") - 1
 
+        found = [self._piece(a, z, least_tokens) for a, z in self._pieces()]
+        for name in found[0] if found else ():
+            setattr(self, name, np.concatenate([x[name] for x in found]))
+        self.code_at = np.concatenate(([0], np.cumsum(np.maximum(self.tokens - LEADING - 1, 0)))).astype(np.int32)
+        self.end = self.end - (b[self.end - 1] == 10)
+        self.line = np.searchsorted(self.line_at, self.begin, "right") - 1
+        self.doc = self.line_doc[self.line]
+        self.seq = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
+
+    @staticmethod
+    def _sentences(b: np.ndarray) -> np.ndarray:
+        """Whether a sentence ends before each byte, and before the end."""
+        cut = np.zeros(len(b) + 1, bool)
+        cut[2:] |= _ENDS[b[:-1]] & ((b[1:] == 32) | (b[1:] == 9))
+        for x, y, z in (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f"):
+            cut[3:] |= (b[:-2] == x) & (b[1:-1] == y) & (b[2:] == z)
+        return cut
+
+    def _pieces(self) -> Iterator[tuple[int, int]]:
+        """Pieces of about BLOCK bytes that end with a unit; a longer one is a single sentence."""
+        a, n = 0, len(self.data)
+        while a < n:
+            z = min(a + BLOCK, n)
+            while z < n:
+                window = self.data[max(a, z - 3) : z + BLOCK]
+                ends = self._sentences(window)
+                ends[1:] |= window == 10
+                at = np.flatnonzero(ends[z - max(a, z - 3) :])
+                if len(at):
+                    z += int(at[0])
+                    break
+                z = min(z + BLOCK, n)
+            yield a, z
+            a = z
+
+    def _piece(self, a: int, z: int, least_tokens: int) -> dict[str, np.ndarray]:
+        b = self.data[a:z]
+        n = len(b)
         space, wide = _SPACE[b], _WIDE[b]
         after = np.zeros(n, bool)  # right after a wide character
         after[3:] = wide[:-3]
@@ -84,14 +124,12 @@ class Units:
         start[1:] &= space[:-1] | wide[1:] | after[1:]
         stop = np.zeros(n + 1, bool)
         stop[1:n] = ~space[:-1] & (space[1:] | start[1:])
+        stop[n] = not space[-1]
         s, e = np.flatnonzero(start), np.flatnonzero(stop)
 
-        cut = np.zeros(n + 1, bool)
-        cut[self.line_at] = True
-        cut[2:n] |= _ENDS[b[:-2]] & ((b[1:-1] == 32) | (b[1:-1] == 9))
-        for a, c, d in (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f"):
-            cut[3:] |= (b[:-2] == a) & (b[1:-1] == c) & (b[2:] == d)
-        cut[n] = True
+        cut = self._sentences(b)
+        cut[0] = cut[n] = True
+        cut[1:] |= b == 10
         at = np.flatnonzero(cut)
         unit = np.searchsorted(at, s, "right") - 1
         count = np.bincount(unit, minlength=len(at) - 1)
@@ -99,11 +137,6 @@ class Units:
         mine = own[unit]
         s, e, count = s[mine], e[mine], count[own]
         first = np.cumsum(count) - count
-        self.tokens, self.begin, self.end = count.astype(np.int32), at[:-1][own], at[1:][own]
-        self.end = self.end - (b[self.end - 1] == 10)
-        self.line = np.searchsorted(self.line_at, self.begin, "right") - 1
-        self.doc = self.line_doc[self.line]
-        self.seq = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
 
         up, down = _powers(n)
         h = np.zeros(n + 1, np.uint64)
@@ -118,18 +151,22 @@ class Units:
         turn = mixed((place + 1).astype(np.uint64) * _ODD)
         total = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0, np.uint64)
         size = count.astype(np.uint64)
-        self.masked = mixed(total(mixed(shown + turn)) + size).view(np.int64)
-        self.exact = mixed(total(mixed(token + turn)) + size).view(np.int64)
-        self.fields = total(field.astype(np.int32)).astype(np.int32) if len(first) else np.empty(0, np.int32)
         steps = [first + np.minimum(k, count - 1) for k in range(LEADING)] + [first + count - 1]
         leaf = size
         for k in steps:
             leaf = mixed(leaf * _ODD + shown[k])
-        self.leaf = leaf.view(np.int64)
         inner = (place >= LEADING) & (place < np.repeat(count, count) - 1)
         code = np.where(field, 0, (token & np.uint64(0x7FFF)).astype(np.int64) + 1).astype(np.int32)
-        self.codes = code[inner]
-        self.code_at = np.concatenate(([0], np.cumsum(np.maximum(count - LEADING - 1, 0)))).astype(np.int32)
+        return {
+            "tokens": count.astype(np.int32),
+            "begin": a + at[:-1][own],
+            "end": a + at[1:][own],
+            "masked": mixed(total(mixed(shown + turn)) + size).view(np.int64),
+            "exact": mixed(total(mixed(token + turn)) + size).view(np.int64),
+            "fields": total(field.astype(np.int32)).astype(np.int32) if len(first) else np.empty(0, np.int32),
+            "leaf": leaf.view(np.int64),
+            "codes": code[inner],
+        }
 
     def rest(self, marked: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The texts without what goes if these units are marked, and the number of lines of each that went or lost units."""
@@ -141,19 +178,18 @@ class Units:
         run = np.cumsum(new) - 1
         long = np.bincount(run, self.tokens)[run] >= PASSAGE
         cut = marked & long & ~whole[self.line]
-        gone = np.zeros(len(self.data) + 1, np.int32)
+        gone = np.zeros(len(self.data) + 1, np.int8)
         np.add.at(gone, self.begin[cut], 1)
         np.add.at(gone, self.end[cut], -1)
-        keep = np.cumsum(gone[:-1]) == 0
+        keep = np.cumsum(gone[:-1], dtype=np.int8) == 0
         touched = np.bincount(self.line[cut], minlength=lines) > 0
-        left = np.concatenate(([0], np.cumsum(keep & ~_SPACE[self.data])))
-        drop = whole | (touched & (left[self.line_at[1:]] == left[self.line_at[:-1]]))
+        drop = whole | (touched & ~np.logical_or.reduceat(keep & ~_SPACE[self.data], self.line_at[:-1]))
         keep &= ~np.repeat(drop, np.diff(self.line_at))
         # the newline of the last line that stays belongs to no text
         stays = np.where(drop, -1, np.arange(lines))
         last = np.maximum.reduceat(stays, np.searchsorted(self.line_doc, np.arange(len(self.doc_at) - 1)))
         keep[self.line_at[last[last >= 0] + 1] - 1] = False
-        ends = np.concatenate(([0], np.cumsum(keep)))[self.doc_at]
+        ends = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, self.doc_at[:-1], dtype=np.int64))))
         out = self.data[keep].tobytes()
         changed = np.bincount(self.line_doc, drop | touched, len(self.doc_at) - 1).astype(np.int64)
         return [out[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], changed
@@ -213,36 +249,74 @@ def _candidates(documents: DataFrame, id_col: str, text_col: str, least_tokens:
     return map_arrow(docs, pick, f"key string, doc_id {type_of(documents, id_col)}, seq int, tokens int, fields int, leaf long, masked long, exact long, codes array<int>")
 
 
+@cache
+def _masks(inner: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Where the parts of so many inner tokens begin (and the end), and the sets of parts that a template may leave variable."""
+    parts = min(CHUNKS, inner)
+    begins = -(-np.arange(parts + 1) * inner // parts)
+    size, most = np.diff(begins), VARIABLE * (inner + LEADING + 1)
+    masks = [m for k in (1, 2) for m in itertools.combinations(range(parts), k) if sum(size[list(m)]) <= most]
+    return begins, masks
+
+
+def _template_hashes(leaf: np.ndarray, fields: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units with equally many inner tokens, the row and hash of every template."""
+    inner, (begins, masks) = codes.shape[1], _masks(codes.shape[1])
+    turn = mixed(np.arange(1, inner + 1, dtype=np.uint64) * _ODD)
+    part = np.add.reduceat(mixed(codes.astype(np.uint64) * _ODD + turn), begins[:-1], axis=1)
+    blank = np.add.reduceat((codes == 0).astype(np.int32), begins[:-1], axis=1)
+    total, size, rows, hashes = part.sum(1), np.diff(begins), [], []
+    for m in masks:
+        at = list(m)
+        fits = np.flatnonzero(2 * (fields - blank[:, at].sum(1) + size[at].sum()) <= inner + LEADING + 1)
+        seed = np.uint64(1 + sum(1 << x for x in m))
+        rows.append(fits)
+        hashes.append(mixed(mixed((total - part[:, at].sum(1))[fits]) + mixed(leaf.view(np.uint64)[fits] * _ODD + seed)))
+    return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
+
+
 def _templates(units: DataFrame) -> DataFrame:
-    """(leaf, masked, template) of the distinct units whose leaf holds others and that a template stands for."""
-    lines = units.groupBy("leaf", "masked").agg(F.first("tokens").alias("tokens"), F.first("fields").alias("fields"))
-    several = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1"), "several")
-    inner = units.where(F.col("tokens") > LEADING + 1).select("leaf", "masked", "tokens", "fields", "codes").join(several, "leaf")
-    inner = inner.groupBy("leaf", "masked").agg(*(F.first(c).alias(c) for c in ("tokens", "fields", "lines", "codes")))
-    inner = stored(inner, "inner").select("leaf", "masked", "tokens", "fields", "lines", F.posexplode("codes").alias("place", "code")).where("code > 0")
-    enough = F.greatest(F.lit(2.0), CONSTANT * F.first("lines"))
-    support = inner.groupBy("leaf", "place", "code").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough")
-    support = stored(support.select("leaf", "place", "code", F.lit(1).alias("known")), "support")
-    kept = inner.join(support, ["leaf", "place", "code"], "left").groupBy("leaf", "masked").agg(
-        F.first("tokens").alias("tokens"), F.first("fields").alias("fields"), F.count_if(F.col("known").isNull()).alias("varying"),
-        F.bit_xor(F.when(F.col("known") == 1, F.xxhash64("place", "code"))).alias("constant"),
-    )
-    fits = (F.col("varying") <= VARIABLE * F.col("tokens")) & (2 * (F.col("fields") + F.col("varying")) <= F.col("tokens"))
-    return kept.where(fits).select("leaf", "masked", F.xxhash64("leaf", F.coalesce("constant", F.lit(0))).alias("template"))
+    """(line, template): the templates of the distinct units whose leaf holds others."""
+    lines = units.where((F.col("tokens") > LEADING + 1) & (2 * F.col("fields") <= F.col("tokens")))
+    lines = stored(lines.groupBy("line").agg(*(F.first(c).alias(c) for c in ("leaf", "fields", "codes"))), "lines")
+    several = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf"), "several")
+
+    def each(batch: pa.RecordBatch) -> dict:
+        names = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("line", "leaf", "fields")]
+        flat, at = batch.column("codes").flatten().to_numpy(), batch.column("codes").value_lengths().to_numpy()
+        begin, out = np.cumsum(at) - at, []
+        for inner in np.unique(at):
+            where = np.flatnonzero(at == inner)
+            rows, hashes = _template_hashes(names[1][where], names[2][where], flat[begin[where][:, None] + np.arange(inner)])
+            out.append((names[0][where][rows], hashes))
+        return {"line": np.concatenate([x for x, _ in out] or [np.empty(0, np.int64)]), "template": np.concatenate([x for _, x in out] or [np.empty(0, np.int64)])}
+
+    return map_arrow(lines.join(several, "leaf").select("line", "leaf", "fields", "codes"), each, "line long, template long")
 
 
 def recurring_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = 3) -> DataFrame:
     """(key, seq): the units to mark, by row_key and their number in the text."""
-    units = stored(_candidates(documents, id_col, text_col, least_tokens, least_docs), "units")
-    templates = stored(_templates(units), "templates")
     alone = F.when(2 * F.col("fields") <= F.col("tokens"), F.xxhash64("leaf", "masked")).otherwise(F.xxhash64("leaf", "masked", "exact"))
-    placed = units.select("key", "doc_id", "seq", "tokens", "fields", "leaf", "masked", "exact").join(templates, ["leaf", "masked"], "left")
-    placed = stored(placed.select("key", "doc_id", "seq", F.coalesce("template", alone).alias("template")), "placed")
-    # a template in fewer documents than that has fewer rows here too
-    by_doc = placed.groupBy("template", "key", "doc_id").agg(F.min("seq").alias("seq"))
+    units = stored(_candidates(documents, id_col, text_col, least_tokens, least_docs).withColumn("line", alone).drop("masked", "exact"), "units")
+    placed = units.select("key", "doc_id", "seq", "line")
+    by_doc = stored(placed.groupBy("line", "key", "doc_id").agg(F.min("seq").alias("seq")), "by-doc")
     first = F.min(F.struct("doc_id", "key", "seq")).alias("first")
-    known = stored(by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), first).where(F.col("docs") >= least_docs).select("template", "first"), "known")
-    return placed.join(known, "template").where((F.col("key") != F.col("first.key")) | (F.col("seq") != F.col("first.seq"))).select("key", "seq")
+    lines = by_doc.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), first, F.min("key").alias("low"), F.max("key").alias("high"))
+    lines = stored(lines, "line-documents")
+    members = stored(_templates(units).join(lines, "line"), "members")
+    shared = members.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = shared.where("n > 1 AND low <> high").select("template", "least")  # two documents at least
+    if least_docs > 2:
+        shared = stored(shared, "shared")
+        docs = members.select("line", "template").join(shared.select("template"), "template").join(by_doc.select("line", "key"), "line")
+        docs = docs.groupBy("template").agg(F.count_distinct("key").alias("docs")).where(F.col("docs") >= least_docs)
+        shared = shared.join(docs.select("template"), "template", "left_semi")
+    # A line that is not the first of all its templates has no unit that stays.
+    judged = members.join(stored(shared, "templates"), "template").groupBy("line").agg(F.bool_or(F.col("least") != F.col("first")).alias("later"))
+    known = lines.join(judged, "line", "left").where((F.col("docs") >= least_docs) | F.col("later").isNotNull())
+    known = stored(known.select("line", F.when(~F.coalesce("later", F.lit(False)), F.col("first")).alias("first")), "known")
+    stays = (F.col("key") == F.col("first.key")) & (F.col("seq") == F.col("first.seq"))
+    return placed.join(known, "line").where(~F.coalesce(stays, F.lit(False))).select("key", "seq")
 
 
 def drop_recurring_lines(
@@ -252,8 +326,8 @@ def drop_recurring_lines(
     """documents with text_col without its recurring lines and passages, and two more columns, named by the last two
     parameters: the number of lines before, and of those that went or lost sentences.
 
-    A template recurs if at least least_docs rows have it. Where no template stands for a unit (see VARIABLE), only units
-    equal but for their fields recur; where fields are more than half of it, only equal ones. Lines end at "\\n". Units of
+    A template recurs if at least least_docs rows have it; so do units that are equal but for their fields, and where fields
+    are more than half of a unit, equal ones. A unit stays if it is the first of all its templates that recur. Lines end at "\\n". Units of
     fewer than least_tokens tokens stay, unless their line has nothing else left. What stays of a line is unchanged.
     Defined cases: a null text stays null with no lines, an empty text is one empty line; of equal ids the first
     unit is by text hash; exactly repeated rows are one document (so they all keep or lose the same lines); an empty
