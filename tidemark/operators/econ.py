@@ -13,10 +13,10 @@ def month_index(month):
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
 
 
-def rolling_z(panel: DataFrame, months: int = 120, least: int = 36) -> DataFrame:
+def rolling_z(panel: DataFrame, months: int = 120, least: int = 36, by: tuple[str, ...] = ("asset",)) -> DataFrame:
     """panel with z over the last `months` calendar months, by the population deviation; null with fewer than
     `least` values."""
-    w = Window.partitionBy("asset").orderBy("__i").rangeBetween(1 - months, 0)
+    w = Window.partitionBy(*by).orderBy("__i").rangeBetween(1 - months, 0)
     x, sd = F.col("value"), F.stddev_pop("value").over(w)
     z = F.when((F.count(x).over(w) >= least) & (sd > 0), (x - F.avg(x).over(w)) / sd)
     return panel.withColumn("__i", month_index(F.col("month"))).withColumn("z", z).drop("__i")
@@ -29,11 +29,28 @@ def money_weights(levels: DataFrame) -> DataFrame:
     return before.join(total, "month").select("series", "month", F.try_divide("base", "total").alias("weight"))
 
 
-def weighted_growth(growth: DataFrame, weights: DataFrame) -> DataFrame:
-    """(month, usd, fxn, fx_effect) of (series, month, usd_yoy, local_yoy): weighted sums, in dollars and in local
+def in_dollars(levels: DataFrame, rates: DataFrame) -> DataFrame:
+    """(series, month, local, rate, usd) of levels (series, month, value) in their own currencies and rates (series, month,
+    rate) in dollars: the last rate known in the month, by one ordered window over both; months before the first are left out."""
+    both = levels.select("series", "month", F.col("value").alias("local")).join(rates.select("series", "month", "rate"), ["series", "month"], "full_outer")
+    rate = F.last("rate", ignorenulls=True).over(Window.partitionBy("series").orderBy("month"))
+    known = both.select("series", "month", "local", rate.alias("rate")).where("local IS NOT NULL AND rate IS NOT NULL")
+    return known.withColumn("usd", F.col("local") * F.col("rate"))
+
+
+def growth(money: DataFrame) -> DataFrame:
+    """(series, month, usd_yoy, local_yoy): per cent over the same calendar month a year before, each end at its own rate."""
+    before = money.select("series", month_shift(F.col("month"), 12).alias("month"), F.col("usd").alias("usd0"), F.col("local").alias("local0"))
+    pct = lambda a, b: 100 * (F.try_divide(a, b) - 1)
+    both = money.join(before, ["series", "month"])
+    return both.select("series", "month", pct("usd", "usd0").alias("usd_yoy"), pct("local", "local0").alias("local_yoy")).where("usd_yoy IS NOT NULL AND local_yoy IS NOT NULL")
+
+
+def weighted_growth(growth: DataFrame, weights: DataFrame, by: tuple[str, ...] = ("month",)) -> DataFrame:
+    """(by, usd, fxn, fx_effect) of (series, month, usd_yoy, local_yoy): weighted sums, in dollars and in local
     currency, and their difference."""
     both = growth.join(weights, ["series", "month"])
-    sums = both.groupBy("month").agg(F.sum(F.col("weight") * F.col("usd_yoy")).alias("usd"), F.sum(F.col("weight") * F.col("local_yoy")).alias("fxn"))
+    sums = both.groupBy(*by).agg(F.sum(F.col("weight") * F.col("usd_yoy")).alias("usd"), F.sum(F.col("weight") * F.col("local_yoy")).alias("fxn"))
     return sums.withColumn("fx_effect", F.col("usd") - F.col("fxn"))
 
 
@@ -50,14 +67,15 @@ def split(panel: DataFrame, first: str = "2015-01", last: str = "2022-12") -> Da
     return panel.withColumn("sample", F.when((m >= first) & (m <= last), "train").when(m > last, "holdout"))
 
 
-def benjamini_hochberg(tests: DataFrame, group: str, key: str, p: str = "p") -> DataFrame:
-    """(group, key, p, q): adjusted p-values in each family of tests; ties by key."""
-    up = Window.partitionBy(group).orderBy(p, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = tests.select(group, key, p, F.row_number().over(up).alias("i"), n.alias("n"))
-    down = Window.partitionBy(group).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("i")).over(down))
-    return ranked.select(group, key, p, q.alias("q"))
+def benjamini_hochberg(tests: DataFrame, group: str | tuple[str, ...], key: str | tuple[str, ...], p: str = "p", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(group, key, p, q, keep): adjusted p-values in each family of tests; ties by key."""
+    group, key = ((x,) if isinstance(x, str) else x for x in (group, key))
+    up = Window.partitionBy(*group).orderBy(p, *key)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    ranked = tests.select(*group, *key, p, *keep, F.row_number().over(up).alias("__i"), n.alias("__n"))
+    down = Window.partitionBy(*group).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__i")).over(down))
+    return ranked.select(*group, *key, p, q.alias("q"), *keep)
 
 
 def hac_error(panel: DataFrame, column: str, lags: int) -> DataFrame:

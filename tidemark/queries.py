@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import any_date, finite_or, month_key, month_of, number, score_of_z
-from tidemark.operators import audit, econ, features, nowcast, positioning, rules
+from tidemark.operators import audit, econ, features, inference, nowcast, positioning, refusals, rules, vintages
 from tidemark.plans import dims
 from tidemark.plans import opportunity as plans
 from tidemark.sources import readers, sinks
@@ -113,6 +113,16 @@ def money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series", month_of(F.col("o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("value")).cache()
 
 
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, month, rate): a currency for each region, but AMERICA has the dollar; none is published in June."""
+    t = lambda n: table(spark, sf_dir, n)
+    where = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("series"))
+    who = t("supplier").join(F.broadcast(where), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "series")  # nations are few
+    rows = t("lineitem").where(F.month("l_shipdate") != 6).join(who, F.col("l_suppkey") == F.col("s_suppkey"))
+    mean = rows.groupBy("series", month_of(F.col("l_shipdate")).alias("month")).agg(F.avg(1 + F.col("l_tax") - F.col("l_discount")).alias("rate"))
+    return mean.withColumn("rate", F.when(F.col("series") == "AMERICA", 1.0).otherwise(F.col("rate")))
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tilt = nowcast.summary(dims.nowcast_blocks(spark))
     return plans.opportunity(dims.assets(spark), prices(spark, sf_dir), cpi(spark, sf_dir), levels(spark, sf_dir), positions(spark, sf_dir), tilt)
@@ -959,16 +969,72 @@ def x03_money_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return econ.money_weights(money(spark, sf_dir)).select("series", "month", *r6("weight"))
 
 
+FX = """rate AS (SELECT r_name AS series, strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN r_name = 'AMERICA' THEN 1.0 ELSE avg(1 + l_tax - l_discount) END AS rate
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    WHERE strftime(l_shipdate, '%m') <> '06' GROUP BY 1, 2),
+  usd AS (SELECT m.series, m.month, any_value(m.value) AS local, any_value(m.value) * arg_max(rate, r.month) AS usd FROM money m JOIN rate r ON m.series = r.series AND r.month <= m.month GROUP BY 1, 2),
+  grow AS (SELECT a.series, a.month, 100 * (a.usd / b.usd - 1) AS usd_yoy, 100 * (a.local / b.local - 1) AS local_yoy
+    FROM usd a JOIN usd b ON a.series = b.series AND a.month = strftime((b.month || '-01')::DATE + INTERVAL 12 MONTH, '%Y-%m'))"""
+
+
 @query(
-    f"""WITH {MO}, b AS (SELECT series, strftime((month || '-01')::DATE + INTERVAL 12 MONTH, '%Y-%m') AS month, value FROM money),
-    w AS (SELECT series, month, value / sum(value) OVER (PARTITION BY month) AS weight FROM b)
-    SELECT month, round(sum(weight * yoy), 6) AS usd, round(sum(weight * (yoy - 1)), 6) AS fxn, round(sum(weight * yoy) - sum(weight * (yoy - 1)), 6) AS fx_effect FROM yoy JOIN w USING (series, month) GROUP BY 1"""
+    f"""WITH {MO}, {FX}, b AS (SELECT series, strftime((month || '-01')::DATE + INTERVAL 12 MONTH, '%Y-%m') AS month, usd FROM usd),
+    w AS (SELECT series, month, usd / sum(usd) OVER (PARTITION BY month) AS weight FROM b)
+    SELECT month, round(sum(weight * usd_yoy), 6) AS usd, round(sum(weight * local_yoy), 6) AS fxn, round(sum(weight * usd_yoy) - sum(weight * local_yoy), 6) AS fx_effect FROM grow JOIN w USING (series, month) GROUP BY 1"""
 )
 def x04_weighted_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted growth in two currencies and the difference."""
-    m = money(spark, sf_dir)
-    growth = nowcast.yoy(m).select("series", "month", F.col("yoy").alias("usd_yoy"), (F.col("yoy") - 1).alias("local_yoy"))
-    return econ.weighted_growth(growth, econ.money_weights(m)).select("month", *r6("usd", "fxn", "fx_effect"))
+    """Weighted growth in dollars and in local currencies, at the rates of both ends of the year, and the difference."""
+    both = econ.in_dollars(money(spark, sf_dir), rates(spark, sf_dir))
+    return econ.weighted_growth(econ.growth(both), econ.money_weights(both.select("series", "month", F.col("usd").alias("value")))).select("month", *r6("usd", "fxn", "fx_effect"))
+
+
+# Pairs of a month with itself and with up to as many months before as the horizon has, as sums by regression.
+_TAIL = "(((((1.330274429 * k - 1.821255978) * k + 1.781477937) * k - 0.356563782) * k + 0.319381530) * k)"
+_INFER = f"""WITH {P}, {MO}, {FX}, scen AS (SELECT unnest([0.85, 1.0, 1.15])::DOUBLE AS scenario),
+    b AS (SELECT scenario, series, strftime((month || '-01')::DATE + INTERVAL 12 MONTH, '%Y-%m') AS month, usd * CASE WHEN series = 'EUROPE' THEN scenario ELSE 1 END AS base FROM usd, scen),
+    w AS (SELECT scenario, series, month, base / sum(base) OVER (PARTITION BY scenario, month) AS weight FROM b),
+    g AS (SELECT scenario, month, sum(weight * usd_yoy) AS usd, sum(weight * local_yoy) AS fxn FROM grow JOIN w USING (series, month) GROUP BY 1, 2),
+    ch AS (SELECT scenario, month, 'gbm_usd' AS channel, usd AS value FROM g UNION ALL SELECT scenario, month, 'gbm_fxn', fxn FROM g),
+    z AS (SELECT scenario, channel, month, CASE WHEN count(value) OVER v >= 12 AND stddev_pop(value) OVER v > 0 THEN (value - avg(value) OVER v) / stddev_pop(value) OVER v END AS z
+      FROM (SELECT *, {_I} AS i FROM ch) WINDOW v AS (PARTITION BY scenario, channel ORDER BY i RANGE BETWEEN 119 PRECEDING AND CURRENT ROW)),
+    x AS (SELECT scenario, channel, strftime((month || '-01')::DATE + INTERVAL 1 MONTH, '%Y-%m') AS month, z AS x FROM z WHERE z IS NOT NULL),
+    r AS (SELECT asset, month, h AS horizon, ln(CASE h WHEN 1 THEN lead(value, 1) OVER v WHEN 3 THEN lead(value, 3) OVER v WHEN 6 THEN lead(value, 6) OVER v ELSE lead(value, 12) OVER v END) - ln(value) AS y
+      FROM price, (SELECT unnest([1, 3, 6, 12]) AS h) WINDOW v AS (PARTITION BY asset, h ORDER BY month)),
+    o AS (SELECT scenario, channel, asset, horizon, CASE WHEN month <= '1999-06' THEN 'train' ELSE 'holdout' END AS sample, month, x, y FROM x JOIN r USING (month) WHERE y IS NOT NULL AND month >= '1995-01'),
+    c AS (SELECT scenario, channel, asset, horizon, sample, row_number() OVER (PARTITION BY scenario, channel, asset, horizon, sample ORDER BY month) AS i,
+      x - avg(x) OVER (PARTITION BY scenario, channel, asset, horizon, sample) AS c, y - avg(y) OVER (PARTITION BY scenario, channel, asset, horizon, sample) AS d FROM o),
+    b1 AS (SELECT scenario, channel, asset, horizon, sample, count(*) AS n, sum(c * d) / sum(c * c) AS beta, sum(c * c) AS xx FROM c GROUP BY ALL),
+    s AS (SELECT c.scenario, c.channel, c.asset, c.horizon, c.sample, c.i, n, beta, xx, c.c * (c.d - beta * c.c) AS e FROM c JOIN b1 USING (scenario, channel, asset, horizon, sample)),
+    v AS (SELECT a.scenario, a.channel, a.asset, a.horizon, a.sample, any_value(a.n) AS n, any_value(a.beta) AS beta,
+        sqrt(greatest(sum(CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / (a.horizon + 1.0)) END * a.e * b.e), 0)) / any_value(a.xx) AS se
+      FROM s a JOIN s b ON a.scenario = b.scenario AND a.channel = b.channel AND a.asset = b.asset AND a.horizon = b.horizon AND a.sample = b.sample AND b.i BETWEEN a.i - a.horizon AND a.i GROUP BY ALL),
+    t AS (SELECT *, beta / se AS t FROM v WHERE se > 0 AND n >= 8),
+    p AS (SELECT *, 1 / (1 + 0.2316419 * abs(t)) AS k FROM t),
+    q AS (SELECT *, least(1, 2 * exp(-t * t / 2) / sqrt(2 * pi()) * {_TAIL}) AS p FROM p),
+    f AS (SELECT *, row_number() OVER (PARTITION BY scenario, sample ORDER BY p, channel, asset, horizon) AS i, count(*) OVER (PARTITION BY scenario, sample) AS m FROM q),
+    h AS (SELECT *, least(1, min(p * m / i) OVER (PARTITION BY scenario, sample ORDER BY i DESC)) AS q FROM f),
+    out AS (SELECT a.scenario, a.channel, a.asset, a.horizon, a.n AS n_train, a.beta AS beta_train, a.t AS t_train, a.q AS q_train, b.n AS n_holdout, b.beta AS beta_holdout, b.t AS t_holdout, b.q AS q_holdout,
+        sign(a.beta) = sign(b.beta) AS same_direction, CASE WHEN b.q > 0.1 THEN 'NOT_SIGNIFICANT' WHEN sign(a.beta) = sign(b.beta) THEN 'SUPPORTED' ELSE 'REVERSED' END AS outcome
+      FROM h a JOIN h b USING (scenario, channel, asset, horizon) WHERE a.sample = 'train' AND b.sample = 'holdout')"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = econ.in_dollars(money(spark, sf_dir), rates(spark, sf_dir))
+    channels = inference.channels(both, "EUROPE", least=12)
+    return inference.matrix(inference.regressions(inference.observations(channels, prices(spark, sf_dir), "1995-01", "1999-06")))
+
+
+@query(f"{_INFER} SELECT scenario, channel, asset, horizon, n_train, n_holdout, same_direction, outcome, {', '.join(f'round({c}, 5) AS {c}' for c in ('beta_train', 't_train', 'q_train', 'beta_holdout', 't_holdout', 'q_holdout'))} FROM out")
+def x06_inference_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of returns on money growth with sandwich errors and discovery rates, train against holdout, under stress."""
+    rounded = [F.round(c, 5).alias(c) for c in ("beta_train", "t_train", "q_train", "beta_holdout", "t_holdout", "q_holdout")]
+    return _matrix(spark, sf_dir).select("scenario", "channel", "asset", "horizon", "n_train", "n_holdout", "same_direction", "outcome", *rounded)
+
+
+@query(f"{_INFER} SELECT scenario, count(*) AS tests, count(*) FILTER (same_direction) AS same_direction, count(*) FILTER (outcome = 'SUPPORTED') AS supported, count(*) FILTER (outcome = 'REVERSED') AS reversed FROM out GROUP BY 1")
+def x09_inference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many slopes hold, and how many reverse, in each scenario."""
+    return inference.summary(_matrix(spark, sf_dir))
 
 
 _FWD = ", ".join(f"round(ln(lead(value, {h}) OVER w) - ln(value), 6) AS fwd_{h}" for h in (1, 3, 6, 12))
@@ -1002,3 +1068,97 @@ def x09_bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.pmod(F.col("n_nationkey") * 37, F.lit(100)) + 1) / 200.0
     tests = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("family"), F.col("n_nationkey").alias("test"), p.cast("double").alias("p"))
     return econ.benjamini_hochberg(tests, "family", "test").select("family", "test", *r6("p", "q"))
+
+
+# ---- what was known when
+
+_RELEASES = """rel AS (SELECT l_linenumber AS series, strftime(l_shipdate, '%Y-%m') AS month, l_shipdate::DATE + (15 + l_quantity)::INT AS published, l_extendedprice AS value, l_returnflag = 'N' AS promoted FROM lineitem),
+  ask AS (SELECT DISTINCT series, last_day(o_orderdate)::DATE AS date FROM orders, (SELECT unnest(range(1, 8)) AS series))"""
+
+
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item is a release for the month it ships in, published some weeks later; those not returned are promoted."""
+    published = F.date_add(F.col("l_shipdate").cast("date"), (15 + F.col("l_quantity")).cast("int")).alias("published")
+    promoted = (F.col("l_returnflag") == "N").alias("promoted")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("series"), month_of(F.col("l_shipdate")).alias("month"), published, F.col("l_extendedprice").alias("value"), promoted)
+
+
+@query(
+    f"""WITH {_RELEASES}, hit AS (SELECT series, date, max({{'month': month, 'published': published, 'value': value}}) AS candidate,
+      max({{'month': month, 'published': published, 'value': value}}) FILTER (promoted) AS core FROM ask JOIN rel USING (series) WHERE published <= date GROUP BY 1, 2)
+    SELECT series, date, core.month AS core_month, core.published AS core_published, core.value AS core_value, candidate.month AS candidate_month, candidate.published AS candidate_published,
+      candidate.value AS candidate_value, candidate IS NOT NULL AND (core IS NULL OR candidate > core) AS ahead FROM ask LEFT JOIN hit USING (series, date)"""
+)
+def x05_known_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the end of each month with orders: the latest vintage that was published, of the core and of all releases."""
+    ends = table(spark, sf_dir, "orders").select(F.last_day("o_orderdate").alias("date")).distinct()
+    return vintages.known_at(ends.select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("series"), "date"), releases(spark, sf_dir))
+
+
+# ---- what was refused
+
+_DAMAGED = f"""pr AS (SELECT c_nationkey AS n, strftime(o_orderdate, '%Y-%m') AS month, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS value FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE strftime(o_orderdate, '%Y-%m') <= '2001-07' GROUP BY 1, 2),
+  used AS (SELECT n, month, value FROM pr WHERE n % 5 <> 1 AND (n % 5 <> 2 OR month < '1995-0' || (1 + n % 9)))"""
+
+
+def damaged_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asset, text): a price chart for each nation, made of its orders; of every five nations one chart is cut off in its text and
+    one ends after a few months."""
+    who = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    monthly = features.month_last(orders, "n", "o_orderdate", "o_totalprice", "o_orderkey")
+    keep = (F.pmod("asset", F.lit(5)) != 2) | (F.col("month") < F.concat(F.lit("1995-0"), (1 + F.col("asset") % 9).cast("string")))
+    points = monthly.groupBy("asset").agg(F.array_sort(F.collect_list(F.when(keep, F.struct("month", "value")))).alias("p"))  # a row for each month
+    times, close = F.transform("p", lambda x: F.unix_timestamp(F.concat(x["month"], F.lit("-15")), "yyyy-MM-dd")), F.transform("p", lambda x: x["value"])
+    result = F.struct(times.alias("timestamp"), F.struct(F.array(F.struct(close.alias("close"))).alias("quote")).alias("indicators"))
+    text = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")))
+    return points.select("asset", F.when(F.pmod("asset", F.lit(5)) == 1, F.left(text, F.lit(9))).otherwise(text).alias("text"))
+
+
+def damaged_surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text): survey results for each region, made of its customers; two regions' have another status, one a bad value."""
+    where = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    counts = table(spark, sf_dir, "customer").join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are few
+    value = F.when((F.col("n_regionkey") == 3) & (F.col("c_nationkey") % 2 == 0), "n/a").otherwise(F.round(F.sum("c_acctbal")).cast("long").cast("string"))
+    cells = counts.groupBy("n_regionkey", "c_nationkey").agg(value.alias("v")).select("n_regionkey", F.struct(F.format_string("2001%02d", 1 + F.col("c_nationkey") % 12).alias("d"), "v").alias("x"))
+    cells = cells.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a row for each nation
+    values = F.struct(F.transform("x", lambda y: y["d"]).alias("SURVEY_DATES"), F.transform("x", lambda y: y["v"]).alias("VALUES"))
+    status = F.when(F.col("n_regionkey").isin(1, 4), 500 + F.col("n_regionkey")).otherwise(200)
+    body = F.struct(status.alias("STATUS"), F.when(F.col("n_regionkey") == 4, F.repeat(F.lit("down "), 200)).alias("MESSAGE"), F.array(F.struct(values.alias("VALUES"))).alias("RESULTSET"))
+    return cells.select(F.col("n_regionkey").cast("string").alias("file"), F.to_json(body).alias("text"))
+
+
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("Report_Date_as_YYYY_MM_DD"), F.col("l_returnflag").alias("Market_and_Exchange_Names"), F.col("l_quantity").alias("Open_Interest_All"))
+    return refusals.together(
+        refusals.price_charts(damaged_charts(spark, sf_dir), AS_OF)[1], refusals.surveys(damaged_surveys(spark, sf_dir))[1], refusals.positions(raw, "financial", "1995-01-01")[1]
+    )
+
+
+@query(
+    f"""WITH {_DAMAGED}, c AS (SELECT n, (SELECT count(*) FROM used u WHERE u.n = p.n) AS m FROM (SELECT DISTINCT n FROM pr) p)
+    SELECT 'price' AS source, 'parse' AS stage, n::VARCHAR AS key, CASE WHEN n % 5 = 1 THEN 'no price chart in the text' ELSE 'insufficient price history: ' || m || ' of 12 completed months' END AS message
+      FROM c WHERE n % 5 = 1 OR m < 12
+    UNION ALL SELECT 'survey', 'status', r_regionkey::VARCHAR, left('status ' || (500 + r_regionkey) || ': ' || CASE WHEN r_regionkey = 4 THEN repeat('down ', 200) ELSE 'no message' END, 500)
+      FROM region WHERE r_regionkey IN (1, 4)
+    UNION ALL SELECT DISTINCT 'survey', 'parse', '3', 'no month and number: 2001' || lpad((1 + c_nationkey % 12)::VARCHAR, 2, '0') || ', n/a' FROM customer JOIN nation ON c_nationkey = n_nationkey
+      WHERE n_regionkey = 3 AND c_nationkey % 2 = 0
+    UNION ALL SELECT 'positions', 'schema', 'financial', 'no column for long, short'"""
+)
+def r13_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every refused input with its message: charts, surveys, and positions without two columns."""
+    return _refusals(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_DAMAGED}, c AS (SELECT n, (SELECT count(*) FROM used u WHERE u.n = p.n) AS m FROM (SELECT DISTINCT n FROM pr) p)
+    SELECT n AS asset, CASE WHEN m >= 12 THEN m ELSE 0 END AS months, CASE WHEN n % 5 = 1 THEN 'no price chart in the text' WHEN m < 12 THEN 'insufficient price history: ' || m || ' of 12 completed months' END AS error FROM c"""
+)
+def r13_errors_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asset with the months that its chart gives, and the error of those that give none: a bad chart drops no other."""
+    charts = damaged_charts(spark, sf_dir)
+    rows, bad = refusals.price_charts(charts, AS_OF)
+    counts = rows.groupBy("asset").agg(F.count(F.lit(1)).alias("months"))
+    assets = charts.select("asset").join(counts, "asset", "left").select("asset", F.coalesce("months", F.lit(0)).alias("months"))
+    return refusals.with_errors(assets, bad, "asset", "price")

@@ -22,18 +22,24 @@ SURVEY = "STATUS int, MESSAGE string, RESULTSET array<struct<VALUES:struct<SURVE
 LEAST_MONTHS = 12
 
 
-def parse_price_chart(texts: DataFrame, as_of: str) -> DataFrame:
+def price_months(texts: DataFrame, as_of: str) -> DataFrame:
     """(asset, text of a chart in JSON) to (asset, month, value): the adjusted close, or the close where that is
-    not finite, of the last entry of each completed month. Assets with fewer than LEAST_MONTHS are left out."""
-    one = texts.select("asset", F.from_json("text", CHART)["chart"]["result"][0].alias("r"))
+    not finite, of the last entry of each completed month."""
+    one = texts.select("asset", F.get(F.from_json("text", CHART)["chart"]["result"], F.lit(0)).alias("r"))
+    values = lambda x: F.coalesce(x, F.array().cast("array<double>"))  # noqa: E731, a chart may lack one of the two
     cells = F.arrays_zip(
-        F.col("r.timestamp").alias("t"), F.get(F.col("r.indicators.adjclose"), F.lit(0))["adjclose"].alias("a"),
-        F.get(F.col("r.indicators.quote"), F.lit(0))["close"].alias("c"),
+        F.col("r.timestamp").alias("t"), values(F.get(F.col("r.indicators.adjclose"), F.lit(0))["adjclose"]).alias("a"),
+        values(F.get(F.col("r.indicators.quote"), F.lit(0))["close"]).alias("c"),
     )
     rows = one.select("asset", F.posexplode(cells).alias("pos", "x"))
     rows = rows.select("asset", "pos", month_of(F.timestamp_seconds("x.t")).alias("month"), finite_or(F.col("x.a"), F.col("x.c")).alias("value"))
     rows = rows.where(finite(F.col("value")) & (F.col("month") <= last_completed_month(as_of)))
-    monthly = rows.groupBy("asset", "month").agg(F.max_by("value", "pos").alias("value"))
+    return rows.groupBy("asset", "month").agg(F.max_by("value", "pos").alias("value"))
+
+
+def parse_price_chart(texts: DataFrame, as_of: str) -> DataFrame:
+    """As price_months(); assets with fewer than LEAST_MONTHS are left out."""
+    monthly = price_months(texts, as_of)
     enough = F.count(F.lit(1)).over(Window.partitionBy("asset")) >= LEAST_MONTHS
     return monthly.withColumn("__n", enough).where("__n").drop("__n")
 
