@@ -34,9 +34,8 @@ PER_LABEL, NEGATIVES, HARD, ROUNDS = 4000, 2000, 1000, 2
 #: A witness has at least this share of its document's highest evidence, and log-odds of more than this.
 SHARE, LEAST_ODDS = 0.3, 2.0
 _SIGNS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
-_SHORT = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
-#: Characters of a run of short tokens that is read as one.
-_RUN = 3 * WINDOW
+#: Runs of tokens of one or two characters, and of one.
+_SHORT, _SINGLE = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)"), re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
 def segments(text: str | None) -> set[str]:
@@ -45,9 +44,10 @@ def segments(text: str | None) -> set[str]:
         return set()
     low = text.lower()
     found = {s for w in set(low.split()) if (s := w.strip(_SIGNS))}
-    for run in _SHORT.findall(low):
-        whole = "".join(run.split()).strip(_SIGNS)
-        found.update(whole[at : at + WINDOW] for at in range(0, max(1, len(whole) - WINDOW // 2), WINDOW // 2))
+    for short in _SHORT.findall(low):
+        for run in (short, *_SINGLE.findall(short)):
+            whole = "".join(run.split()).strip(_SIGNS)
+            found.update(whole[at : at + WINDOW] for at in range(0, max(1, len(whole) - WINDOW // 2), WINDOW // 2))
     found.discard("")
     return found
 
