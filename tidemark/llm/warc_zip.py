@@ -184,13 +184,16 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """page, url, payload, digest, refers_to (null: a response). Of equal payloads of at least REVISIT_FROM
-    bytes, the rows with the smallest id are responses."""
+    bytes, the rows with the smallest id are responses. Payloads are shuffled by page and digest, so pages that share
+    one are written by many tasks."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= REVISIT_FROM).groupBy("digest")
-    first = long.agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "digest", "left").select("page", "url", "payload", "digest", F.when(F.col("page") > F.col("first"), F.col("first")).alias("refers_to"))
+    long = stored(rows.where(F.octet_length("payload") >= REVISIT_FROM).select("page", "digest"), "digests")
+    first = stored(long.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    # a digest that many pages share meets them here, without payloads, in a join that adaptive execution can split
+    revisits = stored(long.join(first, "digest").where("page > first").select("page", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    return rows.join(revisits, ["page", "digest"], "left").select("page", "url", "payload", "digest", "refers_to")
 
 
 def write_packages(rows: DataFrame, folder: str) -> DataFrame:
@@ -325,7 +328,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     records = digest_records(index_entries(packages).repartition(tasks, "path", F.floor(F.col("offset") / READ_BYTES)))
     read = stored(records.select("id", "kind", "refers_to", "digest", "n", "read"), "records")
     full = read.where("kind = 'response'").groupBy(F.col("id").alias("refers_to"), "digest").agg(F.first("n").alias("full_n"), F.first("read").alias("full_read"))
-    both = read.join(full, ["refers_to", "digest"], "left")
+    both = read.join(stored(full, "responses"), ["refers_to", "digest"], "left")
     kind = type_of(pages, id_col)
     revisit = F.col("kind") == "revisit"
     return both.select(
