@@ -9,6 +9,7 @@ padding, and what is beyond it waits again.
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -134,12 +135,15 @@ class Limits:
 
 
 class _Packer:
-    """Packs the examples of one task; what it holds is bounded by WAITING sequences and one batch."""
+    """Packs the examples of one task; what it holds is bounded by WAITING sequences' tokens, as many examples, and one batch.
+
+    Waiting examples of equal vectors form a class, first come first served, so a choice costs the classes (a few hundred
+    where all lengths wait), not the examples."""
 
     def __init__(self, limits: Limits, cut: bool, first_sequence: int):
         self.limits, self.cut, self.sequence = limits, cut, first_sequence
-        self.wait: list[list] = []  # [row, ids, sums of loss marks, begin]
-        self.left = 0  # tokens that wait
+        self.classes: dict[tuple[int, int], list] = {}  # (tokens, loss) to a heap of (number, [row, ids, sums of loss marks, begin])
+        self.left, self.waiting, self.number = 0, 0, 0  # tokens and examples that wait, examples so far
         self.out: list[tuple] = []
         self.size = np.array([limits.tokens, limits.segments, limits.loss], float)
 
@@ -149,6 +153,19 @@ class _Packer:
         item[3] += n
         return int(loss[at + n] - loss[at])
 
+    def _wait(self, number: int, item: list) -> None:
+        key = (len(item[1]) - item[3], int(item[2][-1] - item[2][item[3]]))
+        heapq.heappush(self.classes.setdefault(key, []), (number, item))
+        self.waiting += 1
+
+    def _take(self, key: tuple[int, int]) -> tuple[int, list]:
+        heap = self.classes[key]
+        number, item = heapq.heappop(heap)
+        if not heap:
+            del self.classes[key]
+        self.waiting -= 1
+        return number, item
+
     def add(self, row: tuple, ids: np.ndarray, loss: np.ndarray) -> None:
         sums = np.concatenate(([0], np.cumsum(loss)))
         item = [row, ids, sums, 0]
@@ -159,64 +176,80 @@ class _Packer:
         if not self.cut and (len(ids) > most or sums[-1] > self.limits.loss):
             raise ValueError(f"an example of {len(ids)} tokens exceeds a sequence and may not be cut")
         if len(ids) > item[3] or not len(ids):
-            self.wait.append(item)
+            self._wait(self.number, item)
+            self.number += 1
             self.left += len(ids) - item[3]
-        if self.left >= 2 * WAITING * most:
+        if max(self.left, self.waiting) >= 2 * WAITING * most:
             self.fill(WAITING * most)
 
     def fill(self, keep: int) -> None:
-        """Fill sequences until at most `keep` tokens wait."""
-        while self.left > keep or (self.wait and not keep):
+        """Fill sequences until at most `keep` tokens and examples wait."""
+        while max(self.left, self.waiting) > keep:
             target = self.limits.tokens
             if self.cut and self.left < target:  # the task's last tokens: lengths that need no padding
                 target = 1 << max(0, self.left.bit_length() - 1)
             self._fill_one(target)
 
+    def _best(self, room: np.ndarray) -> tuple[tuple[int, int], bool] | None:
+        """The class to take from, and whether it fits whole: of those that fit, the largest dot product; else the one of most
+        tokens, where examples may be cut. Of equal ones that whose first example came first."""
+        keys = list(self.classes)
+        demand = np.array([(n, 1, loss) for n, loss in keys])
+        fits = (demand <= room).all(1)
+        if not fits.any() and not self.cut:
+            return None
+        value = np.where(fits, (demand / self.size) @ (room / self.size), -1.0) if fits.any() else demand[:, 0]
+        same = np.flatnonzero(value == value.max())
+        return min((keys[i] for i in same), key=lambda k: self.classes[k][0][0]), bool(fits.any())
+
     def _fill_one(self, target: int) -> None:
         room = np.array([target, self.limits.segments, self.limits.loss])
-        demand = np.array([(len(x[1]) - x[3], 1, x[2][-1] - x[2][x[3]]) for x in self.wait])
-        free, offset, placed = np.ones(len(self.wait), bool), 0, []
-        while free.any() and room[1] > 0 and room[0] > 0:
-            fits = free & (demand <= room).all(1)
-            if fits.any():
-                value = np.where(fits, (demand / self.size) @ (room / self.size), -1.0)
-                i = int(np.argmax(value))
-                n = int(demand[i, 0])
-                free[i] = False
-            elif self.cut:
-                i = int(np.argmax(np.where(free, demand[:, 0], -1)))
-                x = self.wait[i]
-                n = min(int(room[0]), int(demand[i, 0]))
+        offset, placed, rest = 0, [], []  # rest: what is left of an example that was cut waits for the next sequence
+        while self.classes and room[1] > 0 and room[0] > 0:
+            if (best := self._best(room)) is None:
+                break
+            key, whole = best
+            number, x = self._take(key)
+            n = key[0]
+            if not whole:
+                n = min(int(room[0]), n)
                 n = min(n, int(np.searchsorted(x[2], x[2][x[3]] + room[2], side="right")) - 1 - x[3])
                 if n <= 0:
+                    rest.append((number, x))
                     break
-            else:
-                break
-            loss = self._place(self.wait[i], n, offset)
-            placed.append((i, n))
-            demand[i] -= (n, 0, loss)
-            if demand[i, 0] <= 0:
-                free[i] = False
+            loss = self._place(x, n, offset)
+            placed.append((number, x, n))
+            if n < key[0]:
+                self._wait(number, x)
             offset += n
             room = room - (n, 1, loss)
+        for number, x in rest:
+            self._wait(number, x)
         if not placed:
             raise ValueError("the limits let no token into a sequence")
         if self.cut and offset < target:  # another limit closed it
             back = offset - (1 << (offset.bit_length() - 1) if offset else 0)
             offset -= back
             while back:
-                i, n = placed.pop()
-                x, (row, at, _, sequence, begin, ids, _) = self.wait[i], self.out.pop()
+                number, x, n = placed.pop()
+                row, at, _, sequence, begin, ids, _ = self.out.pop()
                 less = min(back, n)
                 if n > less:
                     keep = n - less
                     self.out.append((row, at, keep, sequence, begin, ids[:keep], int(x[2][at + keep] - x[2][at])))
+                key = (len(x[1]) - x[3], int(x[2][-1] - x[2][x[3]]))
+                if x[3] < len(x[1]):  # its rest waits already
+                    heap = [w for w in self.classes[key] if w[0] != number]
+                    self.waiting -= 1
+                    heapq.heapify(heap)
+                    self.classes[key] = heap
+                    if not heap:
+                        del self.classes[key]
                 x[3] -= less
-                free[i] = True
+                self._wait(number, x)
                 back -= less
         self.sequence += 1
         self.left -= offset
-        self.wait = [x for i, x in enumerate(self.wait) if free[i]]
 
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, input_ids binary"

@@ -80,6 +80,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+#: Fewer loss-bearing tokens than a sequence has, so that this limit binds.
+CONVERSATION_LIMITS = packing.Limits(tokens=2048, segments=16, loss=1024)
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation packed under limits on tokens, segments and loss-bearing tokens, of which only the assistant's are."""
+    pieces = packing.pack_conversations(_table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"), limits=CONVERSATION_LIMITS)
+    return pieces.select("conv_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited form."""
     found = syncmers.fingerprints(_table(spark, sf_dir, "documents"))
@@ -129,7 +139,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest, op12_prefix_trie, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_lm_scores, op4_line_dedup, op5_language_id, op6_url_filters, op7_token_counts, op8_packing, op9_fingerprints, op10_warc, op11_merkle_manifest, op12_prefix_trie, op13_toxicity, conversation_packing)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
