@@ -3,7 +3,9 @@
 Tokens are cut by what characters are, not by where a run begins: runs of letters, runs of digits, runs of other
 signs, and each character of scripts that put no spaces between words. A run of K tokens is an anchor if the smallest of its
 inner S-token hashes is the first or the last. Whether a run is chosen depends on it alone, so equal passages have
-equal anchors wherever they stand, and an anchor's place tells where.
+equal anchors wherever they stand, and an anchor's place tells where. One rule holds for texts of any length: K - 1 blanks
+stand before the first and behind the last token, and two blanks hash below all else, so the runs that hold both a few
+first (or last) tokens and two blanks are anchors of the text's edges. A likeness of texts of a few tokens is coarse.
 """
 
 from __future__ import annotations
@@ -19,22 +21,28 @@ K = S + W - 1
 #: Scripts without spaces: South-East Asian ones, kana, CJK, Hangul, full-width forms.
 _SINGLE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
 TOKENS = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}&&[^{_SINGLE}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}{_SINGLE}]+"
+#: The hash of a blank, and that of two of them.
+BLANK, LOWEST = 0, -(1 << 63)
 #: Ranges of ids for each shuffle partition.
 RANGES = 8
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the anchors of column `text` (not null) in order, an array of structs: at (number of the first
-    token, from 1), anchor (64 bits). A text of fewer than K tokens has its tokens as anchors."""
+    token, from 1; blanks before it count down from 0), anchor (64 bits). A text without tokens has none."""
     hashes, pairs = free_name(df, "hashes"), free_name(df, "pairs")
     df = df.withColumn(hashes, F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
     after = F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))
-    df = df.withColumn(pairs, F.zip_with(hashes, after, lambda a, b: F.xxhash64(a, b)))
+    inner = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), after, lambda a, b: F.xxhash64(a, b))
+    blank, lowest = F.lit(BLANK).cast("long"), F.array_repeat(F.lit(LOWEST).cast("long"), K - 2)
+    first, last = F.array(F.xxhash64(blank, F.get(hashes, F.lit(0)))), F.array(F.xxhash64(F.get(hashes, F.size(hashes) - 1), blank))
+    df = df.withColumn(pairs, F.concat(lowest, first, inner, last, lowest))
+    blanks = F.array_repeat(blank, K - 1)
+    df = df.withColumn(hashes, F.when(F.size(hashes) > 0, F.concat(blanks, hashes, blanks)).otherwise(hashes))
     places = F.when(F.size(hashes) >= K, F.sequence(F.lit(1), F.size(hashes) - (K - 1)))
     edge = lambda i: F.least(F.element_at(pairs, i), F.element_at(pairs, i + (W - 1))) == F.array_min(F.slice(pairs, i, W))
-    chosen = F.transform(F.filter(places, edge), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i, K)).alias("anchor")))
-    short = F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("anchor")))
-    return df.withColumn(out, F.coalesce(chosen, short)).drop(hashes, pairs)
+    chosen = F.transform(F.filter(places, edge), lambda i: F.struct((i - (K - 1)).alias("at"), F.xxhash64(F.slice(hashes, i, K)).alias("anchor")))
+    return df.withColumn(out, F.coalesce(chosen, F.array().cast("array<struct<at:int,anchor:bigint>>"))).drop(hashes, pairs)
 
 
 def fingerprint_string(fp: str) -> Column:
@@ -103,8 +111,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited_fp (see with_fingerprint), near_edited, near_next.
 
     Texts are shuffled once, into ranges of ids; nothing is broadcast. Defined cases: a null text is empty and has no
-    anchors; a text of fewer than K tokens shares anchors only with others of that kind; equal fingerprints
-    have likeness 1, also empty ones; a null id comes first; equal ids go by text hash; a row that is repeated is a
+    anchors; equal fingerprints have likeness 1, also empty ones; a null id comes first; equal ids go by text hash; a row that is repeated is a
     document of its own, next to its copy; a lone document is its own next; other columns are ignored.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
