@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import map_arrow, type_of
@@ -118,8 +118,9 @@ def marginals(score: np.ndarray, lengths: np.ndarray, transition: np.ndarray, st
     return _norm(ahead[live], 1)
 
 
-def fit(segments: list[tuple[str, list[str]]], steps: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """Train on (language, words) segments by the gradient of the sequences' log-likelihood (Adam).
+def fit(segments: list[tuple[str, list[str]]], steps: int = 60, rate: float = 0.15, decay: float = 1e-4, watch=None) -> Model:
+    """Train on (language, words) segments by the gradient of the sequences' log-likelihood (Adam). watch, if given, is called
+    once with the parameters, their gradient, the words' scores, gold labels and lengths of the sequences (for tests).
 
     Half of the sequences are spliced from two segments, so the transitions see switches."""
     labels = sorted({lang for lang, _ in segments})
@@ -165,19 +166,28 @@ def fit(segments: list[tuple[str, list[str]]], steps: int = 60, rate: float = 0.
     seen_t = np.zeros((n_labels, n_labels))
     np.add.at(seen_t, (gold[prev], gold[prev + 1]), 1.0)
     one = np.eye(n_labels)[gold]
-    for step in range(1, steps + 1):
+
+    def gradient(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Of the mean log-likelihood of the sequences."""
         own = _row_sums(p["w"], at) + p["l"] * shares[lex_row]
         score = own[ids]
         gamma = marginals(score, lengths, p["t"], p["s"])
         d_word = np.stack([np.bincount(ids, (one - gamma)[:, c], len(words)) for c in range(n_labels)], 1)
         pair = _pair_marginals(score, gamma, lengths, p["t"], p["s"], prev)
-        grad = {
+        # the label before the first word is not seen: what it is, given the first one
+        before = _norm(np.exp(p["s"] - p["s"].max()), None)[:, None] * np.exp(p["t"])
+        before, first = before / before.sum(0), (one[starts] - gamma[starts]).sum(0)
+        return {
             "w": np.stack([np.bincount(flat, d_word[owner, c], len(index)) for c in range(n_labels)], 1) / len(seqs),
             "l": np.array([(d_word * shares[lex_row]).sum() / len(seqs)]),
-            "t": (seen_t - pair) / len(seqs),
-            "s": (one[starts] - gamma[starts]).mean(0),
+            "t": (seen_t - pair + before * first) / len(seqs),
+            "s": before @ first / len(seqs),
         }
-        for k, g in grad.items():
+
+    if watch is not None:
+        watch(p, gradient, lambda p: (_row_sums(p["w"], at) + p["l"] * shares[lex_row])[ids], gold, lengths)
+    for step in range(1, steps + 1):
+        for k, g in gradient(p).items():
             g = g - decay * p[k]
             m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.99 * m2[k] + 0.01 * g * g
             p[k] = p[k] + rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
@@ -205,11 +215,10 @@ def _forward(score: np.ndarray, lengths: np.ndarray, transition: np.ndarray, sta
     return out
 
 
-def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, per_document: int) -> list[tuple[str, list[str]]]:
-    """Word segments of a bounded sample: about per_language documents of each language, by a hash of id and text,
-    and per_document segments of LENGTH words from each, evenly over its whole text (so of a text of more than
-    per_document x LENGTH words a part is learned from; all of it is labelled). Rows that repeat id and text
-    count once. What reaches the driver is bounded by these parameters and the number of languages."""
+def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, list[str]]]:
+    """The words of a bounded sample of rows, in segments of LENGTH: per_language documents of each language, by a hash of
+    id and text, each with its whole text. Rows that repeat id and text count once. What reaches the driver is the text of
+    per_language documents of each language."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
@@ -224,25 +233,19 @@ def training_segments(labelled: DataFrame, id_col: str, text_col: str, lang_col:
         out = []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ws = letters(text)
-            far = max(0, len(ws) - LENGTH)
-            for low in sorted({far * j // max(1, per_document - 1) for j in range(per_document)}):
-                if ws:
-                    out.append((lang, " ".join(ws[low : low + LENGTH])))
+            out.append((lang, [" ".join(ws[low : low + LENGTH]) for low in range(0, len(ws), LENGTH)]))
         return {"lang": [x[0] for x in out], "words": [x[1] for x in out]}
 
     drawn = usable.where(draw).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), row.alias("row"))
-    rows = map_arrow(drawn.dropDuplicates(["lang", "row"]).select("lang", "text"), cut, "lang string, words string").collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows):
-        by.setdefault(r.lang, []).append(r.words.split(" "))
-    rng = np.random.default_rng(11)
-    keep = per_language * per_document
-    return [(lang, x[i]) for lang, x in by.items() for i in sorted(rng.permutation(len(x))[:keep].tolist())]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("row"))  # of the drawn rows, a bounded number
+    kept = drawn.dropDuplicates(["lang", "row"]).withColumn("nth", nth).where(F.col("nth") <= per_language)
+    rows = map_arrow(kept.select("lang", "text"), cut, "lang string, words array<string>").collect()
+    return [(r.lang, ws.split(" ")) for r in sorted(rows) for ws in r.words]
 
 
 def identify(
     documents: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 400, per_document: int = 3, names: tuple[str, str, str, str] = NAMES,
+    per_language: int = 120, names: tuple[str, str, str, str] = NAMES,
 ) -> DataFrame:
     """documents with four more columns, named by `names`: lang_pred, score (the mean marginal of lang_pred over the words, 0 to 1), shares (the mean
     marginals by language) and confidence (the mean of each word's largest marginal).
@@ -253,7 +256,7 @@ def identify(
     confidence; ties go to the first language by name; repeated rows are labelled each; all columns stay as they are,
     but one that is named like a new column is replaced by it. Narrow: no shuffle of documents.
     """
-    segments = training_segments(labelled, id_col, text_col, lang_col, per_language, per_document)
+    segments = training_segments(labelled, id_col, text_col, lang_col, per_language)
     model = fit(segments) if segments else None
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = [c for c in documents.columns if c.lower() not in {n.lower() for n in names}]
