@@ -205,7 +205,8 @@ def test_a_star_is_split(spark):
         spark.conf.set(k, v)
     try:
         edges = components.stored(spark.range(1, 200_001, 1, 8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")), "star")
-        tasks = components._large_star(edges).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        tasks = components._large_star(edges).withColumn("task", F.spark_partition_id())
+        tasks = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("u", "v").cast("double"))).collect()  # both columns are read
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

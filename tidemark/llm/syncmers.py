@@ -38,7 +38,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     first, last = F.array(F.xxhash64(blank, F.get(hashes, F.lit(0)))), F.array(F.xxhash64(F.get(hashes, F.size(hashes) - 1), blank))
     df = df.withColumn(pairs, F.concat(lowest, first, inner, last, lowest))
     blanks = F.array_repeat(blank, K - 1)
-    df = df.withColumn(hashes, F.when(F.size(hashes) > 0, F.concat(blanks, hashes, blanks)).otherwise(hashes))
+    df = df.withColumn(hashes, F.when(F.size(hashes) > 0, F.concat(blanks, hashes, blanks)).otherwise(F.col(hashes)))
     places = F.when(F.size(hashes) >= K, F.sequence(F.lit(1), F.size(hashes) - (K - 1)))
     edge = lambda i: F.least(F.element_at(pairs, i), F.element_at(pairs, i + (W - 1))) == F.array_min(F.slice(pairs, i, W))
     chosen = F.transform(F.filter(places, edge), lambda i: F.struct((i - (K - 1)).alias("at"), F.xxhash64(F.slice(hashes, i, K)).alias("anchor")))
