@@ -620,10 +620,10 @@ def test_language_id_replaces_columns_of_its_names_and_keeps_an_unlabelled_corpu
 
 def test_training_rows_that_repeat_an_id(spark):
     same = docs(spark, [(1, text_of(60, i)) for i in range(300)])
-    many = lang_crf.training_segments(same, "doc_id", "text", "lang", 50, 2)
+    many = lang_crf.training_segments(same, "doc_id", "text", "lang", 50)
     assert 20 < len(many) <= 100
     copies = docs(spark, [(1, text_of(60, 1))] * 300)
-    assert len(lang_crf.training_segments(copies, "doc_id", "text", "lang", 300, 2)) <= 2
+    assert len(lang_crf.training_segments(copies, "doc_id", "text", "lang", 300)) <= 2
 
 
 def test_labels_do_not_depend_on_what_is_cached(monkeypatch):
