@@ -174,77 +174,96 @@ def last_sql(source: str) -> str:
 
 # ---- sources
 
-CHARTS = [
-    ("AAA", [(f"2001-{m:02d}-01", None if m == 3 else 10.0 + m, 100.0 + m) for m in range(1, 13)] + [("2002-01-31", 50.0, 51.0), ("2002-01-15", 60.0, 61.0), ("2002-02-01", 99.0, 99.0)]),
-    ("BBB", [("2001-05-01", 1.0, 1.0)]),
-]
-
-
 @query(
-    """SELECT 'AAA' AS asset, strftime(DATE '2001-01-01' + to_months(i::INT), '%Y-%m') AS month, CASE WHEN i = 2 THEN 103.0 WHEN i = 12 THEN 60.0 ELSE 11.0 + i END::DOUBLE AS value
-    FROM range(13) r(i)"""
+    """WITH p AS (SELECT o_custkey::VARCHAR AS asset, strftime(o_orderdate, '%Y-%m') AS month, arg_max(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END, (o_orderdate, o_orderkey)) AS value
+      FROM orders WHERE strftime(o_orderdate, '%Y-%m') <= '2001-07' GROUP BY 1, 2)
+    SELECT asset, month, value FROM p QUALIFY count(*) OVER (PARTITION BY asset) >= 12"""
 )
 def s01_price_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chart JSON: adjusted else close, the last entry of a month, completed months, at least twelve."""
-    import json
-    from datetime import UTC, datetime
+    """Chart JSON of each customer's orders: adjusted else close, the last entry of a month, completed months, at least twelve."""
+    adjusted = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    entry = F.struct("o_orderdate", "o_orderkey", adjusted.alias("a"), (F.col("o_totalprice") + 1).alias("c"))
+    points = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("asset")).agg(F.array_sort(F.collect_list(entry)).alias("p"))  # a customer's orders
+    each = lambda f: F.transform("p", f)
+    cells = F.struct(F.array(F.struct(each(lambda x: x["a"]).alias("adjclose"))).alias("adjclose"), F.array(F.struct(each(lambda x: x["c"]).alias("close"))).alias("quote"))
+    result = F.struct(each(lambda x: F.unix_timestamp(x["o_orderdate"].cast("timestamp"))).alias("timestamp"), cells.alias("indicators"))
+    text = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
+    return readers.parse_price_chart(points.select("asset", text.alias("text")), AS_OF)
 
-    def chart(rows):
-        stamp = [int(datetime.fromisoformat(d).replace(tzinfo=UTC).timestamp()) for d, _, _ in rows]
-        cells = {"adjclose": [{"adjclose": [a for _, a, _ in rows]}], "quote": [{"close": [c for _, _, c in rows]}]}
-        return json.dumps({"chart": {"result": [{"timestamp": stamp, "indicators": cells}]}})
 
-    return readers.parse_price_chart(spark.createDataFrame([(a, chart(r)) for a, r in CHARTS], "asset string, text string"), "2002-02-10")
+_BAD = "(l_orderkey % 11 = 0 OR l_orderkey % 13 = 0)"
+_CSV = f"SELECT 'S' || l_linenumber AS series, strftime(l_shipdate, '%Y-%m') AS month, arg_max({{0}}, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey) AS value FROM lineitem WHERE NOT {_BAD}"
 
 
-def _lines(spark: SparkSession, file: str, text: str) -> DataFrame:
-    return spark.createDataFrame([(file, i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, text string")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_no, text): a CSV of dates and two numbers for each line number; some cells of the second are ".", some blank."""
+    value = F.when(F.col("l_orderkey") % 11 == 0, ".").when(F.col("l_orderkey") % 13 == 0, "").otherwise(F.col("l_extendedprice").cast("string"))
+    first = F.when(F.col("l_orderkey") % 11 == 0, "bad").when(F.col("l_orderkey") % 13 == 0, "").otherwise(F.col("l_quantity").cast("string"))
+    text = F.concat_ws(",", F.date_format("l_shipdate", "yyyy-MM-dd"), first, value)
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_linenumber")).alias("file"), F.expr("((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey").alias("line_no"), text.alias("text"))
+    head = lines.select("file").distinct().select("file", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("DATE,OTHER,"), F.col("file")).alias("text"))
+    return lines.union(head)
 
 
-@query("SELECT * FROM (VALUES ('CPI', '2020-01', 2.5::DOUBLE), ('CPI', '2020-02', 3.0::DOUBLE)) t(series, month, value)")
+@query(f"{_CSV.format('l_extendedprice')} AND l_shipdate >= DATE '1996-03-10' GROUP BY 1, 2")
 def s02_macro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The column named for the series, from a start date on: the last number of each month; ".", blanks and bad dates are no values."""
-    text = "DATE,OTHER,CPI\n2019-12-01,8,1\n2020-01-01,9,1.5\n2020-01-20,9,2.5\n2020-01-21,9,.\n2020-02-01,,3\n2020-03-01,9,\nbad,9,4"
-    return readers.parse_macro_csv(_lines(spark, "CPI", text).union(_lines(spark, "PPI", "DATE,CPI\n2020-01-01,1")), "2020-01-01")
+    """The column named for the series, from a start date on: the last number of each month; ".", and blanks are no values."""
+    return readers.parse_macro_csv(csv_lines(spark, sf_dir), "1996-03-10")
 
 
-@query("SELECT * FROM (VALUES ('m2', '2020-01', 2.5::DOUBLE), ('m2', '2020-02', 3.0::DOUBLE)) t(series, month, value)")
+@query(f"{_CSV.format('l_quantity')} GROUP BY 1, 2")
 def s06_two_column_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second column, whatever its name."""
-    return readers.parse_two_column_csv(_lines(spark, "m2", "DATE,X\n2020-01-01,1.5\n2020-01-20,2.5\n2020-01-21,.\n2020-02-01,3\n2020-03-01,\nbad,4"))
+    return readers.parse_two_column_csv(csv_lines(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('ea', '2026-02', 2.5::DOUBLE), ('ea', '2026-03', 2.75::DOUBLE)) t(file, month, value)")
+@query("SELECT o_orderstatus AS file, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS value FROM orders WHERE o_orderdate >= DATE '2000-01-01' AND o_orderkey % 7 <> 0")
 def s07_period_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns by name, the period from the first of three that is there."""
-    return readers.parse_period_csv(_lines(spark, "ea", "KEY,TIME_PERIOD,TIME_PERIOD_START,OBS_VALUE\nk,2026-02,,2.5\nk,,2026-03,2.75\nk,2026-04,,x\nk,1999-01,,9"))
+    """Columns by name, the period from the first of three that is there; months of the last century and bad numbers are left out."""
+    month, even = F.date_format("o_orderdate", "yyyy-MM"), F.col("o_orderkey") % 2 == 0
+    value = F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(F.col("o_totalprice").cast("string"))
+    text = F.concat_ws(",", F.lit("k"), F.when(even, month).otherwise(""), F.when(even, "").otherwise(month), value)
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("file"), F.col("o_orderkey").alias("line_no"), text.alias("text"))
+    head = lines.select("file").distinct().select("file", F.lit(0).cast("long").alias("line_no"), F.lit("KEY,TIME_PERIOD,TIME_PERIOD_START,OBS_VALUE").alias("text"))
+    return readers.parse_period_csv(lines.where("line_no > 0").union(head))
 
 
-@query("SELECT * FROM (VALUES ('jp', '2026-02', 1.7::DOUBLE), ('jp', '2026-03', 2.2::DOUBLE)) t(file, month, value)")
+@query("""SELECT n_regionkey::VARCHAR AS file, '2001-' || lpad((1 + c_nationkey % 12)::VARCHAR, 2, '0') AS month, round(sum(c_acctbal))::BIGINT::DOUBLE AS value FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE n_regionkey NOT IN (1, 4) AND NOT (n_regionkey = 3 AND c_nationkey % 2 = 0) GROUP BY n_regionkey, c_nationkey""")
 def s08_survey_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zipped dates and values of results with status 200."""
-    body = '"RESULTSET":[{"VALUES":{"SURVEY_DATES":["202602","202603","202604"],"VALUES":["1.7","2.2",null]}}]}'
-    return readers.parse_survey_json(spark.createDataFrame([("jp", '{"STATUS":200,' + body), ("no", '{"STATUS":500,' + body)], "file string, text string"))
+    """Zipped dates and values of results with status 200; a value that is no number is left out."""
+    return readers.parse_survey_json(damaged_surveys(spark, sf_dir))
 
 
-RELEASE = "Title,,\nnote,DMABMS,units\n31/01/2015,\n28-Feb-2015,1000.5,x\n2015-03-31,1001,x\n30/04/2015,-5,x\nfoo,1,x\n31/05/2015,1002.5,x"
+_RELEASED = """SELECT o_orderstatus AS file, last_day(o_orderdate)::DATE AS date, count(*)::DOUBLE + 1000.5 AS value FROM orders WHERE month(o_orderdate) <> 7 GROUP BY 1, 2"""
 
 
-@query("SELECT * FROM (VALUES ('d3', DATE '2015-02-28', 1000.5::DOUBLE), ('d3', DATE '2015-03-31', 1001::DOUBLE), ('d3', DATE '2015-05-31', 1002.5::DOUBLE)) t(file, date, value)")
+def release_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_no, text): a release for each order status with free text above its table, dates in three formats, numbers with
+    thousands separators, and negative values in July."""
+    monthly = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("file"), F.last_day("o_orderdate").alias("date")).agg((F.count(F.lit(1)) + 1000.5).alias("value"))
+    form = F.month("date") % 3
+    date = F.when(form == 0, F.date_format("date", "dd/MM/yyyy")).when(form == 1, F.date_format("date", "d-MMM-yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    cell = F.concat(F.lit('"'), F.format_number(F.when(F.month("date") == 7, -F.col("value")).otherwise(F.col("value")), 1), F.lit('"'))
+    rows = monthly.select("file", F.datediff("date", F.lit("1990-01-01")).alias("line_no"), F.concat_ws(",", date, cell, F.lit("x")).alias("text"))
+    head = rows.select("file").distinct().select("file", F.posexplode(F.array(F.lit("Title,,"), F.lit("note,DMABMS,units"), F.lit("31/01/1990,"))).alias("line_no", "text"))
+    return rows.union(head)
+
+
+@query(_RELEASED)
 def s09_release_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column under a code cell, dates in three formats, positive values."""
-    return readers.parse_release_csv(_lines(spark, "d3", RELEASE), "DMABMS")
+    return readers.parse_release_csv(release_lines(spark, sf_dir), "DMABMS")
 
 
-@query("SELECT * FROM (VALUES ('bom', DATE '2015-02-28', 1000.5::DOUBLE), ('cp1252', DATE '2015-03-31', 2000.5::DOUBLE), ('latin', DATE '2015-04-30', 7::DOUBLE)) t(file, date, value)")
+@query(_RELEASED)
 def s09_release_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A byte order mark before the code, windows-1252 with a quoted number, and bytes that only ISO-8859-1 has."""
-    files = [
-        ("bom", b"\xef\xbb\xbfDMABMS,x\n1000.5,28-Feb-2015"), ("cp1252", 'Date,DMABMS\r\n31/03/2015,"2,000.5",\x96'.encode("latin-1")),
-        ("latin", b"Date\x81,DMABMS\n2015-04-30,7"),
-    ]
-    texts = readers.decode_texts(spark.createDataFrame(files, "file string, content binary"))
-    return readers.parse_release_csv(readers.lines_of(texts), "DMABMS")
+    """The same releases as bytes: with a byte order mark, with a character of windows-1252, and with a byte that only ISO-8859-1 has."""
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "text")))  # a row for each month
+    whole = release_lines(spark, sf_dir).groupBy("file").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\r\n").alias("text"))
+    mark = F.when(F.col("file") == "F", F.unhex(F.lit("EFBBBF"))).when(F.col("file") == "O", F.unhex(F.lit("96"))).otherwise(F.unhex(F.lit("81")))
+    files = whole.select("file", F.concat(mark, F.col("text").cast("binary")).alias("content"))
+    return readers.parse_release_csv(readers.lines_of(readers.decode_texts(files)), "DMABMS")
 
 
 @query(
@@ -260,10 +279,15 @@ def s05_positioning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.positioning_rows(raw, "financial", "2001-10-01").select("market", "date", "oi", "long", "short")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in a[:8]) + f", {a[8]})" for i, a in enumerate(dims.ASSETS)) + ") t(ordinal, asset, symbol, asset_class, money, tier, dislocation, strategic_mode, backtest, episodes)")
+UNIVERSE = "SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in a[:8]) + f", {a[8]})" for i, a in enumerate(dims.ASSETS)) + ") t(ordinal, asset, symbol, asset_class, money, tier, dislocation, strategic_mode, backtest, episodes)"
+
+
+@query(f"WITH {P} SELECT u.*, coalesce(m, 0) AS months FROM ({UNIVERSE}) u LEFT JOIN (SELECT asset, count(*) AS m FROM price GROUP BY 1) USING (asset)")
 def s10_asset_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The universe."""
-    return dims.assets(spark)
+    """The universe, and how many months of prices each asset has."""
+    counts = prices(spark, sf_dir).groupBy("asset").agg(F.count(F.lit(1)).alias("months"))
+    every = dims.assets(spark)
+    return every.join(counts, "asset", "left").select(*every.columns, F.coalesce("months", F.lit(0)).alias("months"))
 
 
 # ---- predicates and functions
@@ -283,18 +307,16 @@ def p01_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", finite_or(odd, F.col("event_id").cast("double")).alias("value"), month_of(F.col("ts")).alias("month"), contains_any(F.col("event_type"), terms).alias("hit"))
 
 
-_CELLS = ["31/12/2020", "1-Jan-2021", "2021-02-03", "202602", "2026/03", "1,234.5", "", ".", "x", "99/99/2020"]
-
-
 @query(
-    """SELECT * FROM (VALUES ('31/12/2020', DATE '2020-12-31', NULL, NULL::DOUBLE), ('1-Jan-2021', DATE '2021-01-01', NULL, NULL), ('2021-02-03', DATE '2021-02-03', '2021-02', NULL),
-    ('202602', NULL, '2026-02', 202602), ('2026/03', NULL, '2026-03', NULL), ('1,234.5', NULL, NULL, 1234.5), ('', NULL, NULL, NULL), ('.', NULL, NULL, NULL), ('x', NULL, NULL, NULL),
-    ('99/99/2020', NULL, NULL, NULL)) t(cell, date, month, number)"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 3 THEN o_orderdate::DATE END AS date, CASE WHEN o_orderkey % 6 IN (2, 3) AND year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m') END AS month,
+    CASE o_orderkey % 6 WHEN 3 THEN (year(o_orderdate) * 100 + month(o_orderdate))::DOUBLE WHEN 4 THEN o_orderkey + 1000.5 END AS number FROM orders"""
 )
 def f07_cell_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates in three formats, month keys, numbers."""
-    cells = spark.createDataFrame([(c,) for c in _CELLS], "cell string")
-    return cells.select("cell", any_date(F.col("cell")).alias("date"), month_key(F.col("cell")).alias("month"), number(F.col("cell")).alias("number"))
+    """Dates in three formats, month keys, numbers with thousands separators, and a cell without a value."""
+    date = lambda form: F.date_format("o_orderdate", form)
+    cells = [date("dd/MM/yyyy"), date("d-MMM-yyyy"), date("yyyy-MM-dd"), date("yyyyMM"), F.format_number(F.col("o_orderkey") + 1000.5, 1), F.lit(".")]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*cells), (F.col("o_orderkey") % 6).cast("int")).alias("cell"))
+    return rows.select("o_orderkey", any_date(F.col("cell")).alias("date"), month_key(F.col("cell")).alias("month"), number(F.col("cell")).alias("number"))
 
 
 # ---- features
@@ -387,7 +409,7 @@ M = f"""market AS (SELECT strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') A
 _BASKETS = ", ".join(f"('{b}', '{c}', {n})" for b, (cs, n) in dims.BASKETS.items() for c in cs)
 BK = f"""basket AS (SELECT basket AS asset, count(pct) >= any_value(least) AS available, count(pct) AS components, max(as_of) AS as_of, avg(round(pct, 1)) AS pct
   FROM (VALUES {_BASKETS}) b(basket, component, least) LEFT JOIN summ ON component = asset GROUP BY 1)"""
-U = f"""universe AS (SELECT * FROM ({SQL['s10_asset_dimension']})),
+U = f"""universe AS (SELECT * FROM ({UNIVERSE})),
   held AS (SELECT u.asset, coalesce(s.pct IS NOT NULL OR b.available, false) AS p_known, coalesce(coalesce(s.pct, b.pct) <= 25, false) AS p_pass, coalesce(coalesce(s.pct, b.pct) >= 75, false) AS crowded
     FROM universe u LEFT JOIN summ s USING (asset) LEFT JOIN basket b USING (asset))"""
 
@@ -466,35 +488,50 @@ def n01_nowcast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nowcast.summary(_blocks(spark, sf_dir), 5)
 
 
-@query("SELECT 'US 2026-06*; EA 2026-06*; JP 2026-07*; CN 2026-07*' AS freshness")
+def _named_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks with names and dates, as a snapshot has them."""
+    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("series"), F.col("r_regionkey").alias("ordinal"))
+    return _blocks(spark, sf_dir).join(region, "series").select("ordinal", F.lower("series").alias("block"), F.left("series", F.lit(2)).alias("short"), F.lit("2001-06").alias("latest_date"), "latest_yoy", "reference_yoy")
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update for each block: one that holds, and one for each reason to refuse it."""
+    rows, o = _named_blocks(spark, sf_dir), F.col("ordinal")
+    date = F.when(o == 1, "2001-05").when(o == 3, "2001-06").when(o == 4, "2001-13").otherwise("2001-07")
+    value = F.when(o == 2, 31.0).when(o == 3, F.col("latest_yoy") + 5.5).otherwise(F.col("latest_yoy") / 10 + 1)
+    return rows.select("block", date.alias("new_date"), value.alias("new_yoy"))
+
+
+_OLD = """old AS (SELECT r_regionkey AS ordinal, lower(series) AS block, '2001-06' AS d, latest AS y, ref FROM blocks JOIN region ON r_name = series),
+    new AS (SELECT block, CASE ordinal WHEN 1 THEN '2001-05' WHEN 3 THEN '2001-06' WHEN 4 THEN '2001-13' ELSE '2001-07' END AS nd, CASE ordinal WHEN 2 THEN 31.0 WHEN 3 THEN y + 5.5 ELSE y / 10 + 1 END::DOUBLE AS ny FROM old),
+    judged AS (SELECT *, CASE WHEN NOT regexp_full_match(nd, '20[0-9]{2}-(0[1-9]|1[0-2])') THEN 'invalid month' WHEN nd < d THEN 'date regression' WHEN ny < -20 OR ny > 30 THEN 'implausible growth'
+      WHEN nd = d AND abs(ny - y) > 5 THEN 'same-month revision too large' END AS reason FROM old JOIN new USING (block)),
+    done AS (SELECT *, CASE WHEN reason IS NULL THEN nd ELSE d END AS latest_date, CASE WHEN reason IS NULL THEN round(ny, 4) ELSE y END AS latest_yoy FROM judged)"""
+
+
+@query(f"WITH {MO} SELECT string_agg(left(series, 2) || ' ' || m || '*', '; ' ORDER BY r_regionkey) AS freshness FROM (SELECT series, max(month) AS m FROM money GROUP BY 1) JOIN region ON r_name = series")
 def n03_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks' months in one line."""
-    return nowcast.freshness(dims.nowcast_blocks(spark))
+    last = money(spark, sf_dir).groupBy("series").agg(F.max("month").alias("latest_date"))
+    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("series"), F.col("r_regionkey").alias("ordinal"))
+    return nowcast.freshness(last.join(region, "series").select("ordinal", F.left("series", F.lit(2)).alias("short"), "latest_date"))
 
 
-@query("SELECT * FROM (VALUES ('us', 5.5258::DOUBLE), ('euro_area', 3.2931::DOUBLE), ('japan', 2.2::DOUBLE), ('china', 7.7::DOUBLE)) t(block, latest_yoy), (SELECT 'FALLBACK_LAST_VERIFIED' AS status, false AS live_attempted)")
+@query(f"WITH {MO}, {BL} SELECT lower(series) AS block, round(latest, 6) AS latest_yoy, 'FALLBACK_LAST_VERIFIED' AS status, false AS live_attempted FROM blocks")
 def n04_last_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks as served without a refresh."""
-    return nowcast.last_verified(dims.nowcast_blocks(spark)).select("block", "latest_yoy", "status", "live_attempted")
-
-
-UPDATES = [("us", "2026-07", 5.60001), ("euro_area", "2026-05", 3.0), ("japan", "2026-07", 7.3), ("china", "2026-13", 8.0)]
-_OLD = ", ".join(f"({i}, '{b}', '{d}', {y}::DOUBLE, {r}::DOUBLE)" for i, b, _, d, y, r in dims.NOWCAST)
-_NEW = ", ".join(f"('{b}', '{d}', {y}::DOUBLE)" for b, d, y in UPDATES)
+    return nowcast.last_verified(_named_blocks(spark, sf_dir)).select("block", *r6("latest_yoy"), "status", "live_attempted")
 
 
 @query(
-    f"""WITH old AS (SELECT * FROM (VALUES {_OLD}) o(ordinal, block, d, y, ref)), new AS (SELECT * FROM (VALUES {_NEW}) n(block, nd, ny)),
-    judged AS (SELECT *, CASE WHEN NOT regexp_full_match(nd, '20[0-9]{{2}}-(0[1-9]|1[0-2])') THEN 'invalid month' WHEN nd < d THEN 'date regression' WHEN ny < -20 OR ny > 30 THEN 'implausible growth'
-      WHEN nd = d AND abs(ny - y) > 5 THEN 'same-month revision too large' END AS reason FROM old JOIN new USING (block)),
-    done AS (SELECT *, CASE WHEN reason IS NULL THEN nd ELSE d END AS latest_date, CASE WHEN reason IS NULL THEN round(ny, 4) ELSE y END AS latest_yoy FROM judged)
-    SELECT block, latest_date, latest_yoy, CASE WHEN latest_yoy - ref > 0.25 THEN 'ACCELERATING' WHEN latest_yoy - ref < -0.25 THEN 'DECELERATING' ELSE 'STABLE' END AS direction,
+    f"""WITH {MO}, {BL}, {_OLD}
+    SELECT block, latest_date, round(latest_yoy, 6) AS latest_yoy, CASE WHEN latest_yoy - ref > 0.25 THEN 'ACCELERATING' WHEN latest_yoy - ref < -0.25 THEN 'DECELERATING' ELSE 'STABLE' END AS direction,
       reason IS NULL AND (nd <> d OR round(ny, 4) <> round(y, 4)) AS changed, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'PRESERVED_LAST_VERIFIED' END AS status, reason FROM done"""
 )
 def n07_refresh_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates applied where they pass validation, else the last verified values."""
-    rows = nowcast.refresh(dims.nowcast_blocks(spark), spark.createDataFrame(UPDATES, "block string, new_date string, new_yoy double"))
-    return rows.select("block", "latest_date", "latest_yoy", "direction", "changed", "status", "reason")
+    rows = nowcast.refresh(_named_blocks(spark, sf_dir), _updates(spark, sf_dir))
+    return rows.select("block", "latest_date", *r6("latest_yoy"), "direction", "changed", "status", "reason")
 
 
 @query(
@@ -521,13 +558,24 @@ def j08_missing_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rules over all their inputs
 
 
-def _cross(spark: SparkSession, schema: str, *values) -> DataFrame:
-    return spark.createDataFrame(list(product(*values)), schema)
+def _dealt(spark: SparkSession, sf_dir: str, schema: str, *values) -> DataFrame:
+    """Every event with one combination of the rule's inputs, dealt by its id, so that all of them occur."""
+    out, step = table(spark, sf_dir, "events").select("event_id"), 1
+    for (name, kind), own in zip((c.split() for c in schema.split(", ")), values, strict=True):
+        own = list(own)
+        at = (F.floor(F.col("event_id") / step) % len(own)).cast("int")
+        out, step = out.withColumn(name, F.get(F.array(*(F.lit(v).cast(kind) for v in own)), at)), step * len(own)
+    return out
 
 
-def _cross_sql(**lists) -> str:
+def _dealt_sql(**lists) -> str:
     lit = lambda v: "NULL::BOOLEAN" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
-    return "SELECT * FROM " + ", ".join(f"(SELECT unnest([{', '.join(map(lit, vs))}]) AS {k})" for k, vs in lists.items())
+    columns, step = [], 1
+    for k, vs in lists.items():
+        vs = list(vs)
+        columns.append(f"([{', '.join(map(lit, vs))}])[(event_id // {step}) % {len(vs)} + 1] AS {k}")
+        step *= len(vs)
+    return f"SELECT event_id, {', '.join(columns)} FROM events"
 
 
 FLAG = [True, False]
@@ -536,24 +584,24 @@ _REGIME = "CASE WHEN {0} < 25 THEN 'STRONG RISK-OFF' WHEN {0} < 40 THEN 'RISK-OF
 
 
 @query(
-    f"""SELECT s, round(50 + s * (50.0 / 3), 6) AS score_of_z, {_REGIME.format('s')} AS regime, CASE WHEN s < 40 THEN 'RESTRICTIVE' WHEN s > 60 THEN 'SUPPORTIVE' ELSE 'NEUTRAL' END AS funding
-    FROM (SELECT unnest({_SCORES}) AS s)"""
+    f"""SELECT event_id, s::DOUBLE AS s, round(50 + s * (50.0 / 3), 6)::DOUBLE AS score_of_z, {_REGIME.format('s')} AS regime, CASE WHEN s < 40 THEN 'RESTRICTIVE' WHEN s > 60 THEN 'SUPPORTIVE' ELSE 'NEUTRAL' END AS funding
+    FROM ({_dealt_sql(s=_SCORES)})"""
 )
 def r01_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score regimes at and around their bounds."""
     s = F.col("s")
-    return _cross(spark, "s double", _SCORES).select("s", F.round(score_of_z(s), 6).alias("score_of_z"), rules.regime(s).alias("regime"), rules.funding_regime(s).alias("funding"))
+    return _dealt(spark, sf_dir, "s double", _SCORES).select("event_id", "s", F.round(score_of_z(s), 6).alias("score_of_z"), rules.regime(s).alias("regime"), rules.funding_regime(s).alias("funding"))
 
 
 @query(
-    f"""WITH x AS ({_cross_sql(usd=[30, 50, 65], fxn=[30, 50, 65], funding=[30, 50, 65], stale=FLAG, candidate=FLAG, positive=[0, 1, 2, 3, 4], known=[0, 2, 3, 4])}),
+    f"""WITH x AS ({_dealt_sql(usd=[30, 50, 65], fxn=[30, 50, 65], funding=[30, 50, 65], stale=FLAG, candidate=FLAG, positive=[0, 1, 2, 3, 4], known=[0, 2, 3, 4])}),
     s AS (SELECT *, CASE WHEN NOT stale THEN 2 WHEN candidate THEN 1 ELSE 0 END + CASE WHEN {_REGIME.format('usd')} = {_REGIME.format('fxn')} THEN 2 ELSE 0 END + 2
       + CASE WHEN funding > 60 THEN 2 WHEN funding < 40 THEN 0 ELSE 1 END + CASE WHEN known < 3 THEN 1 WHEN positive >= 3 THEN 2 WHEN positive = 2 THEN 1 ELSE 0 END AS conviction FROM x)
     SELECT * REPLACE (conviction::INT AS conviction), conviction || '/10' AS label FROM s"""
 )
 def r05_conviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conviction rubric."""
-    x = _cross(spark, "usd int, fxn int, funding int, stale boolean, candidate boolean, positive int, known int", [30, 50, 65], [30, 50, 65], [30, 50, 65], FLAG, FLAG, range(5), [0, 2, 3, 4])
+    x = _dealt(spark, sf_dir, "usd int, fxn int, funding int, stale boolean, candidate boolean, positive int, known int", [30, 50, 65], [30, 50, 65], [30, 50, 65], FLAG, FLAG, range(5), [0, 2, 3, 4])
     c = F.col
     parts = rules.conviction(c("stale"), c("candidate"), rules.agreement(c("usd"), c("fxn")), rules.funding_regime(c("funding")), rules.market_score(c("positive"), c("known")))
     return x.select("*", parts["conviction"].alias("conviction"), parts["conviction_label"].alias("label"))
@@ -567,10 +615,10 @@ def transmission_sql(usd: str, fxn: str) -> str:
     return f"""tilt <> 'DETERIORATING' AND coalesce({score}, 50) >= 50 AS t_pass, {score} AS t_score, tier = 'CORE' AND money IN ('usd', 'fxn') AS t_promoted"""
 
 
-@query(f"WITH x AS ({_cross_sql(money=['usd', 'fxn', 'context'], tier=['CORE', 'RESEARCH'], usd=[49.5, 50.0, 66.0], fxn=[43.0, 50.0], tilt=TILTS)}) SELECT * REPLACE (usd::DOUBLE AS usd, fxn::DOUBLE AS fxn, t_score::DOUBLE AS t_score) FROM (SELECT *, {transmission_sql('usd', 'fxn')} FROM x)")
+@query(f"WITH x AS ({_dealt_sql(money=['usd', 'fxn', 'context'], tier=['CORE', 'RESEARCH'], usd=[49.5, 50.0, 66.0], fxn=[43.0, 50.0], tilt=TILTS)}) SELECT * REPLACE (usd::DOUBLE AS usd, fxn::DOUBLE AS fxn, t_score::DOUBLE AS t_score) FROM (SELECT *, {transmission_sql('usd', 'fxn')} FROM x)")
 def r07_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The money gate by basis, score and tilt."""
-    x = _cross(spark, "money string, tier string, usd double, fxn double, tilt string", ["usd", "fxn", "context"], ["CORE", "RESEARCH"], [49.5, 50.0, 66.0], [43.0, 50.0], TILTS)
+    x = _dealt(spark, sf_dir, "money string, tier string, usd double, fxn double, tilt string", ["usd", "fxn", "context"], ["CORE", "RESEARCH"], [49.5, 50.0, 66.0], [43.0, 50.0], TILTS)
     t = rules.transmission(*(F.col(c) for c in ("money", "tier", "usd", "fxn", "tilt")))
     return x.select("*", *(t[c].alias(c) for c in ("t_pass", "t_score", "t_promoted")))
 
@@ -593,10 +641,10 @@ def strategic_sql(t: str = "t", d: str = "d", k: str = "k") -> str:
     CASE WHEN strategic_mode LIKE 'CORE%' THEN 'NORMAL' WHEN strategic_mode IN ('RESEARCH_DISLOCATION_PRIMARY', 'RESEARCH_PROXY_HARD_GATE') THEN 'PROVISIONAL' ELSE 'WATCH_ONLY' END AS s_cap"""
 
 
-@query(f"WITH x AS ({_cross_sql(strategic_mode=MODES, t=FLAG, d=FLAG, k=FLAG)}) SELECT *, {strategic_sql()} FROM x")
+@query(f"WITH x AS ({_dealt_sql(strategic_mode=MODES, t=FLAG, d=FLAG, k=FLAG)}) SELECT *, {strategic_sql()} FROM x")
 def r09_strategic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligibility by mode and flags."""
-    x = _cross(spark, "strategic_mode string, t boolean, d boolean, k boolean", MODES, FLAG, FLAG, FLAG)
+    x = _dealt(spark, sf_dir, "strategic_mode string, t boolean, d boolean, k boolean", MODES, FLAG, FLAG, FLAG)
     return x.withColumns(rules.strategic(*(F.col(c) for c in ("strategic_mode", "t", "d", "k"))))
 
 
@@ -605,11 +653,11 @@ ENTRY = """CASE WHEN NOT p_known AND NOT turn_known THEN 'UNCONFIRMED' WHEN (p_k
     ((p_known AND p_pass)::INT + (turn_known AND turn_pass)::INT) || '/' || (p_known::INT + turn_known::INT) AS e_score"""
 
 
-@query(f"WITH x AS ({_cross_sql(p_known=FLAG, p_pass=FLAG, turn_known=FLAG, turn_pass=FLAG)}) SELECT *, {ENTRY} FROM x")
+@query(f"WITH x AS ({_dealt_sql(p_known=FLAG, p_pass=FLAG, turn_known=FLAG, turn_pass=FLAG)}) SELECT *, {ENTRY} FROM x")
 def r10_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry quality by flags."""
     names = ("p_known", "p_pass", "turn_known", "turn_pass")
-    x = _cross(spark, ", ".join(f"{c} boolean" for c in names), FLAG, FLAG, FLAG, FLAG)
+    x = _dealt(spark, sf_dir, ", ".join(f"{c} boolean" for c in names), FLAG, FLAG, FLAG, FLAG)
     return x.withColumns(rules.entry(*(F.col(c) for c in names)))
 
 
@@ -623,11 +671,11 @@ _LABELS = ["ACCUMULATION ZONE", "WAIT FOR DISLOCATION", "WATCH ONLY", "INSUFFICI
 _TESTS = ["INSUFFICIENT_SAMPLE", "NOT_YET_VALIDATED"]
 
 
-@query(f"WITH x AS ({_cross_sql(s_cap=_CAPS, s_label=_LABELS, s_eligible=FLAG, backtest=_TESTS, e_label=_ENTRIES)}), y AS (SELECT *, {ACTION} AS action FROM x) SELECT *, {BUCKET} AS bucket FROM y")
+@query(f"WITH x AS ({_dealt_sql(s_cap=_CAPS, s_label=_LABELS, s_eligible=FLAG, backtest=_TESTS, e_label=_ENTRIES)}), y AS (SELECT *, {ACTION} AS action FROM x) SELECT *, {BUCKET} AS bucket FROM y")
 def r11_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action and report bucket by cap, label, eligibility, back-test and entry."""
     names = ("s_cap", "s_label", "s_eligible", "backtest", "e_label")
-    x = _cross(spark, "s_cap string, s_label string, s_eligible boolean, backtest string, e_label string", _CAPS, _LABELS, FLAG, _TESTS, _ENTRIES)
+    x = _dealt(spark, sf_dir, "s_cap string, s_label string, s_eligible boolean, backtest string, e_label string", _CAPS, _LABELS, FLAG, _TESTS, _ENTRIES)
     return x.withColumn("action", rules.action(*(F.col(c) for c in names))).withColumn("bucket", rules.report_bucket(F.col("action")))
 
 
@@ -644,11 +692,11 @@ def asymmetry_sql(macro: str, contrarian: str, turn: str, rs: str, adverse: str)
 _A = asymmetry_sql("macro", "contrarian", "turn", "rs", "adverse")
 
 
-@query(f"WITH x AS ({_cross_sql(macro=FLAG, contrarian=FLAG, turn=FLAG, rs=[True, False, None], adverse=FLAG)}) SELECT *, {_A[0]} AS label, {_A[1]} AS evidence, adverse OR rs IS NOT DISTINCT FROM false AS capped FROM x")
+@query(f"WITH x AS ({_dealt_sql(macro=FLAG, contrarian=FLAG, turn=FLAG, rs=[True, False, None], adverse=FLAG)}) SELECT *, {_A[0]} AS label, {_A[1]} AS evidence, adverse OR rs IS NOT DISTINCT FROM false AS capped FROM x")
 def r17_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asymmetry by flags; relative strength may be unknown."""
     names = ("macro", "contrarian", "turn", "rs", "adverse")
-    x = _cross(spark, ", ".join(f"{c} boolean" for c in names), FLAG, FLAG, FLAG, [True, False, None], FLAG)
+    x = _dealt(spark, sf_dir, ", ".join(f"{c} boolean" for c in names), FLAG, FLAG, FLAG, [True, False, None], FLAG)
     return x.withColumns(rules.asymmetry(*(F.col(c) for c in names)))
 
 
@@ -660,11 +708,11 @@ def phase_sql(ml: str, ms: str, lc: str, sc: str, trend: str) -> str:
     WHEN {trend} = 'CONFIRMED_UP' THEN 'TREND_UP_NO_CONTRARIAN_EDGE' WHEN {trend} = 'CONFIRMED_DOWN' THEN 'TREND_DOWN_NO_CONTRARIAN_EDGE' ELSE 'WATCH' END"""
 
 
-@query(f"WITH x AS ({_cross_sql(ml=FLAG, ms=FLAG, lc=FLAG, sc=FLAG, trend=_STATES)}) SELECT *, {phase_sql('ml', 'ms', 'lc', 'sc', 'trend')} AS phase FROM x")
+@query(f"WITH x AS ({_dealt_sql(ml=FLAG, ms=FLAG, lc=FLAG, sc=FLAG, trend=_STATES)}) SELECT *, {phase_sql('ml', 'ms', 'lc', 'sc', 'trend')} AS phase FROM x")
 def r18_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven phases."""
     names = ("ml", "ms", "lc", "sc", "trend")
-    x = _cross(spark, "ml boolean, ms boolean, lc boolean, sc boolean, trend string", FLAG, FLAG, FLAG, FLAG, _STATES)
+    x = _dealt(spark, sf_dir, "ml boolean, ms boolean, lc boolean, sc boolean, trend string", FLAG, FLAG, FLAG, FLAG, _STATES)
     return x.withColumn("phase", rules.phase(*(F.col(c) for c in names)))
 
 
@@ -673,10 +721,10 @@ SIDE = """CASE WHEN {l} AND NOT {s} THEN 'LONG' WHEN {s} AND NOT {l} THEN 'SHORT
     WHEN {sl} = 'HIGH' AND {ll} <> 'HIGH' THEN 'SHORT' ELSE 'NONE' END"""
 
 
-@query(f"WITH x AS ({_cross_sql(l=FLAG, s=FLAG, ll=_LEVEL, sl=_LEVEL)}) SELECT *, {SIDE.format(l='l', s='s', ll='ll', sl='sl')} AS side FROM x")
+@query(f"WITH x AS ({_dealt_sql(l=FLAG, s=FLAG, ll=_LEVEL, sl=_LEVEL)}) SELECT *, {SIDE.format(l='l', s='s', ll='ll', sl='sl')} AS side FROM x")
 def r20_preferred_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preferred side."""
-    x = _cross(spark, "l boolean, s boolean, ll string, sl string", FLAG, FLAG, _LEVEL, _LEVEL)
+    x = _dealt(spark, sf_dir, "l boolean, s boolean, ll string, sl string", FLAG, FLAG, _LEVEL, _LEVEL)
     return x.withColumn("side", rules.side(*(F.col(c) for c in ("l", "s", "ll", "sl"))))
 
 
@@ -855,11 +903,11 @@ def o03_radar_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radar_rows(spark, sf_dir).select(place.alias("place"), "asset")
 
 
-@query(f"WITH {P} SELECT asset FROM (SELECT * FROM ({SQL['s10_asset_dimension']})) WHERE tier <> 'CORE' EXCEPT SELECT 'SPY'")
+@query(f"WITH {P} SELECT DISTINCT asset FROM price EXCEPT SELECT asset FROM ({UNIVERSE}) WHERE tier = 'CORE'")
 def u03_research_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The complement of the core assets."""
-    every = dims.assets(spark)
-    return every.join(every.where("tier = 'CORE'").select("asset"), "asset", "left_anti").select("asset")
+    """The assets with prices that are not of the core."""
+    core = dims.assets(spark).where("tier = 'CORE'").select("asset")
+    return prices(spark, sf_dir).select("asset").distinct().join(core, "asset", "left_anti")
 
 
 _PCT = "round(100 * {0}, 1)"
@@ -893,12 +941,12 @@ def k01_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(*plain, *(F.col(k).alias(v) for k, v in names.items()), texts("conflicts"), F.concat_ws("|", "mechanical_reasons").alias("reasons"), texts("invalidation"))
 
 
-@query("SELECT * FROM (VALUES ('us', '2026-07', 5.6::DOUBLE)) t(block, latest_date, latest_yoy)")
+@query(f"WITH {MO}, {BL}, {_OLD} SELECT block, latest_date, round(latest_yoy, 6) AS latest_yoy FROM done WHERE latest_date <> d OR latest_yoy <> y")
 def k03_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a refresh changes in the snapshot; a snapshot without such rows is not written again."""
-    before = dims.nowcast_blocks(spark)
-    after = nowcast.refresh(before, spark.createDataFrame(UPDATES, "block string, new_date string, new_yoy double")).select(*before.columns)
-    return sinks.changed(before, after, "block").select("block", "latest_date", "latest_yoy")
+    before = _named_blocks(spark, sf_dir)
+    after = nowcast.refresh(before, _updates(spark, sf_dir)).select(*before.columns)
+    return sinks.changed(before, after, "block").select("block", "latest_date", *r6("latest_yoy"))
 
 
 # ---- audits
@@ -914,12 +962,11 @@ def v02_release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.release_gate(monthly, "1995-01", 80, {"1995-02": -1.0}).select("observations", "latest", "missing", "met", "pass")
 
 
-@query("SELECT 138::BIGINT AS observations, DATE '2026-06-30' AS latest, 0::BIGINT AS missing, 2::BIGINT AS met, true AS pass")
+@query("SELECT count(DISTINCT last_day(o_orderdate)) AS observations, max(last_day(o_orderdate))::DATE AS latest, 0::BIGINT AS missing, 0::BIGINT AS met, true AS pass FROM orders")
 def v02_release_gate_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate of a release that is all it must be: 138 months, none missing, both expected values."""
-    date = F.last_day(F.add_months(F.lit("2015-01-01").cast("date"), F.col("id").cast("int")))
-    release = spark.range(138).select(date.alias("date"), (2000.0 + F.col("id")).alias("value"))
-    return audit.release_gate(release, "2015-01", 138, {"2026-05": 2136.0, "2026-06": 2137.0}).select("observations", "latest", "missing", "met", "pass")
+    """The gate of a release that is all it must be: 80 months, none missing."""
+    release = table(spark, sf_dir, "orders").groupBy(F.last_day("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return audit.release_gate(release, "1995-01", 80, {}).select("observations", "latest", "missing", "met", "pass")
 
 
 @query("SELECT 0::BIGINT AS missing_inputs, true AS gate, 'READY_FOR_EXACT_RERUN' AS decision, false AS promote_to_core")
