@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.nowcast import missing_months
@@ -48,3 +48,22 @@ def promotion(present: DataFrame, gate: DataFrame) -> DataFrame:
 def digests(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, bytes, sha256) of a text or binary column; files come from the binaryFile reader."""
     return rows.select(key, F.octet_length(content).alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file under a folder, by its path in it. Marker and checksum files, whose names begin with
+    "_" or ".", are no content. Each file is read whole by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    bare = lambda p: F.regexp_replace(p, r"^[A-Za-z]+:/*", "/")  # noqa: E731, file:/a and file:///a are the same folder
+    inside = F.substr(bare(F.col("path")), F.length(bare(F.lit(path.rstrip("/")))) + 2)
+    kept = files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[_.]"))
+    return digests(kept.select(inside.alias("path"), "content"), "path", "content")
+
+
+def reconcile(contract: DataFrame, have: DataFrame) -> DataFrame:
+    """(path, status, expected, found) for every path of the contract or of what is there, both (path, sha256): SAME, CHANGED,
+    MISSING or EXTRA. A path that the contract names twice with different digests is CHANGED unless all agree."""
+    one = lambda rows, name: rows.groupBy("path").agg(F.sort_array(F.collect_set("sha256")).alias(name))  # noqa: E731, a few digests a path
+    both = one(contract, "expected").join(one(have, "found"), "path", "full_outer")
+    status = F.when(F.col("expected").isNull(), "EXTRA").when(F.col("found").isNull(), "MISSING").when(F.col("expected") == F.col("found"), "SAME").otherwise("CHANGED")
+    return both.select("path", status.alias("status"), F.array_join("expected", ",").alias("expected"), F.array_join("found", ",").alias("found"))

@@ -15,6 +15,7 @@ from tidemark.functions.exprs import any_date, finite_or, month_key, month_of, n
 from tidemark.operators import audit, econ, features, inference, nowcast, positioning, refusals, rules, vintages
 from tidemark.plans import dims
 from tidemark.plans import opportunity as plans
+from tidemark.sources import positions as position_files
 from tidemark.sources import readers, sinks
 
 AS_OF = "2001-08-15"
@@ -1209,3 +1210,54 @@ def r13_errors_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows.groupBy("asset").agg(F.count(F.lit(1)).alias("months"))
     assets = charts.select("asset").join(counts, "asset", "left").select("asset", F.coalesce("months", F.lit(0)).alias("months"))
     return refusals.with_errors(assets, bad, "asset", "price")
+
+
+# ---- files
+
+
+@query(
+    """SELECT strftime(l_shipdate, '%Y-%m-%d') AS date, count(*) AS n, round(sum(l_quantity), 2) AS oi FROM lineitem
+    WHERE l_shipdate::DATE >= DATE '1997-02-10' AND l_shipdate::DATE < DATE '1999-03-20' GROUP BY 1"""
+)
+def s05_position_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a range of dates from monthly files; files of other months are not opened, other columns not read."""
+    path = sinks.scratch(spark, "positions")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_partkey").cast("string").alias("market"), F.col("l_quantity").alias("oi"), F.col("l_extendedprice").alias("long"), F.col("l_tax").alias("short"))
+    position_files.write_positions(rows, path)
+    found = position_files.read_positions(spark, path, "date", "oi").where("date >= DATE '1997-02-10' AND date < DATE '1999-03-20'")
+    return found.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("oi"), 2).alias("oi"))
+
+
+@query(
+    """WITH m AS (SELECT 'month=' || strftime(o_orderdate, '%Y-%m') AS path, sha256(string_agg(o_orderkey::VARCHAR || chr(10), '' ORDER BY o_orderkey)) AS a,
+      sha256(string_agg((o_orderkey + 1)::VARCHAR || chr(10), '' ORDER BY o_orderkey)) AS b FROM orders GROUP BY 1)
+    SELECT path, CASE path WHEN 'month=1995-01' THEN 'MISSING' WHEN 'month=1996-02' THEN 'CHANGED' WHEN 'month=1997-03' THEN 'EXTRA' ELSE 'SAME' END AS status,
+      CASE WHEN path <> 'month=1997-03' THEN a END AS expected, CASE WHEN path = 'month=1996-02' THEN b WHEN path <> 'month=1995-01' THEN a END AS found FROM m"""
+)
+def v04_manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each month's orders against the digests of an earlier delivery: one month missing, one changed, one new."""
+    month = month_of(F.col("o_orderdate"))
+    orders = table(spark, sf_dir, "orders").select(month.alias("month"), "o_orderkey")
+
+    def deliver(rows: DataFrame, name: str) -> DataFrame:
+        path = sinks.scratch(spark, name)
+        lines = rows.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", F.col("key").cast("string").alias("value"))
+        lines.write.partitionBy("month").text(path)
+        return audit.file_digests(spark, path).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+
+    before = deliver(orders.where("month <> '1997-03'").withColumn("key", F.col("o_orderkey")), "delivered")
+    after = deliver(orders.where("month <> '1995-01'").withColumn("key", F.col("o_orderkey") + F.when(F.col("month") == "1996-02", 1).otherwise(0)), "found")
+    return audit.reconcile(before, after)
+
+
+@query(
+    """WITH s AS (SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (o_orderdate < DATE '2000-01-01') AS m FROM orders GROUP BY 1)
+    SELECT 1 AS version, status, m AS orders FROM s UNION ALL SELECT 2, status, n FROM s"""
+)
+def k03_published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions published one after the other, and a late writer that is told: the current one and the one before it."""
+    at = sinks.Published(spark, sinks.scratch(spark, "published"))
+    rows = lambda until: table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count_if(F.col("o_orderdate") < until).alias("orders"))
+    for until, expected in (("2000-01-01", 0), ("2100-01-01", 1), ("1990-01-01", 1)):
+        at.publish(rows(until), expected)
+    return at.read(1).withColumn("version", F.lit(1)).union(at.read().withColumn("version", F.lit(at.version())))
