@@ -17,6 +17,7 @@ from tidemark.plans import dims
 from tidemark.plans import opportunity as plans
 from tidemark.sources import positions as position_files
 from tidemark.sources import readers, sinks
+from tidemark.streaming import late
 
 AS_OF = "2001-08-15"
 NAMES = [a[0] for a in dims.ASSETS]
@@ -1261,3 +1262,27 @@ def k03_published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for until, expected in (("2000-01-01", 0), ("2100-01-01", 1), ("1990-01-01", 1)):
         at.publish(rows(until), expected)
     return at.read(1).withColumn("version", F.lit(1)).union(at.read().withColumn("version", F.lit(at.version())))
+
+
+# ---- updates as a stream
+
+
+@query(
+    f"""WITH {MO}, u AS (SELECT series AS block, ((substr(month, 6, 2)::BIGINT * 7 + substr(month, 1, 4)::BIGINT * 5) % 13 * 10000 + substr(month, 1, 4)::BIGINT) * 100 + substr(month, 6, 2)::BIGINT AS sent,
+      replace(month, '199', '201') AS new_date, round(yoy, 4) AS new_yoy FROM yoy),
+    r AS (SELECT *, new_yoy BETWEEN -20 AND 30 AS plausible FROM u),
+    w AS (SELECT *, max(CASE WHEN plausible THEN new_date END) OVER (PARTITION BY block ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r)
+    SELECT block, sent, new_date, new_yoy, CASE WHEN new_date < last THEN 'date regression' WHEN NOT plausible THEN 'implausible growth' END AS reason,
+      new_date >= coalesce(last, '') AND plausible AS taken FROM w"""
+)
+def n07_stream_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks' growth as updates that arrive out of order, in two batches with a restart between them."""
+    year, month = F.substring("month", 1, 4).cast("long"), F.substring("month", 6, 2).cast("long")
+    sent = ((month * 7 + year * 5) % 13 * 10000 + year) * 100 + month
+    rows = nowcast.yoy(money(spark, sf_dir)).select(F.col("series").alias("block"), sent.alias("sent"), F.replace("month", F.lit("199"), F.lit("201")).alias("new_date"), F.round("yoy", 4).alias("new_yoy"))
+    source, out, checkpoint = (sinks.scratch(spark, f"late-{x}") for x in ("in", "out", "state"))
+    for part in (F.col("sent") < 6_000_000, F.col("sent") >= 6_000_000):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        late.judged(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("block", "sent", "new_date", "new_yoy", "reason", "taken")
