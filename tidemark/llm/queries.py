@@ -143,7 +143,61 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3
 
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(({0})::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    one = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    return f"sha256({' || '.join(one.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """A tree's nodes (sid, l, i, n, h) over leaves (sid, i, n, h)."""
+    return f"""{name} AS (SELECT sid, 0 AS l, i, n, h FROM {leaves}
+      UNION ALL SELECT sid, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY sid, l, i // 3, n)"""
+
+
+def _siblings_sql(nodes: str, rows: str, add: int) -> str:
+    return f"""SELECT k, t.l + {add} AS l, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < t.i), '') AS a, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > t.i), '') AS b
+      FROM {rows} r JOIN {nodes} t ON t.sid = r.sid AND t.n > 1 AND t.i = r.i // (3 ** t.l)::BIGINT JOIN {nodes} o ON o.sid = t.sid AND o.l = t.l AND o.i // 3 = t.i // 3 GROUP BY k, t.l, t.i"""
+
+
 ORACLE_SQL = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d0 AS (SELECT *, CASE WHEN {_CRC.format('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents),
+        d AS (SELECT row_number() OVER () AS k, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS sid, {_leaf_sql('text')} AS h, {_leaf_sql('cut')} AS altered FROM d0),
+        leaf AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY sid) AS n FROM d),
+        {_levels_sql('tree', 'leaf')},
+        subroot AS (SELECT sid, h FROM tree WHERE n = 1),
+        top0 AS (SELECT 0 AS sid, sid - 1 AS i, count(*) OVER () AS n, h, sid AS own FROM subroot),
+        {_levels_sql('top', 'top0')},
+        rows1 AS (SELECT k, sid, i FROM leaf), rows2 AS (SELECT k, 0 AS sid, sid - 1 AS i FROM leaf),
+        sib AS ({_siblings_sql('tree', 'rows1', 0)} UNION ALL {_siblings_sql('top', 'rows2', 1000)}),
+        step AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l) AS s FROM sib),
+        proof AS (SELECT k, string_agg(a || b, '' ORDER BY s) AS p FROM step GROUP BY k),
+        fold AS (SELECT k, 0::BIGINT AS s, altered AS h FROM leaf UNION ALL SELECT f.k, step.s, sha256(a || f.h || b) FROM fold f JOIN step ON step.k = f.k AND step.s = f.s + 1),
+        folded AS (SELECT k, arg_max(h, s) AS folded_root FROM fold GROUP BY k)
+        SELECT doc_id, leaf.h AS leaf, subroot.h AS subroot, r.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+        FROM leaf JOIN subroot USING (sid) JOIN folded USING (k) LEFT JOIN proof USING (k), (SELECT h FROM top WHERE n = 1) r""",
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT conv_id, {_CRC.format('conv_id')} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+        re AS (SELECT h.conv_id, i AS k, m, w FROM h JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT conv_id, 1000000000 + i, m, w FROM h JOIN t USING (conv_id) WHERE i > h),
+        seq AS (SELECT conv_id, list(m ORDER BY k) AS ms, list(w ORDER BY k) AS ws FROM re GROUP BY 1),
+        every AS (SELECT conv_id, coalesce(ms, []) AS ms, coalesce(ws, []) AS ws FROM h LEFT JOIN seq USING (conv_id)),
+        pre AS (SELECT conv_id, d, len(ms) AS n, list_slice(ms, 1, d) AS ms, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM every, unnest(range(0, len(ms) + 1)) AS r(d)),
+        node AS (SELECT array_to_string(ms, ',') AS key, d, any_value(ms) AS ms, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM pre GROUP BY 1, 2),
+        up AS (SELECT *, CASE WHEN d > 0 THEN array_to_string(list_slice(ms, 1, d - 1), ',') END AS parent FROM node),
+        kids AS (SELECT parent AS key, count(*) AS c FROM up WHERE d > 0 GROUP BY 1),
+        full_node AS (SELECT up.*, coalesce(c, 0) AS n_children FROM up LEFT JOIN kids USING (key)),
+        above AS (SELECT array_to_string(list_slice(ms, 1, e), ',') AS key, n_children, (n_convs - 1) * w AS s FROM full_node, unnest(range(0, d + 1)) AS r(e)),
+        sums AS (SELECT key, count(*) FILTER (n_children = 0) AS n_leaves, sum(s)::BIGINT AS saved_tokens FROM above GROUP BY 1)
+        SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+        FROM full_node x JOIN sums USING (key) LEFT JOIN node y ON y.key = x.parent AND y.d = x.d - 1""",
     "op1_decontamination": f"""
         WITH item AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark),
         win AS (
