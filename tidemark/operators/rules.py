@@ -85,6 +85,22 @@ def decision_reasons(c: dict[str, Column]) -> Column:
     )
 
 
+#: What a transmission says of its basis, and eligibility of its reason.
+BASES = {"usd": "USD Money", "fxn": "FX-neutral Money"}
+CONTEXT_BASIS = "Broad Money context only"
+NOTES = {"usd": "Uses USD Money only; no synthetic USD/FX-neutral blend.", "fxn": "Uses FX-neutral Money only; no synthetic blend."}
+REASONS = {
+    "CORE_CONTEXT_ONLY": "Backtest did not support dislocation as an incremental hard gate; promoted Money signal remains primary.",
+    "CORE_HARD_GATE": "Promoted transmission plus asset-specific dislocation.",
+    "RESEARCH_DISLOCATION_PRIMARY": "Research-only duration thesis; real-yield dislocation is the primary gate and Money is context only.",
+    "RESEARCH_PROXY_HARD_GATE": "Research Money context plus backtest-supported relative dislocation; not promoted Core transmission.",
+    "RESEARCH_DATA_INCOMPLETE": "Public credit-spread history is insufficient for the pre-specified 60M backtest gate. No accumulation label allowed.",
+    "RESEARCH_CONTEXT_ONLY": "Research-only dislocation/positioning/trend context. It can surface Radar setups but cannot create a promoted strategic signal.",
+}
+OTHER_REASON = "No comparable backtested strategic dislocation model is available. Money and trend are monitoring context only."
+UNAVAILABLE = {"CORE_HARD_GATE": "Required dislocation signal unavailable.", "RESEARCH_PROXY_HARD_GATE": "Required relative dislocation signal unavailable."}
+
+
 def transmission(money: Column, tier: Column, usd: Column, fxn: Column, tilt: Column) -> dict[str, Column]:
     """Whether money supports the asset: by USD or FX-neutral money where that is its basis, else by the tilt."""
     holds = tilt != "DETERIORATING"
@@ -94,6 +110,10 @@ def transmission(money: Column, tier: Column, usd: Column, fxn: Column, tilt: Co
         "t_pass": holds & (F.coalesce(score, F.lit(50.0)) >= 50),
         "t_score": F.round(score, 1),
         "t_promoted": core,
+        "t_basis": choose(*((money == k, v) for k, v in BASES.items()), default=CONTEXT_BASIS),
+        "t_note": choose(*((money == k, v) for k, v in NOTES.items()), default=F.concat(
+            F.lit("USD "), F.format_number(usd, 1), F.lit(" / FX-neutral "), F.format_number(fxn, 1), F.lit(" are shown separately; no composite is computed."))),
+        "t_turn": tilt,
         "t_tier": F.when(core, "CORE_WITH_RESEARCH_FRESHNESS_GUARDRAIL").otherwise("RESEARCH_MONEY_CONTEXT"),
     }
 
@@ -122,6 +142,7 @@ def strategic(mode: Column, t: Column, d: Column, d_known: Column) -> dict[str,
         "s_label": label,
         "s_eligible": choose((context, t), (hard | proxy, d_known & both), (primary, d), default=F.lit(False)),
         "s_score": score,
+        "s_reason": choose(*((~d_known & (mode == k), v) for k, v in UNAVAILABLE.items()), *((mode == k, v) for k, v in REASONS.items()), default=OTHER_REASON),
         "s_cap": choose((context | hard, "NORMAL"), (primary | proxy, "PROVISIONAL"), default="WATCH_ONLY"),
     }
 

@@ -41,10 +41,10 @@ def dislocations(prices: DataFrame, cpi: DataFrame, levels: DataFrame, assets: D
 def opportunity(assets: DataFrame, prices: DataFrame, cpi: DataFrame, levels: DataFrame, positions: DataFrame, tilt: DataFrame, state: dict = STATE) -> DataFrame:
     """One row per asset of the universe: gates, labels, action and triggers.
 
-    positions: asset, available, pass, crowded, percentile_3y (for all assets). tilt: one row with the summary's
+    positions: asset, available, pass, crowded, percentile_3y, as_of if known (for all assets). tilt: one row with the summary's
     tilt. Missing factors never count as passes."""
     turns = features.turn(prices).select("asset", F.col("available").alias("turn_known"), F.col("pass").alias("turn_pass"), "stage", F.col("as_of").alias("price_as_of"), *TREND)
-    held = positions.select("asset", F.col("available").alias("p_known"), F.col("pass").alias("p_pass"), "crowded", "percentile_3y")
+    held = positions.select("asset", F.col("available").alias("p_known"), F.col("pass").alias("p_pass"), "crowded", "percentile_3y", (F.col("as_of") if "as_of" in positions.columns else F.lit(None).cast("string")).alias("positions_as_of"))
     rows = assets.join(turns, "asset", "left").join(dislocations(prices, cpi, levels, assets), "asset", "left").join(held, "asset", "left")
     rows = rows.withColumns({c: yes(F.col(c)) for c in ("turn_known", "turn_pass", "d_known", "d_pass", "p_known", "p_pass", "crowded")})
     rows = rows.crossJoin(F.broadcast(tilt.select("tilt")))  # one row
@@ -160,17 +160,42 @@ def radar_document(rows: DataFrame, decided: DataFrame) -> DataFrame:
         one.select(
             "asset", "asset_class", "core_transmission", "phase", "preferred_side", "best_asymmetry", "regime_context",
             of(F.col("long_label").alias("label"), F.col("long_evidence").alias("evidence")).alias("long_asymmetry"), of(F.col("short_label").alias("label"), F.col("short_evidence").alias("evidence")).alias("short_asymmetry"),
-            of(F.col("macro_long").alias("long_support"), F.col("macro_short").alias("short_support"), F.col("money").alias("basis"), F.col("t_score").alias("score")).alias("macro"),
+            of(F.col("macro_long").alias("long_support"), F.col("macro_short").alias("short_support"), F.col("money").alias("basis"), F.col("t_score").alias("score"), F.col("t_turn").alias("freshness_turn")).alias("macro"),
             of(F.col("cheap").alias("cheap_long"), F.col("expensive").alias("expensive_short"), F.col("washed").alias("positioning_washed"), F.col("crowded").alias("positioning_crowded"),
                 F.col("z60m").alias("dislocation_z"), F.col("percentile_3y").alias("positioning_percentile")).alias("contrarian"),
             of(F.col("trend").alias("stage"), *TREND, F.col("rs_stage").alias("relative_strength")).alias("trend"),
-            "conflicts", F.col("reasons").alias("mechanical_reasons"), "invalidation", of(F.col("price_as_of").alias("price"), F.col("money_date").alias("money")).alias("freshness"),
+            "conflicts", F.col("reasons").alias("mechanical_reasons"), "invalidation", of(F.col("price_as_of").alias("price"), F.col("positions_as_of").alias("positioning"), F.col("money_date").alias("money")).alias("freshness"),
         ), "asset",
     )
 
 
 
 
+#: What every opportunity says of its back-test.
+BACKTEST_NOTE = "Backtest guides overlay design only; it does not alter frozen Money Core."
+
+
+def opportunity_document(rows: DataFrame, errors: DataFrame | None = None, state: dict = STATE) -> DataFrame:
+    """(asset, document): a row of opportunity() as an endpoint sends it: eligibility with its reason and inputs, entry quality
+    with its inputs, action, triggers, and the error of refused inputs (asset, error), if any are given."""
+    of, c = F.struct, F.col
+    named = lambda **columns: F.struct(*(v.alias(k) for k, v in columns.items()))
+    failed = rows.withColumn("error", F.lit(None).cast("string")) if errors is None else rows.join(errors.select("asset", "error"), "asset", "left")
+    transmission = named(**{"pass": c("t_pass")}, score=c("t_score"), money_basis=c("t_basis"), core_date=F.lit(state["money_date"]), core_freshness=F.lit(state["freshness"]), freshness_turn=c("t_turn"),
+                         evidence_tier=c("t_tier"), promoted_transmission=c("t_promoted"), note=c("t_note"))
+    dislocation = named(available=c("d_known"), **{"pass": c("d_pass")}, z60m=c("z60m"), as_of=c("d_as_of"))
+    positioning = named(available=c("p_known"), **{"pass": c("p_pass")}, crowded=c("crowded"), percentile_3y=c("percentile_3y"), as_of=c("positions_as_of"))
+    turn = of(c("turn_known").alias("available"), c("turn_pass").alias("pass"), "stage", *TREND)
+    return as_json(
+        failed.select(
+            "asset", "asset_class", "evidence_tier", named(status=c("backtest"), episode_starts=c("episodes"), note=F.lit(BACKTEST_NOTE)).alias("backtest"),
+            named(score=c("s_score"), eligible=c("s_eligible"), label=c("s_label"), reason=c("s_reason"), cap=c("s_cap")).alias("strategic_eligibility"),
+            named(transmission=transmission, dislocation=dislocation, strategic_mode=c("strategic_mode")).alias("strategic_inputs"), of(c("e_score").alias("score"), c("e_label").alias("label")).alias("entry_quality"),
+            named(positioning=positioning, turn=turn).alias("entry_inputs"), "action", of("upgrade", "downgrade").alias("triggers"), "price_as_of", "error",
+        ), "asset",
+    )
+
+
 #: Radar phases by the bucket they fill, if the asset has a side; phases not to chase need none.
 BUCKETS = {
     "EARLY_LONG": "early_longs", "EARLY_SHORT": "early_shorts", "SETUP_LONG": "setup_longs", "SETUP_SHORT": "setup_shorts",

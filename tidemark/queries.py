@@ -412,7 +412,8 @@ _BASKETS = ", ".join(f"('{b}', '{c}', {n})" for b, (cs, n) in dims.BASKETS.items
 BK = f"""basket AS (SELECT basket AS asset, count(pct) >= any_value(least) AS available, count(pct) AS components, max(as_of) AS as_of, avg(round(pct, 1)) AS pct
   FROM (VALUES {_BASKETS}) b(basket, component, least) LEFT JOIN summ ON component = asset GROUP BY 1)"""
 U = f"""universe AS (SELECT * FROM ({UNIVERSE})),
-  held AS (SELECT u.asset, coalesce(s.pct IS NOT NULL OR b.available, false) AS p_known, coalesce(coalesce(s.pct, b.pct) <= 25, false) AS p_pass, coalesce(coalesce(s.pct, b.pct) >= 75, false) AS crowded
+  held AS (SELECT u.asset, coalesce(s.pct IS NOT NULL OR b.available, false) AS p_known, coalesce(coalesce(s.pct, b.pct) <= 25, false) AS p_pass, coalesce(coalesce(s.pct, b.pct) >= 75, false) AS crowded,
+      coalesce(s.as_of, b.as_of) AS p_as_of
     FROM universe u LEFT JOIN summ s USING (asset) LEFT JOIN basket b USING (asset))"""
 
 
@@ -614,7 +615,10 @@ TILTS = ["SUPPORTIVE_MIXED", "DETERIORATING", "NEUTRAL_TO_SUPPORTIVE", "MIXED"]
 
 def transmission_sql(usd: str, fxn: str) -> str:
     score = f"CASE money WHEN 'usd' THEN {usd} WHEN 'fxn' THEN {fxn} END"
-    return f"""tilt <> 'DETERIORATING' AND coalesce({score}, 50) >= 50 AS t_pass, {score} AS t_score, tier = 'CORE' AND money IN ('usd', 'fxn') AS t_promoted"""
+    return f"""tilt <> 'DETERIORATING' AND coalesce({score}, 50) >= 50 AS t_pass, {score} AS t_score, tier = 'CORE' AND money IN ('usd', 'fxn') AS t_promoted,
+      CASE money WHEN 'usd' THEN 'USD Money' WHEN 'fxn' THEN 'FX-neutral Money' ELSE 'Broad Money context only' END AS t_basis, tilt AS t_turn,
+      CASE money WHEN 'usd' THEN 'Uses USD Money only; no synthetic USD/FX-neutral blend.' WHEN 'fxn' THEN 'Uses FX-neutral Money only; no synthetic blend.'
+        ELSE 'USD ' || printf('%.1f', {usd}) || ' / FX-neutral ' || printf('%.1f', {fxn}) || ' are shown separately; no composite is computed.' END AS t_note"""
 
 
 @query(f"WITH x AS ({_dealt_sql(money=['usd', 'fxn', 'context'], tier=['CORE', 'RESEARCH'], usd=[49.5, 50.0, 66.0], fxn=[43.0, 50.0], tilt=TILTS)}) SELECT * REPLACE (usd::DOUBLE AS usd, fxn::DOUBLE AS fxn, t_score::DOUBLE AS t_score) FROM (SELECT *, {transmission_sql('usd', 'fxn')} FROM x)")
@@ -622,12 +626,16 @@ def r07_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The money gate by basis, score and tilt."""
     x = _dealt(spark, sf_dir, "money string, tier string, usd double, fxn double, tilt string", ["usd", "fxn", "context"], ["CORE", "RESEARCH"], [49.5, 50.0, 66.0], [43.0, 50.0], TILTS)
     t = rules.transmission(*(F.col(c) for c in ("money", "tier", "usd", "fxn", "tilt")))
-    return x.select("*", *(t[c].alias(c) for c in ("t_pass", "t_score", "t_promoted")))
+    return x.select("*", *(t[c].alias(c) for c in ("t_pass", "t_score", "t_promoted", "t_basis", "t_turn", "t_note")))
 
 
 MODES = sorted({a[6] for a in dims.ASSETS})
 
 
+_UNAVAILABLE = " ".join(f"WHEN NOT @k AND strategic_mode = '{m}' THEN '{v}'" for m, v in rules.UNAVAILABLE.items())
+_REASON = " ".join(f"WHEN strategic_mode = '{m}' THEN '{v}'" for m, v in rules.REASONS.items())
+
+
 def strategic_sql(t: str = "t", d: str = "d", k: str = "k") -> str:
     hard = "strategic_mode IN ('CORE_HARD_GATE', 'RESEARCH_PROXY_HARD_GATE')"
     return f"""CASE strategic_mode WHEN 'CORE_CONTEXT_ONLY' THEN CASE WHEN {t} AND {d} THEN 'ELIGIBLE + CHEAPNESS BONUS' WHEN {t} THEN 'ELIGIBLE' ELSE 'MONEY NOT SUPPORTIVE' END
@@ -640,7 +648,8 @@ def strategic_sql(t: str = "t", d: str = "d", k: str = "k") -> str:
     CASE strategic_mode WHEN 'CORE_CONTEXT_ONLY' THEN {t}::INT || '/1 core gate' WHEN 'RESEARCH_DISLOCATION_PRIMARY' THEN {d}::INT || '/1 research gate'
       WHEN 'RESEARCH_DATA_INCOMPLETE' THEN CASE WHEN {k} THEN 'research data available' ELSE 'data incomplete' END
       ELSE CASE WHEN NOT {hard} THEN 'context only' WHEN NOT {k} THEN {t}::INT || '/1 known' ELSE ({t}::INT + {d}::INT) || '/2' || CASE WHEN strategic_mode = 'RESEARCH_PROXY_HARD_GATE' THEN ' research' ELSE '' END END END AS s_score,
-    CASE WHEN strategic_mode LIKE 'CORE%' THEN 'NORMAL' WHEN strategic_mode IN ('RESEARCH_DISLOCATION_PRIMARY', 'RESEARCH_PROXY_HARD_GATE') THEN 'PROVISIONAL' ELSE 'WATCH_ONLY' END AS s_cap"""
+    CASE WHEN strategic_mode LIKE 'CORE%' THEN 'NORMAL' WHEN strategic_mode IN ('RESEARCH_DISLOCATION_PRIMARY', 'RESEARCH_PROXY_HARD_GATE') THEN 'PROVISIONAL' ELSE 'WATCH_ONLY' END AS s_cap,
+    CASE {_UNAVAILABLE.replace('@k', k)} {_REASON} ELSE '{rules.OTHER_REASON}' END AS s_reason"""
 
 
 @query(f"WITH x AS ({_dealt_sql(strategic_mode=MODES, t=FLAG, d=FLAG, k=FLAG)}) SELECT *, {strategic_sql()} FROM x")
@@ -737,8 +746,8 @@ FOUND = f"""{P}, {C}, {L}, {REL}, {REAL}, {_LEV}, {M}, {BK}, {U}, {turn_sql('t',
   dis AS (SELECT u.asset, z IS NOT NULL AS k, coalesce(CASE WHEN dislocation LIKE '%high' THEN z >= 1 ELSE z <= -1 END, false) AS d, round(z, 2) AS z60m FROM universe u JOIN (
     SELECT asset, z, 'absolute' AS kind FROM {last_sql('za')} UNION ALL SELECT asset, z, 'real' FROM {last_sql('zr')} UNION ALL SELECT asset, z, 'relative_spy' FROM {last_sql('zb')}
     UNION ALL SELECT asset, z, CASE asset WHEN 'TLT' THEN 'real_yield_10y_high' WHEN 'IEF' THEN 'real_yield_5y_high' ELSE 'hy_oas_high' END FROM {last_sql('zl')}) x ON x.asset = u.asset AND kind = dislocation),
-  f0 AS (SELECT u.*, coalesce(n >= 13, false) AS turn_known, coalesce(pass, false) AS turn_pass, stage, coalesce(k, false) AS k, coalesce(d, false) AS d, z60m, p_known, p_pass, crowded AS crowd, 'SUPPORTIVE_MIXED' AS tilt
-    FROM universe u LEFT JOIN {last_sql('t')} USING (asset) LEFT JOIN dis USING (asset) LEFT JOIN held USING (asset)),
+  f0 AS (SELECT u.*, coalesce(n >= 13, false) AS turn_known, coalesce(pass, false) AS turn_pass, stage, t.month AS price_as_of, coalesce(k, false) AS k, coalesce(d, false) AS d, z60m, p_known, p_pass, p_as_of, crowded AS crowd, 'SUPPORTIVE_MIXED' AS tilt
+    FROM universe u LEFT JOIN {last_sql('t')} t USING (asset) LEFT JOIN dis USING (asset) LEFT JOIN held USING (asset)),
   f1 AS (SELECT *, {transmission_sql(str(dims.STATE['usd_score']), str(dims.STATE['fxn_score']))} FROM f0),
   f2 AS (SELECT *, {strategic_sql('t_pass')}, {ENTRY} FROM f1),
   f3 AS (SELECT *, {ACTION} AS action FROM f2)"""
@@ -919,7 +928,7 @@ _PCT = "round(100 * {0}, 1)"
     f"""WITH {RADAR} SELECT g5.asset, asset_class, tier = 'CORE' AS core_transmission, phase, side AS preferred_side, best AS best_asymmetry, ll AS long_label, le AS long_evidence, sl AS short_label, se AS short_evidence,
     ml AS long_support, money AS basis, round(t_score, 1)::DOUBLE AS score, d AS cheap_long, expensive AS expensive_short, washed, crowded, z60m AS dislocation_z, trend AS stage,
     CASE WHEN p.n >= 13 THEN round(p.value, 4) END AS price, round(p.ma10, 4) AS ma10, {_PCT.format('p.slope')} AS slope, {_PCT.format('p.r3')} AS r3, {_PCT.format('p.r6')} AS r6,
-    {_messages(_CONFLICTS, 6)} AS conflicts, {_messages(_REASONS, 5)} AS reasons, {_messages(_DOWN, 2)} AS invalidation, p.month AS price_as_of, '2026-02-28' AS money_as_of,
+    {_messages(_CONFLICTS, 6)} AS conflicts, {_messages(_REASONS, 5)} AS reasons, {_messages(_DOWN, 2)} AS invalidation, p.month AS price_as_of, '2026-02-28' AS money_as_of, p_as_of AS positions_as_of, t_turn AS freshness_turn,
     'NEUTRAL' AS regime, 'MILD_POSITIVE' AS tilt, 'RESTRICTIVE' AS funding FROM g5 LEFT JOIN {last_sql('t')} p ON p.asset = g5.asset"""
 )
 def k01_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -928,21 +937,47 @@ def k01_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = plans.radar_document(rows, plans.decision(found(spark, sf_dir), nowcast.summary(dims.nowcast_blocks(spark))))
     side = "struct<label:string,evidence:string>"
     back = sent.select(F.from_json("document", f"""asset string, asset_class string, core_transmission boolean, phase string, preferred_side string, best_asymmetry string, long_asymmetry {side},
-      short_asymmetry {side}, macro struct<long_support:boolean,basis:string,score:double>, regime_context struct<label:string,tilt:string,funding:string>,
+      short_asymmetry {side}, macro struct<long_support:boolean,basis:string,score:double,freshness_turn:string>, regime_context struct<label:string,tilt:string,funding:string>,
       contrarian struct<cheap_long:boolean,expensive_short:boolean,positioning_washed:boolean,positioning_crowded:boolean,dislocation_z:double>,
       trend struct<stage:string,price:double,ma10:double,ma10_slope_3m_pct:double,return_3m_pct:double,return_6m_pct:double>, conflicts array<string>, mechanical_reasons array<string>,
-      invalidation array<string>, freshness struct<price:string,money:string>""").alias("j")).select("j.*")
+      invalidation array<string>, freshness struct<price:string,positioning:string,money:string>""").alias("j")).select("j.*")
     names = {
         "long_asymmetry.label": "long_label", "long_asymmetry.evidence": "long_evidence", "short_asymmetry.label": "short_label", "short_asymmetry.evidence": "short_evidence",
         "macro.long_support": "long_support", "macro.basis": "basis", "macro.score": "score", "contrarian.cheap_long": "cheap_long", "contrarian.expensive_short": "expensive_short",
         "contrarian.positioning_washed": "washed", "contrarian.positioning_crowded": "crowded", "contrarian.dislocation_z": "dislocation_z", "trend.stage": "stage", "trend.price": "price",
-        "trend.ma10": "ma10", "trend.ma10_slope_3m_pct": "slope", "trend.return_3m_pct": "r3", "trend.return_6m_pct": "r6", "freshness.price": "price_as_of", "freshness.money": "money_as_of",
+        "trend.ma10": "ma10", "trend.ma10_slope_3m_pct": "slope", "trend.return_3m_pct": "r3", "trend.return_6m_pct": "r6", "freshness.price": "price_as_of", "freshness.money": "money_as_of", "freshness.positioning": "positions_as_of", "macro.freshness_turn": "freshness_turn",
         "regime_context.label": "regime", "regime_context.tilt": "tilt", "regime_context.funding": "funding",
     }
     plain = ("asset", "asset_class", "core_transmission", "phase", "preferred_side", "best_asymmetry")
     return back.select(*plain, *(F.col(k).alias(v) for k, v in names.items()), texts("conflicts"), F.concat_ws("|", "mechanical_reasons").alias("reasons"), texts("invalidation"))
 
 
+@query(
+    f"""WITH {FOUND} SELECT asset, asset_class, CASE WHEN tier = 'CORE' THEN 'RESEARCH_DECISION_OVERLAY_WITH_CORE_TRANSMISSION' ELSE 'RESEARCH_ONLY' END AS evidence_tier, backtest, episodes, s_score, s_eligible, s_label, s_reason, s_cap,
+    t_pass, round(t_score, 1)::DOUBLE AS t_score, t_basis, '2026-02-28' AS core_date, t_turn, t_note, k AS d_known, d AS d_pass, z60m, p_known, p_pass, crowd AS crowded, p_as_of, e_score, e_label, turn_known, turn_pass, stage, action, price_as_of,
+    {_messages(_UP, 3)} AS upgrade, {_messages(_DOWN, 2)} AS downgrade, CASE WHEN price_as_of IS NULL THEN 'no price chart' END AS error FROM f3"""
+)
+def r13_opportunity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opportunity documents as an endpoint sends them, read back whole; an asset without prices has an error."""
+    rows = found(spark, sf_dir)
+    errors = rows.where("price_as_of IS NULL").select("asset", F.lit("no price chart").alias("error"))
+    back = plans.opportunity_document(rows, errors).select(F.from_json("document", """asset string, asset_class string, evidence_tier string, backtest struct<status:string,episode_starts:int,note:string>,
+      strategic_eligibility struct<score:string,eligible:boolean,label:string,reason:string,cap:string>, strategic_inputs struct<transmission:struct<pass:boolean,score:double,money_basis:string,core_date:string,
+      freshness_turn:string,note:string>,dislocation:struct<available:boolean,pass:boolean,z60m:double>>, entry_quality struct<score:string,label:string>,
+      entry_inputs struct<positioning:struct<available:boolean,pass:boolean,crowded:boolean,as_of:string>,turn:struct<available:boolean,pass:boolean,stage:string>>, action string,
+      triggers struct<upgrade:array<string>,downgrade:array<string>>, price_as_of string, error string""").alias("j")).select("j.*")
+    names = {
+        "backtest.status": "backtest", "backtest.episode_starts": "episodes", "strategic_eligibility.score": "s_score", "strategic_eligibility.eligible": "s_eligible", "strategic_eligibility.label": "s_label",
+        "strategic_eligibility.reason": "s_reason", "strategic_eligibility.cap": "s_cap", "strategic_inputs.transmission.pass": "t_pass", "strategic_inputs.transmission.score": "t_score",
+        "strategic_inputs.transmission.money_basis": "t_basis", "strategic_inputs.transmission.core_date": "core_date", "strategic_inputs.transmission.freshness_turn": "t_turn", "strategic_inputs.transmission.note": "t_note",
+        "strategic_inputs.dislocation.available": "d_known", "strategic_inputs.dislocation.pass": "d_pass", "strategic_inputs.dislocation.z60m": "z60m", "entry_inputs.positioning.available": "p_known",
+        "entry_inputs.positioning.pass": "p_pass", "entry_inputs.positioning.crowded": "crowded", "entry_inputs.positioning.as_of": "p_as_of", "entry_quality.score": "e_score", "entry_quality.label": "e_label",
+        "entry_inputs.turn.available": "turn_known", "entry_inputs.turn.pass": "turn_pass", "entry_inputs.turn.stage": "stage",
+    }
+    lists = [F.concat_ws("|", f"triggers.{c}").alias(c) for c in ("upgrade", "downgrade")]
+    return back.select("asset", "asset_class", "evidence_tier", "action", "price_as_of", "error", *(F.col(k).alias(v) for k, v in names.items()), *lists)
+
+
 @query(f"WITH {MO}, {BL}, {_OLD} SELECT block, latest_date, round(latest_yoy, 6) AS latest_yoy FROM done WHERE latest_date <> d OR latest_yoy <> y")
 def k03_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a refresh changes in the snapshot; a snapshot without such rows is not written again."""
