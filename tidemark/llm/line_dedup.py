@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.shared import _ODD, bitmap, bits_for, in_bitmap, map_arrow, mixed, row_key, stored, type_of
+from tidemark.llm.shared import _ODD, bitmap, bits_for, drop_stored, in_bitmap, map_arrow, mixed, row_key, stored, type_of
 
 LEADING = 3
 #: The parts of a unit's inner tokens, of which one or two may vary; each token is a part where there are fewer.
@@ -275,8 +275,8 @@ def _template_hashes(leaf: np.ndarray, fields: np.ndarray, codes: np.ndarray) ->
     return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
 
 
-def _templates(units: DataFrame) -> DataFrame:
-    """(line, template): the templates of the distinct units whose leaf holds others."""
+def _templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(line, template): the templates of the distinct units whose leaf holds others; and the stored table they come from."""
     lines = units.where((F.col("tokens") > LEADING + 1) & (2 * F.col("fields") <= F.col("tokens")))
     lines = stored(lines.groupBy("line").agg(*(F.first(c).alias(c) for c in ("leaf", "fields", "codes"))), "lines")
     several = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf"), "several")
@@ -291,19 +291,22 @@ def _templates(units: DataFrame) -> DataFrame:
             out.append((names[0][where][rows], hashes))
         return {"line": np.concatenate([x for x, _ in out] or [np.empty(0, np.int64)]), "template": np.concatenate([x for _, x in out] or [np.empty(0, np.int64)])}
 
-    return map_arrow(lines.join(several, "leaf").select("line", "leaf", "fields", "codes"), each, "line long, template long")
+    return map_arrow(lines.join(several, "leaf").select("line", "leaf", "fields", "codes"), each, "line long, template long"), lines
 
 
 def recurring_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = 3) -> DataFrame:
     """(key, seq): the units to mark, by row_key and their number in the text."""
     alone = F.when(2 * F.col("fields") <= F.col("tokens"), F.xxhash64("leaf", "masked")).otherwise(F.xxhash64("leaf", "masked", "exact"))
     units = stored(_candidates(documents, id_col, text_col, least_tokens, least_docs).withColumn("line", alone).drop("masked", "exact"), "units")
-    placed = units.select("key", "doc_id", "seq", "line")
+    placed = stored(units.select("key", "doc_id", "seq", "line"), "placed")
+    templates, distinct = _templates(units)
+    drop_stored(units.sparkSession, units)  # its tokens are in the distinct lines
     by_doc = stored(placed.groupBy("line", "key", "doc_id").agg(F.min("seq").alias("seq")), "by-doc")
     first = F.min(F.struct("doc_id", "key", "seq")).alias("first")
     lines = by_doc.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), first, F.min("key").alias("low"), F.max("key").alias("high"))
     lines = stored(lines, "line-documents")
-    members = stored(_templates(units).join(lines, "line"), "members")
+    members = stored(templates.join(lines, "line"), "members")
+    drop_stored(units.sparkSession, distinct)
     shared = members.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"))
     shared = shared.where("n > 1 AND low <> high").select("template", "least")  # two documents at least
     if least_docs > 2:
