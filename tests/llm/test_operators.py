@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -807,6 +808,64 @@ def test_word_caches_are_bounded(monkeypatch):
     assert packing.WordEncoder(path).by_word and not packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
 
 
+class CountedTokenizer:
+    """A tokenizer that notes how many texts each call encodes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    encoder = packing.WordEncoder(path)
+    counted = CountedTokenizer(encoder.tokenizer)
+    words = ["".join(r.choice("abcdeéß") for _ in range(9)) + r.choice(["", ",", "$$$", ".***", "-12", "9"]) for _ in range(5000)]
+    encoder.tokenizer = counted
+    got = encoder.encode([" ".join(words)])[0].tolist()
+    assert got == counted.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert counted.texts < 50
+
+
+def test_word_encoder_reads_slices_and_any_mix_of_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, r = packing.WordEncoder(path), random.Random(6)
+    parts = ["é", "Ü", "a", "Qz", "\x01", "a\x01", "\u0149", "\ufb2a", "\ufb00", "й", "中", "かな", ".", ",", "İ", "e\u0301", "<|endoftext|>", "<|x", " ", " ", "\n", "$", "7", "\u2167", "\U000105c0"]
+    texts = [None if i % 50 == 0 else "".join(r.choice(parts) for _ in range(r.randint(0, 40))) for i in range(600)]
+    rows = pa.array(texts)
+    for low, n in ((0, 7), (3, 200), (203, 1), (204, 396)):
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[low : low + n]]
+        assert [x.tolist() for x in encoder.encode(rows.slice(low, n))] == want
+    batch = pa.RecordBatch.from_pydict({"text": rows})
+    assert encoder.encode([]) == [] and [p.num_rows for p in packing._parts(batch)] == [600]
+
+
+def test_parts_are_bounded_and_keep_the_order(monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) * (2000 if i == 5 else 30) for i in range(100)]})
+    got = list(packing._parts(batch))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in got) and len(got) > 2
+
+
+def test_words_stay_from_task_to_task_and_frequent_ones_longest(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.shared_encoder(path) is packing.shared_encoder(path)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    encoder = packing.WordEncoder(path)
+    for i in range(20):
+        text = "often OFTEN common " + " ".join(f"rare{c}{'x' * i}" for c in "abcdefghij")
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words) <= 100 + 12
+    assert {"often", "common"} <= set(encoder.words.to_pylist())
+    encoder._trim()
+    assert set(encoder.words.to_pylist()) == {"often", "common"} and encoder.chars == 11
+    assert encoder.encode(["common often"])[0].tolist() == encoder.tokenizer.encode("common often", add_special_tokens=False).ids
+
+
 # 9
 
 

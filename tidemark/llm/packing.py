@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,30 +27,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.shared import type_of
 
-#: Words whose ids a task keeps at a time, and their characters.
+#: Words whose ids a Python worker keeps at a time, and their characters.
 CACHED_WORDS, CACHED_CHARS = 800_000, 16_000_000
+#: Bytes of the rows that are encoded at a time.
+PART_BYTES = 8 << 20
+#: Tokens of a class that has gone: more than fit anywhere.
+GONE = 1 << 40
 #: Sequences' worth of examples that wait before sequences are filled.
 WAITING = 16
 
 
-class _Numbers(dict):
-    """Numbers words as they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class WordEncoder:
     """Ids of whole texts. For a tokenizer that lower-cases and drops spaces and newlines, word by word; by whole texts for others.
 
     Words are cut at those two characters only, so the ids of a text are those of its words in order, and
     each distinct word is encoded once. A-Z are lower-cased first to have fewer distinct words, except beside combining marks,
-    which might compose with one case only, and in texts that may hold the names of special tokens.
+    which might compose with one case only, and in texts that may hold the names of special tokens. The words and their
+    ids are Arrow and numpy columns; of more words than the cache may hold, the half met most often stays.
     """
 
-    _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    _MARKS = re.compile("[\u0300-\u036f]")
+    _AS_IS = "[\u0300-\u036f]|<[|]"
+    #: Letters, none of them with a lower case of two characters (U+0130) or of a late Unicode version, before at most one full stop or comma.
+    _PLAIN = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u04ff\u4e00-\u9fa5]+[.,]?$"
+    _MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -60,69 +60,104 @@ class WordEncoder:
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
         of = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        whole, parts = "Some Text,  of\nWORDS ", ("some", "text,", "of", "words")
-        self.by_word = of(whole) == [i for w in parts for i in of(w)] and of(" \n") == []
-        self._reset()
-
-    def _reset(self) -> None:
-        self.numbers, self.flat, self.begin, self.chars = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64), 0
-
-    def _split(self, text: str) -> list[str]:
-        if "<|" not in text:
-            if text.isascii() or not self._MARKS.search(text):
-                text = text.encode().translate(self._LOWER).decode()
-        return text.replace("\n", " ").split(" ")
-
-    def _ids(self, new: list[str]) -> list[np.ndarray]:
-        """The ids of each word. Words of letters alone, or of letters and a full stop or comma, are one or
-        two parts for the tokenizer, each ending in a piece that ends a word: many of them are encoded as one
-        text and told apart by those pieces. All others are encoded each."""
-        out: list = [None] * len(new)
-        plain, parts, other = [], [], []
-        for i, w in enumerate(new):
-            if w.isalpha() and "\u0130" not in w:  # its lower case is two characters
-                plain.append(i)
-                parts.append(1)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha() and "\u0130" not in w:
-                plain.append(i)
-                parts.append(2)
-            else:
-                other.append(i)
-        texts = [" ".join([new[i] for i in plain[low : low + 256]]) for low in range(0, len(plain), 256)]
-        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
-        ends = np.flatnonzero(self.is_end[flat]) + 1
-        if len(ends) != sum(parts):
-            plain, other = [], list(range(len(new)))
+        whole, parts, mark = f"Some Text,  of\nWORDS {self._MARK} ", ("some", "text,", "of", "words", self._MARK), of(self._MARK)
+        self.by_word = of(whole) == [i for w in parts for i in of(w)] and of(" \n") == [] and len(mark) == 1
+        self.mark = mark[0] if self.by_word else -1
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Of the cached words only those at these places."""
+        if not len(at):
+            self.words, self.flat = pa.array([], pa.large_string()), np.empty(0, np.uint32)
+            self.begin, self.met = np.zeros(1, np.int64), np.empty(0, np.int64)
         else:
-            cut = ends[np.cumsum(parts, dtype=np.int64) - 1] if parts else ends
-            for i, ids in zip(plain, np.split(flat, cut[:-1]), strict=False):
-                out[i] = ids
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            size = self.begin[at + 1] - self.begin[at]
+            self.words, self.flat, self.met = self.words.take(pa.array(at)), self._gather(at), self.met[at] // 2
+            self.begin = np.concatenate(([0], np.cumsum(size)))
+        self.chars = pc.sum(pc.utf8_length(self.words)).as_py() or 0
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after another."""
+        low, size = self.begin[at], self.begin[at + 1] - self.begin[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(at) else 0)]
+
+    def _batches(self, words: pa.Array, between: str, n: int = 256) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Of n words each: the words, and the ids of a text of them."""
+        offsets = np.append(np.arange(0, len(words), n, dtype=np.int32), np.int32(len(words)))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.cast(pa.string())), between).to_pylist()
+        found = self.tokenizer.encode_batch_fast([t + between for t in texts], add_special_tokens=False)
+        for low, e in zip(offsets, found, strict=False):
+            yield words.slice(low, n), np.array(e.ids, np.uint32)
+
+    def _add(self, new: pa.Array) -> None:
+        """Encode words and cache them. Words of letters alone, or of letters and a full stop or comma, are one or two parts for
+        the tokenizer, each ending in a piece that ends a word: many of them are encoded as one text and told
+        apart by those pieces. Others are encoded with a mark after each, or one by one where words hold the mark."""
+        plain = pc.match_substring_regex(new, self._PLAIN)
+        found = []
+        for some, ids in self._batches(new.filter(plain), " "):
+            parts = 1 + pc.match_substring_regex(some, "[.,]$").to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == parts.sum():
+                size = np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+            else:
+                ids, size = self._one_by_one(some)
+            found.append((some, ids, size))
+        for some, ids in self._batches(new.filter(pc.invert(plain)), f" {self._MARK} "):
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(some):
+                ids, size = ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
+            else:
+                ids, size = self._one_by_one(some)
+            found.append((some, ids, size))
+        words, ids, sizes = zip(*found, strict=True)
+        self.flat, self.words = np.concatenate((self.flat, *ids)), pa.concat_arrays((self.words, *words))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))))
+        self.met = np.concatenate((self.met, np.zeros(len(new), np.int64)))
+        self.chars += pc.sum(pc.utf8_length(new)).as_py()
+
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _trim(self) -> None:
+        order = np.argsort(-self.met, kind="stable")[: CACHED_WORDS // 2]
+        order = order[self.met[order] > 1]
+        chars = pc.utf8_length(self.words.take(pa.array(order))).to_numpy(zero_copy_only=False)
+        self._keep(np.sort(order[np.cumsum(chars) <= CACHED_CHARS // 2]))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.numbers) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self._reset()
-        known = len(self.numbers)
-        places = []
-        for t in texts:
-            ws = self._split(t) if t else []
-            places.append(np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)))
-        if new := list(islice(self.numbers, known, None)):
-            self.chars += sum(map(len, new))
-            ids = self._ids(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate((self.flat, *ids))
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
-        out = []
-        for at in places:
-            low, size = self.begin[at], self.begin[at + 1] - self.begin[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(at) else 0)])
-        return out
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        if len(self.words) > CACHED_WORDS or self.chars > CACHED_CHARS:
+            self._trim()
+        texts = pc.replace_substring(texts, "\n", " ")  # first, as ascii_lower takes only arrays that are no slices
+        split = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, self._AS_IS), texts, pc.ascii_lower(texts)), " ")
+        words = split.flatten()
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            known, unknown = len(self.words), words.filter(pc.is_null(at))
+            self._add(unknown.unique())
+            new = pc.index_in(unknown, value_set=self.words.slice(known))
+            at = pc.replace_with_mask(at, pc.is_null(at), pc.add(new, pa.scalar(known, pa.int32())))
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met += np.bincount(at, minlength=len(self.met))
+        ids, ends = self._gather(at), np.concatenate(([0], np.cumsum(self.begin[at + 1] - self.begin[at])))
+        cuts = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))]
+        return [ids[low:high] for low, high in pairwise(cuts.tolist())]
+
+
+@lru_cache(1)
+def _encoder_of(path: str, changed: int) -> WordEncoder:
+    return WordEncoder(path)
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder in each Python worker, so the words that a task has met are known to the worker's next task."""
+    return _encoder_of(path, os.stat(path).st_mtime_ns)
 
 
 @dataclass(frozen=True)
@@ -146,6 +181,32 @@ class _Packer:
         self.left, self.waiting, self.number = 0, 0, 0  # tokens and examples that wait, examples so far
         self.out: list[tuple] = []
         self.size = np.array([limits.tokens, limits.segments, limits.loss], float)
+        self.demand = np.empty((64, 3))  # the vectors of the classes, in rows that are used again
+        self.slots: dict[tuple[int, int], int] = {}  # the row of each class
+        self.keys: list[tuple[int, int]] = []  # the class of each row
+        self.free: list[int] = []
+
+    def _open(self, key: tuple[int, int]) -> list:
+        """The heap of a class, which begins if need be."""
+        if key not in self.classes:
+            if self.free:
+                slot = self.free.pop()
+                self.keys[slot] = key
+            else:
+                slot = len(self.keys)
+                self.keys.append(key)
+                if slot == len(self.demand):
+                    self.demand = np.concatenate((self.demand, np.empty_like(self.demand)))
+            self.slots[key] = slot
+            self.demand[slot] = key[0], 1, key[1]
+            self.classes[key] = []
+        return self.classes[key]
+
+    def _close(self, key: tuple[int, int]) -> None:
+        del self.classes[key]
+        slot = self.slots.pop(key)
+        self.demand[slot, 0] = GONE
+        self.free.append(slot)
 
     def _place(self, item: list, n: int, offset: int) -> int:
         row, ids, loss, at = item
@@ -155,14 +216,14 @@ class _Packer:
 
     def _wait(self, number: int, item: list) -> None:
         key = (len(item[1]) - item[3], int(item[2][-1] - item[2][item[3]]))
-        heapq.heappush(self.classes.setdefault(key, []), (number, item))
+        heapq.heappush(self._open(key), (number, item))
         self.waiting += 1
 
     def _take(self, key: tuple[int, int]) -> tuple[int, list]:
         heap = self.classes[key]
         number, item = heapq.heappop(heap)
         if not heap:
-            del self.classes[key]
+            self._close(key)
         self.waiting -= 1
         return number, item
 
@@ -193,14 +254,18 @@ class _Packer:
     def _best(self, room: np.ndarray) -> tuple[tuple[int, int], bool] | None:
         """The class to take from, and whether it fits whole: of those that fit, the largest dot product; else the one of most
         tokens, where examples may be cut. Of equal ones that whose first example came first."""
-        keys = list(self.classes)
-        demand = np.array([(n, 1, loss) for n, loss in keys])
-        fits = (demand <= room).all(1)
-        if not fits.any() and not self.cut:
+        demand = self.demand[: len(self.keys)]
+        fits = (demand[:, 0] <= room[0]) & (demand[:, 1] <= room[1]) & (demand[:, 2] <= room[2])
+        whole = bool(fits.any())
+        if not whole and not self.cut:
             return None
-        value = np.where(fits, (demand / self.size) @ (room / self.size), -1.0) if fits.any() else demand[:, 0]
+        if whole:
+            of = room / self.size / self.size
+            value = np.where(fits, demand[:, 0] * of[0] + demand[:, 1] * of[1] + demand[:, 2] * of[2], -1.0)
+        else:
+            value = np.where(demand[:, 0] < GONE, demand[:, 0], -1.0)
         same = np.flatnonzero(value == value.max())
-        return min((keys[i] for i in same), key=lambda k: self.classes[k][0][0]), bool(fits.any())
+        return min((self.keys[i] for i in same), key=lambda k: self.classes[k][0][0]), whole
 
     def _fill_one(self, target: int) -> None:
         room = np.array([target, self.limits.segments, self.limits.loss])
@@ -244,7 +309,7 @@ class _Packer:
                     heapq.heapify(heap)
                     self.classes[key] = heap
                     if not heap:
-                        del self.classes[key]
+                        self._close(key)
                 x[3] -= less
                 self._wait(number, x)
                 back -= less
@@ -252,14 +317,23 @@ class _Packer:
         self.left -= offset
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in parts of at most PART_BYTES or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > PART_BYTES:
+        yield from _parts(batch.slice(0, batch.num_rows // 2))
+        yield from _parts(batch.slice(batch.num_rows // 2))
+    else:
+        yield batch
+
+
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, input_ids binary"
 
 
 def pack(examples: DataFrame, id_col: str, encode, columns: list[str], limits: Limits, cut: bool) -> DataFrame:
     """Pack the rows of examples into sequences, each task its own rows.
 
-    encode(): called once in each task; gives a function from a list of rows' values of `columns` (a tuple
-    each) to a list of (ids, loss marks). cut: examples may be cut anywhere, and each id lies in exactly
+    encode(): called once in each task; gives a function from the Arrow arrays of `columns` to a list of
+    (ids, loss marks), one for each row. cut: examples may be cut anywhere, and each id lies in exactly
     one piece; else every example stays whole, and one that exceeds a limit is an error.
 
     Returns a row per piece: id_col, start (ids of the example before it), length, doc_tokens (ids of the
@@ -286,10 +360,9 @@ def pack(examples: DataFrame, id_col: str, encode, columns: list[str], limits: L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encode(), _Packer(limits, cut, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in _parts(batch):
                 keys = part.column(id_col).to_pylist()
-                coded = encoder(list(zip(*(part.column(c).to_pylist() for c in columns), strict=True)))
+                coded = encoder(*(part.column(c) for c in columns))
                 for key, (ids, loss) in zip(keys, coded, strict=True):
                     packer.add((key, len(ids)), ids, loss)
                 if packer.out:
@@ -311,11 +384,11 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, i
     """
 
     def encode():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
 
-        def code(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-            ids = [np.concatenate((x, end)) for x in encoder.encode([r[0] for r in rows])]
+        def code(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+            ids = [np.concatenate((x, end)) for x in encoder.encode(texts)]
             return [(x, np.arange(len(x)) > 0) for x in ids]
 
         return code
@@ -335,13 +408,13 @@ def pack_conversations(conversations: DataFrame, tokenizer_path: str, end_id: in
     flat = grouped.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def encode():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
 
-        def code(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-            out = []
-            for roles, texts in rows:
-                ids = [np.concatenate((x, end)) for x in encoder.encode(texts)]
+        def code(roles_of: pa.Array, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+            out, coded = [], iter(encoder.encode(texts.flatten()))
+            for roles in roles_of.to_pylist():
+                ids = [np.concatenate((x, end)) for x in islice(coded, len(roles))]
                 loss = [np.full(len(x), role == loss_role) for x, role in zip(ids, roles, strict=True)]
                 out.append((np.concatenate(ids), np.concatenate(loss)))
             return out
