@@ -263,6 +263,12 @@ def test_segments():
     assert {"id-iot", "é"} <= toxicity.segments("(ID-iot) É")
 
 
+def test_runs_of_single_characters_end_at_signs():
+    found = toxicity.segments("so (i d i o t! go to it")
+    assert "idiot" in found and "idio" not in found and "diot" not in found
+    assert "abc" in toxicity.segments("a b c") and "abc" in toxicity.segments("'a b c'") and "abc" not in toxicity.segments("a b cd")
+
+
 def labelled(n, seed, insults=("idiot", "moron", "worthless")):
     r = random.Random(seed)
     words = ["".join(r.choice("aehinorst") for _ in range(r.randint(2, 7))) for _ in range(300)]

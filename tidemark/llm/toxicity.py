@@ -34,8 +34,9 @@ PER_LABEL, NEGATIVES, HARD, ROUNDS = 4000, 2000, 1000, 2
 #: A witness has at least this share of its document's highest evidence, and log-odds of more than this.
 SHARE, LEAST_ODDS = 0.3, 2.0
 _SIGNS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
-#: Runs of tokens of one or two characters, and of one.
-_SHORT, _SINGLE = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)"), re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+#: Runs of tokens of one or two characters, and of one; such a run may begin or end with a sign.
+_SHORT = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
+_SINGLE = re.compile(r"(?<!\S)[!-/:-@\[-`{-~]?(?:\S\s+){2,}\S[!-/:-@\[-`{-~]?(?!\S)")
 
 
 def segments(text: str | None) -> set[str]:
