@@ -9,6 +9,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from oracle import check  # noqa: E402
 
-from tidemark.llm import components, decontam, lang_crf, line_dedup, lm_score, minhash, packing, queries, syncmers, token_counts, url_rules, warc_zip  # noqa: E402
+from tidemark.llm import components, decontam, lang_crf, line_dedup, lm_score, minhash, packing, queries, shared, syncmers, token_counts, url_rules, warc_zip  # noqa: E402
 from tidemark.llm.shared import words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string"
@@ -866,6 +867,41 @@ def test_words_stay_from_task_to_task_and_frequent_ones_longest(monkeypatch):
     assert encoder.encode(["common often"])[0].tolist() == encoder.tokenizer.encode("common often", add_special_tokens=False).ids
 
 
+def test_other_operators_find_no_words_in_a_worker(spark):
+    texts = docs(spark, [(i, f"some words of text {i}") for i in range(64)]).repartition(8)
+
+    def held(batch):
+        return {"n": [packing._encoder_of.cache_info().currsize + len(lang_crf._SCORES.numbers)]}
+
+    def left(owner):
+        return {r.n for r in shared.map_arrow(texts.select("doc_id"), held, "n long", owner).collect()}
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.pack_documents(texts, path).collect()
+    assert 1 in left("packing")
+    assert left(None) == {0}
+    encoder = packing.shared_encoder(path)
+    list(shared.in_worker(iter, "packing")([]))
+    assert packing.shared_encoder(path) is encoder
+    list(shared.in_worker(iter)([]))
+    assert packing.shared_encoder(path) is not encoder
+
+
+def test_ids_are_gathered_in_runs(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, words = packing.WordEncoder(path), [f"w{i % 97}" for i in range(400_000)]
+    want = encoder.encode([" ".join(words[:1000])])[0]
+    at = np.arange(400_000) % 97
+    tracemalloc.start()
+    got = encoder._gather(at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * got.nbytes + 10_000_000  # all places at once took another 24 bytes an id
+    assert got[: len(want)].tolist() == want.tolist()
+    monkeypatch.setattr(packing, "GATHERED", 7)
+    assert encoder._gather(at[:1000]).tolist() == want.tolist() and len(encoder._gather(at[:0])) == 0
+
+
 # 9
 
 

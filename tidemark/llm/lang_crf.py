@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_arrow, type_of
+from tidemark.llm.shared import kept_in_worker, map_arrow, type_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -268,7 +268,7 @@ def identify(
     of = lambda c: F.col(f"`{c.replace('`', '``')}`")
     schema = "".join(f"c{i} {type_of(documents, c)}, " for i, c in enumerate(kept))
     rows = documents.select(*(of(c).alias(f"c{i}") for i, c in enumerate(kept)), of(text_col).alias("text"))
-    return map_arrow(rows, label, f"{schema}lang_pred string, score double, shares map<string,double>, confidence double").toDF(*kept, *names)
+    return map_arrow(rows, label, f"{schema}lang_pred string, score double, shares map<string,double>, confidence double", "lang_crf").toDF(*kept, *names)
 
 
 class _Scores:
@@ -308,6 +308,14 @@ class _Scores:
 _SCORES = _Scores()
 
 
+def _forget() -> None:
+    global _SCORES
+    _SCORES = _Scores()
+
+
+kept_in_worker("lang_crf", _forget)
+
+
 def _label(texts: list[str | None], model: Model | None) -> list[tuple[str, float, dict[str, float], float]]:
     out = [(UNKNOWN, 0.0, {}, 0.0 if model else None)] * len(texts)
     pending: list[tuple[int, list[str]]] = []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import _ODD, bitmap, free_name, in_bitmap, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
+from tidemark.llm.shared import _ODD, bitmap, free_name, in_bitmap, in_worker, map_arrow, mixed, row_key, shingle_hashes, stored, type_of, word_hashes, words
 
 #: 28 bands of 4 registers: a pair of similarity 0.8 shares no band with a probability of 4e-7.
 BANDS, ROWS = 28, 4
@@ -199,7 +199,7 @@ def _across(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     dealt = rows.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "minor", "node", "root", "band", "bands", "sketch", "sh").mapInArrow(run, "a binary, b binary")
+    return dealt.select("block", "minor", "node", "root", "band", "bands", "sketch", "sh").mapInArrow(in_worker(run), "a binary, b binary")
 
 
 def near_duplicate_classes(

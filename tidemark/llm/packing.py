@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.shared import type_of
+from tidemark.llm.shared import give_back, in_worker, kept_in_worker, type_of
 
 #: Words whose ids a Python worker keeps at a time, and their characters.
 CACHED_WORDS, CACHED_CHARS = 800_000, 16_000_000
 #: Bytes of the rows that are encoded at a time.
 PART_BYTES = 8 << 20
+#: Words whose ids are gathered at a time.
+GATHERED = 1 << 16
 #: Tokens of a class that has gone: more than fit anywhere.
 GONE = 1 << 40
 #: Sequences' worth of examples that wait before sequences are filled.
@@ -77,10 +79,14 @@ class WordEncoder:
         self.chars = pc.sum(pc.utf8_length(self.words)).as_py() or 0
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
-        """The ids of the words at these places, one after another."""
-        low, size = self.begin[at], self.begin[at + 1] - self.begin[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(at) else 0)]
+        """The ids of the words at these places, one after another; what it takes beside them is bounded by GATHERED."""
+        out = [np.empty(0, np.uint32)]
+        for k in range(0, len(at), GATHERED):
+            some = at[k : k + GATHERED]
+            low, size = self.begin[some], self.begin[some + 1] - self.begin[some]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(low - (ends - size), size) + np.arange(ends[-1])])
+        return np.concatenate(out)
 
     def _batches(self, words: pa.Array, between: str, n: int = 256) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Of n words each: the words, and the ids of a text of them."""
@@ -156,10 +162,13 @@ def _encoder_of(path: str, changed: int) -> WordEncoder:
 
 
 def shared_encoder(path: str) -> WordEncoder:
-    """One encoder in each Python worker, so the words that a task has met are known to the worker's next task."""
+    """One encoder in each Python worker, so the words that a task has met are known to the worker's next task of packing."""
     return _encoder_of(path, os.stat(path).st_mtime_ns)
 
 
+kept_in_worker("packing", _encoder_of.cache_clear)
+
+
 @dataclass(frozen=True)
 class Limits:
     """Of a sequence: tokens, segments and loss-bearing tokens."""
@@ -368,11 +377,13 @@ def pack(examples: DataFrame, id_col: str, encode, columns: list[str], limits: L
                 if packer.out:
                     yield rows_of(packer.out)
                     packer.out = []
+                del keys, coded
+                give_back()
         packer.fill(0)
         if packer.out:
             yield rows_of(packer.out)
 
-    return examples.mapInArrow(run, f"`{id_col}` {type_of(examples, id_col)}, {PIECES}")
+    return examples.mapInArrow(in_worker(run, "packing"), f"`{id_col}` {type_of(examples, id_col)}, {PIECES}")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -159,9 +160,47 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+#: How to drop what an operator keeps in this Python worker for its next tasks, by the operator's name.
+_KEPT: dict[str, Callable[[], None]] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def kept_in_worker(owner: str, drop: Callable[[], None]) -> None:
+    """drop() is called before tasks of other operators begin in the same Python worker."""
+    _KEPT[owner] = drop
+
+
+def give_back() -> None:
+    """Return freed memory to the system: else an idle worker holds all that its largest part took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def keep_only(owner: str | None) -> None:
+    """Drop what all operators but this one keep in this Python worker."""
+    for name, drop in _KEPT.items():
+        if name != owner:
+            drop()
+    give_back()
+
+
+def in_worker(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None):
+    """work for mapInArrow, in a worker that keeps at most what owner's tasks before it have kept, and no freed memory after it.
+
+    Workers outlive a query: each executor has as many as cores, beside a heap that grows to its limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(owner)
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str, owner: str | None = None) -> DataFrame:
     """mapInArrow with one dict of columns per part of a batch (see PART). Columns that pass through keep their Arrow
-    form, so null or large integer ids stay exact."""
+    form, so null or large integer ids stay exact. owner: see in_worker()."""
     target = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +208,7 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str
             for part in _parts(batch):
                 yield pa.RecordBatch.from_pydict(each(part), schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(in_worker(run, owner), schema)
 
 
 def type_of(df: DataFrame, column: str) -> str:
