@@ -11,6 +11,7 @@ import sys
 import time
 import tracemalloc
 import zlib
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -337,6 +338,73 @@ def test_network_grows_with_the_vocabulary():
     assert np.exp(net.log_probs(around[:1].repeat(len(tokens), 0), tokens)[0]).sum() == pytest.approx(1, rel=1e-3)
 
 
+def plain_log_probs(net, around, target):
+    x = net.into[0][around[:, 0]]
+    for s in range(1, len(lm_score.SIDES)):
+        x += net.into[s][around[:, s]]
+    h = np.tanh(x + net.bias)
+
+    def part(logit, at):
+        logit -= logit.max(1, keepdims=True)
+        return logit[np.arange(len(at)), at] - np.log(np.exp(logit).sum(1))
+
+    c, w = target // lm_score.IN_CLASS, target % lm_score.IN_CLASS
+    score = part(h @ net.cls.T + net.cls_bias, c)
+    for k in np.unique(c).tolist():
+        a, b = np.searchsorted(c, [k, k + 1])
+        score[a:b] += part(h[a:b] @ net.out[k].T + net.out_bias[k], w[a:b])
+    return score
+
+
+def many_places(classes, n):
+    r = np.random.default_rng(3)
+    target = np.sort(r.integers(0, classes * lm_score.IN_CLASS, n).astype(np.int32))
+    return r.integers(0, classes * lm_score.IN_CLASS + 1, (n, len(lm_score.SIDES))).astype(np.int32), target
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_blocks_of_places_against_plain_numpy(scale):
+    """More places in a class than a block has, and logits small and large."""
+    net = lm_score.Network.of(lm_score.Network.begun(8).flat() * scale)
+    around, target = many_places(8, 9000)
+    target[:5000] = np.sort(target[:5000] % lm_score.IN_CLASS)
+    got, grads = net.log_probs(around, target, True)
+    assert got == pytest.approx(plain_log_probs(net, around, target), rel=1e-3, abs=1e-3)
+    assert got == pytest.approx(net.log_probs(around, target)[0]) and all(np.isfinite(g).all() for g in grads)
+
+
+def test_scoring_costs_less_than_plain_numpy():
+    """CPU seconds of this thread, the least of several runs of each by turns."""
+    net = lm_score.Network.begun(50)
+    around, target = many_places(50, lm_score.SCORED)
+    took = {}
+    for _ in range(9):
+        for name, f in (("own", net.log_probs), ("plain", partial(plain_log_probs, net))):
+            began = time.thread_time()
+            f(around, target)
+            took.setdefault(name, []).append(time.thread_time() - began)
+    assert min(took["own"]) < 0.55 * min(took["plain"])
+
+
+def test_words_of_many_texts_are_looked_up_together(monkeypatch):
+    top = [f"w{i}".encode() for i in range(700)]
+    held = lm_score.Words(top, np.zeros(700), 8, 1)
+    r = random.Random(2)
+    texts = [None, b"", *(" ".join(f"W{r.randint(0, 900)}" for _ in range(r.randint(0, 40))).encode() for _ in range(300)), b" . "]
+    sharing = held.tokens - held.known
+
+    def unit(w):
+        rank = top.index(w) if w in top[: held.known] else held.known + zlib.crc32(w) % sharing
+        return rank % held.classes * lm_score.IN_CLASS + rank // held.classes
+
+    calls = []
+    monkeypatch.setattr(lm_score.pc, "index_in", lambda *a, f=lm_score.pc.index_in, **k: calls.append(1) or f(*a, **k))
+    expected = [[unit(w) for w in shared.words(t)] for t in texts]
+    assert [x.tolist() for x in lm_score.Vocabulary(held).texts(iter(texts))] == expected and len(calls) == 1
+    monkeypatch.setattr(lm_score, "LOOKED_UP", 50)
+    assert [x.tolist() for x in lm_score.Vocabulary(held).texts(iter(texts))] == expected and len(calls) > 50
+
+
 # 4
 
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ PER_ROOT = 2
 TABLE = 1 << 16
 #: Places of a training step, of a scoring step, and of texts that are laid end to end.
 STEP, SCORED, PASS = 8192, 16384, 65536
+#: Rows that are worked on together, so that a core's cache holds them.
+BLOCK = 2048
+#: Words of training texts that are looked up together.
+LOOKED_UP = 1 << 19
 RATE = 0.15
 #: Words that a copy of the network learns from.
 COPY_WORDS = 2_000_000
@@ -79,51 +84,82 @@ class Network:
     def log_probs(self, around: np.ndarray, target: np.ndarray, grads: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each target given its neighbours (places, sides); with the gradients of their sum, if asked for.
         Targets come sorted by class, so each class is one matrix product."""
-        x = self.into[0][around[:, 0]]
+        near = np.ascontiguousarray(around.T, np.intp)
+        x = self.into[0].take(near[0], 0)
+        part = np.empty_like(x)
         for s in range(1, len(SIDES)):
-            x += self.into[s][around[:, s]]
-        h = np.tanh(x + self.bias)
+            x += self.into[s].take(near[s], 0, out=part, mode="clip")  # no id is clipped; other modes copy out
+        x += self.bias
+        # a column of ones meets the biases
+        h = np.ones((len(x), WIDTH + 1), x.dtype)
+        seen = np.tanh(x, out=h[:, :WIDTH])
+        cls, out = np.vstack((self.cls.T, self.cls_bias)), np.concatenate((self.out.transpose(0, 2, 1), self.out_bias[:, None]), 1)
         c, w = target // IN_CLASS, target % IN_CLASS
-        score, d = _log_softmax(h @ self.cls.T + self.cls_bias, c, grads)
+        score, room = np.zeros(len(h), h.dtype), np.empty(BLOCK * max(IN_CLASS, len(out)), h.dtype)
         if grads:
-            g_cls, g_cb, dh = d.T @ h, d.sum(0), d @ self.cls
-            g_out, g_ob = np.zeros_like(self.out), np.zeros_like(self.out_bias)
-        edge = np.searchsorted(c, np.arange(len(self.cls) + 1)).tolist()
-        for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if a == b:
-                continue
-            own = h[a:b]
-            more, d = _log_softmax(own @ self.out[k].T + self.out_bias[k], w[a:b], grads)
-            score[a:b] += more
-            if grads:
-                g_out[k], g_ob[k] = d.T @ own, d.sum(0)
-                dh[a:b] += d @ self.out[k]
+            dh, g_cls, g_out = np.zeros_like(h), np.zeros(cls.shape[::-1], h.dtype), np.zeros((len(out), IN_CLASS, WIDTH + 1), h.dtype)
+
+        def add(a: int, b: int, weights: np.ndarray, at: np.ndarray, most: float, g: np.ndarray | None) -> None:
+            for low in range(a, b, BLOCK):
+                rows = slice(low, min(b, low + BLOCK))
+                more, by_weights, by_h = _log_softmax(h[rows], weights, at[rows], most, room, grads)
+                score[rows] += more
+                if grads:
+                    g += by_weights
+                    dh[rows] += by_h
+
+        add(0, len(h), cls, c, _most(cls), g_cls if grads else None)
+        edge, most = np.searchsorted(c, np.arange(len(out) + 1)).tolist(), _most(out).tolist()
+        for k, (a, b) in enumerate(pairwise(edge)):
+            add(a, b, out[k], w, most[k], g_out[k] if grads else None)
         if not grads:
             return score, []
-        dx = dh * (1 - h * h)
-        # one count for each side: cell (unit, column) of every place
-        g_into, flat = np.empty_like(self.into), dx.ravel()
-        cells = np.empty(dx.shape, np.int64)
+        dx = seen * seen
+        np.subtract(1, dx, out=dx)
+        dx *= dh[:, :WIDTH]
+        # one sum for each side, by cells (unit, column) of every place
+        g_into, cells, column = np.zeros_like(self.into), np.empty(dx.shape, np.intp), np.arange(WIDTH)
+        near *= WIDTH
         for s in range(len(SIDES)):
-            np.add(around[:, s, None] * WIDTH, np.arange(WIDTH), out=cells)
-            g_into[s] = np.bincount(cells.ravel(), flat, self.into[s].size).reshape(self.into[s].shape)
-        return score, [g_into, dx.sum(0), g_cls, g_cb, g_out, g_ob]
-
-
-def _log_softmax(logit: np.ndarray, at: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """The log-probability of place at[i] of each row, and its gradient by the logits, if asked for. Changes logit."""
-    if np.abs(logit).max() > 60:  # else no row's sum overflows or vanishes
-        logit -= logit.max(1, keepdims=True)
-    rows = np.arange(len(at))
-    own = logit[rows, at]
-    p = np.exp(logit, out=logit)
-    total = p @ np.ones(p.shape[1], p.dtype)
+            np.add(near[s, :, None], column, out=cells)
+            np.add.at(g_into[s].reshape(-1), cells.reshape(-1), dx.reshape(-1))
+        parts = (x for g in (g_cls, g_out) for x in (g[..., :WIDTH], g[..., WIDTH]))
+        return score, [g_into, dx.sum(0), *map(np.ascontiguousarray, parts)]
+
+
+def _most(weights: np.ndarray) -> np.ndarray:
+    """The most that a logit of (..., WIDTH + 1, units) can be on either side of 0, as what they meet is in -1 to 1."""
+    return np.abs(weights).sum(-2).max(-1)
+
+
+def _log_softmax(
+    h: np.ndarray, weights: np.ndarray, at: np.ndarray, most: float, room: np.ndarray, grads: bool
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The log-probability of place at[i] of each row, and the gradients by weights and h, if asked for. The
+    probabilities are worked out in room."""
+    n, m = len(h), weights.shape[1]
+    p = np.matmul(h, weights, out=room[: n * m].reshape(n, m))
+    if most > 60:  # else no row's sum overflows or vanishes
+        p -= p.max(1, keepdims=True)
+    cells = np.arange(0, n * m, m) + at
+    own = p.take(cells)
+    np.exp(p, out=p)
+    total = p @ np.ones(m, p.dtype)
     score = own - np.log(total)
     if not grads:
-        return score, None
-    p *= (-1 / total)[:, None]
-    p[rows, at] += 1
-    return score, p
+        return score, None, None
+    # the gradient by a logit is p / -total; rows of the thin matrices are divided, not those of p
+    p.put(cells, np.exp(own) - total)
+    part = (-1 / total)[:, None]
+    d = p @ weights.T
+    d *= part
+    return score, p.T @ (h * part), d
+
+
+def by_class(target: np.ndarray) -> np.ndarray:
+    """The order of targets by class. A sort of 16 bits takes one pass for each byte."""
+    c = target // IN_CLASS
+    return np.argsort(c.astype(np.uint16) if len(c) and c.max() < 1 << 16 else c, kind="stable")
 
 
 def places(ids: list[np.ndarray], tokens: int = TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -160,26 +196,45 @@ class Words:
         return self.tokens - self.tokens // SHARING
 
 
-class Vocabulary(dict):
-    """Word to code: top words by their rank, then the shared units of all others. units and shares are by code.
+class Vocabulary:
+    """Codes of words: top words by their rank, then the shared units of all others. units and shares are by code.
     Frequent words are dealt out over classes."""
 
     def __init__(self, held: Words):
-        super().__init__((w, r) for r, w in enumerate(held.top))
-        self.fixed, self.sharing, self.known = len(self), held.tokens - held.known, held.known
+        self.top = pa.array(held.top, pa.binary())
+        self.fixed, self.tokens, self.sharing = len(self.top), held.tokens, held.tokens - held.known
         rank = [r if r < held.known else held.known + zlib.crc32(w) % self.sharing for r, w in enumerate(held.top)]
         rank = np.array([*rank, *range(held.known, held.tokens)])
         self.units = (rank % held.classes * IN_CLASS + rank // held.classes).astype(np.int32)
         self.shares = np.concatenate((held.share, np.zeros(self.sharing)))
 
-    def __missing__(self, word: bytes) -> int:
-        found = self.fixed + zlib.crc32(word) % self.sharing
-        if len(word) <= 40 and len(self) < self.fixed + 1_000_000:
-            self[word] = found
+    def codes(self, ws: pa.Array) -> np.ndarray:
+        """Each call makes a table of the top words, so it gets many words at once."""
+        found = np.array(pc.index_in(ws, value_set=self.top).fill_null(-1))
+        other = np.flatnonzero(found < 0)
+        hashes = np.fromiter(map(zlib.crc32, ws.take(pa.array(other)).to_pylist()), np.int64, len(other))
+        found[other] = self.fixed + hashes % self.sharing
         return found
 
-    def codes(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
+    def texts(self, texts: Iterator[bytes | None]) -> Iterator[np.ndarray]:
+        """The units of each text's words."""
+        held, size = [], 0
+        for text in texts:
+            held.append(words(text))
+            size += len(held[-1])
+            if size >= LOOKED_UP:
+                yield from self._units(held)
+                held, size = [], 0
+        yield from self._units(held)
+
+    def _units(self, held: list[list[bytes]]) -> list[np.ndarray]:
+        ws, ends = laid(held)
+        return np.split(self.units[self.codes(ws)], ends)[:-1]
+
+
+def laid(texts: list[list[bytes]]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts end to end, and where each text ends."""
+    return pa.array(chain.from_iterable(texts), pa.binary()), np.cumsum([len(ws) for ws in texts], dtype=np.int64)
 
 
 def word_shares(documents: DataFrame, text_col: str) -> tuple[Words, DataFrame]:
@@ -187,10 +242,8 @@ def word_shares(documents: DataFrame, text_col: str) -> tuple[Words, DataFrame]:
     the corpus, whatever their number."""
 
     def tally(batch: pa.RecordBatch) -> dict:
-        found: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            found.update(words(text))
-        return {"word": list(found), "n": list(found.values())}
+        found = laid([words(text) for text in batch.column("text").to_pylist()])[0].value_counts()
+        return {"word": found.field("values"), "n": found.field("counts")}
 
     counted = map_arrow(documents.select(F.col(text_col).cast("binary").alias("text")), tally, "word binary, n long")
     counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "counts")
@@ -224,15 +277,21 @@ def _trained(network: Network, vocabulary: Vocabulary, texts: Iterator[bytes | N
     def learn() -> None:
         around, target = places(held, network.into.shape[1] - 1)
         for low in range(0, len(target), STEP):
-            order = low + np.argsort(target[low : low + STEP], kind="stable")
+            order = low + by_class(target[low : low + STEP])
             _, grads = network.log_probs(around[order], target[order], True)
-            for x, s, g in zip(network.arrays(), sums, grads, strict=True):
-                g = g / len(order) * 64
-                s += g * g
-                x += RATE * g / np.sqrt(s)
-
-    for text in texts:
-        ids = vocabulary.units[vocabulary.codes(words(text))]
+            for arrays in zip(network.arrays(), sums, grads, strict=True):
+                flat = [x.reshape(-1) for x in arrays]
+                for at in range(0, len(flat[0]), BLOCK * WIDTH):
+                    x, s, g = (x[at : at + BLOCK * WIDTH] for x in flat)
+                    g *= 64 / len(order)
+                    part = g * g
+                    s += part
+                    np.sqrt(s, out=part)
+                    g /= part
+                    g *= RATE
+                    x += g
+
+    for ids in vocabulary.texts(texts):
         if len(ids):
             held.append(ids)
             size += len(ids)
@@ -286,37 +345,23 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
             top, flat = shared.value
             _TASK.update(model=shared.value, vocabulary=Vocabulary(top), network=None if flat is None else Network.of(flat))
         vocabulary, network = _TASK["vocabulary"], _TASK["network"]
-        counts, sums, rare, held, size = [], [], [], [], 0
-
-        def flush() -> None:
-            if not held:
-                return
-            codes = np.concatenate(held)
-            around, target = places([vocabulary.units[x] for x in held], network.into.shape[1] - 1)
-            got = np.empty(len(target))
+        ws, ends = laid([words(text) for text in batch.column("text").to_pylist()])
+        codes = vocabulary.codes(ws)
+        got = vocabulary.shares[codes]
+        texts = np.split(vocabulary.units[codes], ends)[:-1]
+        cuts = [0, *(np.flatnonzero(np.diff(ends // PASS)) + 1).tolist(), len(texts)]
+        at = 0
+        for a, b in pairwise(cuts):
+            around, target = places(texts[a:b], vocabulary.tokens)
             for low in range(0, len(target), SCORED):
-                order = low + np.argsort(target[low : low + SCORED], kind="stable")
-                got[order] = network.log_probs(around[order], target[order])[0]
-            got += vocabulary.shares[codes]
-            ends = np.cumsum(counts[len(sums) :])
-            sums.extend(np.diff(np.concatenate(([0.0], np.concatenate(([0.0], np.cumsum(got)))[ends]))).tolist())
-            held.clear()
-
-        for text in batch.column("text").to_pylist():
-            ws = words(text)
-            codes = vocabulary.codes(ws)
-            held.append(codes)
-            counts.append(len(ws))
-            rare.append([ws[i] for i in np.flatnonzero(codes >= vocabulary.fixed).tolist()])
-            size += len(ws)
-            if size >= PASS and network is not None:
-                flush()
-                size = 0
-        if network is None:
-            sums = [0.0] * len(counts)
-        else:
-            flush()
-        return {"row": batch.column("row"), "id": batch.column("id"), "n_words": counts, "ll": sums, "rare": rare}
+                order = low + by_class(target[low : low + SCORED])
+                got[at + order] += network.log_probs(around[order], target[order])[0]
+            at += len(target)
+        starts = np.concatenate(([0], ends))
+        sums = np.diff(np.concatenate(([0.0], np.cumsum(got)))[starts])
+        other = codes >= vocabulary.fixed
+        rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(other)))[starts].astype(np.int32), ws.filter(pa.array(other)))
+        return {"row": batch.column("row"), "id": batch.column("id"), "n_words": np.diff(starts), "ll": sums, "rare": rare}
 
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # stored, so that the row numbers are those of one run
